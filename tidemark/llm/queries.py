@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, quality
-from .common import stage
+from . import chat, mixing, packing, quality, token_store
+from .common import shared_folder, stage
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
@@ -89,6 +91,21 @@ FROM r LEFT JOIN c ON r.doc_id = c.doc_id
 """
 
 
+def _tokenizer() -> str:
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/op5-store-{uuid.uuid4().hex}"
+    token_store.write(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, _tokenizer())
+    return token_store.read(spark, path).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("tokens").alias("ids_crc32"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), _tokenizer())
+    return packed.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = quality.ledger(docs)
@@ -129,6 +146,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_mix_sources": op2_mix_sources,
+    "op5_token_store": op5_token_store,
+    "op7_packing": op7_packing,
     "op9_quality_rules": op9_quality_rules,
 }
 
