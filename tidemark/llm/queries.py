@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, quality, token_store
+from . import chat, jpeg, langid, mixing, packing, pii, quality, token_store
 from .common import shared_folder, stage
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -101,11 +101,23 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, path).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("tokens").alias("ids_crc32"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.detect(docs, pii.train(docs))
+    return found.select("doc_id", *(f"n_{k}" for k in pii.KINDS), F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), _tokenizer())
     return packed.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(langid.sample(docs))
+    return langid.identify(docs.select("doc_id", "text", langid.held_out().alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = quality.ledger(docs)
@@ -143,12 +155,24 @@ WITH w AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits & 3 <> 0 AS base_failed, failed_bits = 0 AS kept, n_lines, failed_bits FROM g
 """
 
+def op10_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    back = jpeg.load(jpeg.store(docs).drop("text"), tensors=False)
+    return back.select(
+        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_mix_sources": op2_mix_sources,
     "op5_token_store": op5_token_store,
+    "op6_personal_data": op6_personal_data,
     "op7_packing": op7_packing,
+    "op8_language": op8_language,
     "op9_quality_rules": op9_quality_rules,
+    "op10_progressive_jpeg": op10_progressive_jpeg,
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op2_mix_sources": OP2_SQL, "op9_quality_rules": OP9_SQL}
