@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jpeg, langid, mixing, packing, pii, quality, token_store
+from . import chat, jpeg, langid, mixing, ngram_join, packing, pii, quality, token_store
 from .common import shared_folder, stage
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -91,6 +91,11 @@ FROM r LEFT JOIN c ON r.doc_id = c.doc_id
 """
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = ngram_join.group_similar(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return grouped.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def _tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
@@ -167,6 +172,7 @@ def op10_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_mix_sources": op2_mix_sources,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op5_token_store": op5_token_store,
     "op6_personal_data": op6_personal_data,
     "op7_packing": op7_packing,
