@@ -12,8 +12,8 @@ The global order puts parts that a sample of documents shares often last; the or
 
 Documents with equal sets are one node (its 64-bit set hash), so copies are never paired. Small groups of nodes under one
 part name their pairs; in large groups, members are compared with leaders (those in most groups first): members in one
-component need no further comparison, and leaders leave the group once compared. What is left after ROUNDS is compared
-pair by pair across components, so no link is lost.
+component need no further comparison, and leaders leave the group once compared. Groups of up to FEW members that still
+span components, and what is left after ROUNDS, are compared across components, so no link is lost.
 
 Defined cases: a null, empty or blank text has an empty set, no links and its own component; fewer than N words are one
 shingle; null ids take part, and a component's id is the least non-null one in it (null if there is none); repeated rows
@@ -36,7 +36,8 @@ from .components import components
 
 N = 5
 SMALL = 6  # groups up to this size name all their pairs: at most (SMALL - 1) / 2 a member
-LEADERS, ROUNDS = 4, 4
+FEW = 48  # open groups up to this size are compared across components at once
+LEADERS, ROUNDS = 8, 4
 HOT_RATE, HOT_TIMES, HOT_MOST = 16, 3, 100_000
 _U = np.uint64
 
@@ -252,36 +253,31 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         ranked = rest.join(degree, "node").withColumn("k", F.row_number().over(order)).filter(F.col("k").between(first, last))
         return rest.alias("m").join(ranked.select(F.col("group").alias("g"), F.col("node").alias("leader"), "k"), F.col("group") == F.col("g"))
 
-    large = not members.isEmpty()
-    pairs = small.union(led(members, 1, 1).select(F.col("m.node").alias("a"), F.col("leader").alias("b"))) if large else small
+    pairs = small.union(led(members, 1, 1).select(F.col("m.node").alias("a"), F.col("leader").alias("b")))
     tried = stage(_verify(stage(able(pairs), "join-pairs"), texts), "join-verified")
-    if not large:
-        return sets, tried.filter("linked").select("a", "b")
     rest, round_ = members, 0
-    while True:
+    while not rest.isEmpty():
         release(spark)
-        links = tried.filter("linked").select("a", "b")
-        part = components(links)
+        part = components(tried.filter("linked").select("a", "b"))
         placed = rest.join(part.select(F.col("node").alias("pn"), "component"), F.col("node") == F.col("pn"), "left").select("group", "node", F.coalesce("component", "node").alias("component"))
         placed = stage(placed, "join-placed")
-        mixed = placed.groupBy("group").agg((F.min("component") < F.max("component")).alias("mixed")).filter("mixed").select("group")
-        open_ = stage(placed.join(mixed, "group", "left_semi"), "join-open")
-        if open_.isEmpty():
-            return sets, links
+        mixed = placed.groupBy("group").agg((F.min("component") < F.max("component")).alias("mixed"), F.count(F.lit(1)).alias("members")).filter("mixed").select("group", "members")
+        open_ = stage(placed.join(mixed, "group"), "join-open")
         of = open_.select(F.col("group").alias("og"), F.col("node").alias("on"), F.col("component").alias("oc"))
-        if round_ < ROUNDS:
-            ahead = led(open_.select("group", "node"), 1, LEADERS).select(F.col("m.group").alias("group"), F.col("m.node").alias("a"), F.col("leader").alias("b"))
+        few = open_ if round_ >= ROUNDS else open_.filter(F.col("members") <= FEW)
+        apart = few.join(of, (F.col("group") == F.col("og")) & (F.col("node") < F.col("on")) & (F.col("component") != F.col("oc"))).select(F.col("node").alias("a"), F.col("on").alias("b"))
+        rest = open_.filter(F.col("members") > FEW).select("group", "node") if round_ < ROUNDS else rest.limit(0)
+        if not rest.isEmpty():
+            ahead = led(rest, 1, LEADERS).select(F.col("m.group").alias("group"), F.col("m.node").alias("a"), F.col("leader").alias("b"))
             own = ahead.join(of, (F.col("group") == F.col("og")) & (F.col("a") == F.col("on"))).select("group", "a", "b", F.col("oc").alias("ca"))
-            apart = own.join(of, (F.col("group") == F.col("og")) & (F.col("b") == F.col("on"))).filter("ca <> oc").select("a", "b")
+            apart = apart.union(own.join(of, (F.col("group") == F.col("og")) & (F.col("b") == F.col("on"))).filter("ca <> oc").select("a", "b"))
             leaders = stage(ahead.select(F.col("group").alias("lg"), F.col("b").alias("ln")).distinct(), "join-leaders")
-            rest = stage(open_.join(leaders, (F.col("group") == F.col("lg")) & (F.col("node") == F.col("ln")), "left_anti").select("group", "node"), "join-rest")
-        else:
-            apart = open_.join(of, (F.col("group") == F.col("og")) & (F.col("node") < F.col("on")) & (F.col("component") != F.col("oc"))).select(F.col("node").alias("a"), F.col("on").alias("b"))
-            rest = rest.limit(0)
+            rest = stage(rest.join(leaders, (F.col("group") == F.col("lg")) & (F.col("node") == F.col("ln")), "left_anti"), "join-rest")
         fresh = able(apart).join(tried.select(F.col("a").alias("ta_"), F.col("b").alias("tb_")), (F.col("a") == F.col("ta_")) & (F.col("b") == F.col("tb_")), "left_anti")
         more = stage(_verify(stage(fresh, "join-pairs"), texts), "join-verified")
-        tried = stage(tried.union(more), "join-tried")
+        tried = tried.union(more)
         round_ += 1
+    return sets, tried.filter("linked").select("a", "b")
 
 
 def _right_text(holders: DataFrame) -> DataFrame:
