@@ -62,3 +62,10 @@ def spare(df: DataFrame, stem: str) -> str:
     """A column name that df does not have (compared without case, as Spark does)."""
     taken = {c.lower() for c in df.columns}
     return next(x for i in _fresh if (x := f"__{stem}_{i}") not in taken)
+
+
+def hashed_sample(docs: DataFrame, key: str, most: int) -> DataFrame:
+    """About `most` rows (never over twice that), chosen by a hash of the key: reruns agree, and no partition sends more."""
+    n = docs.count()
+    share = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, most / max(n, 1))))
+    return docs.filter(share).limit(2 * most)

@@ -23,8 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import hashed_sample
+
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_DOCS = 300
+SAMPLE_DOCS = 1500
 SAMPLE_WINDOWS = 3000
 WIDTH, STRIDE, UNITS = 64, 32, 12
 N_TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
@@ -266,8 +268,8 @@ def training_windows(texts: list[str], seed: int = 3) -> tuple[np.ndarray, np.nd
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Tagger | None:
-    """From the SAMPLE_DOCS texts with a digit or "@" whose ids have the smallest hashes."""
-    some = docs.filter(F.col(text_col).rlike("[0-9@]")).orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col).select(text_col).limit(SAMPLE_DOCS)
+    """From the texts with a digit or "@" among about SAMPLE_DOCS documents, chosen by a hash of their ids."""
+    some = hashed_sample(docs, id_col, SAMPLE_DOCS).filter(F.col(text_col).rlike("[0-9@]")).select(text_col)
     x, y = training_windows(sorted(r[0] for r in some.collect()))
     return fit(x, y) if len(x) >= 20 else None
 

@@ -26,9 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import hashed_sample
 from .tokens import encoder
 
-SAMPLE = 500  # documents that the dictionary is trained on, those with the smallest hash of their id
+SAMPLE = 500  # documents that the dictionary is trained on, about, chosen by a hash of their id
 DICTIONARY_BYTES = 32_768
 MOST_BUCKETS = 4096
 PER_BUCKET = 4000
@@ -37,9 +38,9 @@ SHARD_BYTES = 8_000_000
 
 def train_dictionary(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> bytes:
     """From a bounded sample; empty if there is too little to learn from."""
-    few = docs.orderBy(F.xxhash64(F.col(id_col).cast("string"))).limit(SAMPLE).select(F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, 20_000).alias("t"))
+    few = hashed_sample(docs, id_col, SAMPLE).select(F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, 20_000).alias("t"))
     encode = encoder(tokenizer).one
-    arrays = [_narrow(np.frombuffer(encode(r.t), "<u4"), True) for r in few.collect()]
+    arrays = [_narrow(np.frombuffer(encode(t), "<u4"), True) for t in sorted(r.t for r in few.collect())]
     arrays = [x for x in arrays if len(x) > 8]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, arrays).as_bytes()
