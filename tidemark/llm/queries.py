@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jpeg, langid, mixing, ngram_join, packing, pii, quality, token_store
+from . import chat, jpeg, langid, mixing, ngram_join, packing, pii, quality, suffixes, token_store
 from .common import shared_folder, stage
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -96,13 +96,27 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
-def _tokenizer() -> str:
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted, lost = suffixes.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    size = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["first"])
+    per = lost.select(F.col("tid").alias("lt"), size.alias("lost"), F.size("spans").cast("long").alias("runs"), F.sha2("kept", 256).alias("sha"))
+    gone = (F.col("copies") > 1) & (F.col("n_bytes") >= suffixes.WIDTH)
+    return counted.join(per, F.col("tid") == F.col("lt"), "left").select(
+        F.col("id").alias("doc_id"),
+        "n_bytes",
+        F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("lost", F.lit(0))).alias("n_removed"),
+        F.when(gone, 1).otherwise(F.coalesce("runs", F.lit(0))).cast("long").alias("n_spans"),
+        F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("sha", "text_sha256")).alias("kept_sha256"),
+    )
+
+
+def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/op5-store-{uuid.uuid4().hex}"
-    token_store.write(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, _tokenizer())
+    token_store.write(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, tokenizer_path())
     return token_store.read(spark, path).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("tokens").alias("ids_crc32"))
 
 
@@ -113,7 +127,7 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), _tokenizer())
+    packed = packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
     return packed.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
@@ -173,6 +187,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_mix_sources": op2_mix_sources,
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_token_store": op5_token_store,
     "op6_personal_data": op6_personal_data,
     "op7_packing": op7_packing,
