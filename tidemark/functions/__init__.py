@@ -1 +1 @@
-
+"""Column expressions and distribution functions."""

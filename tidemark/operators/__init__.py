@@ -1 +1 @@
-
+"""Operators over ordered series: DataFrame in, DataFrame out."""
