@@ -160,7 +160,7 @@ def hmm_states(df: DataFrame, columns: list[str], order: str, states: int = 3) -
         return pd.DataFrame({order: pdf[order], "state": post.argmax(1).astype("int32"), "posterior": list(post)})
 
     kind = df.schema[order].dataType.simpleString()
-    return df.na.drop(subset=columns).select(order, *columns).groupBy(F.lit(0)).applyInPandas(one, f"{order} {kind}, state int, posterior array<double>")
+    return df.na.drop(subset=columns).select(order, *columns).groupBy(F.lit("all")).applyInPandas(one, f"{order} {kind}, state int, posterior array<double>")
 
 
 # ---- regressions
@@ -192,7 +192,7 @@ def granger(df: DataFrame, cause: str, effect: str, order: str, most: int = 10)
             rows.append((k, n, (small - large) / k / (large / (n - 2 * k - 1)), n * (small - large) / large, n * np.log(small / large), (small - large) / total))
         return pd.DataFrame(rows, columns=["lag", "n", "f", "chi2", "lr", "gain"])
 
-    rows = df.na.drop(subset=[cause, effect]).select(order, cause, effect).groupBy(F.lit(0)).applyInPandas(one, "lag int, n int, f double, chi2 double, lr double, gain double")
+    rows = df.na.drop(subset=[cause, effect]).select(order, cause, effect).groupBy(F.lit("all")).applyInPandas(one, "lag int, n int, f double, chi2 double, lr double, gain double")
     return rows.withColumn("p_f", p_of_f(F.col("f"), F.col("lag"), F.col("n") - 2 * F.col("lag") - 1)).withColumn("p_chi2", p_of_chi2(F.col("chi2"), F.col("lag"))).withColumn("p_lr", p_of_chi2(F.col("lr"), F.col("lag")))
 
 
@@ -226,7 +226,7 @@ def adf(df: DataFrame, x: str, order: str, most: int = 12) -> DataFrame:
         limits = [sum(c / n**j for j, c in enumerate(row)) for row in surface]
         return pd.DataFrame([(stat, k, n, *[stat < c for c in limits])], columns=["stat", "lags", "n", "below_1", "below_5", "below_10"])
 
-    return df.na.drop(subset=[x]).select(order, x).groupBy(F.lit(0)).applyInPandas(one, "stat double, lags int, n int, below_1 boolean, below_5 boolean, below_10 boolean")
+    return df.na.drop(subset=[x]).select(order, x).groupBy(F.lit("all")).applyInPandas(one, "stat double, lags int, n int, below_1 boolean, below_5 boolean, below_10 boolean")
 
 
 def var_order(df: DataFrame, columns: list[str], order: str, most: int = 10) -> DataFrame:
@@ -243,7 +243,7 @@ def var_order(df: DataFrame, columns: list[str], order: str, most: int = 10) ->
             rows.append((k, size + 2 * free / n, size + np.log(n) * free / n))
         return pd.DataFrame(rows, columns=["lag", "aic", "bic"])
 
-    return df.na.drop(subset=columns).select(order, *columns).groupBy(F.lit(0)).applyInPandas(one, "lag int, aic double, bic double")
+    return df.na.drop(subset=columns).select(order, *columns).groupBy(F.lit("all")).applyInPandas(one, "lag int, aic double, bic double")
 
 
 def vif(df: DataFrame, columns: list[str]) -> DataFrame:

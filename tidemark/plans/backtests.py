@@ -1,4 +1,259 @@
-"""."""
+"""Strategies, exits, costs, walk-forward selection."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import scalars
+from ..operators import features, frames, strategy, walkforward
+from ..sources import views
+from ..sources.views import with_views as sql
+from .registry import r6, registry
+
+QUERIES, ORACLE_SQL, query = registry()
+
+
+def daily(spark, sf):
+    """(d, close, ret, rv, rate, fg, slope): the daily panel; rv is the size of the return."""
+    w = frames.over("d")
+    p = views.px(spark, sf).withColumn("ret", frames.change(F.col("close"), 1, w)).withColumn("rv", F.abs("ret"))
+    return p.join(views.fund(spark, sf), "d").join(views.sig(spark, sf).select("d", "slope"), "d").filter("ret IS NOT NULL")
+
+
+_P = {"panel": "SELECT d, close, ret, abs(ret) AS rv, rate, fg, slope FROM ret JOIN fund USING (d) JOIN sig USING (d) WHERE ret IS NOT NULL"}
+_V = ("ret", "fund", "sig")
+
+
+def _roll(fn: str, x: str, n: int) -> str:
+    return f"CASE WHEN count({x}) OVER (ORDER BY d ROWS {n - 1} PRECEDING) = {n} THEN {fn}({x}) OVER (ORDER BY d ROWS {n - 1} PRECEDING) END"
+
+
+def _regime(short: int, long: int, q: float) -> dict[str, str]:
+    return {
+        "ra": f"SELECT *, {_roll('avg', 'rv', short)} / nullif({_roll('avg', 'rv', long)}, 0) AS ratio FROM panel",
+        "rb": f"SELECT *, CASE WHEN ratio > coalesce(quantile_cont(ratio, {q}) OVER (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'inf'::DOUBLE) THEN -1.0 ELSE 1.0 END::DOUBLE AS raw FROM ra",
+        "rp": "SELECT *, coalesce(lag(raw) OVER (ORDER BY d), 0)::DOUBLE AS pos FROM rb",
+    }
+
+
+_NET = "SELECT d, pos, round(pos * ret - coalesce(abs(pos - lag(pos) OVER (ORDER BY d)), 0) * 0.0004{}, 8) + 0.0 AS strat, round(ret{}, 8) AS hold FROM {}"
+
+
+def _net(df, funding=None):
+    return strategy.net_returns(df, "pos", "ret", "d", 0.0004, funding).select("d", "pos", r6("strat", None, 8), r6("hold", None, 8))
+
+
+@query(sql(_NET.format("", "", "rp"), *_V, **_P, **_regime(3, 20, 0.8)))
+def rv_regime(spark, sf):
+    return _net(strategy.rv_regime(daily(spark, sf), "rv", 3, 20, 0.8))
+
+
+@query(sql(_NET.format(" - pos * rate", " - rate", "rp"), *_V, **_P, **_regime(4, 14, 0.6)))
+def rv_regime_funding(spark, sf):
+    return _net(strategy.rv_regime(daily(spark, sf), "rv", 4, 14, 0.6), "rate")
+
+
+_MOM = "SELECT * EXCLUDE (pos), CASE WHEN pos < 0 AND NOT coalesce(count(ret) OVER w = 10 AND sum(ret) OVER w < 0, false) THEN 1.0 ELSE pos END::DOUBLE AS pos FROM rp WINDOW w AS (ORDER BY d ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)"
+
+
+@query(sql(_NET.format("", "", "rm"), *_V, **_P, **_regime(3, 20, 0.7), rm=_MOM))
+def rv_momentum_filter(spark, sf):
+    return _net(strategy.with_momentum(strategy.rv_regime(daily(spark, sf), "rv", 3, 20, 0.7), "ret", 10))
+
+
+@query(sql(_NET.format("", "", "rx"), *_V, **_P, **_regime(3, 20, 0.7), rm=_MOM, ry=f"SELECT *, close < {_roll('avg', 'close', 20)} AS below FROM rm", rx="SELECT * EXCLUDE (pos), CASE WHEN pos < 0 AND NOT coalesce(lag(below) OVER (ORDER BY d), false) THEN 1.0 ELSE pos END::DOUBLE AS pos FROM ry"))
+def rv_ma_momentum(spark, sf):
+    return _net(strategy.with_moving_average(strategy.with_momentum(strategy.rv_regime(daily(spark, sf), "rv", 3, 20, 0.7), "ret", 10), "close", 20))
+
+
+_FUND = {"fa": f"SELECT *, {_roll('sum', 'rate', 7)} AS f FROM panel", "fb": "SELECT *, CASE WHEN count(f) OVER (ORDER BY d) >= 30 THEN quantile_cont(f, 0.8) OVER (ORDER BY d ROWS UNBOUNDED PRECEDING) END AS q FROM fa", "fp": "SELECT *, coalesce(lag(CASE WHEN coalesce(f > q + 1e-12, false) THEN -1.0 ELSE 1.0 END) OVER (ORDER BY d), 1.0)::DOUBLE AS pos FROM fb"}
+
+
+@query(sql(_NET.format(" - pos * rate", " - rate", "fp"), *_V, **_P, **_FUND).replace("f > q + 1e-12", "f > q"))
+def funding_modes(spark, sf):
+    return _net(strategy.funding_rule(daily(spark, sf), "rate", 7, 0.8), "rate")
+
+
+@query(sql(_NET.format("", "", "sp"), *_V, **_P, sa="SELECT *, -((fg > 75)::INT + (rate > 0)::INT + coalesce(slope < lag(slope) OVER (ORDER BY d), false)::INT) AS score FROM panel", sp="SELECT *, coalesce(lag(CASE WHEN score <= -2 THEN -1.0 ELSE 1.0 END) OVER (ORDER BY d), 1.0)::DOUBLE AS pos FROM sa"))
+def multisignal_score(spark, sf):
+    held = daily(spark, sf).withColumn("falling", F.col("slope") < F.lag("slope").over(frames.over("d")))
+    return _net(strategy.score_rule(held, [F.col("fg") > 75, F.col("rate") > 0, F.col("falling")], 2))
+
+
+@query(sql(_NET.format("", "", "vp"), *_V, **_P, va="SELECT *, coalesce(fg > quantile_cont(fg, 0.6) OVER (ORDER BY d ROWS UNBOUNDED PRECEDING) AND fg > lag(fg) OVER (ORDER BY d), false) AS o FROM panel", vp='SELECT *, CASE WHEN coalesce(lag(o, 2) OVER (ORDER BY d), false) THEN 1.0 ELSE 0.0 END::DOUBLE AS pos FROM va'))
+def dvol_variants(spark, sf):
+    return _net(strategy.filter_rule(daily(spark, sf), "fg", 0.6, True))
+
+
+@query(sql(_NET.format("", "", "cp"), *_V, **_P, cp="SELECT *, CASE WHEN fg < 25 THEN 1.0 WHEN fg > 75 THEN -1.0 ELSE 0.0 END::DOUBLE AS pos FROM panel"))
+def fear_greed_contrarian(spark, sf):
+    return _net(daily(spark, sf).withColumn("pos", strategy.contrarian(F.col("fg"))))
+
+
+_CAP = {"qs": "SELECT quantile_cont(abs(slope), 0.25) AS a, quantile_cont(abs(slope), 0.5) AS b, quantile_cont(abs(slope), 0.75) AS c FROM panel", "lp": "SELECT panel.*, greatest(-cap, least(cap, -sign(slope) * (0.5 + 0.5 * ((a <= abs(slope))::INT + (b <= abs(slope))::INT + (c <= abs(slope))::INT)))) AS pos FROM panel, qs, (VALUES (1.0::DOUBLE)) k(cap)"}
+
+
+@query(sql("SELECT d, round(pos, 6) AS lev, round(pos * ret - abs(pos - coalesce(lag(pos) OVER (ORDER BY d), 0)) * 0.0004 - pos * rate, 8) AS strat FROM lp", *_V, **_P, **_CAP))
+def slope_regime_cap(spark, sf):
+    held = strategy.quantile_leverage(daily(spark, sf), "slope").withColumn("pos", scalars.clamp(F.col("lev"), -1.0, 1.0))
+    return strategy.net_returns(held, "pos", "ret", "d", 0.0004, "rate", True).select("d", r6("pos", "lev"), r6("strat", None, 8))
+
+
+@query(sql("SELECT count(*) AS n, round(sum(s), 6) AS total, round(avg(s) / stddev_samp(s) * sqrt(365), 6) AS sharpe, round(min(c - p), 6) AS max_drawdown, round(100.0 * avg((s > 0)::INT), 6) AS win_pct, round(sum(CASE WHEN s > 0 THEN s END) / -sum(CASE WHEN s < 0 THEN s END), 6) AS profit_factor FROM (SELECT s, c, max(c) OVER (ORDER BY d) AS p FROM (SELECT d, strat AS s, sum(strat) OVER (ORDER BY d) AS c FROM net))", *_V, **_P, **_regime(3, 20, 0.8), net=_NET.format("", "", "rp")))
+def strategy_metrics(spark, sf):
+    held = _net(strategy.rv_regime(daily(spark, sf), "rv", 3, 20, 0.8)).withColumn("g", F.lit(1))
+    return strategy.metrics(held, ["g"], "strat", "d", 365).select("n", r6("total"), r6("sharpe"), r6("max_drawdown"), r6("win_pct"), r6("profit_factor"))
+
+
+@query(sql("SELECT round(100.0 * avg((pos < 0)::INT), 6) AS short_pct, round(100.0 * avg((pos = 0)::INT), 6) AS flat_pct, count(*) FILTER (WHERE t > 0) AS changes, round(avg(abs(pos)), 6) AS avg_leverage FROM (SELECT pos, abs(pos - lag(pos) OVER (ORDER BY d)) AS t FROM cp)", *_V, **_P, cp="SELECT *, CASE WHEN fg < 25 THEN 1.0 WHEN fg > 75 THEN -1.0 ELSE 0.0 END::DOUBLE AS pos FROM panel"))
+def exposure_stats(spark, sf):
+    held = daily(spark, sf).withColumn("pos", strategy.contrarian(F.col("fg"))).withColumn("g", F.lit(1))
+    return strategy.exposure(held, ["g"], "pos", "d").select(r6("short_pct"), r6("flat_pct"), "changes", r6("avg_leverage"))
+
+
+# ---- intraday
+
+
+def intraday(spark, sf):
+    """(day, i, close, ret): 15-minute bars numbered within their day."""
+    w = frames.over("ts", ["day"])
+    held = views.bars(spark, sf, 15).withColumn("day", F.to_date("ts"))
+    return held.select("day", "ts", F.row_number().over(w).alias("i"), "close", "trade_imbalance", F.coalesce(frames.change(F.col("close"), 1, w), F.lit(0.0)).alias("ret"))
+
+
+_I = {"ib": "SELECT ts::DATE AS day, ts, row_number() OVER w AS i, close, trade_imbalance, coalesce(close / lag(close) OVER w - 1, 0) AS ret FROM b15 WINDOW w AS (PARTITION BY ts::DATE ORDER BY ts)", "ic": "SELECT *, sum(ret) OVER (PARTITION BY day ORDER BY i) AS cum FROM ib", "ip": "SELECT *, max(cum) OVER (PARTITION BY day ORDER BY i) AS peak FROM ic"}
+
+
+@query(sql("SELECT k.name AS strategy, day, round(dir * s * lev - 0.002 * lev, 6) AS pnl FROM (SELECT day, count(*) AS n, sum(ret) AS s, CASE WHEN arg_min(trade_imbalance, i) > 0 THEN 1 ELSE -1 END AS dir, abs(arg_min(trade_imbalance, i)) AS x FROM ib GROUP BY 1 HAVING count(*) >= 10), (VALUES ('flat'), ('steps')) k(name), LATERAL (SELECT CASE WHEN k.name = 'flat' THEN 1.0 WHEN x >= 0.5 THEN 3.0 WHEN x >= 0.2 THEN 2.0 ELSE 1.0 END::DOUBLE AS lev)", "b15", **_I))
+def leverage_ladder_backtest(spark, sf):
+    held = intraday(spark, sf)
+    first = held.groupBy("day").agg(F.min_by("trade_imbalance", "i").alias("x")).select("day", F.abs("x").alias("x"), F.when(F.col("x") > 0, 1).otherwise(-1).alias("dir"))
+    levels = {"flat": F.lit(1.0), "steps": scalars.ladder(F.col("x"), [0.2, 0.5], [1.0, 2.0, 3.0])}
+    made = [strategy.daily_pnl(held, first, lev).select(F.lit(name).alias("strategy"), "day", r6("pnl")) for name, lev in levels.items()]
+    return reduce(DataFrame.unionByName, made)
+
+
+_EXIT = """SELECT day, round(arg_max(cum, i), 6) AS final, round(CASE WHEN max(cum) >= 2.0 THEN 2.0 ELSE arg_max(cum, i) END, 6) AS take_profit,
+  round(coalesce(arg_min(cum, i) FILTER (WHERE peak > 1.0 AND cum < peak - 1.0), arg_max(cum, i)), 6) AS trailing_ret, round(CASE WHEN min(cum) <= -0.5 THEN -0.5 ELSE arg_max(cum, i) END, 6) AS stop_loss,
+  round(coalesce(arg_min(CASE WHEN peak > 1.0 AND cum < peak - 1.0 THEN cum ELSE -0.5 END, i) FILTER (WHERE (peak > 1.0 AND cum < peak - 1.0) OR cum <= -0.5), arg_max(cum, i)), 6) AS both_ret,
+  round(max(cum), 6) AS max_excursion, arg_max(i, (cum, -i)) AS max_row FROM ip GROUP BY day"""
+
+
+def _stops(spark, sf):
+    return strategy.stops(intraday(spark, sf), 2.0, 1.0, 0.5)
+
+
+@query(sql(f"SELECT day, final, take_profit, max_excursion, max_row FROM ({_EXIT})", "b15", **_I))
+def take_profit(spark, sf):
+    return _stops(spark, sf).select("day", r6("final"), r6("take_profit"), r6("max_excursion"), "max_row")
+
+
+@query(sql(f"SELECT day, trailing_ret FROM ({_EXIT})", "b15", **_I))
+def trailing_stop(spark, sf):
+    return _stops(spark, sf).select("day", r6("trailing", "trailing_ret"))
+
+
+@query(sql(f"SELECT day, stop_loss FROM ({_EXIT})", "b15", **_I))
+def stop_loss(spark, sf):
+    return _stops(spark, sf).select("day", r6("stop_loss"))
+
+
+@query(sql(f"SELECT day, both_ret FROM ({_EXIT})", "b15", **_I))
+def ts_sl_combo(spark, sf):
+    return _stops(spark, sf).select("day", r6("both", "both_ret"))
+
+
+@query(sql("SELECT day, round(coalesce(least(3.0, greatest(0.5, 10.0 / nullif(lag(sd) OVER (ORDER BY day), 0))), 1.0), 6) AS lev_prev, round(coalesce(least(3.0, greatest(0.5, 10.0 / nullif(CASE WHEN count(sd) OVER w = 5 THEN avg(sd) OVER w END, 0))), 1.0), 6) AS lev_mean FROM (SELECT day, stddev_samp(ret) AS sd FROM ib GROUP BY day) WINDOW w AS (ORDER BY day ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)", "b15", **_I))
+def vol_target_sizing(spark, sf):
+    w = frames.over("day")
+    held = intraday(spark, sf).groupBy("day").agg(F.stddev_samp("ret").alias("sd"))
+    held = held.withColumn("prev", F.lag("sd").over(w)).withColumn("mean", frames.prior(F.avg, F.col("sd"), 5, w, 5))
+    one = strategy.vol_target(held, F.col("prev"), 10.0).withColumnRenamed("lev", "lev_prev")
+    return strategy.vol_target(one, F.col("mean"), 10.0).select("day", r6("lev_prev"), r6("lev", "lev_mean"))
+
+
+_FOLD = "WITH RECURSIVE "
+
+
+@query(sql("SELECT day, i, pos FROM walk", "b15", **{k: _I[k] for k in ("ib",)}, walk="SELECT day, i, CASE WHEN trade_imbalance > 0.6 THEN 4 ELSE 0 END AS n, CASE WHEN trade_imbalance > 0.6 THEN 0 ELSE 1 END AS pos FROM ib WHERE i = 1 UNION ALL SELECT ib.day, ib.i, CASE WHEN walk.n > 0 THEN walk.n - 1 WHEN trade_imbalance > 0.6 THEN 4 ELSE 0 END, CASE WHEN walk.n > 0 OR trade_imbalance > 0.6 THEN 0 ELSE 1 END FROM walk JOIN ib ON ib.day = walk.day AND ib.i = walk.i + 1").replace("WITH ", _FOLD, 1))
+def min_hold_positions(spark, sf):
+    held = intraday(spark, sf).withColumn("flag", F.col("trade_imbalance") > 0.6)
+    return strategy.min_hold(held, "flag", 5)
+
+
+@query()
+def breakout_trades(spark, sf):
+    held = intraday(spark, sf).withColumn("flag", F.col("trade_imbalance") > 0.5)
+    return strategy.breakout(held, 0.5, 4, 8)
+
+
+@query(sql("SELECT day, i, round(coalesce(least(3.0, greatest(0.5, 1e4 / nullif(CASE WHEN count(ret) OVER w >= 5 THEN stddev_pop(ret) OVER w * 1e4 END, 0))), 1.0), 6) AS lev FROM ib WINDOW w AS (PARTITION BY day ORDER BY i ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)", "b15", **{k: _I[k] for k in ("ib",)}))
+def intraday_vol_target(spark, sf):
+    vol = frames.prior(F.stddev_pop, F.col("ret"), 20, frames.over("i", ["day"]), 5) * 1e4
+    return strategy.vol_target(intraday(spark, sf), vol, 1e4).select("day", "i", r6("lev"))
+
+
+@query(sql("SELECT day, i, round(p, 6) AS pos FROM walk", "b15", **{k: _I[k] for k in ("ib",)}, walk="SELECT day, i, greatest(-0.5, least(0.5, 2 * trade_imbalance)) AS p FROM ib WHERE i = 1 UNION ALL SELECT ib.day, ib.i, walk.p + greatest(-0.5, least(0.5, 2 * trade_imbalance - walk.p)) FROM walk JOIN ib ON ib.day = walk.day AND ib.i = walk.i + 1").replace("WITH ", _FOLD, 1))
+def smooth_rebalance(spark, sf):
+    held = intraday(spark, sf).withColumn("target", 2 * F.col("trade_imbalance"))
+    return strategy.smooth(held, "target", 0.5, "i", ["day"]).select("day", "i", r6("pos"))
+
+
+@query(sql("SELECT d, coalesce(last_value(CASE WHEN abs(rate) >= 0.002 THEN sign(rate) END IGNORE NULLS) OVER (ORDER BY d ROWS UNBOUNDED PRECEDING), 0)::DOUBLE AS pos FROM fund", "fund"))
+def dead_zone_hold(spark, sf):
+    return strategy.hold_last(views.fund(spark, sf), "rate", 0.002, "d").select("d", "pos")
+
+
+@query(sql("""SELECT key, round(sum(take), 6) AS filled, round(sum(take * price) / nullif(sum(take), 0), 6) AS vwap FROM (SELECT o.key, price, greatest(0, least(size, qty - coalesce(sum(size) OVER (PARTITION BY o.key ORDER BY level ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS take
+  FROM (SELECT id AS key, ts, 3 * qty::DOUBLE AS qty FROM ticks WHERE id % 50 = 0) o JOIN (SELECT ts, k.level, price * (1 + 0.001 * k.level) AS price, (1 + (id + k.level) % 5)::DOUBLE AS size FROM ticks, (SELECT unnest(range(1, 11)) AS level) k) b ON o.ts = b.ts) GROUP BY key""", "ticks"))
+def lob_slippage(spark, sf):
+    t = views.ticks(spark, sf)
+    orders = t.filter("id % 50 = 0").select(F.col("id").alias("key"), "ts", (3 * F.col("qty")).cast("double").alias("qty"))
+    book = t.select("ts", F.col("price").alias("mid"), "id", F.explode(F.sequence(F.lit(1), F.lit(10))).alias("level"))
+    book = book.select("ts", "level", "mid", (F.col("mid") * (1 + 0.001 * F.col("level"))).alias("price"), (1 + (F.col("id") + F.col("level")) % 5).cast("double").alias("size"))
+    return strategy.slippage(orders, book).select("key", r6("filled"), r6("vwap"))
+
+
+# ---- walk-forward
+
+GRID = [(s, lo, q) for s in (3, 5) for lo in (14, 30) for q in (0.7, 0.8)]
+
+
+def _paths(spark, sf):
+    base = daily(spark, sf).select("d", "ret", "rv")
+    made = []
+    for k, (s, lo, q) in enumerate(GRID):
+        held = strategy.net_returns(strategy.rv_regime(base, "rv", s, lo, q), "pos", "ret", "d")
+        made.append(held.select(F.lit(k).alias("param"), "d", "strat", "hold"))
+    return reduce(DataFrame.unionByName, made)
+
+
+_WF = {f"{n}{k}": t.replace("FROM ra", f"FROM ra{k}").replace("FROM rb", f"FROM rb{k}") for k, (s, lo, q) in enumerate(GRID) for n, t in _regime(s, lo, q).items()}
+_WF["paths"] = " UNION ALL ".join(f"SELECT {k} AS param, d, pos * ret - coalesce(abs(pos - lag(pos) OVER (ORDER BY d)), 0) * 0.0004 AS strat, ret AS hold FROM rp{k}" for k in range(len(GRID)))
+_WF["rounds"] = "SELECT r::INT AS round, DATE '1997-01-01' + (r * 180)::INT AS test_from, DATE '1997-01-01' + (r * 180 + 180)::INT AS test_to FROM (SELECT unnest(range(0, 6)) AS r)"
+_WF["scores"] = "SELECT round, param, round(avg(strat) / stddev_samp(strat) * sqrt(365), 9) AS score FROM paths JOIN rounds ON d < test_from GROUP BY 1, 2"
+_WF["best"] = "SELECT round, param, score FROM (SELECT *, row_number() OVER (PARTITION BY round ORDER BY score DESC, param) AS k FROM scores) WHERE k = 1"
+
+
+@query(sql("SELECT b.round, b.param, round(b.score, 6) AS score, count(*) AS n_test, round(sum(strat), 6) AS total, round(sum(hold), 6) AS hold FROM best b JOIN rounds r ON r.round = b.round JOIN paths p ON p.param = b.param AND d >= test_from AND d < test_to GROUP BY 1, 2, 3", *_V, **_P, **_WF))
+def walk_forward_rv(spark, sf):
+    windows = walkforward.rounds(spark, "1997-01-01", 180, 180, 6)
+    best, tested = walkforward.select(_paths(spark, sf), windows)
+    sums = tested.groupBy("round", "param").agg(F.count(F.lit(1)).alias("n_test"), r6(F.sum("strat"), "total"), r6(F.sum("hold"), "hold"))
+    return best.select("round", "param", r6("score")).join(sums, ["round", "param"])
+
+
+@query(sql("SELECT param, count(*) FILTER (WHERE d < DATE '1999-01-01') AS n_train, round(avg(strat) FILTER (WHERE d < DATE '1999-01-01') / stddev_samp(strat) FILTER (WHERE d < DATE '1999-01-01') * sqrt(365), 6) AS train, round(avg(strat) FILTER (WHERE d >= DATE '1999-01-01') / stddev_samp(strat) FILTER (WHERE d >= DATE '1999-01-01') * sqrt(365), 6) AS test FROM paths GROUP BY 1", *_V, **_P, **{k: v for k, v in _WF.items() if k not in ("rounds", "scores", "best")}))
+def fixed_oos_grid(spark, sf):
+    early, late = (F.when(c, F.col("strat")) for c in (F.col("d") < "1999-01-01", F.col("d") >= "1999-01-01"))
+    return _paths(spark, sf).groupBy("param").agg(F.count(early).alias("n_train"), r6(strategy.sharpe(early, 365), "train"), r6(strategy.sharpe(late, 365), "test"))
+
+
+@query(sql("SELECT multiplier, count(*) AS n, count(*) FILTER (WHERE s > t * multiplier) AS flagged, round(avg(least(1, greatest(0, s / q))), 6) AS mean_norm FROM (SELECT abs(trade_imbalance) AS s FROM b15), (SELECT quantile_cont(abs(trade_imbalance), 0.925) AS t, quantile_cont(abs(trade_imbalance), 0.99) AS q FROM b15), (VALUES (0.5::DOUBLE), (0.8::DOUBLE), (1.0::DOUBLE)) k(multiplier) GROUP BY 1", "b15"))
+def score_multiplier_rethreshold(spark, sf):
+    held = views.bars(spark, sf, 15).select(F.abs("trade_imbalance").alias("score"))
+    made = [features.flag_above(held, "score", 0.925, [], m).withColumn("multiplier", F.lit(m)) for m in (0.5, 0.8, 1.0)]
+    return reduce(DataFrame.unionByName, made).groupBy("multiplier").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_anomaly").alias("flagged"), r6(F.avg("norm"), "mean_norm"))

@@ -1,4 +1,118 @@
-"""."""
+"""Features, scaling, thresholds, model scoring, and the merged signals."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import asof, features, frames, models
+from ..sources import views
+from ..sources.views import with_views as sql
+from .registry import r6, registry
+
+QUERIES, ORACLE_SQL, query = registry()
+
+_D = "SELECT ts, ts::DATE AS day, close, trade_imbalance, trade_count, avg_trade_size, row_number() OVER w AS i, count(*) OVER (PARTITION BY ts::DATE) AS n FROM b15 WINDOW w AS (PARTITION BY ts::DATE ORDER BY ts)"
+
+
+def day_bars(spark, sf):
+    return views.bars(spark, sf, 15).withColumn("day", F.to_date("ts"))
+
+
+@query(sql("SELECT day, ts, i AS row, round(close, 6) AS last_close, round(sum(close) OVER (PARTITION BY day ORDER BY ts ROWS 59 PRECEDING), 4) AS total FROM k QUALIFY i >= 60", "b15", k=_D))
+def window_tensor_main(spark, sf):
+    made = frames.windows(day_bars(spark, sf), ["close", "trade_imbalance"], 60, "ts", ["day"])
+    total = F.aggregate("window", F.lit(0.0), lambda a, x: a + x["close"])
+    return made.select("day", "ts", "row", r6(F.element_at("window", -1)["close"], "last_close"), r6(total, "total", 4))
+
+
+@query(sql("SELECT w.w, day, ts, i AS row FROM k, (VALUES (15), (30)) w(w) WHERE n >= 60 AND i BETWEEN w.w AND 59", "b15", k=_D))
+def window_tensor_early(spark, sf):
+    made = [frames.windows(day_bars(spark, sf), ["close"], w, "ts", ["day"], w, 59, 60).select(F.lit(w).alias("w"), "day", "ts", "row") for w in (15, 30)]
+    return made[0].unionByName(made[1])
+
+
+def feature_rows(spark, sf):
+    b = asof.carried(day_bars(spark, sf), views.aux(spark, sf), "aux_close", F.to_date("ts"))
+    return features.minute_features(b)
+
+
+_F = {
+    "c": "SELECT b15.ts, b15.ts::DATE AS day, close, trade_imbalance, trade_count, avg_trade_size, coalesce(last_value(aux_close IGNORE NULLS) OVER (ORDER BY b15.ts ROWS UNBOUNDED PRECEDING), first_value(aux_close IGNORE NULLS) OVER (PARTITION BY b15.ts::DATE ORDER BY b15.ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS aux_close FROM b15 LEFT JOIN aux ON aux.ts = b15.ts",
+    "e": "SELECT *, coalesce(close / lag(close) OVER w - 1, 0) AS ret, coalesce(aux_close / lag(aux_close) OVER w - 1, 0) AS aux_ret FROM c WINDOW w AS (PARTITION BY day ORDER BY ts)",
+    "f": "SELECT day, ts, ret, trade_imbalance, trade_count, avg_trade_size, aux_ret, coalesce(stddev_samp(ret) OVER w, 0) AS vol20, coalesce(CASE WHEN count(*) OVER w >= 5 AND stddev_pop(ret) OVER w > 1e-12 AND stddev_pop(aux_ret) OVER w > 1e-12 THEN corr(ret, aux_ret) OVER w END, 0) AS corr20 FROM e WINDOW w AS (PARTITION BY day ORDER BY ts ROWS 19 PRECEDING)",
+}
+
+
+@query(sql("SELECT day, ts, round(ret, 6) + 0.0 AS ret, round(trade_imbalance, 6) + 0.0 AS trade_imbalance, trade_count, round(avg_trade_size, 6) AS avg_trade_size, round(aux_ret, 6) + 0.0 AS aux_ret, round(vol20, 5) + 0.0 AS vol20 FROM f", "b15", "aux", **_F))
+def feature_builder(spark, sf):
+    return feature_rows(spark, sf).select("day", "ts", r6("ret"), r6("trade_imbalance"), "trade_count", r6("avg_trade_size"), r6("aux_ret"), r6("vol20", None, 5))
+
+
+@query(sql("SELECT ts, round((ret - m) / s, 5) + 0.0 AS ret, round((trade_count - mc) / sc, 5) + 0.0 AS trade_count FROM f, (SELECT avg(ret) AS m, stddev_pop(ret) AS s, avg(trade_count) AS mc, stddev_pop(trade_count) AS sc FROM f WHERE ts < TIMESTAMP '2024-01-15') WHERE ts >= TIMESTAMP '2024-01-15'", "b15", "aux", **_F))
+def scaler_frozen(spark, sf):
+    rows, columns = feature_rows(spark, sf), ["ret", "trade_count"]
+    scaler = features.fit_scaler(rows.filter("ts < TIMESTAMP_NTZ '2024-01-15 00:00:00'"), columns)
+    return features.scale(rows.filter("ts >= TIMESTAMP_NTZ '2024-01-15 00:00:00'"), columns, scaler).select("ts", r6("ret", None, 5), r6("trade_count", None, 5))
+
+
+@query(sql("SELECT is_train, count(*) AS n, min(d) AS first_d, max(d) AS last_d FROM (SELECT d, row_number() OVER (ORDER BY d) <= floor((SELECT count(*) FROM px) * 0.8) AS is_train FROM px) GROUP BY 1", "px"))
+def chrono_split(spark, sf):
+    return features.chronological_split(views.px(spark, sf), "d").groupBy("is_train").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("first_d"), F.max("d").alias("last_d"))
+
+
+@query(sql("SELECT event_type, round(t, 6) AS threshold, count(*) FILTER (WHERE price > t) AS flagged, count(*) AS n FROM ticks JOIN (SELECT event_type AS e, quantile_cont(price, 0.925) AS t FROM ticks GROUP BY 1) ON e = event_type GROUP BY 1, 2", "ticks"))
+def score_threshold_flag(spark, sf):
+    held = features.flag_above(views.ticks(spark, sf), "price", 0.925, ["event_type"])
+    return held.groupBy("event_type", r6("threshold")).agg(F.count_if("is_anomaly").alias("flagged"), F.count(F.lit(1)).alias("n"))
+
+
+@query(sql("SELECT ts, model, score FROM (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY k) AS n FROM (SELECT ts, 'early' AS model, trade_imbalance AS score, 0 AS k FROM b15 WHERE hour(ts) < 12 UNION ALL SELECT ts, 'main', close, 1 FROM b15)) WHERE n = 1", "b15").replace("SELECT ts, model, score FROM", "SELECT ts, model, round(score, 6) + 0.0 AS score FROM"))
+def ensemble_merge(spark, sf):
+    b = views.bars(spark, sf, 15)
+    early, main = b.filter(F.hour("ts") < 12).select("ts", F.col("trade_imbalance").alias("score")), b.select("ts", F.col("close").alias("score"))
+    return features.merge_models([("early", early), ("main", main)]).select("ts", "model", r6("score"))
+
+
+@query(sql("SELECT day, min(ts) AS start, count(*) AS rows FROM (SELECT *, sum(1 - f) OVER (PARTITION BY day ORDER BY ts) AS g FROM (SELECT ts::DATE AS day, ts, (trade_imbalance > 0.3)::INT AS f FROM b15)) WHERE f = 1 GROUP BY day, g", "b15"))
+def anomaly_episodes(spark, sf):
+    held = day_bars(spark, sf).withColumn("flag", F.col("trade_imbalance") > 0.3)
+    return features.episodes(held, "flag", "ts", ["day"]).select("day", "start", "rows")
+
+
+@query(sql("SELECT day, ts, " + ", ".join(f"round(close / lag(close, {k}) OVER w - 1, 6) + 0.0 AS ret_{k}" for k in (1, 2, 5, 10)) + ", hour(ts)::INT * 60 + minute(ts)::INT - 570 AS from_open, (lead(close, 15) OVER w > close)::INT AS label FROM k WINDOW w AS (PARTITION BY day ORDER BY ts) QUALIFY label IS NOT NULL", "b15", k=_D))
+def direction_features(spark, sf):
+    made = features.direction_features(day_bars(spark, sf))
+    return made.select("day", "ts", *[r6(f"ret_{k}") for k in (1, 2, 5, 10)], "from_open", "label")
+
+
+@query()
+def direction_gbt(spark, sf):
+    rows = features.direction_features(day_bars(spark, sf)).na.drop()
+    columns = ["ret_1", "ret_2", "ret_5", "ret_10", "vol_15", "from_open"]
+    model, held = models.boosted_trees(rows, columns, "label", trees=10)
+    return models.confidence(model.transform(held), "label").select("level", "n", r6("accuracy"))
+
+
+@query()
+def autoencoder_scores(spark, sf):
+    """Scores under untrained weights of the architecture: the form of the pipeline, not a trained model."""
+    made = frames.windows(feature_rows(spark, sf), list(features.FEATURES), 60, "ts", ["day"])
+    return models.score_windows(made, list(features.FEATURES), models.random_weights(len(features.FEATURES), (16, 8)), ["day", "ts"]).select("day", "ts", r6("score"))
+
+
+@query()
+def substitute_anomalies(spark, sf):
+    scored = models.substitute_scores(feature_rows(spark, sf), list(features.FEATURES), ["day", "ts"])
+    return features.flag_above(scored, "score", 0.925, []).select("day", "ts", r6("score"), "is_anomaly")
+
+
+@query()
+def pca_2(spark, sf):
+    return models.pca(views.table(spark, sf, "embeddings"), "embedding", 2, ["vec_id"])
+
+
+@query()
+def hmm_3state(spark, sf):
+    w = frames.over("d")
+    held = views.px(spark, sf).withColumn("ret", frames.change(F.col("close"), 1, w))
+    return models.hmm_states(held, ["ret"], "d").select("d", "state")

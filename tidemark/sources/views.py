@@ -67,7 +67,7 @@ CTE: dict[str, str] = {
     "sig": "SELECT d, vix, vix3m, round(vix3m - vix, 4) AS slope FROM (SELECT CAST(o_orderdate AS DATE) AS d, round(avg(o_totalprice), 4) AS vix, max(o_totalprice) AS vix3m FROM orders GROUP BY 1)",
     "px": "SELECT CAST(l_shipdate AS DATE) AS d, round(avg(l_extendedprice), 4) AS close FROM lineitem GROUP BY 1",
     "ret": "SELECT d, close, close / lag(close) OVER (ORDER BY d) - 1 AS ret FROM px",
-    "fund": "SELECT CAST(l_shipdate AS DATE) AS d, round(avg(l_discount) - 0.05, 8) AS rate, greatest(0.0, least(100.0, floor((round(avg(l_tax), 8) * 1250 - 50) * 2.5 + 50)))::DOUBLE AS fg FROM lineitem GROUP BY 1",
+    "fund": "SELECT CAST(l_shipdate AS DATE) AS d, round(avg(l_discount) - 0.05, 8) + 0.0 AS rate, greatest(0.0, least(100.0, floor((round(avg(l_tax), 8) * 1250 - 50) * 2.5 + 50)))::DOUBLE AS fg FROM lineitem GROUP BY 1",
     "probes": "SELECT unnest(generate_series((SELECT date_trunc('day', min(ts)) FROM events), (SELECT date_trunc('day', max(ts)) FROM events), INTERVAL 30 MINUTE))::TIMESTAMP AS ts",
 }
 _NEEDS = {"b1": ("ticks",), "b15": ("ticks",), "aux": ("ticks",), "ret": ("px",)}
