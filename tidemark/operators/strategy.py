@@ -68,6 +68,17 @@ def rv_regime(df: DataFrame, rv: str, short: int, long: int, q: float, order: st
     return held.withColumn("pos", F.coalesce(F.lag("raw").over(w), F.lit(0.0))).drop("raw")
 
 
+def regime_positions(df: DataFrame, order: str, levels: list[float], part: list[str]) -> DataFrame:
+    """df (ratio) -> a row for each level q, with pos as in rv_regime: one pass finds all quantiles of a partition's series."""
+    w, names = over(order, part), F.array(*map(F.lit, levels))
+    held = df.withColumn("__l", expanding_quantile(F.col("ratio"), levels, w, True))
+    limit = lambda k: F.coalesce(F.get("__l", F.lit(k)), F.lit(float("inf")))
+    held = held.withColumn("__r", F.array(*[F.when(F.col("ratio") > limit(k), -1.0).otherwise(1.0) for k in range(len(levels))]))
+    held = held.withColumn("__p", F.lag("__r").over(w)).drop("__l", "__r")
+    each = F.transform(F.sequence(F.lit(0), F.lit(len(levels) - 1)), lambda k: F.struct(F.get(names, k).alias("q"), F.coalesce(F.get("__p", k), F.lit(0.0)).alias("pos")))
+    return held.withColumn("__x", F.explode(each)).select("*", "__x.*").drop("__p", "__x")
+
+
 def with_momentum(df: DataFrame, ret: str, n: int, order: str = "d") -> DataFrame:
     """Shorts stand only while the sum of the n returns before is negative."""
     w = over(order).rowsBetween(-n, -1)

@@ -223,12 +223,15 @@ GRID = [(s, lo, q) for s in (3, 5) for lo in (14, 30) for q in (0.7, 0.8)]
 
 
 def _paths(spark, sf):
-    base = daily(spark, sf).select("d", "ret", "rv")
-    made = []
-    for k, (s, lo, q) in enumerate(GRID):
-        held = strategy.net_returns(strategy.rv_regime(base, "rv", s, lo, q), "pos", "ret", "d")
-        made.append(held.select(F.lit(k).alias("param"), "d", "strat", "hold"))
-    return reduce(DataFrame.unionByName, made)
+    """param, d, strat, hold of each parameter: a series for each pair of lengths, all quantiles of one in one pass."""
+    w, lengths, levels = frames.over("d"), list(dict.fromkeys((s, lo) for s, lo, _ in GRID)), sorted({q for *_, q in GRID})
+    mean = lambda n: frames.rolling(F.avg, F.col("rv"), n, w)
+    wide = daily(spark, sf).select("d", "ret", *[F.try_divide(mean(s), mean(lo)).alias(f"{s}_{lo}") for s, lo in lengths])
+    series = wide.unpivot(["d", "ret"], [f"`{s}_{lo}`" for s, lo in lengths], "lengths", "ratio").repartition(2 * len(lengths), "lengths")
+    held = strategy.regime_positions(series, "d", levels, ["lengths"])
+    number = F.create_map(*[F.lit(x) for k, (s, lo, q) in enumerate(GRID) for x in (f"{s}_{lo}_{q}", k)])
+    named = held.withColumn("param", number[F.concat_ws("_", "lengths", F.col("q").cast("string"))])
+    return strategy.net_returns(named, "pos", "ret", "d", part=["param"]).select("param", "d", "strat", "hold")
 
 
 _WF = {f"{n}{k}": t.replace("FROM ra", f"FROM ra{k}").replace("FROM rb", f"FROM rb{k}") for k, (s, lo, q) in enumerate(GRID) for n, t in _regime(s, lo, q).items()}
@@ -241,9 +244,8 @@ _WF["best"] = "SELECT round, param, score FROM (SELECT *, row_number() OVER (PAR
 @query(sql("SELECT b.round, b.param, round(b.score, 6) AS score, count(*) AS n_test, round(sum(strat), 6) AS total, round(sum(hold), 6) AS hold FROM best b JOIN rounds r ON r.round = b.round JOIN paths p ON p.param = b.param AND d >= test_from AND d < test_to GROUP BY 1, 2, 3", *_V, **_P, **_WF))
 def walk_forward_rv(spark, sf):
     windows = walkforward.rounds(spark, "1997-01-01", 180, 180, 6)
-    best, tested = walkforward.select(_paths(spark, sf), windows)
-    sums = tested.groupBy("round", "param").agg(F.count(F.lit(1)).alias("n_test"), r6(F.sum("strat"), "total"), r6(F.sum("hold"), "hold"))
-    return best.select("round", "param", r6("score")).join(sums, ["round", "param"])
+    chosen = walkforward.select(_paths(spark, sf), windows)
+    return chosen.select("round", "param", r6("score"), "n_test", r6("total"), r6("hold"))
 
 
 @query(sql("SELECT param, count(*) FILTER (WHERE d < DATE '1999-01-01') AS n_train, round(avg(strat) FILTER (WHERE d < DATE '1999-01-01') / stddev_samp(strat) FILTER (WHERE d < DATE '1999-01-01') * sqrt(365), 6) AS train, round(avg(strat) FILTER (WHERE d >= DATE '1999-01-01') / stddev_samp(strat) FILTER (WHERE d >= DATE '1999-01-01') * sqrt(365), 6) AS test FROM paths GROUP BY 1", *_V, **_P, **{k: v for k, v in _WF.items() if k not in ("rounds", "scores", "best")}))
