@@ -44,7 +44,7 @@ def rolling_std_min1(spark, sf):
     return ret(spark, sf).select("d", r6(F.coalesce(frames.rolling(F.stddev_samp, F.col("ret"), 20, w, 2), F.lit(0.0)), "sd_20", 8), r6(frames.rolling(F.stddev_samp, F.col("ret"), 15, w), "sd_15", 8))
 
 
-@query(sql("SELECT d, CASE WHEN count(CASE WHEN s IS NOT NULL THEN ret END) OVER w >= 5 THEN round(corr(ret, s) OVER w, 6) END AS corr_20 FROM (SELECT ret.d, ret, slope - lag(slope) OVER (ORDER BY ret.d) AS s FROM ret JOIN sig ON ret.d = sig.d) WINDOW w AS (ORDER BY d ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)", "ret", "sig"))
+@query(sql("SELECT d, CASE WHEN count(CASE WHEN s IS NOT NULL THEN ret END) OVER w >= 5 THEN nullif(round(corr(ret, s) OVER w, 6), 'nan'::DOUBLE) END AS corr_20 FROM (SELECT ret.d, ret, slope - lag(slope) OVER (ORDER BY ret.d) AS s FROM ret JOIN sig ON ret.d = sig.d) WINDOW w AS (ORDER BY d ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)", "ret", "sig"))
 def rolling_corr_min5(spark, sf):
     w = frames.over("d")
     both = ret(spark, sf).join(views.sig(spark, sf), "d").withColumn("s", F.col("slope") - F.lag("slope").over(w))
