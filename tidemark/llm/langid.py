@@ -147,7 +147,7 @@ def build(counted) -> Model:
 def code_lengths(model: Model, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Units of each text (bytes starts to ends of raw, texts one after another) under each language."""
     out = np.zeros((len(starts), len(model.languages)), np.int64)
-    if not len(raw):
+    if not len(raw) or not model.languages:
         return out
     size = model.states.shape[0]
     flat, states = model.costs.reshape(-1, model.costs.shape[2]), model.states.ravel()
