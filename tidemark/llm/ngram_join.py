@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -122,43 +123,86 @@ def _texts(batch: pa.RecordBatch, k: int) -> Iterator[str | None]:
         yield from batch.column(k)[lo : lo + 500].to_pylist()
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [shingles(t) for t in _texts(batch, 1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], ["id", "node", "n"])
+def sketch(s: np.ndarray) -> bytes:
+    """Parity bits of a set, about two for each shingle: bit k is the parity of the hashes that end in k."""
+    bits = 64 << max(0, int(2 * len(s) - 1).bit_length() - 6)
+    return np.packbits((np.bincount((s & _U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def sketch_distance(a: bytes, b: bytes) -> int:
+    """At most the symmetric difference of the two sets; a longer sketch is folded to the shorter one's length."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) > len(y):
+        x, y = y, x
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
 
 
-def _keys(hot: np.ndarray, whole: bool):
-    """Each set once a task: copies within a task send nothing more."""
+_ROW = ["key", "node", "size", "sketch"]
+_SCHEMA = "key long, node long, size long, sketch binary"
+
+
+def _rows_of(hot: np.ndarray):
+    """(id, text) -> a row (key, node) for each part that a set joins by, once a task for equal sets, and for each
+    document a row (node, id, size, sketch), told apart by its size; only a set's first row in a task has the sketch.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            keys, nodes, size = [], [], 0
-            for t in _texts(batch, 0):
+            ids = batch.column(0).to_pylist()
+            keys, nodes, size, docs = [], [], 0, []
+            for i, t in zip(ids, _texts(batch, 1), strict=True):
                 s = shingles(t)
-                node = set_id(s)
+                node, own = set_id(s), None
                 if len(s) and node not in seen:
                     seen.add(node)
-                    keys.append(join_keys(s, hot, whole))
+                    own = sketch(s)
+                    keys.append(join_keys(s, hot))
                     nodes.append(np.full(len(keys[-1]), node, np.int64))
                     size += len(keys[-1])
-                    if size > 200_000:
-                        yield _pairs_of(keys, nodes)
-                        keys, nodes, size = [], [], 0
+                docs.append((node, i, len(s), own))
+                if size > 200_000:
+                    yield _pairs_of(keys, nodes)
+                    keys, nodes, size = [], [], 0
             if keys:
                 yield _pairs_of(keys, nodes)
+            if docs:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*docs, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], _ROW)
 
     return run
 
 
 def _pairs_of(keys: list, nodes: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], ["key", "node"])
+    n = sum(map(len, keys))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], _ROW)
+
+
+def _all_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts -> all parts of their distinct sets, to count which are frequent."""
+    seen: set[int] = set()
+    for batch in batches:
+        for t in _texts(batch, 0):
+            s = shingles(t)
+            if len(s) and (node := set_id(s)) not in seen:
+                seen.add(node)
+                yield pa.RecordBatch.from_arrays([pa.array(join_keys(s, np.zeros(0, _U), True).view(np.int64))], ["key"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All rows of some keys -> pairs (group null) of small groups, members of large ones; equal groups once."""
-    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    """All rows of some keys -> pairs (group null) of small groups, members of large ones, equal groups once; documents
+    (with a size) pass through.
+    """
+    held = []
+    for b in batches:
+        is_doc = b.column(2).is_valid()
+        docs = b.filter(is_doc)
+        if docs.num_rows:
+            yield pa.RecordBatch.from_arrays([pa.nulls(docs.num_rows, pa.int64()), *docs.columns], _OUT)
+        if docs.num_rows < b.num_rows:
+            rest = b.filter(pc.invert(is_doc)) if docs.num_rows else b
+            held.append((rest.column(0).to_numpy(), rest.column(1).to_numpy()))
     if not held:
         return
     key, node = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -184,8 +228,24 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _rows(name, own, own)
 
 
+_OUT = ["group", "a", "b", "size", "sketch"]
+
+
 def _rows(name: int | None, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([name] * len(a), pa.int64()), pa.array(a), pa.array(b)], ["group", "a", "b"])
+    n = len(a)
+    return pa.RecordBatch.from_arrays([pa.array([name] * n, pa.int64()), pa.array(a), pa.array(b), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], _OUT)
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, sizes, sketches) -> pairs whose sizes and sketches allow the similarity, with the sketches' distance."""
+    for batch in batches:
+        keep, gaps = [], []
+        for k, (n, m, x, y) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(2, 6)), strict=True)):
+            if 4 * min(n, m) >= 3 * max(n, m) and (gap := sketch_distance(x, y)) <= (n + m) // 7:
+                keep.append(k)
+                gaps.append(gap)
+        kept = batch.take(pa.array(keep, pa.int64()))
+        yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(gaps, pa.int32())], ["a", "b", "gap"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,33 +277,31 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     spark = docs.sparkSession
     work = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sets = stage(work.mapInArrow(_sets, "id long, node long, n long"), "join-sets")
     some = work.filter(F.pmod(F.xxhash64("text"), F.lit(HOT_RATE)) == 0).select("text")
-    often = some.mapInArrow(_keys(np.zeros(0, _U), True), "key long, node long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= HOT_TIMES)
+    often = some.mapInArrow(_all_parts, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= HOT_TIMES)
     # at most HOT_MOST keys; they order work and decide nothing
     hot = np.sort(np.array([r.key for r in often.orderBy(F.desc("n"), "key").limit(HOT_MOST).select("key").collect()], np.int64).view(_U))
-    keys = work.select("text").mapInArrow(_keys(hot, False), "key long, node long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    grouped = stage(keys.repartition(4 * parts, "key").mapInArrow(_groups, "group long, a long, b long"), "join-groups")
+    dealt = work.mapInArrow(_rows_of(hot), _SCHEMA).repartition(4 * parts, F.when(F.col("size").isNull(), F.col("key")).otherwise(F.xxhash64("node")))
+    grouped = stage(dealt.mapInArrow(_groups, "group long, a long, b long, size long, sketch binary"), "join-groups")
+    del dealt
     release(spark)
-    members = stage(grouped.filter("group is not null").select("group", F.col("a").alias("node")).distinct(), "join-members")
-    small = grouped.filter("group is null").select("a", "b")
+    sets = grouped.filter("size IS NOT NULL").select(F.col("b").alias("id"), F.col("a").alias("node"), F.col("size").alias("n"))
+    members = stage(grouped.filter("group IS NOT NULL").select("group", F.col("a").alias("node")).distinct(), "join-members")
+    small = grouped.filter("group IS NULL AND size IS NULL").select("a", "b").distinct()
 
-    # one document for each node that any group names, with its text
+    # one document, and one sketch, for each node that any group names
     named = small.select(F.explode(F.array("a", "b")).alias("node")).union(members.select("node")).distinct()
-    picked = sets.filter("n > 0").groupBy("node").agg(F.min_by(F.struct("id", "n"), F.struct(F.col("id").isNull(), F.col("id"))).alias("r"))
-    picked = picked.join(named, "node", "left_semi").select(F.col("node").alias("pn"), F.col("r.id").alias("pid"), F.col("r.n").alias("size"))
-    holders = work.join(picked.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("pid"))).select(F.col("pn").alias("node"), "size", "text")
-    texts = stage(_right_text(holders).groupBy("node", "size").agg(F.min("text").alias("text")), "join-texts")
-    release(spark)
-    size = stage(texts.select("node", "size"), "join-sizes")
+    found = grouped.filter("size > 0").groupBy(F.col("a").alias("node")).agg(F.min_by("b", F.struct(F.col("b").isNull(), F.col("b"))).alias("pid"), F.max("size").alias("size"), F.max("sketch").alias("sketch"))
+    nodes = stage(found.join(named, "node", "left_semi"), "join-nodes")
 
     def able(pairs: DataFrame) -> DataFrame:
-        """Pairs whose sizes allow the similarity, each once, the larger node second."""
-        x, y = size.select(F.col("node").alias("xa"), F.col("size").alias("sa")), size.select(F.col("node").alias("xb"), F.col("size").alias("sb"))
+        """Pairs that sizes and sketches allow, each once, with the sketches' distance."""
+        x = nodes.select(F.col("node").alias("xa"), F.col("size").alias("sa"), F.col("sketch").alias("ka"))
+        y = nodes.select(F.col("node").alias("xb"), F.col("size").alias("sb"), F.col("sketch").alias("kb"))
         once = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
         near = once.join(x, F.col("a") == F.col("xa")).join(y, F.col("b") == F.col("xb"))
-        return near.filter((4 * F.least("sa", "sb") >= 3 * F.greatest("sa", "sb"))).select("a", "b")
+        return near.select("a", "b", "sa", "sb", "ka", "kb").mapInArrow(_near, "a long, b long, gap int")
 
     degree = stage(members.groupBy("node").agg(F.count(F.lit(1)).alias("degree")), "join-degrees")
 
@@ -254,7 +312,25 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return rest.alias("m").join(ranked.select(F.col("group").alias("g"), F.col("node").alias("leader"), "k"), F.col("group") == F.col("g"))
 
     pairs = small.union(led(members, 1, 1).select(F.col("m.node").alias("a"), F.col("leader").alias("b")))
-    tried = stage(_verify(stage(able(pairs), "join-pairs"), texts), "join-verified")
+    near = stage(able(pairs), "join-near")
+
+    # texts of the nodes in pairs that are left; large groups may yet add pairs, so theirs come too
+    wanted = near.select(F.explode(F.array("a", "b")).alias("node")).union(members.select("node")).distinct()
+    picked = nodes.join(wanted, "node", "left_semi").select(F.col("node").alias("pn"), "pid")
+    holders = work.join(picked.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("pid"))).select(F.col("pn").alias("node"), "text")
+    texts = stage(_right_text(holders).dropDuplicates(["node"]) if _repeated(sets) else holders, "join-texts")
+    release(spark)
+
+    # first each node with the one its sketch is nearest to; then pairs that still join different components
+    both = near.union(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "gap"))
+    first = both.groupBy("a").agg(F.min_by("b", F.struct("gap", "b")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    tried = stage(_verify(first, texts), "join-verified")
+    release(spark)
+    part = components(tried.filter("linked").select("a", "b"))
+    ca, cb = part.select(F.col("node").alias("na"), F.col("component").alias("ca")), part.select(F.col("node").alias("nb"), F.col("component").alias("cb"))
+    open_pairs = near.select("a", "b").join(ca, F.col("a") == F.col("na"), "left").join(cb, F.col("b") == F.col("nb"), "left").filter("ca IS NULL OR cb IS NULL OR ca <> cb").select("a", "b")
+    open_pairs = open_pairs.join(tried.select(F.col("a").alias("ta_"), F.col("b").alias("tb_")), (F.col("a") == F.col("ta_")) & (F.col("b") == F.col("tb_")), "left_anti")
+    tried = tried.union(stage(_verify(open_pairs, texts), "join-verified"))
     rest, round_ = members, 0
     while not rest.isEmpty():
         release(spark)
@@ -273,22 +349,26 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             apart = apart.union(own.join(of, (F.col("group") == F.col("og")) & (F.col("b") == F.col("on"))).filter("ca <> oc").select("a", "b"))
             leaders = stage(ahead.select(F.col("group").alias("lg"), F.col("b").alias("ln")).distinct(), "join-leaders")
             rest = stage(rest.join(leaders, (F.col("group") == F.col("lg")) & (F.col("node") == F.col("ln")), "left_anti"), "join-rest")
-        fresh = able(apart).join(tried.select(F.col("a").alias("ta_"), F.col("b").alias("tb_")), (F.col("a") == F.col("ta_")) & (F.col("b") == F.col("tb_")), "left_anti")
-        more = stage(_verify(stage(fresh, "join-pairs"), texts), "join-verified")
-        tried = tried.union(more)
+        fresh = able(apart).select("a", "b").join(tried.select(F.col("a").alias("ta_"), F.col("b").alias("tb_")), (F.col("a") == F.col("ta_")) & (F.col("b") == F.col("tb_")), "left_anti")
+        tried = tried.union(stage(_verify(fresh, texts), "join-verified"))
         round_ += 1
     return sets, tried.filter("linked").select("a", "b")
 
 
+def _repeated(sets: DataFrame) -> bool:
+    """Whether any id comes with different sets."""
+    return not sets.groupBy("id").agg((F.min("node") < F.max("node")).alias("mixed")).filter("mixed").isEmpty()
+
+
 def _right_text(holders: DataFrame) -> DataFrame:
     """Ids may repeat with other texts: keep the rows whose text has the node's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [set_id(shingles(t)) == node for node, t in zip(batch.column(0).to_pylist(), _texts(batch, 2), strict=True)]
+            keep = [set_id(shingles(t)) == node for node, t in zip(batch.column(0).to_pylist(), _texts(batch, 1), strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return holders.mapInArrow(run, "node long, size long, text string")
+    return holders.mapInArrow(run, "node long, text string")
 
 
 def group_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from numpy.lib.stride_tricks import as_strided
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -73,8 +74,13 @@ def anchors(raw: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+_ANCHORS = ["anchor", "tid", "first", "n", "known"]
+
+
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Anchors of a task's distinct texts; from an anchor's third place in the task on, its rows are known to be shared."""
     seen: set[int] = set()
+    times: dict[int, int] = {}
     for batch in batches:
         held, size = [], 0
         tids = batch.column(0).to_pylist()
@@ -86,13 +92,27 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     held.append((h.view(np.int64), np.full(len(h), tid, np.int64), first, n))
                     size += len(h)
             if size > 100_000 or (lo + 500 >= batch.num_rows and size):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], ["anchor", "tid", "first", "n"])
+                rows = [np.concatenate(x) for x in zip(*held, strict=True)]
+                known = np.zeros(len(rows[0]), bool)
+                if len(times) > 1_000_000:
+                    times.clear()
+                for k, anchor in enumerate(rows[0].tolist()):
+                    times[anchor] = n = times.get(anchor, 0) + 1
+                    known[k] = n > 2
+                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in rows), pa.array(known)], _ANCHORS)
                 held, size = [], 0
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All rows of some anchors -> those of anchors with two or more places."""
-    held = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
+    """All unknown rows of some anchors -> those of anchors with two or more places; known rows pass through."""
+    held = []
+    for b in batches:
+        known = b.filter(b.column(4))
+        if known.num_rows:
+            yield pa.RecordBatch.from_arrays(known.columns[:4], _ANCHORS[:4])
+        rest = b.filter(pc.invert(b.column(4)))
+        if rest.num_rows:
+            held.append([rest.column(c).to_numpy() for c in range(4)])
     if not held:
         return
     anchor, tid, first, n = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -104,7 +124,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     anchor, tid, first, n = anchor[fresh], tid[fresh], first[fresh], n[fresh]
     same = anchor[1:] == anchor[:-1]
     keep = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-    yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (anchor, tid, first, n)], ["anchor", "tid", "first", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (anchor, tid, first, n)], _ANCHORS[:4])
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,11 +296,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     work = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text, F.length(text)).alias("tid"), text.alias("text"))
     narrow = stage(work.select("id", "tid", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256")), "suffix-texts")
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = work.select("tid", "text").mapInArrow(_anchor_rows, "anchor long, tid long, first long, n long")
-    shared = stage(rows.repartition(parts, "anchor").mapInArrow(_shared, "anchor long, tid long, first long, n long"), "suffix-anchors")
+    rows = work.select("tid", "text").mapInArrow(_anchor_rows, "anchor long, tid long, first long, n long, known boolean")
+    place = F.when(F.col("known"), F.xxhash64("tid", "first")).otherwise(F.col("anchor"))
+    shared = stage(rows.repartition(parts, place).mapInArrow(_shared, "anchor long, tid long, first long, n long"), "suffix-anchors")
     release(spark)
     per_text = narrow.groupBy("tid").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("rep"))
-    found = shared.groupBy("tid").agg(F.collect_list(F.struct("first", "n", "anchor")).alias("found"))
+    found = shared.groupBy("tid").agg(F.collect_set(F.struct("first", "n", "anchor")).alias("found"))
     named = found.join(per_text.select(F.col("tid").alias("pt"), "rep"), F.col("tid") == F.col("pt")).select(F.col("tid").alias("ft"), "rep", "found")
     texts = work.join(named.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("rep")) & (F.col("tid") == F.col("ft"))).select("tid", "text", "found")
     texts = stage(texts, "suffix-shared")
