@@ -168,7 +168,7 @@ WITH w AS (
 ), g AS (
   SELECT doc_id, n_words, word_chars, n_symbols, n_lines - n_once AS n_dup_lines, n_repeat_words, n_lines,
     (n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (10 * n_symbols > n_words)::BIGINT
-    + 8 * (100 * (n_lines - n_once) > 30 * n_lines)::BIGINT + 16 * (word_chars < 2 * n_words)::BIGINT + 32 * (word_chars > 20 * n_words)::BIGINT AS failed_bits
+    + 8 * (n_lines - n_once > 2 AND 100 * (n_lines - n_once) > 30 * n_lines)::BIGINT + 16 * (word_chars < 2 * n_words)::BIGINT + 32 * (word_chars > 20 * n_words)::BIGINT AS failed_bits
   FROM f
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits & 3 <> 0 AS base_failed, failed_bits = 0 AS kept, n_lines, failed_bits FROM g
