@@ -38,7 +38,9 @@ from .components import components
 N = 5
 SMALL = 6  # groups up to this size name all their pairs: at most (SMALL - 1) / 2 a member
 FEW = 48  # open groups up to this size are compared across components at once
-LEADERS, ROUNDS = 8, 4
+LEADERS, ROUNDS = 16, 3
+SHORT = 16  # pairs whose smaller set is below this join by exact sizes
+WIDE = 4  # sketches of bands below this (256 shingles) are wide enough to hold each shingle in a part of its own
 HOT_RATE, HOT_TIMES, HOT_MOST = 16, 3, 100_000
 _U = np.uint64
 
@@ -88,34 +90,57 @@ def sketch_parts(s: np.ndarray, band: int) -> np.ndarray:
     """Values of the non-empty parts: XOR of the shingles in each, mixed with the part's place and the band."""
     salt = _mix(np.array([band + 1], _U))
     bits = 2 * band + 1
-    if band < 2:
+    if band < WIDE:
         return _mix(s ^ salt)
     place = s >> _U(64 - bits)
     starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
     return _mix(np.bitwise_xor.reduceat(s, starts) ^ _mix(place[starts] + salt))
 
 
+def _short_keys(s: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Keys for pairs whose smaller set is short: per partner size m, the first shingles, one more than may be missing.
+
+    With n and m shingles, the difference has at most (n + m) / 7 shingles and the parity of n + m, which leaves at most
+    half of (difference + n - m) of this set's shingles out of the other.
+    """
+    n, keys = len(s), []
+    for m in range(-(-3 * n // 4), 4 * n // 3 + 1):
+        if min(n, m) >= SHORT:
+            continue
+        most = (n + m) // 7
+        most -= (most + n + m) % 2
+        own = _ordered(_mix(s ^ _mix(np.array([2000 + 64 * min(n, m) + max(n, m)], _U))), hot)
+        keys.append(own[: (most + n - m) // 2 + 1] if most >= abs(n - m) else own[:0])
+    return np.concatenate(keys) if keys else s[:0]
+
+
+def _ordered(parts: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    own = np.unique(parts)
+    if not len(hot):
+        return own
+    late = hot[np.minimum(np.searchsorted(hot, own), len(hot) - 1)] == own
+    return np.concatenate([own[~late], own[late]])
+
+
 def join_keys(s: np.ndarray, hot: np.ndarray, whole: bool = False) -> np.ndarray:
     """The parts under which a set joins; whole=True gives all its parts instead."""
     n = len(s)
     top = 4 * n // 3
-    need = (n + top) // 7 + 1
     keys = []
-    for band in range(_band(n), _band(top) + 1):
+    if n and -(-3 * n // 4) < SHORT:
+        keys.append(_short_keys(s, hot))
+    for band in range(_band(n), _band(top) + 1) if n >= SHORT else ():
         parts = sketch_parts(s, band)
         if whole:
             keys.append(parts)
             continue
-        own = np.unique(parts)
-        if len(own) > need:
-            late = np.zeros(len(own), bool)
-            if len(hot):
-                late = hot[np.minimum(np.searchsorted(hot, own), len(hot) - 1)] == own
-            own = np.concatenate([own[~late], own[late]])
-        keys.append(own[:need])
+        # of parts that are single shingles, those of this set that the other lacks; of XOR parts, all that differ
+        low = -(-3 * n // 4)
+        need = ((n + low) // 7 + n - low) // 2 + 1 if band < WIDE else (n + top) // 7 + 1
+        keys.append(_ordered(parts, hot)[:need])
         if len(parts) < need:
             keys.append(np.sort(_mix(s ^ _mix(np.array([band + 1001], _U))))[:need])
-    return np.concatenate(keys)
+    return np.concatenate(keys) if keys else s[:0]
 
 
 def _texts(batch: pa.RecordBatch, k: int) -> Iterator[str | None]:
@@ -331,10 +356,12 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     open_pairs = near.select("a", "b").join(ca, F.col("a") == F.col("na"), "left").join(cb, F.col("b") == F.col("nb"), "left").filter("ca IS NULL OR cb IS NULL OR ca <> cb").select("a", "b")
     open_pairs = open_pairs.join(tried.select(F.col("a").alias("ta_"), F.col("b").alias("tb_")), (F.col("a") == F.col("ta_")) & (F.col("b") == F.col("tb_")), "left_anti")
     tried = tried.union(stage(_verify(open_pairs, texts), "join-verified"))
-    rest, round_ = members, 0
+    rest, round_, seen = members, 0, -1
     while not rest.isEmpty():
         release(spark)
-        part = components(tried.filter("linked").select("a", "b"))
+        linked = tried.filter("linked").count()
+        if linked != seen:
+            part, seen = components(tried.filter("linked").select("a", "b")), linked
         placed = rest.join(part.select(F.col("node").alias("pn"), "component"), F.col("node") == F.col("pn"), "left").select("group", "node", F.coalesce("component", "node").alias("component"))
         placed = stage(placed, "join-placed")
         mixed = placed.groupBy("group").agg((F.min("component") < F.max("component")).alias("mixed"), F.count(F.lit(1)).alias("members")).filter("mixed").select("group", "members")
