@@ -59,3 +59,23 @@ def test_every_bar_with_a_signal_is_an_event(spark, tmp_path):
 @pytest.mark.parametrize("name", STUDIES)
 def test_whole_study_equals_sql(spark, name):
     equals_sql(spark, "/root/testdata/sf0.001", f"{name}_all")
+
+
+def test_every_tick_is_walked_through_the_book_of_its_ts(spark, tmp_path):
+    rows = [(k // 40, 100 + k * k % 11) for k in range(110)]  # 40 ticks share a ts
+    sf = events_table(tmp_path, rows)
+    want = {}
+    for key, (s, _) in enumerate(rows):
+        left = qty = 3 * (1 + key % 7)
+        paid = 0.0
+        for _, price, size in sorted((level, v * (1 + 0.001 * level), 1 + (i + level) % 5) for i, (t, v) in enumerate(rows) if t == s for level in range(1, 11)):
+            take = min(left, size)
+            left, paid = left - take, paid + take * price
+        want[key] = (qty - left, paid / (qty - left))
+    got = {r["key"]: (r["filled"], r["vwap"]) for r in entry.queries()["lob_slippage_all"](spark, sf).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=2e-6) for k in want)
+
+
+@pytest.mark.parametrize("name", ["lob_slippage", "lob_slippage_all"])
+def test_slippage_equals_sql(spark, name):
+    equals_sql(spark, "/root/testdata/sf0.001", name)

@@ -224,9 +224,15 @@ def vol_target(df: DataFrame, vol: Column, target: float, most: float = 3.0) ->
 
 
 def slippage(orders: DataFrame, book: DataFrame) -> DataFrame:
-    """orders (key, ts, qty) and book (ts, level, price, size, mid) -> key, filled, vwap, slip of walking the levels."""
-    w = W.partitionBy("key").orderBy("level").rowsBetween(W.unboundedPreceding, -1)
-    walked = orders.join(book, "ts").withColumn("before", F.coalesce(F.sum("size").over(w), F.lit(0.0)))
-    walked = walked.withColumn("take", F.greatest(F.lit(0.0), F.least(F.col("size"), F.col("qty") - F.col("before"))))
-    out = walked.groupBy("key").agg(F.sum("take").alias("filled"), F.try_divide(F.sum(F.col("take") * F.col("price")), F.sum("take")).alias("vwap"), F.first("mid").alias("mid"))
+    """orders (key, ts, qty) and book (ts, level, price, size, mid) -> key, filled, vwap, slip of walking the levels.
+
+    A book is summed up once for its ts, in the order of level, price and size, and no deeper than the largest order of that
+    ts reaches: where many orders and books share a ts, each order meets a few rows and not all of them.
+    """
+    w = W.partitionBy("ts").orderBy("level", "price", "size").rowsBetween(W.unboundedPreceding, -1)
+    most = orders.groupBy("ts").agg(F.max("qty").alias("most"))
+    ladder = book.join(most, "ts").withColumn("before", F.coalesce(F.sum("size").over(w), F.lit(0.0))).filter((F.col("before") < F.col("most")) | (F.col("before") == 0))
+    walked = orders.join(ladder, "ts").withColumn("take", F.greatest(F.lit(0.0), F.least(F.col("size"), F.col("qty") - F.col("before"))))
+    mid = F.min_by("mid", F.struct("level", "price", "size", "mid"))
+    out = walked.groupBy("key").agg(F.sum("take").alias("filled"), F.try_divide(F.sum(F.col("take") * F.col("price")), F.sum("take")).alias("vwap"), mid.alias("mid"))
     return out.select("key", "filled", "vwap", (F.col("vwap") - F.col("mid")).alias("slip"))
