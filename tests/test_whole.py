@@ -3,11 +3,14 @@
 import datetime as dt
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as entry
+from tidemark.operators import strategy
+from tidemark.plans import backtests
 
 T0 = dt.datetime(2024, 1, 2, 10)
 STUDIES = ["response_grid", "response_grid_metrics", "horizon_table", "sigma_event_paths", "curve_summary", "sigma_threshold_grid"]
@@ -27,7 +30,8 @@ def norm(v):
 
 def equals_sql(spark, sf, name):
     c = duckdb.connect()
-    c.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{sf}/events.parquet')")
+    for t in ("events", "orders", "lineitem"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     r = c.execute(entry.oracle_sql()[name])
     names = [x[0] for x in r.description]
     df = entry.queries()[name](spark, sf)
@@ -79,3 +83,24 @@ def test_every_tick_is_walked_through_the_book_of_its_ts(spark, tmp_path):
 @pytest.mark.parametrize("name", ["lob_slippage", "lob_slippage_all"])
 def test_slippage_equals_sql(spark, name):
     equals_sql(spark, "/root/testdata/sf0.001", name)
+
+
+@pytest.mark.parametrize("name", ["imbalance_modes", "funding_momentum", "fixed_funding_variants"])
+def test_named_strategy_equals_sql(spark, name):
+    equals_sql(spark, "/root/testdata/sf0.001", name)
+
+
+def test_imbalance_rules_by_hand(spark):
+    x = [5, 1, 9, 2, 8, 3, 7, 0, 6, 4]
+    got = {(r["mode"], r["d"]): r["pos"] for r in strategy.imbalance_rules(spark.createDataFrame(list(enumerate(map(float, x))), "d int, x double"), "x", 2, 0.8, 0.2).collect()}
+    s = [(a + b) / 2 for a, b in zip(x, x[1:])]
+    want = {}
+    for k in range(len(s)):
+        seen = s[:k]
+        up, down = (seen[-1] > np.percentile(seen, 80), seen[-1] < np.percentile(seen, 20)) if k else (False, False)
+        want |= {("mean_reversion", k + 1): 0.0 if k == 0 else -1.0 if up else 1.0, ("momentum", k + 1): 0.0 if k == 0 else -1.0 if down else 1.0}
+    assert got == want and -1.0 in want.values()
+
+
+def test_fixed_variants_are_the_references():
+    assert len(set(backtests.FIXED)) == len(backtests.FIXED) == 25

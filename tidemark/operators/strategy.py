@@ -102,6 +102,29 @@ def funding_rule(df: DataFrame, rate: str, n: int, q: float, least: int = 30, or
     return held.withColumn("__r", raw).withColumn("pos", F.coalesce(F.lag("__r").over(w), F.lit(1.0))).drop("__f", "__q", "__r")
 
 
+def imbalance_rules(df: DataFrame, x: str, n: int, high: float, low: float, order: str = "d") -> DataFrame:
+    """df from the n-th row on, for each mode: short a day after the n-day mean of x was above its upper expanding quantile
+    (mean_reversion) or below its lower one (momentum), else long; the quantiles hold this day, the first position is 0.
+    """
+    w = over(order)
+    held = df.withColumn("__s", F.round(rolling(F.avg, F.col(x), n, w), 12)).filter("__s is not null")
+    held = held.withColumn("__q", expanding_quantile(F.col("__s"), [high, low], w))
+    short = (("mean_reversion", F.col("__s") > F.get("__q", F.lit(0))), ("momentum", F.col("__s") < F.get("__q", F.lit(1))))
+    held = held.select(*df.columns, *[F.coalesce(F.lag(F.when(c, -1.0).otherwise(1.0)).over(w), F.lit(0.0)).alias(mode) for mode, c in short])
+    return held.unpivot(df.columns, [mode for mode, _ in short], "mode", "pos")
+
+
+def low_funding(df: DataFrame, rate: str, interest: str, lengths: list[int], spans: list[int], order: str = "d") -> DataFrame:
+    """df for each length fw, from its fw-th row on, with f (the sum of that many rates) and falling_<n> for each span: whether the
+    mean of the last n changes of open interest, of these rows, is negative (false until there are n).
+    """
+    w = over(order)
+    sums = df.withColumns({str(n): F.round(rolling(F.sum, F.col(rate), n, w), 9) for n in lengths})
+    held = sums.unpivot(df.columns, [f"`{n}`" for n in lengths], "fw", "f").withColumn("fw", F.col("fw").cast("int")).filter("f is not null")
+    each = over(order, ["fw"])
+    return held.withColumns({f"falling_{n}": F.coalesce(F.round(rolling(F.avg, F.col(interest), n, each), 12) < 0, F.lit(False)) for n in spans})
+
+
 def score_rule(df: DataFrame, flags: list[Column], threshold: int, order: str = "d") -> DataFrame:
     """Each flag that holds subtracts one; short a day after the score reached -threshold."""
     score = F.lit(0)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars
@@ -77,6 +78,77 @@ def funding_modes(spark, sf):
     return _net(strategy.funding_rule(daily(spark, sf), "rate", 7, 0.8), "rate")
 
 
+_MODES = {
+    "db": "SELECT b1.ts::DATE AS d, round(avg(trade_imbalance), 9) AS imbalance, arg_max(close, b1.ts) AS close FROM b1 GROUP BY 1",
+    "dr": "SELECT *, close / lag(close) OVER (ORDER BY d) - 1 AS ret FROM db",
+    "ds": f"SELECT * FROM (SELECT d, ret, round({_roll('avg', 'imbalance', 3)}, 12) AS s FROM dr) WHERE s IS NOT NULL",
+    "dq": "SELECT *, quantile_cont(s, 0.8) OVER w AS hi, quantile_cont(s, 0.2) OVER w AS lo FROM ds WINDOW w AS (ORDER BY d ROWS UNBOUNDED PRECEDING)",
+    "dp": "SELECT mode, d, ret, coalesce(lag(CASE WHEN (mode = 'momentum' AND s < lo) OR (mode = 'mean_reversion' AND s > hi) THEN -1.0 ELSE 1.0 END) OVER (PARTITION BY mode ORDER BY d), 0)::DOUBLE AS pos FROM dq, (VALUES ('mean_reversion'), ('momentum')) m(mode)",
+}
+
+
+@query(sql("SELECT mode, d, pos, round(pos * ret - coalesce(abs(pos - lag(pos) OVER (PARTITION BY mode ORDER BY d)), 0) * 0.0004, 8) + 0.0 AS strat, round(ret, 8) AS hold FROM dp", "b1", **_MODES))
+def imbalance_modes(spark, sf):
+    days = views.bars(spark, sf).groupBy(F.to_date("ts").alias("d")).agg(F.round(F.avg("trade_imbalance"), 9).alias("imbalance"), F.max_by("close", "ts").alias("close"))
+    held = days.withColumn("ret", frames.change(F.col("close"), 1, frames.over("d")))
+    held = strategy.net_returns(strategy.imbalance_rules(held, "imbalance", 3, 0.8, 0.2), "pos", "ret", "d", part=["mode"])
+    return held.select("mode", "d", "pos", r6("strat", None, 8), r6("hold", None, 8))
+
+
+LENGTHS, SPANS = [7, 14, 21], [7, 14]
+_INTEREST = {
+    "oi": "SELECT d, oi / lag(oi) OVER (ORDER BY d) - 1 AS oic FROM (SELECT CAST(l_shipdate AS DATE) AS d, sum(l_quantity)::DOUBLE AS oi FROM lineitem GROUP BY 1)",
+    "ga": "SELECT * FROM panel JOIN oi USING (d)",
+    "gs": " UNION ALL ".join(f"SELECT {n} AS fw, d, ret, fg, oic, round({_roll('sum', 'rate', n)}, 9) AS f FROM ga" for n in LENGTHS),
+    "gf": "SELECT *" + "".join(f", coalesce(CASE WHEN count(oic) OVER w{n} = {n} THEN round(avg(oic) OVER w{n}, 12) END < 0, false) AS falling_{n}" for n in SPANS) + " FROM gs WHERE f IS NOT NULL WINDOW " + ", ".join(f"w{n} AS (PARTITION BY fw ORDER BY d ROWS {n - 1} PRECEDING)" for n in SPANS),
+}
+
+
+def funding_and_interest(spark, sf):
+    """low_funding over the daily panel; the day's quantity stands for open interest."""
+    oi = views.table(spark, sf, "lineitem").groupBy(F.col("l_shipdate").cast("date").alias("d")).agg(F.sum("l_quantity").cast("double").alias("oi"))
+    oi = oi.select("d", frames.change(F.col("oi"), 1, frames.over("d")).alias("oic"))
+    return strategy.low_funding(daily(spark, sf).join(oi, "d").select("d", "ret", "rate", "fg", "oic"), "rate", "oic", LENGTHS, SPANS)
+
+
+@query(sql("SELECT mode, d, pos, round(pos * ret - coalesce(abs(pos - lag(pos) OVER (PARTITION BY mode ORDER BY d)), 0) * 0.0004, 8) + 0.0 AS strat, round(ret, 8) AS hold FROM gp", *_V, **_P, **_INTEREST,
+  gq="SELECT *, quantile_cont(f, 0.25) OVER (ORDER BY d ROWS UNBOUNDED PRECEDING) AS q FROM gf WHERE fw = 7", gp="SELECT mode, d, ret, coalesce(lag(CASE WHEN f < q AND (mode = 'fr_only' OR falling_7) THEN -1.0 ELSE 1.0 END) OVER (PARTITION BY mode ORDER BY d), 1.0)::DOUBLE AS pos FROM gq, (VALUES ('fr_only'), ('fr_oi')) m(mode)"))
+def funding_momentum(spark, sf):
+    w = frames.over("d")
+    held = funding_and_interest(spark, sf).filter("fw = 7")
+    weak = F.col("f") < frames.expanding_quantile(F.col("f"), 0.25, w)
+    held = held.withColumn("weak", weak).select("d", "ret", *[F.coalesce(F.lag(F.when(c, -1.0).otherwise(1.0)).over(w), F.lit(1.0)).alias(m) for m, c in (("fr_only", F.col("weak")), ("fr_oi", F.col("weak") & F.col("falling_7")))])
+    held = strategy.net_returns(held.unpivot(["d", "ret"], ["fr_only", "fr_oi"], "mode", "pos"), "pos", "ret", "d", part=["mode"])
+    return held.select("mode", "d", "pos", r6("strat", None, 8), r6("hold", None, 8))
+
+
+#: fw, limit of the sum, span of open interest (0: none), sentiment that a short needs (-1: none).
+FIXED = [
+    *[(fw, 0.0, 0, -1) for fw in LENGTHS], *[(fw, 0.0, n, -1) for n in SPANS for fw in LENGTHS], *[(fw, limit, 0, -1) for limit in (-0.001, -0.003) for fw in LENGTHS],
+    *[(fw, -0.001, 7, -1) for fw in LENGTHS], *[(fw, limit, 7, 25) for limit in (0.0, -0.001) for fw in LENGTHS[:2]], *[(fw, -0.003, 7, 25) for fw in LENGTHS],
+]
+
+
+@query(sql("""SELECT variant, count(*) AS n, round(product(1 + strat) - 1, 6) AS total, round(avg(strat) / stddev_samp(strat) * sqrt(365), 6) AS sharpe, round(min(path / peak - 1), 6) AS max_drawdown, round(100.0 * avg((pos < 0)::INT), 6) AS short_pct
+  FROM (SELECT *, max(path) OVER (PARTITION BY variant ORDER BY d) AS peak FROM (SELECT *, product(1 + strat) OVER (PARTITION BY variant ORDER BY d) AS path FROM gn)) GROUP BY 1""", *_V, **_P, **_INTEREST,
+  gv="SELECT * FROM (VALUES " + ", ".join(f"({k}, {fw}, {limit}::DOUBLE, {n}, {fg})" for k, (fw, limit, n, fg) in enumerate(FIXED, 1)) + ") v(variant, fw, lim, span, low)",
+  gp="SELECT variant, d, ret, coalesce(lag(CASE WHEN f < lim AND (span = 0 OR (span = 7 AND falling_7) OR (span = 14 AND falling_14)) AND (low < 0 OR fg > low) THEN -1.0 ELSE 1.0 END) OVER (PARTITION BY variant ORDER BY d), 1.0)::DOUBLE AS pos FROM gf JOIN gv USING (fw)",
+  gn="SELECT *, pos * ret - coalesce(abs(pos - lag(pos) OVER (PARTITION BY variant ORDER BY d)), 0) * 0.0004 AS strat FROM gp"))
+def fixed_funding_variants(spark, sf):
+    rules = spark.createDataFrame([(k, *x) for k, x in enumerate(FIXED, 1)], "variant int, fw int, lim double, span int, low int")
+    falling = F.when(F.col("span") == 0, True).when(F.col("span") == 7, F.col("falling_7")).otherwise(F.col("falling_14"))
+    held = funding_and_interest(spark, sf).join(F.broadcast(rules), "fw")
+    raw = F.when((F.col("f") < F.col("lim")) & falling & ((F.col("low") < 0) | (F.col("fg") > F.col("low"))), -1.0).otherwise(1.0)
+    held = held.withColumn("raw", raw).withColumn("pos", F.coalesce(F.lag("raw").over(frames.over("d", ["variant"])), F.lit(1.0)))
+    held = strategy.net_returns(held.select("variant", "d", "ret", "pos"), "pos", "ret", "d", part=["variant"])
+    w = frames.over("d", ["variant"]).rowsBetween(W.unboundedPreceding, 0)  # products, as a short can lose more than all
+    held = held.withColumn("path", F.product(1 + F.col("strat")).over(w)).withColumn("peak", F.max("path").over(w))
+    return held.groupBy("variant").agg(
+        F.count(F.lit(1)).alias("n"), r6(F.product(1 + F.col("strat")) - 1, "total"), r6(strategy.sharpe(F.col("strat"), 365), "sharpe"),
+        r6(F.min(F.try_divide("path", "peak") - 1), "max_drawdown"), r6(100.0 * F.avg(F.when(F.col("pos") < 0, 1.0).otherwise(0.0)), "short_pct"),
+    )
+
+
 @query(sql(_NET.format("", "", "sp"), *_V, **_P, sa="SELECT *, -((fg > 75)::INT + (rate > 0)::INT + coalesce(slope < lag(slope) OVER (ORDER BY d), false)::INT) AS score FROM panel", sp="SELECT *, coalesce(lag(CASE WHEN score <= -2 THEN -1.0 ELSE 1.0 END) OVER (ORDER BY d), 1.0)::DOUBLE AS pos FROM sa"))
 def multisignal_score(spark, sf):
     held = daily(spark, sf).withColumn("falling", F.col("slope") < F.lag("slope").over(frames.over("d")))
