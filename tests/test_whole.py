@@ -9,7 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as entry
-from tidemark.operators import strategy
+from tidemark.operators import events, strategy
 from tidemark.plans import backtests
 
 T0 = dt.datetime(2024, 1, 2, 10)
@@ -104,3 +104,24 @@ def test_imbalance_rules_by_hand(spark):
 
 def test_fixed_variants_are_the_references():
     assert len(set(backtests.FIXED)) == len(backtests.FIXED) == 25
+
+
+@pytest.mark.parametrize("gap", [0, 30])
+def test_thinning_gathers_no_user_in_a_row(spark, gap):
+    rng = np.random.default_rng(5)
+    rows = [(None if u == 9 else u, int(s)) for u, n, span in ((1, 3000, 9000), (2, 300, 20000), (3, 40, 3000), (9, 50, 2000)) for s in rng.integers(-span, span, n)]
+    df = events.thin(spark.createDataFrame([(u, T0 + dt.timedelta(seconds=s)) for u, s in rows], "u int, ts timestamp_ntz").repartition(7), gap, ["u"])
+    want = []
+    for u in {u for u, _ in rows}:
+        last = None
+        for s in sorted(s for v, s in rows if v == u):
+            if last is None or s - last > gap:
+                want.append((str(u), s))
+                last = s
+    assert sorted((str(r.u), int((r.ts - T0).total_seconds())) for r in df.collect()) == sorted(want)
+    assert "collect_list" not in df._jdf.queryExecution().toString()
+
+
+def test_thinning_keeps_events_without_a_time(spark):
+    df = spark.createDataFrame([(1, None), (1, T0), (1, T0), (1, None)], "u int, ts timestamp_ntz")
+    assert sorted(str(r.ts) for r in events.thin(df, 30, ["u"]).collect()) == [str(T0), "None", "None"]

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.special import binomial_p
 from .asof import asof
 from .bars import epoch_micros
-from .frames import corr
+from .frames import corr, over
 from .stats import pairs
 
 
@@ -72,16 +76,35 @@ def curve_summary(metrics: DataFrame, significant: float) -> DataFrame:
 
 
 def thin(events: DataFrame, gap_s: int, part: list[str]) -> DataFrame:
-    """Keep an event if it comes more than gap_s after the last kept one: a fold over each partition's sorted times."""
+    """Keep an event if it comes more than gap_s after the last kept one: a fold over the sorted times of each chain.
+
+    A chain is a run of events without a longer gap; the first of each is kept whatever came before. As no two events in a
+    bucket of the gap's width are further apart, chains come from the first and last time of each bucket. Rows of a chain
+    are sorted (and may spill) and pass through one by one; none are gathered in a row.
+    """
     us = gap_s * 1_000_000
-    times = events.groupBy(*part).agg(F.sort_array(F.collect_list(F.struct(epoch_micros(F.col("ts")).alias("t"), F.col("ts")))).alias("all"))
-    empty = F.slice("all", 1, 0)
-    keep = F.aggregate(
-        "all", F.struct(F.lit(None).cast("long").alias("last"), empty.alias("kept")),
-        lambda s, x: F.when(s["last"].isNull() | (x["t"] - s["last"] > us), F.struct(x["t"].alias("last"), F.concat(s["kept"], F.array(x)).alias("kept"))).otherwise(s),
-        lambda s: s["kept"],
-    )
-    return times.select(*part, F.explode(keep).alias("x")).select(*part, "x.ts")
+    held = events.select(*part, "ts", epoch_micros(F.col("ts")).alias("__t")).withColumn("__b", F.col("__t") - F.pmod("__t", F.lit(max(us, 1)).cast("long")))
+    w = over("__b", part)
+    ends = held.groupBy(*part, "__b").agg(F.min("__t").alias("__lo"), F.max("__t").alias("__hi"))
+    ends = ends.withColumn("__far", F.coalesce(F.col("__lo") - F.lag("__hi").over(w) > us, F.lit(True)))
+    ends = ends.withColumn("__s", F.last(F.when(F.col("__far"), F.col("__lo")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    keys = [*part, "__b"]
+    ends = ends.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__s")
+    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    first = F.row_number().over(over("__t", [*part, "__s"])) == 1
+    chains = held.join(ends, reduce(and_, same)).select(*part, "ts", "__t", first.alias("__first"))
+
+    def fold(batches):
+        last = None
+        for batch in batches:
+            kept = []
+            for t, new in zip(batch.column("__t").to_pylist(), batch.column("__first").to_pylist(), strict=True):
+                keep = new or t is None or t - last > us
+                last = t if keep else last
+                kept.append(keep)
+            yield batch.select([*part, "ts"]).filter(pa.array(kept, pa.bool_()))
+
+    return chains.mapInArrow(fold, events.select(*part, "ts").schema)
 
 
 def threshold_grid(trades: DataFrame, sigmas: list[float], cost: float = 0.0004) -> DataFrame:
