@@ -2,22 +2,28 @@
 
 A document's set of N-word shingles is hashed into the parts of a sketch; each part holds the XOR of its shingles' hashes,
 so parts differ only where the symmetric difference fell, and the number of differing parts is at most its size.
-Jaccard similarity >= 3/4 bounds that size by d = (a + b) / 7 for sets of a and b shingles. Hence, of each document's
-non-empty parts in one global order, the first d + 1 must hold one that both documents have (pigeonhole). Parts of a
-document are therefore joined by value, per band of sizes (a factor of 4), and the pairs they name are verified on the
-whole texts. Where a sketch has too few non-empty parts for the argument, its document also joins, with the others of
-that kind, by its shingles themselves; the argument always holds there.
-
-The global order puts parts that a sample of documents shares often last; the order changes cost, never results.
-
-Documents with equal sets are one node (its 64-bit set hash), so copies are never paired. Small groups of nodes under one
-part name their pairs; in large groups, members are compared with leaders (those in most groups first): members in one
-component need no further comparison, and leaders leave the group once compared. Groups of up to FEW members that still
-span components, and what is left after ROUNDS, are compared across components, so no link is lost.
+Jaccard similarity >= 3/4 bounds that size by d = (a + b) / 7 for sets of a and b shingles. Hence, of each set's non-empty
+parts in one global order, the first d + 1 hold one that both sets have (pigeonhole). Sets of every size join by the value
+of these parts, in bands of sizes (a factor of 2, about as many parts as the band's least size). A set with no more than d
+non-empty parts joins with all of them, and again in a sketch of 16 times the places; in the smallest sketch in which one
+of two sets has more than d parts, the argument holds for both. Parts that a sample of documents shares often come last in
+the order, and go straight to the large groups below; this changes cost, never results.
+
+Documents with equal sets are one node (a 128-bit hash of the set), so copies are never paired. Groups of up to SMALL nodes
+under one part name their pairs. A large group (the groups that share their commonest node are one) gets a centre F, the
+shingles in more than half of a sample of its members, and a leader, the member of the sample nearest to F. Every member
+meets the leader on the whole texts; two members linked with it need no comparison. For other members A and B let
+p = |A - F|, q = |F - A|, and p', q' for B. If A - F and B - F have nothing in common, the symmetric difference of A and B
+is at least p + p' + |q - q'|. So a linked pair either has p + p' + |q - q'| <= d, and such pairs are found through the
+table of (group, p, q), or it shares a shingle outside F. Of A's shingles at most a fourth is missing from B, so the first
+a / 4 + 1 shingles of A - F, in the order of their hashes, hold a shared one: members join by these, in groups that are
+again small or large. A group within a group lacks the leader, and has about half of the members at most, so this ends soon.
+
+Pairs are filtered by size and by the Hamming distance of bit sketches, then verified on the whole texts.
 
 Defined cases: a null, empty or blank text has an empty set, no links and its own component; fewer than N words are one
-shingle; null ids take part, and a component's id is the least non-null one in it (null if there is none); repeated rows
-are copies; an empty table gives an empty result.
+shingle; ids are whole numbers (others raise Spark's cast error); null ids take part, and a component's id is the least
+non-null one in it (null if there is none); repeated rows are copies; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,16 +37,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import release, spare, stage
 from .components import components
 
 N = 5
 SMALL = 6  # groups up to this size name all their pairs: at most (SMALL - 1) / 2 a member
-FEW = 48  # open groups up to this size are compared across components at once
-LEADERS, ROUNDS = 16, 3
-SHORT = 16  # pairs whose smaller set is below this join by exact sizes
-WIDE = 4  # sketches of bands below this (256 shingles) are wide enough to hold each shingle in a part of its own
+OPEN = 16  # so do groups within a group with up to this many members that are not linked with its leader: at most OPEN a member
+SAMPLE = 32  # members of a large group from which its centre is made
 HOT_RATE, HOT_TIMES, HOT_MOST = 16, 3, 100_000
 _U = np.uint64
 
@@ -78,69 +83,48 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(_mix(s + _U(n % N)))
 
 
-def set_id(s: np.ndarray) -> int:
-    return int((_mix(s + _U(1)).sum(dtype=_U) ^ _U(len(s))).astype(np.int64)) if len(s) else 0
-
-
-def _band(n: int) -> int:
-    return (n.bit_length() - 1) // 2
+def set_id(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that name the set; (0, 0) is the empty one."""
+    if not len(s):
+        return 0, 0
+    one, two = _mix(s + _U(1)).sum(dtype=_U) ^ _U(len(s)), _mix(s ^ _U(0xD1B54A32D192ED03)).sum(dtype=_U)
+    return int(one.astype(np.int64)), int(two.astype(np.int64))
 
 
-def sketch_parts(s: np.ndarray, band: int) -> np.ndarray:
-    """Values of the non-empty parts: XOR of the shingles in each, mixed with the part's place and the band."""
-    salt = _mix(np.array([band + 1], _U))
-    bits = 2 * band + 1
-    if band < WIDE:
-        return _mix(s ^ salt)
-    place = s >> _U(64 - bits)
+def sketch_parts(s: np.ndarray, bits: int, salt: int) -> np.ndarray:
+    """Distinct values of the non-empty of 2 ** bits parts: XOR of the shingles in each, mixed with its place and the salt."""
+    place = s >> _U(64 - bits) if bits else np.zeros(len(s), _U)
     starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    return _mix(np.bitwise_xor.reduceat(s, starts) ^ _mix(place[starts] + salt))
+    return np.unique(_mix(np.bitwise_xor.reduceat(s, starts) ^ _mix(place[starts] + _mix(np.array([salt], _U)))))
 
 
-def _short_keys(s: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """Keys for pairs whose smaller set is short: per partner size m, the first shingles, one more than may be missing.
-
-    With n and m shingles, the difference has at most (n + m) / 7 shingles and the parity of n + m, which leaves at most
-    half of (difference + n - m) of this set's shingles out of the other.
-    """
-    n, keys = len(s), []
-    for m in range(-(-3 * n // 4), 4 * n // 3 + 1):
-        if min(n, m) >= SHORT:
-            continue
-        most = (n + m) // 7
-        most -= (most + n + m) % 2
-        own = _ordered(_mix(s ^ _mix(np.array([2000 + 64 * min(n, m) + max(n, m)], _U))), hot)
-        keys.append(own[: (most + n - m) // 2 + 1] if most >= abs(n - m) else own[:0])
-    return np.concatenate(keys) if keys else s[:0]
-
-
-def _ordered(parts: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    own = np.unique(parts)
-    if not len(hot):
-        return own
-    late = hot[np.minimum(np.searchsorted(hot, own), len(hot) - 1)] == own
-    return np.concatenate([own[~late], own[late]])
-
-
-def join_keys(s: np.ndarray, hot: np.ndarray, whole: bool = False) -> np.ndarray:
-    """The parts under which a set joins; whole=True gives all its parts instead."""
+def _sketches(s: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    """The sketches in which a set joins: their parts, and how many of these it needs (d + 1)."""
     n = len(s)
     top = 4 * n // 3
-    keys = []
-    if n and -(-3 * n // 4) < SHORT:
-        keys.append(_short_keys(s, hot))
-    for band in range(_band(n), _band(top) + 1) if n >= SHORT else ():
-        parts = sketch_parts(s, band)
-        if whole:
-            keys.append(parts)
-            continue
-        # of parts that are single shingles, those of this set that the other lacks; of XOR parts, all that differ
-        low = -(-3 * n // 4)
-        need = ((n + low) // 7 + n - low) // 2 + 1 if band < WIDE else (n + top) // 7 + 1
-        keys.append(_ordered(parts, hot)[:need])
-        if len(parts) < need:
-            keys.append(np.sort(_mix(s ^ _mix(np.array([band + 1001], _U))))[:need])
-    return np.concatenate(keys) if keys else s[:0]
+    for band in range(n.bit_length() - 1, top.bit_length()) if n else ():
+        need = (n + min(top, (2 << band) - 1)) // 7 + 1
+        for bits in range(band, 68, 4):
+            parts = sketch_parts(s, min(bits, 63), 256 * band + bits + 1)
+            yield parts, need
+            if len(parts) >= need:
+                break
+
+
+def join_keys(s: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The parts by which a set joins, and which of them are hot (a sorted list)."""
+    found = [(s[:0], np.zeros(0, bool))]
+    for parts, need in _sketches(s):
+        late = _among(parts, hot)
+        order = np.concatenate([np.flatnonzero(~late), np.flatnonzero(late)])[:need]
+        found.append((parts[order], late[order]))
+    return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+
+
+def _among(values: np.ndarray, listed: np.ndarray) -> np.ndarray:
+    if not len(listed):
+        return np.zeros(len(values), bool)
+    return listed[np.minimum(np.searchsorted(listed, values), len(listed) - 1)] == values
 
 
 def _texts(batch: pa.RecordBatch, k: int) -> Iterator[str | None]:
@@ -164,227 +148,361 @@ def sketch_distance(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-_ROW = ["key", "node", "size", "sketch"]
-_SCHEMA = "key long, node long, size long, sketch binary"
+_ROW = pa.schema([("key", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("z", pa.int64()), ("hot", pa.bool_()), ("id", pa.int64()), ("size", pa.int64()), ("sketch", pa.binary())])
+_ROW_SQL = "key long, x long, y long, z long, hot boolean, id long, size long, sketch binary"
+
+
+def _batch(schema: pa.Schema, rows: int, /, **columns) -> pa.RecordBatch:
+    """Columns that are not given are null."""
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type) for f in schema], schema=schema)
 
 
 def _rows_of(hot: np.ndarray):
-    """(id, text) -> a row (key, node) for each part that a set joins by, once a task for equal sets, and for each
+    """(id, text) -> a row (key, node, hot) for each part that a set joins by, once a task for equal sets, and for each
     document a row (node, id, size, sketch), told apart by its size; only a set's first row in a task has the sketch.
+    A node is the pair (x, y).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            keys, nodes, size, docs = [], [], 0, []
-            for i, t in zip(ids, _texts(batch, 1), strict=True):
+            keys, late, nodes, docs = [], [], [], []
+            for i, t in zip(batch.column(0).to_pylist(), _texts(batch, 1), strict=True):
                 s = shingles(t)
                 node, own = set_id(s), None
                 if len(s) and node not in seen:
                     seen.add(node)
                     own = sketch(s)
-                    keys.append(join_keys(s, hot))
-                    nodes.append(np.full(len(keys[-1]), node, np.int64))
-                    size += len(keys[-1])
-                docs.append((node, i, len(s), own))
-                if size > 200_000:
-                    yield _pairs_of(keys, nodes)
-                    keys, nodes, size = [], [], 0
+                    found = join_keys(s, hot)
+                    keys.append(found[0])
+                    late.append(found[1])
+                    nodes.append((*node, len(found[0])))
+                docs.append((*node, i, len(s), own))
+                if len(keys) >= 500:
+                    yield _key_rows(keys, late, nodes)
+                    keys, late, nodes = [], [], []
             if keys:
-                yield _pairs_of(keys, nodes)
+                yield _key_rows(keys, late, nodes)
             if docs:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*docs, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], _ROW)
+                yield _batch(_ROW, len(docs), **dict(zip(("x", "y", "id", "size", "sketch"), zip(*docs, strict=True), strict=True)))
 
     return run
 
 
-def _pairs_of(keys: list, nodes: list) -> pa.RecordBatch:
-    n = sum(map(len, keys))
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], _ROW)
+def _key_rows(keys: list, late: list, nodes: list) -> pa.RecordBatch:
+    x, y, n = (np.array(c, np.int64) for c in zip(*nodes, strict=True))
+    return _batch(_ROW, int(n.sum()), key=np.concatenate(keys).view(np.int64), x=np.repeat(x, n), y=np.repeat(y, n), z=np.zeros(n.sum(), np.int64), hot=np.concatenate(late))
 
 
 def _all_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts -> all parts of their distinct sets, to count which are frequent."""
-    seen: set[int] = set()
+    seen: set[tuple[int, int]] = set()
     for batch in batches:
         for t in _texts(batch, 0):
             s = shingles(t)
             if len(s) and (node := set_id(s)) not in seen:
                 seen.add(node)
-                yield pa.RecordBatch.from_arrays([pa.array(join_keys(s, np.zeros(0, _U), True).view(np.int64))], ["key"])
+                parts = np.concatenate([p for p, _ in _sketches(s)])
+                yield pa.RecordBatch.from_arrays([pa.array(parts.view(np.int64)), pa.array(np.full(len(parts), node[0], np.int64))], ["key", "x"])
+
+
+_GROUP = pa.schema([("key", pa.int64()), *((c, pa.int64()) for c in ("x", "y", "z", "bx", "by", "id", "size")), ("sketch", pa.binary())])
+_GROUP_SQL = "key long, x long, y long, z long, bx long, by long, id long, size long, sketch binary"
+
 
+def _groups(open_first: bool):
+    """Rows in the order of their keys -> pairs (x, y), (bx, by) of small groups; members (key, x, y, z) of large ones.
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All rows of some keys -> pairs (group null) of small groups, members of large ones, equal groups once; documents
-    (with a size) pass through.
+    No group is held: once it is large, its members pass as they come. Hot rows pass at once, documents (with a size) too.
+    open_first: x is a node and y whether it is linked with the leader; rows come with y = 0 first, and pairs with y = 1
+    on both sides are left out. A group with no more than OPEN rows of y = 0 is small.
     """
-    held = []
-    for b in batches:
-        is_doc = b.column(2).is_valid()
-        docs = b.filter(is_doc)
-        if docs.num_rows:
-            yield pa.RecordBatch.from_arrays([pa.nulls(docs.num_rows, pa.int64()), *docs.columns], _OUT)
-        if docs.num_rows < b.num_rows:
-            rest = b.filter(pc.invert(is_doc)) if docs.num_rows else b
-            held.append((rest.column(0).to_numpy(), rest.column(1).to_numpy()))
-    if not held:
-        return
-    key, node = (np.concatenate(x) for x in zip(*held, strict=True))
-    del held
-    order = np.lexsort((node, key))
-    key, node = key[order], node[order]
-    fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
-    key, node = key[fresh], node[fresh]
-    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    sizes = np.diff(np.append(starts, len(key)))
-    for size in range(2, SMALL + 1):
-        at = starts[sizes == size]
-        if len(at):
-            rows = np.unique(node[at[:, None] + np.arange(size)], axis=0)
-            i, j = np.triu_indices(size, 1)
-            yield _rows(None, rows[:, i].ravel(), rows[:, j].ravel())
-    seen: set[int] = set()
-    for a, size in zip(starts[sizes > SMALL], sizes[sizes > SMALL], strict=True):
-        own = node[a : a + size]
-        name = int((_mix(own.view(_U)).sum(dtype=_U)).astype(np.int64))
-        if name not in seen:
-            seen.add(name)
-            yield _rows(name, own, own)
-
-
-_OUT = ["group", "a", "b", "size", "sketch"]
-
-
-def _rows(name: int | None, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    n = len(a)
-    return pa.RecordBatch.from_arrays([pa.array([name] * n, pa.int64()), pa.array(a), pa.array(b), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], _OUT)
+    most = OPEN if open_first else SMALL
+
+    def large(rows: np.ndarray) -> pa.RecordBatch:
+        return _batch(_GROUP, rows.shape[1], key=rows[0], x=rows[1], y=rows[2], z=rows[3])
+
+    def pairs(rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return _batch(_GROUP, len(a), x=rows[1, a], y=rows[2, a], z=rows[3, a], bx=rows[1, b], by=rows[2, b])
+
+    def closed(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        _, sizes = _runs(rows[0])
+        rows = _distinct(rows[:, np.repeat(sizes > 1, sizes)])
+        if not rows.shape[1]:
+            return
+        starts, sizes = _runs(rows[0])
+        lead = np.add.reduceat((rows[2] == 0).astype(np.int64), starts) if open_first else sizes  # the rows that all others meet
+        for n in range(1, most + 1):
+            for size in np.unique(sizes[(lead == n) & (sizes > 1)]):
+                at = starts[(lead == n) & (sizes == size)]
+                i, j = np.triu_indices(size, 1)
+                i, j = i[i < n], j[i < n]
+                yield pairs(rows, (at[:, None] + i).ravel(), (at[:, None] + j).ravel())
+        rest = rows[:, np.repeat(lead > most, sizes)]
+        if rest.shape[1]:
+            yield large(rest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((4, 0), np.int64)
+        running = few = None  # the key of the group that may go on: a large one, or one whose open rows are all known
+
+        for b in batches:
+            is_doc = b.column(6).is_valid()
+            if pc.any(is_doc).as_py():
+                docs = b.filter(is_doc)
+                yield _batch(_GROUP, docs.num_rows, **{c: docs.column(c) for c in ("x", "y", "id", "size", "sketch")})
+                b = b.filter(pc.invert(is_doc))
+            rows, hot = np.stack([b.column(k).to_numpy() for k in range(4)]), b.column(4).to_numpy(zero_copy_only=False).astype(bool)
+            if hot.any():
+                yield large(rows[:, hot])
+                rows = rows[:, ~hot]
+            if running is not None and (going := rows[0] == running).any():
+                yield large(rows[:, going])
+                rows = rows[:, ~going]
+            if few is not None and (going := rows[0] == few[0, 0]).any():
+                n, more = few.shape[1], np.concatenate([few, rows[:, going]], 1)
+                at = np.arange(n, more.shape[1])
+                yield pairs(more, np.tile(np.arange(n), len(at)), np.repeat(at, n))
+                rows = rows[:, ~going]
+            rows = np.concatenate([held, rows], 1)
+            if not rows.shape[1]:
+                continue
+            last = rows[0] == rows[0, -1]
+            yield from closed(rows[:, ~last])
+            held = _distinct(rows[:, last])
+            n = int((held[2] == 0).sum()) if open_first else held.shape[1]
+            if n > most:
+                running = int(held[0, 0])
+                yield large(held)
+                held = held[:, :0]
+            elif n < held.shape[1]:  # rows of y = 1 have come, so all of y = 0 are here
+                yield from closed(held)
+                few, held = held[:, :n], held[:, :0]
+        yield from closed(held)
+
+    return run
+
+
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return starts, np.diff(np.append(starts, len(key)))
+
+
+def _distinct(rows: np.ndarray) -> np.ndarray:
+    """By key, y and x; of equal rows (key, x, y), one."""
+    rows = rows[:, np.lexsort((rows[1], rows[2], rows[0]))]
+    fresh = np.ones(rows.shape[1], bool)
+    fresh[1:] = (rows[:3, 1:] != rows[:3, :-1]).any(0)
+    return rows[:, fresh]
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, sizes, sketches) -> pairs whose sizes and sketches allow the similarity, with the sketches' distance."""
+    """(a, b, sizes, sketches) -> pairs whose sizes and sketches allow the similarity."""
     for batch in batches:
-        keep, gaps = [], []
+        keep = []
         for k, (n, m, x, y) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(2, 6)), strict=True)):
-            if 4 * min(n, m) >= 3 * max(n, m) and (gap := sketch_distance(x, y)) <= (n + m) // 7:
+            if 4 * min(n, m) >= 3 * max(n, m) and sketch_distance(x, y) <= (n + m) // 7:
                 keep.append(k)
-                gaps.append(gap)
         kept = batch.take(pa.array(keep, pa.int64()))
-        yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(gaps, pa.int32())], ["a", "b", "gap"])
+        yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["a", "b"])
+
+
+def _linked(same: int, a: int, b: int) -> bool:
+    return 100 * same >= 75 * (a + b - same)
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs with their texts -> pairs with linked; sets of the second text are kept while it stays the same."""
+    """(a, b, texts) -> the linked pairs; the second text's set is kept while it stays the same."""
     last: tuple[int | None, np.ndarray] = (None, np.zeros(0, _U))
     for batch in batches:
-        a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        linked = []
-        for x, y, s, t in zip(a, b, _texts(batch, 2), _texts(batch, 3), strict=True):
-            if last[0] != y:
-                last = (y, shingles(t))
+        keep = []
+        for k, (b, s, t) in enumerate(zip(batch.column(1).to_pylist(), _texts(batch, 2), _texts(batch, 3), strict=True)):
+            if last[0] != b:
+                last = (b, shingles(t))
             one, two = shingles(s), last[1]
-            same = len(np.intersect1d(one, two, assume_unique=True))
-            linked.append(100 * same >= 75 * (len(one) + len(two) - same))
-            del x
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+            if _linked(len(np.intersect1d(one, two, assume_unique=True)), len(one), len(two)):
+                keep.append(k)
+        yield batch.take(pa.array(keep, pa.int64())).select(["a", "b"])
+
+
+_CENTRE = pa.schema([("up", pa.int64()), ("leader", pa.int64()), ("led", pa.binary()), ("centre", pa.binary())])
+_CENTRE_SQL = "up long, leader long, led binary, centre binary"
+
+
+def _centres(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(up, no, text) of a few members of each group, in the order of up -> the group's leader, its set, and the centre."""
+    now, held = None, []
+
+    def made() -> pa.RecordBatch:
+        values, times = np.unique(np.concatenate([s for _, s in held]), return_counts=True)
+        centre = values[2 * times > len(held)]
+        near = [(-len(np.intersect1d(s, centre, assume_unique=True)) / max(1, len(np.union1d(s, centre))), no, s) for no, s in held]
+        _, no, s = min(near, key=lambda x: x[:2])
+        return _batch(_CENTRE, 1, up=[now], leader=[no], led=[s.tobytes()], centre=[centre.tobytes()])
+
+    for batch in batches:
+        for up, no, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch, 2), strict=True):
+            if up != now:
+                if held:
+                    yield made()
+                now, held = up, []
+            held.append((no, shingles(t)))
+    if held:
+        yield made()
+
+
+_LIE = pa.schema([("up", pa.int64()), ("leader", pa.int64()), ("no", pa.int64()), ("linked", pa.bool_()), ("n", pa.int64()), ("p", pa.int64()), ("q", pa.int64()), ("key", pa.int64())])
+_LIE_SQL = "up long, leader long, no long, linked boolean, n long, p long, q long, key long"
+
+
+def _lies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(up, no, leader, text, leader's set, centre) -> how the member lies to the leader and the centre (key null), and a row
+    for each shingle outside the centre by which it joins again (key: that shingle within this group).
+    """
+    for batch in batches:
+        up, no, leader = (batch.column(k).to_numpy() for k in range(3))
+        lies, keys = [], []
+        for k, t in enumerate(_texts(batch, 3)):
+            one = shingles(t)
+            led, centre = (np.frombuffer(batch.column(c)[k].as_py(), _U) for c in (4, 5))
+            own = np.setdiff1d(one, centre, assume_unique=True)
+            linked = _linked(len(np.intersect1d(one, led, assume_unique=True)), len(one), len(led))
+            lies.append((linked, len(one), len(own), len(centre) - len(one) + len(own)))
+            keys.append(_mix(own[: len(one) // 4 + 1] ^ _mix(up[k : k + 1].view(_U))).view(np.int64))
+        if lies:
+            linked, n, p, q = (np.array(x) for x in zip(*lies, strict=True))
+            yield _batch(_LIE, len(lies), up=up, leader=leader, no=no, linked=linked, n=n, p=p, q=q)
+            counts = [len(x) for x in keys]
+            yield _batch(_LIE, sum(counts), up=np.repeat(up, counts), no=np.repeat(no, counts), linked=np.repeat(linked, counts), key=np.concatenate(keys))
+
+
+def _with(rows: DataFrame, table: DataFrame, on: dict[str, str], how: str = "inner") -> DataFrame:
+    """A join by value (rows' column: table's column) that no size estimate turns into a broadcast; Spark splits hot keys."""
+    held = table.withColumnsRenamed({c: f"__t_{c}" for c in on.values()}).hint("merge")
+    joined = rows.join(held, [F.col(a) == F.col(f"__t_{b}") for a, b in on.items()], how)
+    return joined.drop(*(f"__t_{b}" for b in on.values())) if how in ("inner", "left") else joined
 
 
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    one, two = texts.select(F.col("node").alias("na"), F.col("text").alias("ta")), texts.select(F.col("node").alias("nb"), F.col("text").alias("tb"))
-    both = pairs.join(one, F.col("a") == F.col("na")).join(two, F.col("b") == F.col("nb"))
-    return both.select("a", "b", "ta", "tb").mapInArrow(_verified, "a long, b long, linked boolean")
+    both = _with(pairs, texts.select("no", F.col("text").alias("ta")), {"a": "no"})
+    both = _with(both, texts.select("no", F.col("text").alias("tb")), {"b": "no"})
+    return both.select("a", "b", "ta", "tb").mapInArrow(_verified, "a long, b long")
+
+
+def _once(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+
+
+def _able(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs that sizes and sketches allow."""
+    both = _with(pairs, nodes.select("no", F.col("size").alias("sa"), F.col("sketch").alias("ka")), {"a": "no"})
+    both = _with(both, nodes.select("no", F.col("size").alias("sb"), F.col("sketch").alias("kb")), {"b": "no"})
+    return both.select("a", "b", "sa", "sb", "ka", "kb").mapInArrow(_near, "a long, b long")
+
+
+def _regroup(rows: DataFrame, parts: int, open_first: bool = False) -> DataFrame:
+    """Rows dealt by key (hot ones and documents by node), in order, to their pairs and large groups."""
+    by = F.when(F.col("hot") | F.col("key").isNull(), F.xxhash64("key", "x", "y")).otherwise(F.col("key"))
+    order = ["key", "y"] if open_first else ["key"]
+    return rows.repartition(parts, by).sortWithinPartitions(*order).mapInArrow(_groups(open_first), _GROUP_SQL)
+
+
+def _ring(lies: DataFrame) -> DataFrame:
+    """Pairs of one group that may be linked without a common shingle outside the centre: p + p' + |q - q'| <= d.
+
+    Places (p, q) are compared, not members: a group has no more of them than its centre's size allows.
+    """
+    inner = lies.filter(3 * F.col("p") <= F.col("n"))  # p <= d for the largest partner
+    cells = inner.select("up", "p", "q", "n", "linked").distinct()
+    other = cells.select(F.col("up").alias("u2"), *(F.col(c).alias(f"{c}2") for c in ("p", "q", "n", "linked")))
+    able = (F.col("p") + F.col("p2") + F.abs(F.col("q") - F.col("q2")) <= F.floor((F.col("n") + F.col("n2")) / 7)) & ~(F.col("linked") & F.col("linked2"))
+    first = (F.col("p") < F.col("p2")) | ((F.col("p") == F.col("p2")) & (F.col("q") <= F.col("q2")))
+    pairs = cells.join(other.hint("merge"), (F.col("up") == F.col("u2")) & first & able).select("up", "p", "q", "linked", "p2", "q2", "linked2")
+    one = _with(pairs, inner.select("up", "p", "q", "linked", F.col("no").alias("a")), {c: c for c in ("up", "p", "q", "linked")})
+    two = _with(one.select("up", "a", "p2", "q2", "linked2"), inner.select("up", "p", "q", "linked", F.col("no").alias("b")), {"up": "up", "p2": "p", "q2": "q", "linked2": "linked"})
+    return two.select("a", "b")
+
+
+def _round(large: DataFrame, texts: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
+    """Large groups (up, key, no) -> how their members lie to leader and centre, and the groups that they join by next."""
+    degree = large.groupBy("up", "no").agg(F.count(F.lit(1)).alias("degree"))
+    ranked = _with(large, degree, {"up": "up", "no": "no"})
+    common = ranked.groupBy("up", "key").agg(F.max(F.struct("degree", "no")).alias("first")).select("up", "key", F.col("first.no").alias("first"))
+    members = _with(large.select("up", "key", "no"), common, {"up": "up", "key": "key"}).select(F.xxhash64("up", "first").alias("up"), "no").distinct()
+    members = stage(members, "join-members")
+    order = W.partitionBy("up").orderBy(F.xxhash64("up", "no"), "no")
+    some = members.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= SAMPLE).select("up", "no")
+    some = _with(some, texts, {"no": "no"}).repartition(parts, "up").sortWithinPartitions("up", "no")
+    centres = stage(some.select("up", "no", "text").mapInArrow(_centres, _CENTRE_SQL), "join-centres")
+    both = _with(_with(members, texts, {"no": "no"}), centres, {"up": "up"}).filter("no <> leader")
+    lies = stage(both.select("up", "no", "leader", "text", "led", "centre").mapInArrow(_lies, _LIE_SQL), "join-lies")
+    rows = lies.filter("key IS NOT NULL").select(
+        "key", F.col("no").alias("x"), F.col("linked").cast("long").alias("y"), F.col("up").alias("z"), F.lit(False).alias("hot"),
+        *(F.lit(None).cast(t).alias(c) for c, t in (("id", "long"), ("size", "long"), ("sketch", "binary"))),
+    )
+    return lies.filter("key IS NULL"), stage(_regroup(rows, parts, True), "join-split")
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """-> (id, node, n) for each document, and the links (a, b) between different nodes that make their components.
+    """-> (id, x, y, n, no) for each document (no: its node's number, null where nothing may be linked with it), and the
+    links (a, b) between numbers that make the components.
 
-    Links within one large group are found up to connectivity: a member is linked to leaders, not to every member.
+    Links within one large group are found up to connectivity: two members that are linked with its leader are not compared.
     """
     spark = docs.sparkSession
     work = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     some = work.filter(F.pmod(F.xxhash64("text"), F.lit(HOT_RATE)) == 0).select("text")
-    often = some.mapInArrow(_all_parts, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= HOT_TIMES)
+    often = some.mapInArrow(_all_parts, "key long, x long").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"))
+    often = often.filter((F.col("n") >= HOT_TIMES) & (F.col("x0") < F.col("x1")))
     # at most HOT_MOST keys; they order work and decide nothing
     hot = np.sort(np.array([r.key for r in often.orderBy(F.desc("n"), "key").limit(HOT_MOST).select("key").collect()], np.int64).view(_U))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = work.mapInArrow(_rows_of(hot), _SCHEMA).repartition(4 * parts, F.when(F.col("size").isNull(), F.col("key")).otherwise(F.xxhash64("node")))
-    grouped = stage(dealt.mapInArrow(_groups, "group long, a long, b long, size long, sketch binary"), "join-groups")
-    del dealt
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    grouped = stage(_regroup(work.mapInArrow(_rows_of(hot), _ROW_SQL), parts), "join-groups")
     release(spark)
-    sets = grouped.filter("size IS NOT NULL").select(F.col("b").alias("id"), F.col("a").alias("node"), F.col("size").alias("n"))
-    members = stage(grouped.filter("group IS NOT NULL").select("group", F.col("a").alias("node")).distinct(), "join-members")
-    small = grouped.filter("group IS NULL AND size IS NULL").select("a", "b").distinct()
-
-    # one document, and one sketch, for each node that any group names
-    named = small.select(F.explode(F.array("a", "b")).alias("node")).union(members.select("node")).distinct()
-    found = grouped.filter("size > 0").groupBy(F.col("a").alias("node")).agg(F.min_by("b", F.struct(F.col("b").isNull(), F.col("b"))).alias("pid"), F.max("size").alias("size"), F.max("sketch").alias("sketch"))
-    nodes = stage(found.join(named, "node", "left_semi"), "join-nodes")
-
-    def able(pairs: DataFrame) -> DataFrame:
-        """Pairs that sizes and sketches allow, each once, with the sketches' distance."""
-        x = nodes.select(F.col("node").alias("xa"), F.col("size").alias("sa"), F.col("sketch").alias("ka"))
-        y = nodes.select(F.col("node").alias("xb"), F.col("size").alias("sb"), F.col("sketch").alias("kb"))
-        once = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
-        near = once.join(x, F.col("a") == F.col("xa")).join(y, F.col("b") == F.col("xb"))
-        return near.select("a", "b", "sa", "sb", "ka", "kb").mapInArrow(_near, "a long, b long, gap int")
-
-    degree = stage(members.groupBy("node").agg(F.count(F.lit(1)).alias("degree")), "join-degrees")
-
-    def led(rest: DataFrame, first: int, last: int) -> DataFrame:
-        """(group, node) -> pairs of each member with the group's leaders, ranked by degree from first to last."""
-        order = W.partitionBy("group").orderBy(F.desc("degree"), "node")
-        ranked = rest.join(degree, "node").withColumn("k", F.row_number().over(order)).filter(F.col("k").between(first, last))
-        return rest.alias("m").join(ranked.select(F.col("group").alias("g"), F.col("node").alias("leader"), "k"), F.col("group") == F.col("g"))
-
-    pairs = small.union(led(members, 1, 1).select(F.col("m.node").alias("a"), F.col("leader").alias("b")))
-    near = stage(able(pairs), "join-near")
-
-    # texts of the nodes in pairs that are left; large groups may yet add pairs, so theirs come too
-    wanted = near.select(F.explode(F.array("a", "b")).alias("node")).union(members.select("node")).distinct()
-    picked = nodes.join(wanted, "node", "left_semi").select(F.col("node").alias("pn"), "pid")
-    holders = work.join(picked.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("pid"))).select(F.col("pn").alias("node"), "text")
-    texts = stage(_right_text(holders).dropDuplicates(["node"]) if _repeated(sets) else holders, "join-texts")
+    sets = grouped.filter("size IS NOT NULL").select("id", "x", "y", F.col("size").alias("n"))
+    named = grouped.filter("size IS NULL").select(F.explode(F.array(F.struct("x", "y"), F.struct(F.col("bx").alias("x"), F.col("by").alias("y")))).alias("at")).select("at.*").filter("x IS NOT NULL").distinct()
+
+    # a number, one document and one sketch for each node that any group names
+    found = _with(grouped.filter("size > 0").select("x", "y", "id", "size", "sketch"), named, {"x": "x", "y": "y"}, "left_semi")
+    found = found.groupBy("x", "y").agg(F.min_by("id", F.struct(F.col("id").isNull(), F.col("id"))).alias("pid"), F.max("size").alias("size"), F.max("sketch").alias("sketch"))
+    nodes = stage(found.withColumn("no", F.monotonically_increasing_id()), "join-nodes")
+    number = nodes.select("x", "y", "no")
+    pairs = grouped.filter("bx IS NOT NULL").select("x", "y", "bx", "by").distinct()
+    pairs = _with(_with(pairs, number.withColumnRenamed("no", "a"), {"x": "x", "y": "y"}), number.withColumnRenamed("no", "b"), {"bx": "x", "by": "y"}).select("a", "b")
+    near = stage(_able(_once(pairs), nodes), "join-near")
+    large = _with(grouped.filter("key IS NOT NULL").select("key", "x", "y"), number, {"x": "x", "y": "y"})
+    large = stage(large.select(F.lit(0).cast("long").alias("up"), "key", "no"), "join-large")
+
+    # the texts of nodes in pairs that are left and of those in large groups, which may yet add pairs
+    wanted = near.select(F.explode(F.array("a", "b")).alias("no")).union(large.select("no")).distinct()
+    picked = _with(nodes.select("no", "x", "y", "pid"), wanted, {"no": "no"}, "left_semi")
+    holders = work.join(picked.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("pid"))).select("no", "x", "y", "text")
+    texts = stage((_right_text(holders).dropDuplicates(["no"]) if _repeated(sets) else holders).select("no", "text"), "join-texts")
     release(spark)
 
-    # first each node with the one its sketch is nearest to; then pairs that still join different components
-    both = near.union(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "gap"))
-    first = both.groupBy("a").agg(F.min_by("b", F.struct("gap", "b")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tried = stage(_verify(first, texts), "join-verified")
-    release(spark)
-    part = components(tried.filter("linked").select("a", "b"))
-    ca, cb = part.select(F.col("node").alias("na"), F.col("component").alias("ca")), part.select(F.col("node").alias("nb"), F.col("component").alias("cb"))
-    open_pairs = near.select("a", "b").join(ca, F.col("a") == F.col("na"), "left").join(cb, F.col("b") == F.col("nb"), "left").filter("ca IS NULL OR cb IS NULL OR ca <> cb").select("a", "b")
-    open_pairs = open_pairs.join(tried.select(F.col("a").alias("ta_"), F.col("b").alias("tb_")), (F.col("a") == F.col("ta_")) & (F.col("b") == F.col("tb_")), "left_anti")
-    tried = tried.union(stage(_verify(open_pairs, texts), "join-verified"))
-    rest, round_, seen = members, 0, -1
-    while not rest.isEmpty():
+    links, more = [], [near]
+    while not large.isEmpty():
+        lies, split = _round(large, texts, parts)
+        links.append(lies.filter("linked").select(F.col("leader").alias("a"), F.col("no").alias("b")))
+        more.append(split.filter("bx IS NOT NULL").select(F.col("x").alias("a"), F.col("bx").alias("b")))
+        more.append(_ring(lies))
+        large = split.filter("key IS NOT NULL").select(F.col("z").alias("up"), "key", F.col("x").alias("no"))
         release(spark)
-        linked = tried.filter("linked").count()
-        if linked != seen:
-            part, seen = components(tried.filter("linked").select("a", "b")), linked
-        placed = rest.join(part.select(F.col("node").alias("pn"), "component"), F.col("node") == F.col("pn"), "left").select("group", "node", F.coalesce("component", "node").alias("component"))
-        placed = stage(placed, "join-placed")
-        mixed = placed.groupBy("group").agg((F.min("component") < F.max("component")).alias("mixed"), F.count(F.lit(1)).alias("members")).filter("mixed").select("group", "members")
-        open_ = stage(placed.join(mixed, "group"), "join-open")
-        of = open_.select(F.col("group").alias("og"), F.col("node").alias("on"), F.col("component").alias("oc"))
-        few = open_ if round_ >= ROUNDS else open_.filter(F.col("members") <= FEW)
-        apart = few.join(of, (F.col("group") == F.col("og")) & (F.col("node") < F.col("on")) & (F.col("component") != F.col("oc"))).select(F.col("node").alias("a"), F.col("on").alias("b"))
-        rest = open_.filter(F.col("members") > FEW).select("group", "node") if round_ < ROUNDS else rest.limit(0)
-        if not rest.isEmpty():
-            ahead = led(rest, 1, LEADERS).select(F.col("m.group").alias("group"), F.col("m.node").alias("a"), F.col("leader").alias("b"))
-            own = ahead.join(of, (F.col("group") == F.col("og")) & (F.col("a") == F.col("on"))).select("group", "a", "b", F.col("oc").alias("ca"))
-            apart = apart.union(own.join(of, (F.col("group") == F.col("og")) & (F.col("b") == F.col("on"))).filter("ca <> oc").select("a", "b"))
-            leaders = stage(ahead.select(F.col("group").alias("lg"), F.col("b").alias("ln")).distinct(), "join-leaders")
-            rest = stage(rest.join(leaders, (F.col("group") == F.col("lg")) & (F.col("node") == F.col("ln")), "left_anti"), "join-rest")
-        fresh = able(apart).select("a", "b").join(tried.select(F.col("a").alias("ta_"), F.col("b").alias("tb_")), (F.col("a") == F.col("ta_")) & (F.col("b") == F.col("tb_")), "left_anti")
-        tried = tried.union(stage(_verify(fresh, texts), "join-verified"))
-        round_ += 1
-    return sets, tried.filter("linked").select("a", "b")
+    found = near
+    if len(more) > 1:
+        fresh = more[1]
+        for x in more[2:]:
+            fresh = fresh.union(x)
+        found = _once(near.union(stage(_able(_once(fresh), nodes), "join-near")))
+    linked = stage(_verify(found, texts), "join-verified")
+    for x in links:
+        linked = linked.union(x)
+    return _with(sets, number, {"x": "x", "y": "y"}, "left"), linked
 
 
 def _repeated(sets: DataFrame) -> bool:
     """Whether any id comes with different sets."""
-    return not sets.groupBy("id").agg((F.min("node") < F.max("node")).alias("mixed")).filter("mixed").isEmpty()
+    return not sets.groupBy("id").agg(((F.min("x") < F.max("x")) | (F.min("y") < F.max("y"))).alias("mixed")).filter("mixed").isEmpty()
 
 
 def _right_text(holders: DataFrame) -> DataFrame:
@@ -392,24 +510,51 @@ def _right_text(holders: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [set_id(shingles(t)) == node for node, t in zip(batch.column(0).to_pylist(), _texts(batch, 1), strict=True)]
+            wanted = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            keep = [set_id(shingles(t)) == node for node, t in zip(wanted, _texts(batch, 3), strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return holders.mapInArrow(run, "node long, text string")
+    return holders.mapInArrow(run, "no long, x long, y long, text string")
 
 
-def group_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """-> id, n_shingles, component_id (the least id reachable by links) for each document."""
+def _placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """-> id, x, y, n, c (the same for a component's documents, null for empty sets), least (its least id)."""
     sets, links = similar(docs, id_col, text_col)
     part = components(links)
-    joined = sets.join(part.withColumnRenamed("node", "pn"), F.col("node") == F.col("pn"), "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("component", "node")).alias("c"))
-    joined = stage(joined, "join-components")
-    least = joined.filter("c is not null").groupBy("c").agg(F.min("id").alias("least")).withColumnRenamed("c", "lc")
-    return joined.join(least, F.col("c") == F.col("lc"), "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
+    joined = _with(sets, part, {"no": "node"}, "left")
+    zero, none = F.lit(0).cast("long"), F.col("component").isNull()
+    whole = F.struct(F.when(none, F.col("x")).otherwise(zero).alias("x"), F.when(none, F.col("y")).otherwise(zero).alias("y"), F.coalesce("component", F.lit(-1)).alias("of"))
+    joined = stage(joined.select("id", "x", "y", "n", F.when(F.col("n") > 0, whole).alias("c")), "join-components")
+    least = joined.filter("c IS NOT NULL").groupBy("c").agg(F.min("id").alias("least"))
+    return _with(joined, least, {"c": "c"}, "left")
+
+
+def group_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """-> id, n_shingles, component_id (the least id reachable by links) for each document."""
+    placed = _placed(docs, id_col, text_col)
+    return placed.select("id", F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component, that with the least id (rows that share this id all stay)."""
-    named = spare(docs, "id")
-    kept = group_similar(docs, id_col, text_col).filter(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias(named))
-    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col(named)), "left_semi")
+    """docs with one row of each component: that with the least id, of rows that repeat it with the least hash of the row.
+    Documents with an empty set are linked with nothing and all stay.
+    """
+    placed = _placed(docs, id_col, text_col)
+    kept = placed.filter(F.col("c").isNull() | F.col("id").eqNullSafe(F.col("least")))
+    named, x, y, order = (spare(docs, k) for k in ("id", "x", "y", "order"))
+    number = F.col(id_col).cast("long")
+    if placed.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").isEmpty():
+        return docs.join(kept.select(F.col("id").alias(named)), number.eqNullSafe(F.col(named)), "left_semi")
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [set_id(shingles(t)) for t in _texts(batch, at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([n[k] for n in names], pa.int64()) for k in (0, 1))], [*batch.schema.names, x, y])
+
+    rows = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(x, T.LongType()), T.StructField(y, T.LongType())]))
+    first = kept.filter("c IS NOT NULL").groupBy("c").agg(F.min(F.struct("id", "x", "y")).alias("first")).select(F.col("first.id").alias(named), F.col("first.x").alias("__x"), F.col("first.y").alias("__y"))
+    ours = rows.join(first, number.eqNullSafe(F.col(named)) & (F.col(x) == F.col("__x")) & (F.col(y) == F.col("__y")), "left_semi")
+    ranked = ours.withColumn(order, F.row_number().over(W.partitionBy(id_col, x, y).orderBy(F.xxhash64(*docs.columns))))
+    empty = rows.filter((F.col(x) == 0) & (F.col(y) == 0))
+    return ranked.filter(F.col(order) == 1).select(*docs.columns).union(empty.select(*docs.columns))
