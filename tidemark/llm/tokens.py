@@ -3,11 +3,15 @@
 A byte-level pre-tokenizer of this family never lets a token cross the place before a single space that a
 non-space follows. Texts are cut there, each distinct piece is encoded once for each Python worker, and a
 document's ids are gathered from the memo. The memo starts anew when it is full, so memory is bounded and
-results never depend on it.
+results never depend on it. Ids are those of the library's encode(text, add_special_tokens=False): a text that
+holds an added token's own string, and every text where the file describes another kind of tokenizer, goes to it whole.
+
+Defined cases: an empty text has no ids; a text of any length is held in memory once, with its ids.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from functools import lru_cache
@@ -32,7 +36,13 @@ class Encoder:
     def __init__(self, path: str, most: int = 300_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # a control string in a text is ordinary text
+        with open(path, encoding="utf-8") as file:
+            about = json.load(file)
+        strings = [re.escape(t["content"]) for t in about.get("added_tokens") or []]
+        self.added = re.compile("|".join(strings)) if strings else None
+        before = about.get("pre_tokenizer") or {}
+        cut_alike = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
+        self.by_words = bool(cut_alike and about["model"]["type"] == "BPE" and not about.get("normalizer") and not about["model"].get("dropout"))
         self.model, self.most = self.tokenizer.model, most
         self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
         self.memo, self.parts = _Memo(self), _Parts(self)
@@ -42,7 +52,10 @@ class Encoder:
         parts = _PARTS.findall(piece)
         if sum(map(len, parts)) == len(piece):
             return b"".join([self.parts[x] for x in parts])
-        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        return self.whole(piece)
+
+    def whole(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return pack(f"<{len(ids)}I", *ids)
 
     def part(self, x: str) -> bytes:
@@ -52,6 +65,8 @@ class Encoder:
     def one(self, text: str) -> bytes:
         if not text:
             return b""
+        if not self.by_words or self.added and self.added.search(text):
+            return self.whole(text)
         memo = self.memo
         if len(memo) > self.most:
             self.older = dict(memo)  # words that come again move back from here
