@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
+from functools import cache
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,12 +19,20 @@ _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
+    """The folder that driver and executors share; a folder of this machine only where the session names none and its
+    executors are threads of the driver.
+    """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="stages-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    if named:
+        return named
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return _own_folder()
+
+
+@cache
+def _own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="stages-")
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -70,8 +80,10 @@ def spare(df: DataFrame, stem: str) -> str:
     return next(x for i in _fresh if (x := f"__{stem}_{i}") not in taken)
 
 
-def hashed_sample(docs: DataFrame, key: str, most: int) -> DataFrame:
-    """About `most` rows (never over twice that), chosen by a hash of the key: reruns agree, and no partition sends more."""
+def hashed_sample(docs: DataFrame, most: int) -> DataFrame:
+    """About `most` distinct rows, chosen by a hash of all their columns: reruns agree, and no partition sends more than its
+    share. Equal rows count once.
+    """
     n = docs.count()
-    share = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, most / max(n, 1))))
-    return docs.filter(share).limit(2 * most)
+    share = F.pmod(F.xxhash64(*docs.columns), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, most / max(n, 1))))
+    return docs.filter(share).dropDuplicates()

@@ -6,8 +6,9 @@ drawn by Pareto order sampling: documents with inclusion odds p/(1-p) and random
 quotient, and the lowest ranks are taken until the words come nearest to the target. u is a hash of the document id
 and a seed, so reruns agree and no shuffle order matters.
 
-No source is gathered: ranks are cut through sums over (source, slice of the score), and only the one slice in which
-a source's target falls is ordered row by row.
+No source is gathered: ranks are cut through sums over (source, slice of the score), once more within the slice in which
+the source's target falls, and only the one slice of 2 ** BITS that is left is ordered row by row. Sources themselves, one
+row each, are ordered in one task.
 
 Defined cases: a null source is a source of its own, last in code point order; a null or wordless text has size 0 and
 is never taken; a null id hashes as the text "null"; rows equal in source, score and id are taken together; an empty
@@ -20,10 +21,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import n_words, stage
+from .common import n_words, spare, stage
 
 MOST = 3.0
-SLICES = 4096
+SLICE_BITS, BITS = 12, 24
 
 
 def sized(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -67,45 +68,51 @@ def _uniform(id_col: str, seed: int) -> Column:
 
 
 def mix(docs: DataFrame, weight: Column | None = None, most: float = MOST, seed: int = 7, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """docs (with a column size) -> docs with source_size, target, copies (how often the mix takes the document)."""
-    work = docs.drop("source_size", "target", "copies")
-    if {"__c", "__p", "__t"} & set(work.columns):
-        raise ValueError("columns __c, __p and __t are used inside")
-    narrow = work.select(F.col(id_col), F.col(source_col), "size")
-    plan = stage(targets(narrow, weight, most, source_col), "mix-targets")
+    """docs (with a column size) -> docs with source_size, target, copies (how often the mix takes the document).
+
+    Columns of docs with these three names are replaced; all others are kept, whatever they are called.
+    """
+    kept = [c for c in docs.columns if c not in ("source_size", "target", "copies")]
+    own = [F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col("size").cast("long").alias("size")]
+    narrow = docs.select(*own)
+    plan = stage(targets(narrow, weight, most), "mix-targets")
 
     def scored(rows: DataFrame, drawn: DataFrame) -> DataFrame:
-        held = rows.alias("d").join(drawn.withColumnRenamed(source_col, "__source"), F.col(source_col).eqNullSafe(F.col("__source")), "left").drop("__source")
-        rate = F.col("target") / F.col("source_size")
-        whole = F.when(F.col("source_size") > 0, F.floor(rate)).otherwise(0)
+        """Rows with whole copies, the words that the source still needs, and a score where the row may be drawn."""
+        held = rows.join(drawn.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+        whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
         rest = F.col("target") - whole * F.col("source_size")
         p = F.least(F.lit(1.0), F.when(F.col("tilt") > 0, rest * _tilt() / F.col("tilt")).otherwise(0.0))
-        u = _uniform(id_col, seed)
-        odds = u / (1.0 - u) * (1.0 - F.col("__p")) / F.col("__p")
-        held = held.withColumn("__c", whole.cast("long")).withColumn("__rest", rest).withColumn("__p", p)
-        return held.withColumn("__t", F.when((F.col("__p") > 0) & (F.col("size") > 0), odds / (1.0 + odds)))
-
-    lots = scored(narrow, plan).filter(F.col("__t").isNotNull()).withColumn("__slice", F.floor(F.col("__t") * SLICES))
-    sums = lots.groupBy(source_col, "__slice").agg(F.sum("size").alias("__sum"), F.first("__rest").alias("__rest"))
-    upto = sums.withColumn("__before", F.sum("__sum").over(W.partitionBy(source_col).orderBy("__slice")) - F.col("__sum"))
-    edge = upto.filter((F.col("__before") <= F.col("__rest")) & (F.col("__rest") < F.col("__before") + F.col("__sum")))
-    edge = stage(edge.select(F.col(source_col).alias("__source"), F.col("__slice").alias("__edge"), "__before"), "mix-edges")
-    inside = lots.join(edge, F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("__slice") == F.col("__edge")))
-    order = W.partitionBy(source_col).orderBy("__t", F.col(id_col).asc_nulls_first(), "size")
-    reach = F.col("__before") + F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("size") / 2.0
-    taken = inside.withColumn("__reach", reach).filter(F.col("__reach") <= F.col("__rest"))
-    last = F.max(F.struct(F.col("__t").alias("t"), F.col(id_col).alias("id")))
-    cut = taken.groupBy("__source").agg(last.alias("__last"))
+        u = _uniform("id", seed)
+        odds = u / (1.0 - u) * (1.0 - F.col("p")) / F.col("p")
+        held = held.withColumn("whole", whole.cast("long")).withColumn("rest", rest).withColumn("p", p)
+        held = held.withColumn("score", F.when((F.col("p") > 0) & (F.col("size") > 0), odds / (1.0 + odds)))
+        return held.withColumn("place", F.floor(F.col("score") * float(1 << BITS)).cast("long"))
+
+    lots = scored(narrow, plan).filter(F.col("score").isNotNull())
+    # where each source's target falls: a slice of the score, then a slice of that one
+    edge, inside = None, lots.withColumn("before", F.lit(0).cast("long"))
+    for left in range(BITS - SLICE_BITS, -1, -SLICE_BITS):
+        slices = inside.groupBy("source", F.shiftright("place", left).alias("slice")).agg(F.sum("size").alias("sum"), F.first("rest").alias("rest"), F.first("before").alias("before"))
+        until = F.col("before") + F.sum("sum").over(W.partitionBy("source").orderBy("slice"))
+        found = slices.withColumn("until", until).filter((F.col("until") - F.col("sum") <= F.col("rest")) & (F.col("rest") < F.col("until")))
+        edge = stage(found.select(F.col("source").alias("of"), F.col("slice").alias("edge"), (F.col("until") - F.col("sum")).alias("before")), "mix-edges")
+        inside = lots.join(edge, F.col("source").eqNullSafe(F.col("of")) & (F.shiftright("place", left) == F.col("edge")))
+    order = W.partitionBy("source").orderBy("score", F.col("id").asc_nulls_first(), "size")
+    reach = F.col("before") + F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("size") / 2.0
+    taken = inside.withColumn("reach", reach).filter(F.col("reach") <= F.col("rest"))
+    cut = taken.groupBy("of").agg(F.max(F.struct("score", "id")).alias("last")).withColumnRenamed("of", "cut_of")
     # a source without an edge is taken whole; one with an edge but no row before it stops at the slice's start
-    cut = stage(edge.join(cut.withColumnRenamed("__source", "__s"), F.col("__source").eqNullSafe(F.col("__s")), "left").select("__source", "__edge", "__last"), "mix-cuts")
-    drawn = plan.join(cut, F.col(source_col).eqNullSafe(F.col("__source")), "left").drop("__source")
-    me = F.struct(F.col("__t").alias("t"), F.col(id_col).alias("id"))
-    slice_ = F.floor(F.col("__t") * SLICES)
-    chosen = F.when(F.col("__t").isNull(), False).when(F.col("__edge").isNull(), F.lit(True)).when(slice_ < F.col("__edge"), True).otherwise((slice_ == F.col("__edge")) & F.coalesce(me <= F.col("__last"), F.lit(False)))
-    out = scored(work, drawn).withColumn("copies", F.when(F.col("size") > 0, F.col("__c") + chosen.cast("long")).otherwise(0).cast("long"))
-    return out.drop("tilt", "weight", "__c", "__p", "__t", "__rest", "__edge", "__last")
+    cut = stage(edge.join(cut, F.col("of").eqNullSafe(F.col("cut_of")), "left").select("of", "edge", "last"), "mix-cuts")
+    drawn = plan.join(cut, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+    slice_, me = F.col("place"), F.struct("score", "id")
+    chosen = F.when(F.col("score").isNull(), False).when(F.col("edge").isNull(), F.lit(True)).when(slice_ < F.col("edge"), True).otherwise((slice_ == F.col("edge")) & F.coalesce(me <= F.col("last"), F.lit(False)))
+    copies = F.when(F.col("size") > 0, F.col("whole") + chosen.cast("long")).otherwise(0).cast("long")
+    out = scored(docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), *own), drawn).withColumn("copies", copies)
+    return out.select("row.*", "source_size", "target", "copies")
 
 
 def repeat(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """The mix itself: a row for each copy."""
-    return mixed.filter("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*columns)
+    copy = spare(mixed, "copy")
+    return mixed.filter("copies > 0").withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*(f"`{c}`" for c in columns))

@@ -244,7 +244,8 @@ def _groups(open_first: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((4, 0), np.int64)
-        running = few = None  # the key of the group that may go on: a large one, or one whose open rows are all known
+        running = known = None  # the key of the group that may go on: a large one, or one whose open rows are all known
+        few = held
 
         for b in batches:
             is_doc = b.column(6).is_valid()
@@ -259,7 +260,7 @@ def _groups(open_first: bool):
             if running is not None and (going := rows[0] == running).any():
                 yield large(rows[:, going])
                 rows = rows[:, ~going]
-            if few is not None and (going := rows[0] == few[0, 0]).any():
+            if known is not None and (going := rows[0] == known).any():
                 n, more = few.shape[1], np.concatenate([few, rows[:, going]], 1)
                 at = np.arange(n, more.shape[1])
                 yield pairs(more, np.tile(np.arange(n), len(at)), np.repeat(at, n))
@@ -277,7 +278,7 @@ def _groups(open_first: bool):
                 held = held[:, :0]
             elif n < held.shape[1]:  # rows of y = 1 have come, so all of y = 0 are here
                 yield from closed(held)
-                few, held = held[:, :n], held[:, :0]
+                known, few, held = int(held[0, 0]), held[:, :n], held[:, :0]
         yield from closed(held)
 
     return run

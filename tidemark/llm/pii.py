@@ -15,6 +15,7 @@ run, windows go in batches); rows are judged one by one; an empty sample gives t
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,6 +29,7 @@ from .common import hashed_sample
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS = 1500
 SAMPLE_WINDOWS = 3000
+WRITINGS = 4  # windows at each place, with other values written in
 WIDTH, STRIDE, UNITS = 64, 32, 12
 N_TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
 
@@ -95,11 +97,13 @@ def _classes() -> np.ndarray:
     table[[ord(c) for c in "0123456789"]] = 4
     for k, c in enumerate("@.+-() \n,_%:/"):
         table[ord(c)] = 5 + k
+    table[ord("0")] = N_CLASSES - 1  # many phone numbers begin with it
     return table
 
 
+N_CLASSES = 19  # 0 is beyond the text
 _CLASS = _classes()
-N_CLASSES = 18  # 0 is beyond the text
+_SPACE = int(_CLASS[32])
 
 
 def _encoded(text: str) -> np.ndarray:
@@ -160,12 +164,13 @@ def _back_lstm(x: np.ndarray, wh: np.ndarray, kept: list, grad: np.ndarray, n_cl
     n, width, u = grad.shape
     gx, gh, gb = np.zeros((n_classes, 4 * u), np.float32), np.zeros_like(wh), np.zeros(4 * u, np.float32)
     dh = dc = np.zeros((n, u), np.float32)
+    each = np.eye(n_classes, dtype=np.float32)
     for k in range(width - 1, -1, -1):
         i, f, o, g, tc, (h0, c0) = kept[k]
         dh = dh + grad[:, k]
         dc = dc + dh * o * (1 - tc * tc)
         dz = np.concatenate([dc * g * i * (1 - i), dc * c0 * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g * g)], 1)
-        np.add.at(gx, x[:, k], dz)
+        gx += each[x[:, k]].T @ dz
         gh += h0.T @ dz
         gb += dz.sum(0)
         dh, dc = dz @ wh.T, dc * f
@@ -230,37 +235,61 @@ def tags_of(n: int, spans: list[tuple[int, int, int]]) -> np.ndarray:
     return tags
 
 
+#: Layouts that are written into training windows: "d" is any digit, "C" a digit of a card number. The second list is harmless.
+LAYOUTS = {
+    "phone": (
+        "(ddd) ddd-dddd", "(ddd) ddd dddd", "(ddd)ddd-dddd", "ddd-ddd-dddd", "ddd ddd dddd", "+dd ddd ddd dddd", "+d (ddd) ddd-dddd", "+dd-ddd-ddddddd",
+        "0dd dddd dddd", "0ddd ddd ddd", "0ddd-dddddd", "dd dd dd dd dd", "00dd ddd dddddd", "d-ddd-ddd-dddd", "d (ddd) ddd-dddd", "ddd.ddd.dddd", "dd.dd.dd.dd.dd",
+        "(0ddd) dddddd", "0dddd/dddddd", "0dd ddddddd", "0dddd dddddd", "0ddd ddd dddd", "0ddd-dddd-ddd", "00dd dd dddd dddd", "ddd/ddd-dddd", "+dd (d) ddd dddddd",
+    ),
+    "card": (
+        "CCCCCCCCCCCCCCCC", "CCCC CCCC CCCC CCCC", "CCCC-CCCC-CCCC-CCCC", "CCCC.CCCC.CCCC.CCCC", "CCCC/CCCC/CCCC/CCCC", "CCCC_CCCC_CCCC_CCCC", "CCCC CCCCCC CCCCC",
+        "CCCC-CCCCCC-CCCCC", "CCCC.CCCCCC.CCCCC", "CCCC:CCCC:CCCC:CCCC", "CCCCCC CCCCCCCCCC", "CCCC  CCCC  CCCC  CCCC", "CCCC CCCC CCCC CCC",
+    ),
+    "ip": ("n.n.n.n",),
+    "email": ("w.w@w.w", "w@w.w", "wd@w.w.w"),
+}
+HARMLESS = (
+    "dddd-dd-dd", "dd/dd/dddd", "dd.dd.dddd", "dd:dd:dd", "dd:dd", "d.dd", "dddd", "ddddd", "d,ddd,ddd", "d.d.d", "dd%", "ddd-ddd", "dddd-dddd", "n.n.n", "No. ddddd", "p. ddd-ddd",
+    "dddd/dd", "@w", "w@", "w @ w", "dd x dd", "dddd dddd", "ddddddd", "d d d d", "$ddd.dd", "#dddd", "dd-dd",
+)
+
+
+def filled(layout: str, rng: np.random.Generator) -> str:
+    """A layout with random digits, words (w) and numbers to 255 (n); card digits pass Luhn."""
+    out = [str(rng.integers(10)) if c in "dC" else str(rng.integers(256)) if c == "n" else "".join(rng.choice(list("abcdefgiklmnoprstu"), int(rng.integers(2, 8)))) if c == "w" else c for c in layout]
+    at = [k for k, c in enumerate(layout) if c == "C"]
+    if at:
+        out[at[0]] = "4"
+        out[at[-1]] = next(k for k in "0123456789" if luhn("".join(out[i] for i in at[:-1]) + k))
+    return "".join(out)
+
+
 def _variants(rng: np.random.Generator) -> tuple[str, int]:
-    """A span in a layout that the base rules may not know, and its kind."""
-    d = lambda n: "".join(map(str, rng.integers(0, 10, n)))
-    kind = int(rng.integers(0, 4))
-    if kind == 0:
-        return f"{d(2)}.{'abcdefgh'[int(rng.integers(8))]}@mail{d(1)}.example.org", 0
-    if kind == 1:
-        return ".".join(str(int(x)) for x in rng.integers(0, 256, 4)), 1
-    if kind == 2:
-        body = "4" + d(14)
-        body += next(str(k) for k in range(10) if luhn(body + str(k)))
-        return "".join(body) if rng.random() < 0.4 else rng.choice([" ", "-", "."]).join(body[k : k + 4] for k in range(0, 16, 4)), 2
-    return str(rng.choice([f"({d(3)}) {d(3)}-{d(4)}", f"+{d(2)} {d(3)} {d(3)} {d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"+1 ({d(3)}) {d(3)}-{d(4)}"])), 3
+    """A value in one of the layouts, and its kind; -1 is none."""
+    kind = int(rng.choice(5, p=[0.06, 0.08, 0.26, 0.34, 0.26]))
+    layouts = HARMLESS if kind == 4 else LAYOUTS[KINDS[kind]]
+    return filled(layouts[int(rng.integers(len(layouts)))], rng), -1 if kind == 4 else kind
 
 
 def training_windows(texts: list[str], seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Labelled windows around the sample's digits and at-signs, half of them with a further span written in."""
+    """Labelled windows around the sample's digits and at-signs, most of them with one or two further values written in."""
     rng, xs, ys = np.random.default_rng(seed), [], []
     for text in texts:
         spans = base_spans(text)
         classes, tags = _encoded(text), tags_of(len(text), spans)
         ends = [b for _, _, b in spans]
-        for at in [m.start() for m in _TRIGGER.finditer(text)][::9][:20] + ends[:6]:
+        for at in ([m.start() for m in _TRIGGER.finditer(text)][::9][:20] + ends[:6]) * WRITINGS:
             lo = max(0, at - int(rng.integers(8, 56)))
             x, y = classes[lo : lo + WIDTH], tags[lo : lo + WIDTH]
-            if rng.random() < 0.5:
+            for _ in range(int(rng.integers(0, 3))):
                 value, kind = _variants(rng)
-                cut = int(rng.integers(0, max(1, len(x) - len(value))))
-                if not y[max(0, cut - 1) : cut + 1].any():
-                    x = np.concatenate([x[:cut], _encoded(" " + value + " "), x[cut:]])[:WIDTH]
-                    y = np.concatenate([y[:cut], [0], tags_of(len(value), [(0, kind, len(value))]), [0], y[cut:]])[:WIDTH]
+                gaps = np.flatnonzero((x[:-1] == _SPACE) & (y[:-1] == 0))  # a space that is in no span
+                cut = int(rng.choice(gaps)) + 1 if len(gaps) else 0
+                own = tags_of(len(value), [(0, kind, len(value))]) if kind >= 0 else np.zeros(len(value), np.int8)
+                mark = " " if rng.random() < 0.6 else str(rng.choice([". ", ", ", ") ", "\n", "; "]))
+                x = np.concatenate([x[:cut], _encoded(value + mark), x[cut:]])[:WIDTH]
+                y = np.concatenate([y[:cut], own, np.zeros(len(mark), np.int8), y[cut:]])[:WIDTH]
             xs.append(np.pad(x, (0, WIDTH - len(x))))
             ys.append(np.pad(y, (0, WIDTH - len(y))))
     order = rng.permutation(len(xs))[:SAMPLE_WINDOWS]
@@ -269,7 +298,7 @@ def training_windows(texts: list[str], seed: int = 3) -> tuple[np.ndarray, np.nd
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Tagger | None:
     """From the texts with a digit or "@" among about SAMPLE_DOCS documents, chosen by a hash of their ids."""
-    some = hashed_sample(docs, id_col, SAMPLE_DOCS).filter(F.col(text_col).rlike("[0-9@]")).select(text_col)
+    some = hashed_sample(docs.select(id_col, text_col), SAMPLE_DOCS).filter(F.col(text_col).rlike("[0-9@]")).select(text_col)
     x, y = training_windows(sorted(r[0] for r in some.collect()))
     return fit(x, y) if len(x) >= 20 else None
 
@@ -315,21 +344,32 @@ def tag_texts(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int, int
     return out
 
 
+def _whole_runs(text: str, a: int, b: int) -> tuple[int, int]:
+    """The span without marks or space at its ends, then with all of the digits that it begins or ends in."""
+    while a < b and not (text[a].isalnum() or text[a] in "+("):
+        a += 1
+    while a < b and not text[b - 1].isalnum():
+        b -= 1
+    while 0 < a < b and text[a] in "0123456789" and text[a - 1] in "0123456789":
+        a -= 1
+    while a < b < len(text) and text[b - 1] in "0123456789" and text[b] in "0123456789":
+        b += 1
+    return a, b
+
+
 def find(tagger: Tagger | None, texts: list[str]) -> list[tuple[list, list]]:
     """(base spans, all spans) of each text."""
     base = [base_spans(t) for t in texts]
     seen = tag_texts(tagger, texts) if tagger else [[] for _ in texts]
     out = []
     for text, own, more in zip(texts, base, seen, strict=True):
-        taken = sorted((a, b) for a, _, b in own)
-        starts = [a for a, _ in taken]
+        starts = [a for a, _, _ in own]
+        reach = np.maximum.accumulate([b for _, _, b in own]).tolist()  # the furthest end of the spans up to each
         added = []
         for a, kind, b in more:
-            b = min(b, len(text))
-            if a < 0 or b - a < 7 or not _fits(KINDS[kind], text[a:b]):
-                continue
-            k = int(np.searchsorted(starts, b)) if starts else 0
-            if not any(x < b and y > a for x, y in taken[max(0, k - 8) : k]):
+            a, b = _whole_runs(text, max(a, 0), min(b, len(text)))
+            k = bisect_left(starts, b)  # base spans that start before b
+            if a < b and _fits(KINDS[kind], text[a:b]) and (k == 0 or reach[k - 1] <= a):
                 added.append((a, kind, b))
         out.append((own, sorted(own + added)))
     return out

@@ -38,7 +38,7 @@ SHARD_BYTES = 8_000_000
 
 def train_dictionary(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> bytes:
     """From a bounded sample; empty if there is too little to learn from."""
-    few = hashed_sample(docs, id_col, SAMPLE).select(F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, 20_000).alias("t"))
+    few = hashed_sample(docs.select(id_col, text_col), SAMPLE).select(F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, 20_000).alias("t"))
     encode = encoder(tokenizer).one
     arrays = [_narrow(np.frombuffer(encode(t), "<u4"), True) for t in sorted(r.t for r in few.collect())]
     arrays = [x for x in arrays if len(x) > 8]
