@@ -6,12 +6,13 @@ looked for in the next shorter context, where the bytes already ruled out share
 equally likely. A text's code length under a language is the sum over its bytes; the shortest wins, and the score is
 the probability that code lengths give it among the languages.
 
-Statistics are frozen after training, so the cost of a byte after a context is one number. They are laid out as a table
-of (longest known context) x (byte class) x (language) in fixed point, and texts are scored as arrays: sums are whole
-numbers, so equal texts score alike in any batch.
+Statistics are frozen after training, so the cost of a byte after a context is one number, in fixed point. Contexts of up
+to two bytes are a table of (longest known context) x (byte) x (language); those of three bytes are sparse: a row for each
+byte that followed, and an escape for all others. Bytes that training never saw share one column, as nothing tells them
+apart. Texts are scored as arrays: sums are whole numbers, so equal texts score alike in any batch.
 
-Bounds: at most PER_LANGUAGE training texts for each language (those with the smallest hash of their id), ALPHABET byte
-classes, and CONTEXTS contexts of full depth, the most frequent ones. All texts are scored whole.
+Bound: at most PER_LANGUAGE training texts for each language (those with the smallest hash of their id); every context in
+them is kept, and all texts are scored whole.
 
 Defined cases: a null text, or one without a letter, is "und" with score 0; ties go to the language first in order;
 rows are scored one by one, so repeated rows agree; without training rows every text is "und".
@@ -30,8 +31,6 @@ from pyspark.sql import functions as F
 
 DEPTH = 3
 PER_LANGUAGE = 250
-ALPHABET = 112
-CONTEXTS = 16_000
 UNKNOWN = "und"
 _CHUNK = 1 << 19
 _POINT = 4096  # fixed point: a bit is this many units
@@ -70,16 +69,19 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 @dataclass
 class Model:
     languages: list[str]
-    classes: np.ndarray  # byte -> class; 0 is every byte that training did not keep
-    states: np.ndarray  # class x class x class -> longest known context
-    costs: np.ndarray  # context x class -> cost for each language
+    classes: np.ndarray  # byte -> class; 0 is every byte that training never saw
+    low: np.ndarray  # class x class -> longest known context of up to two bytes
+    low_costs: np.ndarray  # such a context x class -> cost for each language
+    full: np.ndarray  # class x class x class -> context of three bytes, or -1
+    after: np.ndarray  # such a context x class -> place in full_costs, or -1
+    full_costs: np.ndarray
+    escapes: np.ndarray  # such a context -> cost of leaving it, for each language
 
 
 def train(texts: DataFrame) -> Model:
     """From rows (lang, text), a bounded sample. Grams are counted on the executors."""
     counted = texts.mapInArrow(_grams, "lang string, n int, gram long, times long").groupBy("lang", "n", "gram").agg(F.sum("times").alias("times"))
-    counted = counted.filter((F.col("n") <= DEPTH) | (F.col("times") > 1)).toPandas()
-    return build(counted)
+    return build(counted.toPandas())
 
 
 def build(counted) -> Model:
@@ -87,61 +89,78 @@ def build(counted) -> Model:
     languages = sorted(counted["lang"].unique())
     code = {x: k for k, x in enumerate(languages)}
     by_n = {n: g for n, g in counted.groupby("n")}
-    classes = np.zeros(256, np.uint8)
+    classes = np.zeros(256, np.uint16)
     if not languages:
-        return Model([], classes, np.zeros((1, 1, 1), np.int32), np.zeros((1, 1, 0), np.int32))
-    common = by_n[1].groupby("gram")["times"].sum().sort_values(ascending=False, kind="stable").index[: ALPHABET - 1]
-    classes[np.sort(common.to_numpy())] = np.arange(1, len(common) + 1)
-    size = len(common) + 1
+        none = np.zeros((0, 0), np.int32)
+        return Model([], classes, np.zeros((1, 1), np.int32), none, np.full((1, 1, 1), -1, np.int32), none, none, none)
+    seen_bytes = np.unique(by_n[1]["gram"].to_numpy()) if 1 in by_n else np.zeros(0, np.int64)
+    classes[seen_bytes] = np.arange(1, len(seen_bytes) + 1)
+    size, width = len(seen_bytes) + 1, len(languages)
+    others = 256 - len(seen_bytes)
 
     def split(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Grams of n bytes: context (classes in base size), next class, language, times; contexts with class 0 go."""
+        """Grams of n bytes: context (classes in base size), next class, language, times."""
         g = by_n.get(n)
         if g is None:
             return (np.zeros(0, np.int64),) * 4
-        gram, context, known = g["gram"].to_numpy(), np.zeros(len(g), np.int64), np.ones(len(g), bool)
+        gram, context = g["gram"].to_numpy(), np.zeros(len(g), np.int64)
         for k in range(n - 1, 0, -1):
-            c = classes[(gram >> (8 * k)) & 255].astype(np.int64)
-            known &= c > 0
-            context = context * size + c
-        return context[known], classes[gram & 255].astype(np.int64)[known], g["lang"].map(code).to_numpy()[known], g["times"].to_numpy()[known]
+            context = context * size + classes[(gram >> (8 * k)) & 255]
+        return context, classes[gram & 255].astype(np.int64), g["lang"].map(code).to_numpy(), g["times"].to_numpy()
 
-    width, others = len(languages), 256 - (size - 1)
     bottom = np.full((size, width), 1 / 256)
     bottom[0] = others / 256
     tables, known = [], []
-    for n in range(1, DEPTH + 2):
+    for n in range(1, DEPTH + 1):
         context, after, lang, times = split(n)
-        found, total = np.unique(context, return_inverse=True)
-        if n == DEPTH + 1 and len(found) > CONTEXTS:
-            keep = np.sort(np.argsort(-np.bincount(total, times), kind="stable")[:CONTEXTS])
-            chosen = np.isin(total, keep)
-            context, after, lang, times = context[chosen], after[chosen], lang[chosen], times[chosen]
-            found, total = np.unique(context, return_inverse=True)
-        seen = np.zeros((len(found), size, width))
-        np.add.at(seen, (total, after, lang), times)
-        if n == 1:
-            below = np.broadcast_to(bottom, seen.shape)
-        else:
-            shorter = found % size ** (n - 2) if n > 2 else np.zeros(len(found), np.int64)
-            place = np.searchsorted(known[-1], shorter)
-            place = np.minimum(place, len(known[-1]) - 1)
-            below = tables[-1][place]
-        kinds, sums = (seen > 0).sum(1, keepdims=True), seen.sum(1, keepdims=True)
+        found, at = np.unique(context, return_inverse=True)
+        if n == 1 and not len(found):
+            found = np.zeros(1, np.int64)  # the empty context is always there
+        seen = np.zeros((len(found), size, width), np.float32)
+        np.add.at(seen, (at, after, lang), times)
+        below = np.broadcast_to(bottom, seen.shape) if n == 1 else tables[-1][_place(known[-1], found % size ** (n - 2))]
+        kinds, sums = (seen > 0).sum(1, keepdims=True), seen.sum(1, keepdims=True, dtype=np.float64)
         left = np.maximum(1 - np.where(seen > 0, below, 0).sum(1, keepdims=True), 1e-12)
-        escape = kinds / np.maximum(sums + kinds, 1)
-        own = np.where(seen > 0, seen / np.maximum(sums + kinds, 1), escape * below / left)
+        own = np.where(seen > 0, seen / np.maximum(sums + kinds, 1), kinds / np.maximum(sums + kinds, 1) * below / left)
         tables.append(np.where(sums > 0, own, below))
         known.append(found)
+    # contexts of full depth, as rows of what followed
+    context, after, lang, times = split(DEPTH + 1)
+    found, at = np.unique(context, return_inverse=True)
+    pair, row = np.unique(at * size + after, return_inverse=True)
+    seen = np.zeros((len(pair), width))
+    np.add.at(seen, (row, lang), times)
+    of, byte = pair // size, pair % size
+    below = tables[-1][_place(known[-1], found % size ** (DEPTH - 1))[of], byte] if len(pair) else seen
+    kinds, sums, gone = (np.zeros((len(found), width)) for _ in range(3))
+    for out, values in ((kinds, seen > 0), (sums, seen), (gone, np.where(seen > 0, below, 0))):
+        np.add.at(out, of, values)
+    leave = np.where(sums > 0, kinds / np.maximum(sums + kinds, 1) / np.maximum(1 - gone, 1e-12), 1.0)
+    own = np.where(seen > 0, seen / np.maximum(sums + kinds, 1)[of], leave[of] * below)
+    table = np.full((len(found), size), -1, np.int32)
+    table[of, byte] = np.arange(len(pair))
+    full = np.full((size, size, size), -1, np.int32)
+    full.ravel()[found] = np.arange(len(found))
     first = np.cumsum([0, *(len(x) for x in known)])
-    states = np.zeros((size, size, size), np.int32)
-    states[:] = 0
-    states[:, :, known[1]] = first[1] + np.arange(len(known[1]))
-    states[:, known[2] // size, known[2] % size] = first[2] + np.arange(len(known[2]))
-    states[known[3] // size**2, known[3] // size % size, known[3] % size] = first[3] + np.arange(len(known[3]))
-    bits = -np.log2(np.maximum(np.concatenate(tables), 1e-9))
-    bits[:, 0] += np.log2(others)
-    return Model(languages, classes, states, np.rint(bits * _POINT).astype(np.int32))
+    low = np.zeros((size, size), np.int32)
+    low[:, known[1]] = first[1] + np.arange(len(known[1]))
+    low.ravel()[known[2]] = first[2] + np.arange(len(known[2]))
+    bits = _bits(np.concatenate(tables))
+    bits[:, 0] += np.log2(max(others, 1))
+    return Model(languages, classes, low, _fixed(bits), full, table, _fixed(_bits(own)), _fixed(-np.log2(leave)))
+
+
+def _place(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where each context's shorter one stands; training has every context's end as a context."""
+    return np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+
+
+def _bits(p: np.ndarray) -> np.ndarray:
+    return -np.log2(np.maximum(p, 1e-9))
+
+
+def _fixed(bits: np.ndarray) -> np.ndarray:
+    return np.rint(bits * _POINT).astype(np.int32)
 
 
 def code_lengths(model: Model, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -149,10 +168,10 @@ def code_lengths(model: Model, raw: np.ndarray, starts: np.ndarray, ends: np.nda
     out = np.zeros((len(starts), len(model.languages)), np.int64)
     if not len(raw) or not model.languages:
         return out
-    size = model.states.shape[0]
-    flat, states = model.costs.reshape(-1, model.costs.shape[2]), model.states.ravel()
-    full = np.flatnonzero(ends > starts)
-    begin = starts[full]
+    size, width = model.low.shape[0], len(model.languages)
+    low_costs, low, full, after = model.low_costs.reshape(-1, width), model.low.ravel(), model.full.ravel(), model.after.ravel()
+    filled = np.flatnonzero(ends > starts)
+    begin = starts[filled]
     for lo in range(0, len(raw), _CHUNK):
         hi = min(len(raw), lo + _CHUNK)
         pad = min(lo, DEPTH)
@@ -165,11 +184,18 @@ def code_lengths(model: Model, raw: np.ndarray, starts: np.ndarray, ends: np.nda
             at = at[(at >= 0) & (at < hi - lo)]
             for x in before:
                 x[at] = 0
-        costs = flat[states[(a * size + b) * size + d] * size + now]
+        two = b * size + d
+        three = full[a * size * size + two]
+        at = np.flatnonzero(three >= 0)
+        three, row = three[at], after[three[at].astype(np.int64) * size + now[at]]
+        costs = np.take(low_costs, low[two] * size + now, axis=0)
+        hit = row >= 0
+        costs[at[hit]] = np.take(model.full_costs, row[hit], axis=0)
+        costs[at[~hit]] += np.take(model.escapes, three[~hit], axis=0)
         j = np.searchsorted(begin, lo, side="right") - 1
         inside = begin[(begin > lo) & (begin < hi)] - lo
         sums = np.add.reduceat(costs, np.concatenate([[0], inside]).astype(np.int64), axis=0, dtype=np.int64)
-        out[full[j : j + len(sums)]] += sums
+        out[filled[j : j + len(sums)]] += sums
     return out
 
 
@@ -187,7 +213,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "__letter")]
     work = docs.select(*kept, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("__letter"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in work.schema if f.name != "__letter") + ", lang_pred string, score double"
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: ALPHABET, CONTEXTS and the languages
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frozen = shared.value

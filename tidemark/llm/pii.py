@@ -4,7 +4,8 @@ The tagger is trained in numpy on windows of a bounded sample, labelled by the b
 in further layouts. Texts are cut into overlapping windows on a fixed grid; each is decoded by Viterbi, and windows are
 reconciled over the whole text: every place takes the tag of the window whose middle is nearest, then runs of tags
 become spans, across windows too. A span must hold a digit or an "@", so a window without either is all "outside"; it
-is not computed. Added spans must satisfy the kind's own check and may not touch a base span.
+is not computed. A span that begins or ends within a run of digits takes all of the run. Added spans must satisfy the
+kind's own check (of a phone number, 9 to 15 digits; of a card, Luhn) and may not touch a base span.
 
 Base rules, leftmost and non-overlapping for each kind, on whole texts; offsets count code points, ends are exclusive.
 
@@ -30,7 +31,7 @@ KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS = 1500
 SAMPLE_WINDOWS = 3000
 WRITINGS = 4  # windows at each place, with other values written in
-WIDTH, STRIDE, UNITS = 64, 32, 12
+WIDTH, STRIDE, UNITS = 64, 32, 16
 N_TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -202,7 +203,7 @@ def _crf(e: np.ndarray, t: np.ndarray, y: np.ndarray):
     return (total - gold).mean(), ge / n, gt / n
 
 
-def fit(x: np.ndarray, y: np.ndarray, steps: int = 240, batch: int = 64, seed: int = 5) -> Tagger:
+def fit(x: np.ndarray, y: np.ndarray, steps: int = 400, batch: int = 64, seed: int = 5) -> Tagger:
     """Adam over random batches of labelled windows."""
     rng = np.random.default_rng(seed)
     new = lambda *s: rng.normal(0, 0.2, s).astype(np.float32)
