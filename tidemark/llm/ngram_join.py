@@ -11,13 +11,13 @@ the order, and go straight to the large groups below; this changes cost, never r
 
 Documents with equal sets are one node (a 128-bit hash of the set), so copies are never paired. Groups of up to SMALL nodes
 under one part name their pairs. A large group (the groups that share their commonest node are one) gets a centre F, the
-shingles in more than half of a sample of its members, and a leader, the member of the sample nearest to F. Every member
+shingles of that node and those in more than half of a sample of its members, and a leader, the member of the sample nearest to F. Every member
 meets the leader on the whole texts; two members linked with it need no comparison. For other members A and B let
 p = |A - F|, q = |F - A|, and p', q' for B. If A - F and B - F have nothing in common, the symmetric difference of A and B
 is at least p + p' + |q - q'|. So a linked pair either has p + p' + |q - q'| <= d, and such pairs are found through the
 table of (group, p, q), or it shares a shingle outside F. Of A's shingles at most a fourth is missing from B, so the first
-a / 4 + 1 shingles of A - F, in the order of their hashes, hold a shared one: members join by these, in groups that are
-again small or large. A group within a group lacks the leader, and has about half of the members at most, so this ends soon.
+a / 4 + 1 shingles of A - F, in one order again, hold a shared one: members join by these, in groups that are again small
+or large. A group within a group lacks the leader and the commonest node, so this ends.
 
 Pairs are filtered by size and by the Hamming distance of bit sketches, then verified on the whole texts.
 
@@ -46,7 +46,7 @@ N = 5
 SMALL = 6  # groups up to this size name all their pairs: at most (SMALL - 1) / 2 a member
 OPEN = 16  # so do groups within a group with up to this many members that are not linked with its leader: at most OPEN a member
 SAMPLE = 32  # members of a large group from which its centre is made
-HOT_RATE, HOT_TIMES, HOT_MOST = 16, 3, 100_000
+HOT_RATE, HOT_TIMES, HOT_MOST = 16, 3, 200_000
 _U = np.uint64
 
 
@@ -195,14 +195,14 @@ def _key_rows(keys: list, late: list, nodes: list) -> pa.RecordBatch:
 
 
 def _all_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts -> all parts of their distinct sets, to count which are frequent."""
+    """Texts -> all parts and shingles of their distinct sets, to count which are frequent."""
     seen: set[tuple[int, int]] = set()
     for batch in batches:
         for t in _texts(batch, 0):
             s = shingles(t)
             if len(s) and (node := set_id(s)) not in seen:
                 seen.add(node)
-                parts = np.concatenate([p for p, _ in _sketches(s)])
+                parts = np.concatenate([s, *(p for p, _ in _sketches(s))])
                 yield pa.RecordBatch.from_arrays([pa.array(parts.view(np.int64)), pa.array(np.full(len(parts), node[0], np.int64))], ["key", "x"])
 
 
@@ -331,23 +331,25 @@ _CENTRE_SQL = "up long, leader long, led binary, centre binary"
 
 
 def _centres(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(up, no, text) of a few members of each group, in the order of up -> the group's leader, its set, and the centre."""
-    now, held = None, []
+    """(up, no, first, text) of a few members of each group, in the order of up -> the group's leader, its set, and the centre."""
+    now, held, common = None, [], np.zeros(0, _U)
 
     def made() -> pa.RecordBatch:
         values, times = np.unique(np.concatenate([s for _, s in held]), return_counts=True)
-        centre = values[2 * times > len(held)]
+        centre = np.union1d(values[2 * times > len(held)], common)
         near = [(-len(np.intersect1d(s, centre, assume_unique=True)) / max(1, len(np.union1d(s, centre))), no, s) for no, s in held]
         _, no, s = min(near, key=lambda x: x[:2])
         return _batch(_CENTRE, 1, up=[now], leader=[no], led=[s.tobytes()], centre=[centre.tobytes()])
 
     for batch in batches:
-        for up, no, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch, 2), strict=True):
+        for up, no, first, t in zip(*(batch.column(k).to_pylist() for k in range(3)), _texts(batch, 3), strict=True):
             if up != now:
                 if held:
                     yield made()
                 now, held = up, []
             held.append((no, shingles(t)))
+            if no == first:
+                common = held[-1][1]
     if held:
         yield made()
 
@@ -356,25 +358,31 @@ _LIE = pa.schema([("up", pa.int64()), ("leader", pa.int64()), ("no", pa.int64())
 _LIE_SQL = "up long, leader long, no long, linked boolean, n long, p long, q long, key long"
 
 
-def _lies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _lies(hot: np.ndarray):
     """(up, no, leader, text, leader's set, centre) -> how the member lies to the leader and the centre (key null), and a row
-    for each shingle outside the centre by which it joins again (key: that shingle within this group).
+    for each shingle outside the centre by which it joins again (key: that shingle within this group), hot ones last.
     """
-    for batch in batches:
-        up, no, leader = (batch.column(k).to_numpy() for k in range(3))
-        lies, keys = [], []
-        for k, t in enumerate(_texts(batch, 3)):
-            one = shingles(t)
-            led, centre = (np.frombuffer(batch.column(c)[k].as_py(), _U) for c in (4, 5))
-            own = np.setdiff1d(one, centre, assume_unique=True)
-            linked = _linked(len(np.intersect1d(one, led, assume_unique=True)), len(one), len(led))
-            lies.append((linked, len(one), len(own), len(centre) - len(one) + len(own)))
-            keys.append(_mix(own[: len(one) // 4 + 1] ^ _mix(up[k : k + 1].view(_U))).view(np.int64))
-        if lies:
-            linked, n, p, q = (np.array(x) for x in zip(*lies, strict=True))
-            yield _batch(_LIE, len(lies), up=up, leader=leader, no=no, linked=linked, n=n, p=p, q=q)
-            counts = [len(x) for x in keys]
-            yield _batch(_LIE, sum(counts), up=np.repeat(up, counts), no=np.repeat(no, counts), linked=np.repeat(linked, counts), key=np.concatenate(keys))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            up, no, leader = (batch.column(k).to_numpy() for k in range(3))
+            lies, keys = [], []
+            for k, t in enumerate(_texts(batch, 3)):
+                one = shingles(t)
+                led, centre = (np.frombuffer(batch.column(c)[k].as_py(), _U) for c in (4, 5))
+                own = np.setdiff1d(one, centre, assume_unique=True)
+                linked = _linked(len(np.intersect1d(one, led, assume_unique=True)), len(one), len(led))
+                lies.append((linked, len(one), len(own), len(centre) - len(one) + len(own)))
+                late = _among(own, hot)
+                first = np.concatenate([own[~late], own[late]])[: len(one) // 4 + 1]
+                keys.append(_mix(first ^ _mix(up[k : k + 1].view(_U))).view(np.int64))
+            if lies:
+                linked, n, p, q = (np.array(x) for x in zip(*lies, strict=True))
+                yield _batch(_LIE, len(lies), up=up, leader=leader, no=no, linked=linked, n=n, p=p, q=q)
+                counts = [len(x) for x in keys]
+                yield _batch(_LIE, sum(counts), up=np.repeat(up, counts), no=np.repeat(no, counts), linked=np.repeat(linked, counts), key=np.concatenate(keys))
+
+    return run
 
 
 def _with(rows: DataFrame, table: DataFrame, on: dict[str, str], how: str = "inner") -> DataFrame:
@@ -424,19 +432,19 @@ def _ring(lies: DataFrame) -> DataFrame:
     return two.select("a", "b")
 
 
-def _round(large: DataFrame, texts: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
+def _round(large: DataFrame, texts: DataFrame, parts: int, hot: np.ndarray) -> tuple[DataFrame, DataFrame]:
     """Large groups (up, key, no) -> how their members lie to leader and centre, and the groups that they join by next."""
     degree = large.groupBy("up", "no").agg(F.count(F.lit(1)).alias("degree"))
     ranked = _with(large, degree, {"up": "up", "no": "no"})
     common = ranked.groupBy("up", "key").agg(F.max(F.struct("degree", "no")).alias("first")).select("up", "key", F.col("first.no").alias("first"))
-    members = _with(large.select("up", "key", "no"), common, {"up": "up", "key": "key"}).select(F.xxhash64("up", "first").alias("up"), "no").distinct()
+    members = _with(large.select("up", "key", "no"), common, {"up": "up", "key": "key"}).select(F.xxhash64("up", "first").alias("up"), "no", "first").distinct()
     members = stage(members, "join-members")
     order = W.partitionBy("up").orderBy(F.xxhash64("up", "no"), "no")
-    some = members.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= SAMPLE).select("up", "no")
+    some = members.withColumn("k", F.row_number().over(order)).filter((F.col("k") <= SAMPLE) | (F.col("no") == F.col("first"))).select("up", "no", "first")
     some = _with(some, texts, {"no": "no"}).repartition(parts, "up").sortWithinPartitions("up", "no")
-    centres = stage(some.select("up", "no", "text").mapInArrow(_centres, _CENTRE_SQL), "join-centres")
+    centres = stage(some.select("up", "no", "first", "text").mapInArrow(_centres, _CENTRE_SQL), "join-centres")
     both = _with(_with(members, texts, {"no": "no"}), centres, {"up": "up"}).filter("no <> leader")
-    lies = stage(both.select("up", "no", "leader", "text", "led", "centre").mapInArrow(_lies, _LIE_SQL), "join-lies")
+    lies = stage(both.select("up", "no", "leader", "text", "led", "centre").mapInArrow(_lies(hot), _LIE_SQL), "join-lies")
     rows = lies.filter("key IS NOT NULL").select(
         "key", F.col("no").alias("x"), F.col("linked").cast("long").alias("y"), F.col("up").alias("z"), F.lit(False).alias("hot"),
         *(F.lit(None).cast(t).alias(c) for c, t in (("id", "long"), ("size", "long"), ("sketch", "binary"))),
@@ -483,7 +491,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     links, more = [], [near]
     while not large.isEmpty():
-        lies, split = _round(large, texts, parts)
+        lies, split = _round(large, texts, parts, hot)
         links.append(lies.filter("linked").select(F.col("leader").alias("a"), F.col("no").alias("b")))
         more.append(split.filter("bx IS NOT NULL").select(F.col("x").alias("a"), F.col("bx").alias("b")))
         more.append(_ring(lies))
