@@ -10,7 +10,7 @@ of two sets has more than d parts, the argument holds for both. Parts that a sam
 the order, and go straight to the large groups below; this changes cost, never results.
 
 Documents with equal sets are one node (a 128-bit hash of the set), so copies are never paired. Groups of up to SMALL nodes
-under one part name their pairs. A large group (the groups that share their commonest node are one) gets a centre F, the
+under one part name the pairs that sizes allow. A large group (the groups that share their commonest node are one) gets a centre F, the
 shingles of that node and those in more than half of a sample of its members, and a leader, the member of the sample nearest to F. Every member
 meets the leader on the whole texts; two members linked with it need no comparison. For other members A and B let
 p = |A - F|, q = |F - A|, and p', q' for B. If A - F and B - F have nothing in common, the symmetric difference of A and B
@@ -43,7 +43,7 @@ from .common import release, spare, stage
 from .components import components
 
 N = 5
-SMALL = 6  # groups up to this size name all their pairs: at most (SMALL - 1) / 2 a member
+SMALL = 48  # groups up to this size name the pairs whose sizes allow a link: at most (SMALL - 1) / 2 a member
 OPEN = 16  # so do groups within a group with up to this many members that are not linked with its leader: at most OPEN a member
 SAMPLE = 32  # members of a large group from which its centre is made
 HOT_RATE, HOT_TIMES, HOT_MOST = 16, 3, 200_000
@@ -176,7 +176,7 @@ def _rows_of(hot: np.ndarray):
                     found = join_keys(s, hot)
                     keys.append(found[0])
                     late.append(found[1])
-                    nodes.append((*node, len(found[0])))
+                    nodes.append((*node, len(s), len(found[0])))
                 docs.append((*node, i, len(s), own))
                 if len(keys) >= 500:
                     yield _key_rows(keys, late, nodes)
@@ -190,8 +190,8 @@ def _rows_of(hot: np.ndarray):
 
 
 def _key_rows(keys: list, late: list, nodes: list) -> pa.RecordBatch:
-    x, y, n = (np.array(c, np.int64) for c in zip(*nodes, strict=True))
-    return _batch(_ROW, int(n.sum()), key=np.concatenate(keys).view(np.int64), x=np.repeat(x, n), y=np.repeat(y, n), z=np.zeros(n.sum(), np.int64), hot=np.concatenate(late))
+    x, y, z, n = (np.array(c, np.int64) for c in zip(*nodes, strict=True))
+    return _batch(_ROW, int(n.sum()), key=np.concatenate(keys).view(np.int64), x=np.repeat(x, n), y=np.repeat(y, n), z=np.repeat(z, n), hot=np.concatenate(late))
 
 
 def _all_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,8 +214,8 @@ def _groups(open_first: bool):
     """Rows in the order of their keys -> pairs (x, y), (bx, by) of small groups; members (key, x, y, z) of large ones.
 
     No group is held: once it is large, its members pass as they come. Hot rows pass at once, documents (with a size) too.
-    open_first: x is a node and y whether it is linked with the leader; rows come with y = 0 first, and pairs with y = 1
-    on both sides are left out. A group with no more than OPEN rows of y = 0 is small.
+    At first a node is (x, y) and z its size. With open_first, x is a node and y whether it is linked with the leader; rows
+    come with y = 0 first, and pairs with y = 1 on both sides are left out. A group with up to OPEN rows of y = 0 is small.
     """
     most = OPEN if open_first else SMALL
 
@@ -223,6 +223,9 @@ def _groups(open_first: bool):
         return _batch(_GROUP, rows.shape[1], key=rows[0], x=rows[1], y=rows[2], z=rows[3])
 
     def pairs(rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        if not open_first:  # z is the size
+            fit = 4 * np.minimum(rows[3, a], rows[3, b]) >= 3 * np.maximum(rows[3, a], rows[3, b])
+            a, b = a[fit], b[fit]
         return _batch(_GROUP, len(a), x=rows[1, a], y=rows[2, a], z=rows[3, a], bx=rows[1, b], by=rows[2, b])
 
     def closed(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -232,12 +235,12 @@ def _groups(open_first: bool):
             return
         starts, sizes = _runs(rows[0])
         lead = np.add.reduceat((rows[2] == 0).astype(np.int64), starts) if open_first else sizes  # the rows that all others meet
-        for n in range(1, most + 1):
-            for size in np.unique(sizes[(lead == n) & (sizes > 1)]):
-                at = starts[(lead == n) & (sizes == size)]
-                i, j = np.triu_indices(size, 1)
-                i, j = i[i < n], j[i < n]
-                yield pairs(rows, (at[:, None] + i).ravel(), (at[:, None] + j).ravel())
+        first, within = np.repeat(starts, sizes), np.repeat(np.where(lead <= most, lead, 0), sizes)
+        place = np.arange(len(first)) - first
+        b = [np.flatnonzero((place > k) & (within > k)) for k in range(within.max())]
+        if b:
+            a = np.concatenate([first[x] + k for k, x in enumerate(b)])
+            yield pairs(rows, a, np.concatenate(b))
         rest = rows[:, np.repeat(lead > most, sizes)]
         if rest.shape[1]:
             yield large(rest)
