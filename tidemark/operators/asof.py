@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bars import epoch_micros
+from .frames import blocks
 
 
 def asof(events: DataFrame, bars: DataFrame, value: str, direction: str, tolerance_s: int = 300, out: str = "price") -> DataFrame:
@@ -33,26 +34,28 @@ def exact(events: DataFrame, bars: DataFrame, value: str, offsets: list[int]) ->
     return spread.join(bars.select(F.col("ts").alias("__bt"), F.col(value)), F.col("__at") == F.col("__bt"), "left").drop("__at", "__bt")
 
 
-def positional(bars: DataFrame, value: str, steps: list[int], part: list[str]) -> DataFrame:
-    """The value some rows later (not minutes), as value_<k>, within each partition."""
-    w = W.partitionBy(*part).orderBy("ts")
-    return bars.withColumns({f"{value}_{k}": F.lead(value, k).over(w) for k in steps})
+def positional(bars: DataFrame, value: str, steps: list[int], day: str) -> DataFrame:
+    """The change to the value some rows later (not minutes; rows are counted across days), as value_<k>."""
+    w = W.partitionBy("block").orderBy("n")
+    held = blocks(bars, "ts", day, 0, max(steps)).withColumns({f"{value}_{k}": F.try_divide(F.lead(value, k).over(w), F.col(value)) - 1 for k in steps})
+    return held.filter("own").drop("block", "own", "n")
 
 
 def carried(bars: DataFrame, other: DataFrame, value: str, day) -> DataFrame:
     """bars left-joined to other on ts; gaps filled from earlier rows (across days), then from later ones of the day.
 
     Filling across days needs only each day's last value: a window over days carries it, and windows over rows stay within
-    a day.
+    a day. The day table comes from other's own rows that fall on a bar, so the joined bars are made once.
     """
     joined = bars.join(other.select("ts", value), "ts", "left").withColumn("__day", day)
-    lasts = joined.filter(F.col(value).isNotNull()).groupBy("__day").agg(F.max_by(value, "ts").alias("__last"))
-    days = joined.select("__day").distinct().join(lasts, "__day", "left")
-    before = F.last("__last", ignorenulls=True).over(W.orderBy("__day").rowsBetween(W.unboundedPreceding, -1))
-    days = days.select("__day", before.alias("__before"))
     w = W.partitionBy("__day").orderBy("ts")
-    fill = F.coalesce(F.last(value, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)), "__before", F.first(value, ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing)))
-    return joined.join(days, "__day").withColumn(value, fill).drop("__before", "__day")
+    joined = joined.withColumn("__up", F.last(value, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    joined = joined.withColumn("__down", F.first(value, ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing)))
+    days = bars.select("ts").join(other.select("ts", value), "ts", "left").groupBy(day.alias("__of")).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col("ts"))).alias("__last"))
+    before = F.last("__last", ignorenulls=True).over(W.orderBy("__of").rowsBetween(W.unboundedPreceding, -1))
+    days = days.select("__of", before.alias("__before"))
+    fill = F.coalesce("__up", "__before", "__down")
+    return joined.join(days, F.col("__day") == F.col("__of")).withColumn(value, fill).drop("__before", "__day", "__of", "__up", "__down")
 
 
 def daily_asof(base: DataFrame, other: DataFrame, value: str, out: str) -> DataFrame:

@@ -87,3 +87,17 @@ def gaps(df: DataFrame, seconds: float, part: list[str]) -> DataFrame:
     before = F.lag("ts").over(W.partitionBy(*part).orderBy("ts"))
     gap = (epoch_micros(F.col("ts")) - epoch_micros(before)) / 1e6
     return df.withColumn("gap_s", gap).filter(F.col("gap_s") > seconds)
+
+
+def mean_by(df: DataFrame, key: str, names: list[str]) -> DataFrame:
+    """One row a key: the means of the columns whose name, without case, "_" and spaces, holds one of the names."""
+    plain = lambda c: c.lower().replace("_", "").replace(" ", "")
+    kept = [c for c in df.columns if c != key and any(n in plain(c) for n in names)]
+    return df.groupBy(key).agg(*[F.avg(c).alias(c) for c in kept])
+
+
+def consecutive(df: DataFrame, gap_s: int, first_hour: int, last_hour: int, part: list[str] | None = None) -> DataFrame:
+    """Rows that come exactly gap_s after the row before, at hours between first_hour and last_hour."""
+    w = W.partitionBy(*(part or [])).orderBy("ts")
+    held = df.withColumn("__g", epoch_micros(F.col("ts")) - F.lag(epoch_micros(F.col("ts"))).over(w))
+    return held.filter((F.col("__g") == gap_s * 1_000_000) & F.hour("ts").between(first_hour, last_hour)).drop("__g")

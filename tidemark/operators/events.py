@@ -26,9 +26,8 @@ def response_grid(events: DataFrame, bars: DataFrame, horizons: list[int], direc
     at = lambda m: F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), m)
     spread = events.withColumn("minute", F.explode(F.array(*map(F.lit, [base_offset, *horizons])))).withColumn("__at", at(F.col("minute")))
     looked = asof(spread.select("key", "signal", "minute", F.col("__at").alias("ts")), bars, "close", direction, tolerance_s)
-    base = looked.filter(F.col("minute") == base_offset).select(F.col("key").alias("__k"), F.col("price").alias("p0"))
-    rest = looked.filter(F.col("minute") != base_offset)
-    return rest.join(base, F.col("key") == F.col("__k")).select("key", "signal", "minute", (F.try_divide("price", "p0") - 1).alias("ret"))
+    base = F.max(F.when(F.col("minute") == base_offset, F.col("price"))).over(W.partitionBy("key"))
+    return looked.withColumn("__p", base).filter(F.col("minute") != base_offset).select("key", "signal", "minute", (F.try_divide("price", "__p") - 1).alias("ret"))
 
 
 def grid_metrics(grid: DataFrame, by: list[str], least: int = 20) -> DataFrame:
@@ -69,6 +68,17 @@ def event_paths(grid: DataFrame, k: float = 2.0) -> DataFrame:
     return paths.withColumn("t", F.try_divide("mean", "se"))
 
 
+def turning_point(paths: DataFrame, after: int = 3) -> DataFrame:
+    """(side, minute, mean) -> side, turn: the first minute, at least `after` steps on, where the path's slope changes sign against
+    the side: from falling to rising on side 1, from rising to falling on side -1; null without one.
+    """
+    w = over("minute", ["side"])
+    held = paths.withColumn("__s", F.signum(F.col("mean") - F.lag("mean").over(w))).withColumn("__k", F.row_number().over(w) - 2)
+    held = held.withColumn("__m", F.lag("minute").over(w)).withColumn("__was", F.lag("__s").over(w))
+    turned = F.when(F.col("side") > 0, F.col("__s") > F.col("__was")).otherwise(F.col("__s") < F.col("__was"))
+    return held.groupBy("side").agg(F.min(F.when(turned & (F.col("__k") - 1 >= after), F.col("__m"))).alias("turn"))
+
+
 def curve_summary(metrics: DataFrame, significant: float) -> DataFrame:
     """peak_minute (largest |r|, earliest on ties), first and last minute with |r| above a bound, and how many."""
     strong = F.abs("r") > significant

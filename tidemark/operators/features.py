@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .frames import change, over, rolling, rolling_corr
+from .frames import blocks, change, over, rolling, rolling_corr
 
 FEATURES = ("ret", "trade_imbalance", "trade_count", "avg_trade_size", "aux_ret", "vol20", "corr20")
 
@@ -19,13 +19,32 @@ def minute_features(bars: DataFrame) -> DataFrame:
     return held.withColumn("corr20", F.coalesce(rolling_corr(F.col("ret"), F.col("aux_ret"), 20, w, 5), F.lit(0.0))).select("day", "ts", *FEATURES)
 
 
-def direction_features(bars: DataFrame, horizon: int = 15) -> DataFrame:
-    """Returns over 1, 2, 5, 10 and 15 rows, 15-row deviation, minutes from open, and whether the price is higher later."""
-    w = over("ts", ["day"])
-    held = bars.withColumns({f"ret_{k}": change(F.col("close"), k, w) for k in (1, 2, 5, 10, 15)})
-    held = held.withColumn("vol_15", rolling(F.stddev_samp, F.col("ret_1"), 15, w)).withColumn("from_open", F.hour("ts") * 60 + F.minute("ts") - 570)
-    later = F.lead("close", horizon).over(w)
-    return held.withColumn("label", (later > F.col("close")).cast("int")).filter("label IS NOT NULL")
+DIRECTION = (
+    "anomaly_score", "trade_imbalance", "trade_count", "avg_trade_size", "ret_1", "ret_5", "ret_15", "vol_15", "momentum_15", "aux_ret", "aux_vol20", "aux_corr20", "from_open",
+)
+
+
+def direction_features(bars: DataFrame, signals: DataFrame, horizon: int = 15) -> DataFrame:
+    """(day, ts, close, aux_close, ...) bars and (ts, anomaly_score, is_anomaly) -> the thirteen features of the anomalous rows that
+    have a price `horizon` rows later, and label: whether it is higher. Unknown features are 0.
+
+    Returns, deviation and momentum look back over rows of earlier days too, the label over those of later ones; deviation
+    and correlation of the second instrument stay within the day.
+    """
+    w, d = W.partitionBy("block").orderBy("n"), over("ts", ["day"])
+    one = F.col("ret_1")
+    held = blocks(bars, "ts", "day", 16, horizon).withColumns({f"ret_{k}": change(F.col("close"), k, w) for k in (1, 5, 15)} | {"aux_ret": F.coalesce(change(F.col("aux_close"), 1, w), F.lit(0.0))})
+    held = held.withColumns({"vol_15": rolling(F.stddev_samp, one, 15, w), "momentum_15": rolling(F.avg, one, 15, w), "later": F.lead("close", horizon).over(w)}).filter("own")
+    held = held.withColumn("aux_vol20", rolling(F.stddev_samp, F.col("aux_ret"), 20, d, 1)).withColumn("aux_corr20", rolling_corr(F.col("aux_ret"), one, 20, d, 5))
+    held = held.withColumn("from_open", F.hour("ts") * 60 + F.minute("ts") - 570)
+    flagged = held.join(signals.filter("is_anomaly").select("ts", "anomaly_score"), "ts").filter("later IS NOT NULL")
+    return flagged.select("day", "ts", *[F.coalesce(c, F.lit(0)).alias(c) for c in DIRECTION], (F.col("later") / F.col("close") - 1 > 0).cast("int").alias("label"))
+
+
+def with_signals(bars: DataFrame, signals: DataFrame, defaults: dict, key: str = "ts") -> DataFrame:
+    """bars with the signals' columns joined on the key; where there is none, the defaults."""
+    held = bars.join(signals.select(F.col(key).alias("__k"), *[F.col(c).alias(f"__{c}") for c in defaults]), F.col(key) == F.col("__k"), "left")
+    return held.withColumns({c: F.coalesce(f"__{c}", F.lit(x)) for c, x in defaults.items()}).drop("__k", *[f"__{c}" for c in defaults])
 
 
 def fit_scaler(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -108,6 +108,13 @@ def runs(df: DataFrame, flag: str, order: str, part: list[str] | None = None, ou
     return held.withColumn(out, F.sum("__f").over(inside)).drop("__f", "__g")
 
 
+def longest_runs(df: DataFrame, x: str, order: str, part: list[str]) -> DataFrame:
+    """part, wins, losses: the longest runs of rows with x above 0, and of rows without."""
+    won = runs(df.withColumn("__up", F.col(x) > 0), "__up", order, part, "__w")
+    both = runs(won.withColumn("__down", ~F.col("__up")), "__down", order, part, "__l")
+    return both.groupBy(*part).agg(F.max("__w").alias("wins"), F.max("__l").alias("losses"))
+
+
 def edge(flag: Column, w) -> Column:
     """True where a flag turns on."""
     return F.coalesce(flag, F.lit(False)) & ~F.coalesce(F.lag(flag).over(w), F.lit(False))
@@ -125,3 +132,27 @@ def windows(df: DataFrame, columns: list[str], n: int, order: str, part: list[st
     if first is not None:
         kept &= F.col("row").between(first, last)
     return rows.filter(kept).select(*part, order, "row", "window")
+
+
+def numbered(df: DataFrame, order: str, day: str, out: str = "n") -> DataFrame:
+    """df with each row's place (from 0) in the order of `order` over all days: counts of days give where each day starts, so
+    rows are ordered within their day alone.
+    """
+    days = df.groupBy(day).agg(F.count(F.lit(1)).alias("__rows"))
+    starts = days.select(F.col(day).alias("__day"), (F.sum("__rows").over(W.orderBy(day)) - F.col("__rows")).alias("__start"))
+    held = df.join(starts, F.col(day) == F.col("__day"))
+    return held.withColumn(out, F.col("__start") + F.row_number().over(over(order, [day])) - 1).drop("__day", "__start")
+
+
+def blocks(df: DataFrame, order: str, day: str, before: int, after: int, size: int = 4096) -> DataFrame:
+    """df in blocks of consecutive rows, each with copies of the `before` rows ahead of it and the `after` rows behind it: frames
+    of that reach, over block and n, are right for rows with own = true, wherever days end.
+    """
+    held = numbered(df, order, day)
+    block, at = F.floor(F.col("n") / size), F.col("n") % size
+    copies = F.array(F.struct(block.alias("block"), F.lit(True).alias("own")))
+    if after:
+        copies = F.concat(copies, F.when((at < after) & (block > 0), F.array(F.struct((block - 1).alias("block"), F.lit(False).alias("own")))).otherwise(F.slice(copies, 1, 0)))
+    if before:
+        copies = F.concat(copies, F.when(at >= size - before, F.array(F.struct((block + 1).alias("block"), F.lit(False).alias("own")))).otherwise(F.slice(copies, 1, 0)))
+    return held.withColumn("__c", F.explode(copies)).select("*", "__c.*").drop("__c")

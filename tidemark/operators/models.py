@@ -109,6 +109,17 @@ def boosted_trees(df: DataFrame, columns: list[str], label: str, trees: int = 30
     return GBTClassifier(labelCol=label, maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed).fit(held), held
 
 
+def predicted(model, df: DataFrame, columns: list[str]) -> DataFrame:
+    return model.transform(VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="skip").transform(df))
+
+
+def write_back(signals: DataFrame, made: DataFrame, key: str) -> DataFrame:
+    """signals with direction_prob, predicted_direction and direction_confidence where there is a prediction."""
+    up = F.get(vector_to_array("probability"), F.lit(1))
+    own = made.select(F.col(key).alias("__k"), up.alias("direction_prob"), F.when(F.col("prediction") == 1, "Up").otherwise("Down").alias("predicted_direction"), F.greatest(up, 1 - up).alias("direction_confidence"))
+    return signals.join(own, F.col(key) == F.col("__k"), "left").drop("__k")
+
+
 def confidence(predicted: DataFrame, label: str, levels: tuple[float, ...] = (0.5, 0.55, 0.6, 0.65, 0.7)) -> DataFrame:
     """level, n, accuracy of predictions at least that confident."""
     top = F.array_max(vector_to_array("probability"))

@@ -60,8 +60,21 @@ def permuted_sharpe(s: np.ndarray, rng: np.random.Generator) -> float:
     return float(x.mean() / x.std() * np.sqrt(365)) if x.std() > 0 else 0.0
 
 
-def permutation_p(reps: DataFrame, observed: float) -> DataFrame:
-    return reps.agg(F.count("value").alias("draws"), F.count_if(F.abs("value") >= abs(observed)).alias("beyond")).withColumn("p", F.col("beyond") / F.col("draws"))
+def permuted_mean(s: np.ndarray, rng: np.random.Generator) -> float:
+    """Columns position, return, cost: the mean under permuted returns."""
+    return float((s[:, 0] * rng.permutation(s[:, 1]) - s[:, 2]).mean())
+
+
+def permuted_signal(s: np.ndarray, rng: np.random.Generator) -> float:
+    """Columns position, return: the annual Sharpe ratio under permuted positions."""
+    x = rng.permutation(s[:, 0]) * s[:, 1]
+    return float(x.mean() / x.std() * np.sqrt(365)) if x.std() > 0 else 0.0
+
+
+def permutation_p(reps: DataFrame, observed: float, two_sided: bool = True) -> DataFrame:
+    """draws, beyond (replicates at least as large as what was observed, in size if two-sided), p."""
+    beyond = F.abs("value") >= abs(observed) if two_sided else F.col("value") >= observed
+    return reps.agg(F.count("value").alias("draws"), F.count_if(beyond).alias("beyond")).withColumn("p", F.col("beyond") / F.col("draws"))
 
 
 def interval(reps: DataFrame, low: float = 0.025, high: float = 0.975) -> DataFrame:

@@ -38,6 +38,29 @@ def metrics(df: DataFrame, by: list[str], ret: str, order: str, year: int = 252,
     )
 
 
+def compound_metrics(df: DataFrame, by: list[str], ret: str, order: str, year: int = 252) -> DataFrame:
+    """by, n, total, annual (geometric), vol, sharpe and sortino (annual return over deviation, over downside deviation),
+    max_drawdown, calmar, pl_ratio (mean gain over mean loss), simple (mean return times the year).
+    """
+    r = F.col(ret)
+    held = drawdown(df, ret, order, True, by).groupBy(*by).agg(
+        F.count(r).alias("n"), (F.exp(F.sum(F.log1p(r))) - 1).alias("total"), (F.stddev_samp(r) * F.sqrt(F.lit(float(year)))).alias("vol"),
+        (F.sqrt(F.avg(F.pow(F.least(r, F.lit(0.0)), 2))) * F.sqrt(F.lit(float(year)))).alias("__down"), F.min("drawdown").alias("max_drawdown"),
+        F.try_divide(F.avg(F.when(r > 0, r)), -F.avg(F.when(r < 0, r))).alias("pl_ratio"), (F.avg(r) * year).alias("simple"),
+    )
+    held = held.withColumn("annual", annual(F.col("total"), F.col("n"), year))
+    ratios = {"sharpe": F.col("vol"), "sortino": F.col("__down"), "calmar": F.abs("max_drawdown")}
+    return held.withColumns({k: F.try_divide("annual", c) for k, c in ratios.items()}).drop("__down")
+
+
+def against(totals: DataFrame, name: str, total: str, base: str) -> DataFrame:
+    """totals with alpha (what a row has above the base's row) and best: the row, other than the base, with the most."""
+    one = totals.filter(F.col(name) == base).agg(F.max(total).alias("__b"))
+    held = totals.crossJoin(F.broadcast(one)).withColumn("alpha", F.col(total) - F.col("__b"))
+    first = F.row_number().over(W.partitionBy(F.col(name) != base).orderBy(F.desc(F.round("alpha", 9)), name)) == 1
+    return held.withColumn("best", (F.col(name) != base) & first).drop("__b")
+
+
 def exposure(df: DataFrame, by: list[str], pos: str, order: str) -> DataFrame:
     """by, short_pct, flat_pct, changes, avg_leverage."""
     held = df.withColumn("__d", F.abs(F.col(pos) - F.lag(pos).over(over(order, by))))
@@ -56,22 +79,24 @@ def net_returns(df: DataFrame, pos: str, ret: str, order: str, fee: float = 0.00
 # ---- daily rules; each adds pos
 
 
-def rv_regime(df: DataFrame, rv: str, short: int, long: int, q: float, order: str = "d") -> DataFrame:
-    """-1 after a day whose short mean over long mean of rv exceeds the quantile of the ratios before it, else +1.
+def rv_regime(df: DataFrame, rv: str, short: int, long: int, q: float, order: str = "d", confirm: Column | None = None, first: float = 0.0) -> DataFrame:
+    """The days that have a ratio of rv's short mean over its long mean: -1 a day after the ratio exceeded the quantile of the
+    ratios before it (and confirm held, over all days), else +1.
 
-    The quantile is strictly prior, infinite while it is undefined; positions act a day later, the first is 0.
+    The quantile is strictly prior, infinite while it is undefined; the first day's position is `first`.
     """
     w = over(order)
     held = df.withColumn("ratio", F.try_divide(rolling(F.avg, F.col(rv), short, w), rolling(F.avg, F.col(rv), long, w)))
+    held = held.withColumn("__ok", F.coalesce(F.lit(True) if confirm is None else confirm, F.lit(False))).filter("ratio IS NOT NULL")
     held = held.withColumn("limit", F.coalesce(expanding_quantile(F.col("ratio"), q, w, True), F.lit(float("inf"))))
-    held = held.withColumn("raw", F.when(F.col("ratio") > F.col("limit"), -1.0).otherwise(1.0))
-    return held.withColumn("pos", F.coalesce(F.lag("raw").over(w), F.lit(0.0))).drop("raw")
+    held = held.withColumn("__raw", F.when((F.col("ratio") > F.col("limit")) & F.col("__ok"), -1.0).otherwise(1.0))
+    return held.withColumn("pos", F.coalesce(F.lag("__raw").over(w), F.lit(first))).drop("__raw", "__ok")
 
 
 def regime_positions(df: DataFrame, order: str, levels: list[float], part: list[str]) -> DataFrame:
     """df (ratio) -> a row for each level q, with pos as in rv_regime: one pass finds all quantiles of a partition's series."""
     w, names = over(order, part), F.array(*map(F.lit, levels))
-    held = df.withColumn("__l", expanding_quantile(F.col("ratio"), levels, w, True))
+    held = df.filter("ratio IS NOT NULL").withColumn("__l", expanding_quantile(F.col("ratio"), levels, w, True))
     limit = lambda k: F.coalesce(F.get("__l", F.lit(k)), F.lit(float("inf")))
     held = held.withColumn("__r", F.array(*[F.when(F.col("ratio") > limit(k), -1.0).otherwise(1.0) for k in range(len(levels))]))
     held = held.withColumn("__p", F.lag("__r").over(w)).drop("__l", "__r")
@@ -79,27 +104,55 @@ def regime_positions(df: DataFrame, order: str, levels: list[float], part: list[
     return held.withColumn("__x", F.explode(each)).select("*", "__x.*").drop("__p", "__x")
 
 
-def with_momentum(df: DataFrame, ret: str, n: int, order: str = "d") -> DataFrame:
-    """Shorts stand only while the sum of the n returns before is negative."""
-    w = over(order).rowsBetween(-n, -1)
-    mom = full(F.sum(ret).over(w), F.col(ret), w, n)
-    return df.withColumn("pos", F.when((F.col("pos") < 0) & ~F.coalesce(mom < 0, F.lit(False)), 1.0).otherwise(F.col("pos")))
+def falling(ret: str, n: int, order: str = "d") -> Column:
+    """Whether the sum of the last n returns, this one included, is negative."""
+    return rolling(F.sum, F.col(ret), n, over(order)) < 0
+
 
+def below_average(close: str, n: int, order: str = "d") -> Column:
+    """Whether the close is below its n-day mean."""
+    return F.col(close) < rolling(F.avg, F.col(close), n, over(order))
 
-def with_moving_average(df: DataFrame, close: str, n: int, order: str = "d") -> DataFrame:
-    """Shorts stand only where yesterday's close was below its n-day mean."""
+
+def rv_and_funding(df: DataFrame, rv: str, short: int, long: int, q: float, rate: str, n: int, rate_q: float, order: str = "d") -> DataFrame:
+    """rv_regime whose shorts also need the n-day mean of the rate above the quantile of its values before, over the days
+    that have both.
+    """
     w = over(order)
-    held = df.withColumn("__below", F.col(close) < rolling(F.avg, F.col(close), n, w))
-    return held.withColumn("pos", F.when((F.col("pos") < 0) & ~F.coalesce(F.lag("__below").over(w), F.lit(False)), 1.0).otherwise(F.col("pos"))).drop("__below")
+    held = rv_regime(df.withColumn("__f", F.round(rolling(F.avg, F.col(rate), n, w), 12)), rv, short, long, q, order).filter("__f IS NOT NULL")
+    high = F.col("__f") > F.coalesce(expanding_quantile(F.col("__f"), rate_q, w, True), F.lit(float("inf")))
+    held = held.withColumn("__raw", F.when((F.col("ratio") > F.col("limit")) & high, -1.0).otherwise(1.0))
+    return held.withColumn("pos", F.coalesce(F.lag("__raw").over(w), F.lit(0.0))).drop("__f", "__raw")
 
 
-def funding_rule(df: DataFrame, rate: str, n: int, q: float, least: int = 30, order: str = "d") -> DataFrame:
-    """-1 a day after the n-day funding sum exceeded its expanding quantile (this day included), else +1; null at first."""
+def funding_rule(df: DataFrame, rate: str, n: int, q: float, order: str = "d") -> DataFrame:
+    """The days that have an n-day funding sum: -1 a day after it exceeded the quantile of the sums so far (this one
+    included), else +1; the first day is +1.
+    """
+    w = over(order)
+    held = df.withColumn("__f", F.round(rolling(F.sum, F.col(rate), n, w), 9)).filter("__f IS NOT NULL")
+    raw = F.when(F.col("__f") > expanding_quantile(F.col("__f"), q, w), -1.0).otherwise(1.0)
+    return held.withColumn("__r", raw).withColumn("pos", F.coalesce(F.lag("__r").over(w), F.lit(1.0))).drop("__f", "__r")
+
+
+def funding_modes(df: DataFrame, rate: str, interest: str, taker: str, n: int, high: float, low: float, order: str = "d") -> DataFrame:
+    """df, from the first n-day funding sum on, for each mode: funding_only (the sum above its upper quantile), funding_oi (and
+    open interest rising), composite (scores of funding, interest and taker imbalance that add up to -1 or less); short a day
+    after. Quantiles are of the values so far, this day included; interest without a value counts as 0 in the score.
+    """
     w = over(order)
-    held = df.withColumn("__f", rolling(F.sum, F.col(rate), n, w))
-    held = held.withColumn("__q", expanding_quantile(F.col("__f"), q, w, False, least))
-    raw = F.when(F.coalesce(F.col("__f") > F.col("__q"), F.lit(False)), -1.0).otherwise(1.0)
-    return held.withColumn("__r", raw).withColumn("pos", F.coalesce(F.lag("__r").over(w), F.lit(1.0))).drop("__f", "__q", "__r")
+    held = df.withColumn("__f", F.round(rolling(F.sum, F.col(rate), n, w), 9)).filter("__f IS NOT NULL")
+    held = held.withColumn("__q", expanding_quantile(F.col("__f"), [high, low], w)).withColumn("__i", F.coalesce(interest, F.lit(0.0)))
+    held = held.withColumn("__qi", expanding_quantile(F.col("__i"), 0.8, w)).withColumn("__qt", expanding_quantile(F.col(taker), [0.85, 0.15], w))
+    many = F.col("__i") > F.col("__qi")
+    score = F.when(F.col("__f") > F.get("__q", F.lit(0)), -1.0).when(F.col("__f") < F.get("__q", F.lit(1)), 1.0).otherwise(0.0)
+    score += F.when(many & (F.col("__f") > 0), -0.5).when(many & (F.col("__f") < 0), 0.5).otherwise(0.0)
+    score += F.when(F.col(taker) > F.get("__qt", F.lit(0)), -0.5).when(F.col(taker) < F.get("__qt", F.lit(1)), 0.5).otherwise(0.0)
+    over_top = F.col("__f") > F.get("__q", F.lit(0))
+    rules = {"funding_only": over_top, "funding_oi": over_top & F.coalesce(F.col(interest) > 0, F.lit(False)), "composite": score <= -1.0}
+    held = held.select(*df.columns, *[F.when(c, -1.0).otherwise(1.0).alias(mode) for mode, c in rules.items()])
+    held = held.select(*df.columns, *[F.coalesce(F.lag(mode).over(w), F.lit(1.0)).alias(mode) for mode in rules])
+    return held.unpivot(df.columns, list(rules), "mode", "pos")
 
 
 def imbalance_rules(df: DataFrame, x: str, n: int, high: float, low: float, order: str = "d") -> DataFrame:
@@ -134,26 +187,69 @@ def score_rule(df: DataFrame, flags: list[Column], threshold: int, order: str =
     return held.withColumn("pos", F.coalesce(F.lag("__r").over(over(order)), F.lit(1.0))).drop("__r")
 
 
-def filter_rule(df: DataFrame, x: str, q: float, rising: bool, lag: int = 2, order: str = "d") -> DataFrame:
-    """Long `lag` days after x was above its expanding quantile (and rising, if asked), else flat."""
+def filter_rule(df: DataFrame, x: str, q: float, rising: bool, lag: int = 2, least: int = 30, order: str = "d") -> DataFrame:
+    """Long `lag` days after x was above the quantile of at least `least` values so far (and, if asked, above its value two rows
+    before), else flat.
+    """
     w = over(order)
-    on = F.col(x) > expanding_quantile(F.col(x), q, w)
+    on = F.col(x) > expanding_quantile(F.col(x), q, w, least=least)
     if rising:
-        on = on & (F.col(x) > F.lag(x).over(w))
+        on = on & (F.col(x) > F.lag(x, 2).over(w))
     held = df.withColumn("__on", F.coalesce(on, F.lit(False)))
     return held.withColumn("pos", F.when(F.coalesce(F.lag("__on", lag).over(w), F.lit(False)), 1.0).otherwise(0.0)).drop("__on")
 
 
+def volatility_filters(df: DataFrame, vol: str, search: str, mood: str, order: str = "d", least: int = 30) -> DataFrame:
+    """df for each of twelve rules A to L, with pos: long or flat a day after what an implied volatility, a search index and a
+    0-100 sentiment said; the first day is long. Quantiles take at least `least` values so far; what is unknown does not hold.
+    """
+    w = over(order)
+    q = lambda c, p: expanding_quantile(F.col(c), p, w, least=least)
+    v, holds = F.col(vol), lambda c: F.coalesce(c, F.lit(False))
+    high, move = holds(v > q(vol, 0.5)), F.try_divide(v, F.lag(v, 2).over(w)) - 1
+    up, down, crowd = holds(move > 0), holds(move < 0), holds(F.col(search) > q(search, 0.8))
+    m = F.col(mood)
+    bad = holds(v < q(vol, 0.5)).cast("int") + down.cast("int") + holds(m < 45).cast("int")
+    rules = {
+        "A": high, "B": up, "C": high | up, "D": high & up, "E": holds(v > q(vol, 0.6)), "F": high & ~crowd, "G": (high | up) & ~crowd, "H": high & holds(m > 50),
+        "I": high | holds(m > 60), "J": ~(holds(v < q(vol, 0.4)) & down & holds(m < 40)), "K": bad < 2, "L": high & holds(F.col(search) <= q(search, 0.8)) & holds(m > 40),
+    }
+    held = df.withColumns({f"rule_{k}": F.when(c, 1.0).otherwise(0.0) for k, c in rules.items()})
+    held = held.select(*df.columns, *[F.coalesce(F.lag(f"rule_{k}").over(w), F.lit(1.0)).alias(f"rule_{k}") for k in rules])
+    return held.unpivot(df.columns, [f"rule_{k}" for k in rules], "variant", "pos").withColumn("variant", F.substring("variant", 6, 1))
+
+
 def contrarian(x: Column, low: float = 25, high: float = 75) -> Column:
     """Long in fear, short in greed, else flat."""
     return F.when(x < low, 1.0).when(x > high, -1.0).otherwise(0.0)
 
 
 def quantile_leverage(df: DataFrame, x: str) -> DataFrame:
-    """lev: minus the sign of x times 0.5, 1, 1.5 or 2 by the quartile of its size."""
+    """lev: 0.5, 1, 1.5 or 2 by the quartile of x's size, negative where x is positive."""
     one = df.agg(F.percentile(F.abs(x), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("__q"))
     size = F.lit(0.5) + 0.5 * F.size(F.filter("__q", lambda e: e <= F.abs(x)))
-    return df.crossJoin(F.broadcast(one)).withColumn("lev", F.when(F.col(x) > 0, -size).when(F.col(x) < 0, size).otherwise(0.0)).drop("__q")
+    return df.crossJoin(F.broadcast(one)).withColumn("lev", F.when(F.col(x) > 0, -size).otherwise(size)).drop("__q")
+
+
+def soft_leverage(posterior: list[Column], levels: list[float], most: float) -> Column:
+    """The mean of the states' leverages under their probabilities, within [-most, most]."""
+    mean = sum((p * lev for p, lev in zip(posterior[1:], levels[1:], strict=True)), posterior[0] * levels[0])
+    return F.greatest(F.least(mean, F.lit(most)), F.lit(-most))
+
+
+def hard_leverage(alert: Column, fear: Column, alert_min: float, fear_min: float, levels: list[float]) -> Column:
+    """levels are those of normal, alert and fear: fear where it is likely enough, else alert where that is, else normal."""
+    return F.when(fear > fear_min, levels[2]).when(alert > alert_min, levels[1]).otherwise(levels[0])
+
+
+def objective(sharpe_: Column, drawdown_: Column, trades: Column, funding: Column, over_leverage: Column, fee: float = 0.0004) -> Column:
+    """Sharpe less half of the drawdown, costs of trades and funding, and twice the share of days beyond the leverage limit."""
+    return sharpe_ - 0.5 * F.abs(drawdown_) - 0.3 * trades * fee - 0.4 * funding - 2.0 * over_leverage
+
+
+def annual(total: Column, n: Column, year: int = 252) -> Column:
+    """Geometric annual return of a total return over n days."""
+    return F.pow(1 + total, F.lit(float(year)) / n) - 1
 
 
 def smooth(df: DataFrame, target: str, step: float, order: str, part: list[str], out: str = "pos") -> DataFrame:
@@ -184,66 +280,99 @@ def daily_pnl(bars: DataFrame, direction: DataFrame, leverage: Column, fee: floa
 def stops(bars: DataFrame, target: float, trail: float, stop: float) -> DataFrame:
     """(day, i, ret) -> day, final, take_profit, trailing, stop_loss, both: the running sum's value at each rule's first hit.
 
-    A trailing stop acts once the peak exceeds the trail and the path falls more than the trail below it; where both stops
+    A stop loss acts once the path is below -stop, and takes the path's value there. A trailing stop acts once the peak exceeds the trail and the path falls more than the trail below it; where both stops
     apply, the earlier row decides and the trailing stop is tested first.
     """
     w = W.partitionBy("day").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
     path = bars.withColumn("cum", F.sum("ret").over(w)).withColumn("peak", F.max("cum").over(w))
     hit_trail = (F.col("peak") > trail) & (F.col("cum") < F.col("peak") - trail)
-    hit_stop = F.col("cum") <= -stop
+    hit_stop = F.col("cum") < -stop
     first = lambda hit: F.min_by("cum", F.when(hit, F.col("i")))
     final = F.max_by("cum", "i")
     return path.groupBy("day").agg(
         final.alias("final"), F.when(F.max("cum") >= target, F.lit(target)).otherwise(final).alias("take_profit"), F.coalesce(first(hit_trail), final).alias("trailing"),
-        F.when(F.min("cum") <= -stop, F.lit(-stop)).otherwise(final).alias("stop_loss"),
-        F.coalesce(F.min_by(F.when(hit_trail, F.col("cum")).otherwise(F.lit(-stop)), F.when(hit_trail | hit_stop, F.col("i"))), final).alias("both"),
+        F.coalesce(first(hit_stop), final).alias("stop_loss"), F.coalesce(first(hit_trail | hit_stop), final).alias("both"),
         F.max("cum").alias("max_excursion"), F.max_by("i", F.struct("cum", -F.col("i"))).alias("max_row"),
     )
 
 
 def min_hold(bars: DataFrame, flag: str, rows: int = 5) -> DataFrame:
-    """(day, i, flag) -> day, i, pos: out of the market from a flagged row for at least `rows` rows; a fold over each day."""
+    """(day, i, flag) -> day, i, pos, trades: out of the market (0) from a flagged row to the first unflagged one at least `rows`
+    rows later, else 1; trades counts the changes so far. A fold over each day's rows.
+    """
     all_rows = bars.groupBy("day").agg(F.sort_array(F.collect_list(F.struct("i", F.coalesce(F.col(flag), F.lit(False)).alias("f")))).alias("all"))
-    start = F.struct(F.lit(0).alias("left"), F.transform(F.slice("all", 1, 0), lambda x: F.struct(x["i"].alias("i"), F.lit(1).alias("pos"))).alias("done"))
+    none = F.lit(None).cast("int")
+    row = lambda i, pos, trades: F.struct(i.alias("i"), pos.alias("pos"), trades.alias("trades"))
+    start = F.struct(none.alias("since"), F.lit(0).alias("trades"), F.transform(F.slice("all", 1, 0), lambda x: row(x["i"], F.lit(1), F.lit(0))).alias("done"))
 
     def step(s: Column, x: Column) -> Column:
-        left = F.when(s["left"] > 0, s["left"] - 1).when(x["f"], F.lit(rows - 1)).otherwise(F.lit(0))
-        out = F.when((s["left"] > 0) | x["f"], 0).otherwise(1)
-        return F.struct(left.alias("left"), F.concat(s["done"], F.array(F.struct(x["i"].alias("i"), out.alias("pos")))).alias("done"))
+        leave, back = s["since"].isNull() & x["f"], s["since"].isNotNull() & ~x["f"] & (x["i"] - s["since"] >= rows)
+        since = F.when(leave, x["i"]).when(back, none).otherwise(s["since"])
+        trades = s["trades"] + (leave | back).cast("int")
+        return F.struct(since.alias("since"), trades.alias("trades"), F.concat(s["done"], F.array(row(x["i"], since.isNull().cast("int"), trades))).alias("done"))
 
-    return all_rows.select("day", F.explode(F.aggregate("all", start, step, lambda s: s["done"])).alias("x")).select("day", "x.i", "x.pos")
+    return all_rows.select("day", F.explode(F.aggregate("all", start, step, lambda s: s["done"])).alias("x")).select("day", "x.i", "x.pos", "x.trades")
 
 
-def breakout(bars: DataFrame, trigger: float, look: int, hold: int) -> DataFrame:
-    """(day, i, close, flag) -> day, entry, exit, side, pnl: from a flagged row, the first of the next `look` rows beyond the
-    trigger is entered and held; rows up to the exit are skipped. Depends on its own exits: one pandas pass for each day.
+def anomaly_rules(bars: DataFrame, flag: str, norm: str, rows: int = 5) -> DataFrame:
+    """(day, i, ret, dir, flag, norm) -> mode, day, n, n_trades, gross of holding the day's direction: always (baseline), out or
+    at half size in flagged stretches (exit, leverage, with a least stay), from the first unflagged row on (filter), or with
+    1 - norm of the size (sizing, whose trades are changes of more than a tenth).
+    """
+    w, held = over("i", ["day"]), bars.join(min_hold(bars.select("day", "i", flag), flag, rows), ["day", "i"])
+    before = W.partitionBy("day").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
+    entered = F.max((~F.coalesce(F.col(flag), F.lit(False))).cast("int")).over(before)
+    size = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col(norm)))
+    share = {"baseline": F.lit(1.0), "exit": F.col("pos").cast("double"), "leverage": F.when(F.col("pos") == 0, 0.5).otherwise(1.0), "filter": entered.cast("double"), "sizing": size}
+    wide = held.withColumns({f"__{k}": c for k, c in share.items()})
+    wide = wide.withColumn("__moved", F.coalesce(F.abs(F.col("dir") * F.col("__sizing") - F.lag(F.col("dir") * F.col("__sizing")).over(w)) > 0.1, F.lit(False)))
+    trades = {"baseline": F.lit(2), "exit": 2 + F.max("trades"), "leverage": 2 + F.max("trades"), "filter": 2 * F.max("__filter"), "sizing": 2 + F.count_if("__moved")}
+    day = wide.groupBy("day").agg(F.count(F.lit(1)).alias("n"), *[F.struct(trades[k].cast("long").alias("n_trades"), F.sum(F.col("dir") * F.col(f"__{k}") * F.col("ret")).alias("gross")).alias(k) for k in share])
+    return day.unpivot(["day", "n"], list(share), "mode", "x").select("mode", "day", "n", "x.n_trades", "x.gross")
+
+
+def breakout(bars: DataFrame, trigger: float, look: int, hold: int, lev: float = 1.0, cost: float = 0.002) -> DataFrame:
+    """(day, i, close, ret, flag) -> day, entry, exit, side, pnl: from a flagged row, the first of the next `look` rows at or
+    beyond the trigger is entered and held for `hold` rows; pnl is the sum of the returns from the entry's row on, times lev,
+    less cost times lev. Rows up to the exit are skipped. Depends on its own exits: one pandas pass for each day.
     """
 
     def one(pdf):
         pdf = pdf.sort_values("i")
-        close, flag, index = pdf["close"].to_numpy(float), pdf["flag"].to_numpy(bool), pdf["i"].to_numpy()
+        close, ret, flag, index = pdf["close"].to_numpy(float), pdf["ret"].to_numpy(float), pdf["flag"].to_numpy(bool), pdf["i"].to_numpy()
         rows, k, n = [], 0, len(pdf)
         while k < n:
-            if not flag[k]:
-                k += 1
-                continue
-            move = close[k + 1 : k + 1 + look] / close[k] - 1
-            hits = [j for j, m in enumerate(move) if abs(m) > trigger]
-            if not hits:
+            ahead = close[k + 1 : k + 1 + look]
+            up, down = ahead >= close[k] * (1 + trigger), ahead <= close[k] * (1 - trigger)
+            if not flag[k] or not (up | down).any():
                 k += 1
                 continue
-            entry = k + 1 + hits[0]
-            side, leave = (1 if move[hits[0]] > 0 else -1), min(entry + hold, n - 1)
-            rows.append((pdf["day"].iloc[0], int(index[entry]), int(index[leave]), side, side * (close[leave] / close[entry] - 1)))
+            j = int((up | down).argmax())
+            entry = k + 1 + j
+            side, leave = (1 if up[j] else -1), min(entry + hold, n - 1)
+            rows.append((pdf["day"].iloc[0], int(index[entry]), int(index[leave]), side, float(side * ret[entry : leave + 1].sum() * lev - cost * lev)))
             k = leave + 1
         return pd.DataFrame(rows, columns=["day", "entry", "exit", "side", "pnl"])
 
-    return bars.select("day", "i", "close", "flag").groupBy("day").applyInPandas(one, "day date, entry int, exit int, side int, pnl double")
+    return bars.select("day", "i", "close", "ret", "flag").groupBy("day").applyInPandas(one, "day date, entry int, exit int, side int, pnl double")
+
 
+def vol_target(df: DataFrame, vol: Column, target: Column | float, most: float = 3.0, base: float = 1.0, without: float = 2.0) -> DataFrame:
+    """lev: base times target over forecast volatility, within [0.5, most]; `without` where there is no forecast above 0."""
+    goal = target if isinstance(target, Column) else F.lit(target)
+    lev = F.least(F.greatest(goal / vol * base, F.lit(0.5)), F.lit(most))
+    return df.withColumn("lev", F.when(vol > 0, lev).otherwise(F.lit(without)))
 
-def vol_target(df: DataFrame, vol: Column, target: float, most: float = 3.0) -> DataFrame:
-    """lev: target over forecast volatility within [0.5, most]; 1 without a forecast."""
-    return df.withColumn("lev", F.coalesce(F.least(F.greatest(F.try_divide(F.lit(target), vol), F.lit(0.5)), F.lit(most)), F.lit(1.0)))
+
+def relevered(df: DataFrame, lev: str, base: float, every: int = 30, least: float = 0.3) -> DataFrame:
+    """(day, i from 1) -> day, changes: how often, looking every so many rows, leverage is further than `least` from what it was
+    at the last change (base at first): a fold over a day's few looks.
+    """
+    looks = df.filter((F.col("i") - 1) % every == 0).groupBy("day").agg(F.sort_array(F.collect_list(F.struct("i", F.col(lev).alias("l")))).alias("all"))
+    start = F.struct(F.lit(base).alias("at"), F.lit(0).alias("n"))
+    moved = lambda s, x: F.abs(x["l"] - s["at"]) > least
+    fold = F.aggregate("all", start, lambda s, x: F.struct(F.when(moved(s, x), x["l"]).otherwise(s["at"]).alias("at"), (s["n"] + moved(s, x).cast("int")).alias("n")), lambda s: s["n"])
+    return looks.select("day", fold.alias("changes"))
 
 
 def slippage(orders: DataFrame, book: DataFrame) -> DataFrame:

@@ -32,11 +32,12 @@ def _roll(fn: str, x: str, n: int) -> str:
     return f"CASE WHEN count({x}) OVER (ORDER BY d ROWS {n - 1} PRECEDING) = {n} THEN {fn}({x}) OVER (ORDER BY d ROWS {n - 1} PRECEDING) END"
 
 
-def _regime(short: int, long: int, q: float) -> dict[str, str]:
+def _regime(short: int, long: int, q: float, confirm: str = "true", first: int = 0) -> dict[str, str]:
     return {
-        "ra": f"SELECT *, {_roll('avg', 'rv', short)} / nullif({_roll('avg', 'rv', long)}, 0) AS ratio FROM panel",
-        "rb": f"SELECT *, CASE WHEN ratio > coalesce(quantile_cont(ratio, {q}) OVER (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'inf'::DOUBLE) THEN -1.0 ELSE 1.0 END::DOUBLE AS raw FROM ra",
-        "rp": "SELECT *, coalesce(lag(raw) OVER (ORDER BY d), 0)::DOUBLE AS pos FROM rb",
+        "ra": f"""SELECT * FROM (SELECT *, coalesce({confirm}, false) AS confirm, {_roll('avg', 'rv', short)} / nullif({_roll('avg', 'rv', long)}, 0) AS ratio FROM panel)
+          WHERE ratio IS NOT NULL""",
+        "rb": f"""SELECT *, coalesce(quantile_cont(ratio, {q}) OVER (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'inf'::DOUBLE) AS lim FROM ra""",
+        "rp": f"SELECT *, coalesce(lag(CASE WHEN ratio > lim AND confirm THEN -1.0 ELSE 1.0 END) OVER (ORDER BY d), {first})::DOUBLE AS pos FROM rb",
     }
 
 
@@ -57,23 +58,28 @@ def rv_regime_funding(spark, sf):
     return _net(strategy.rv_regime(daily(spark, sf), "rv", 4, 14, 0.6), "rate")
 
 
-_MOM = "SELECT * EXCLUDE (pos), CASE WHEN pos < 0 AND NOT coalesce(count(ret) OVER w = 10 AND sum(ret) OVER w < 0, false) THEN 1.0 ELSE pos END::DOUBLE AS pos FROM rp WINDOW w AS (ORDER BY d ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)"
+_FALLS = _roll("sum", "ret", 10) + " < 0"
 
 
-@query(sql(_NET.format("", "", "rm"), *_V, **_P, **_regime(3, 20, 0.7), rm=_MOM))
+@query(sql(_NET.format("", "", "rp"), *_V, **_P, **_regime(3, 20, 0.7, _FALLS)))
 def rv_momentum_filter(spark, sf):
-    return _net(strategy.with_momentum(strategy.rv_regime(daily(spark, sf), "rv", 3, 20, 0.7), "ret", 10))
+    return _net(strategy.rv_regime(daily(spark, sf), "rv", 3, 20, 0.7, confirm=strategy.falling("ret", 10)))
 
 
-@query(sql(_NET.format("", "", "rx"), *_V, **_P, **_regime(3, 20, 0.7), rm=_MOM, ry=f"SELECT *, close < {_roll('avg', 'close', 20)} AS below FROM rm", rx="SELECT * EXCLUDE (pos), CASE WHEN pos < 0 AND NOT coalesce(lag(below) OVER (ORDER BY d), false) THEN 1.0 ELSE pos END::DOUBLE AS pos FROM ry"))
+@query(sql(_NET.format("", "", "rp"), *_V, **_P, **_regime(3, 20, 0.7, f"{_FALLS} AND close < {_roll('avg', 'close', 20)}", 1)))
 def rv_ma_momentum(spark, sf):
-    return _net(strategy.with_moving_average(strategy.with_momentum(strategy.rv_regime(daily(spark, sf), "rv", 3, 20, 0.7), "ret", 10), "close", 20))
+    both = strategy.falling("ret", 10) & strategy.below_average("close", 20)
+    return _net(strategy.rv_regime(daily(spark, sf), "rv", 3, 20, 0.7, confirm=both, first=1.0))
 
 
-_FUND = {"fa": f"SELECT *, {_roll('sum', 'rate', 7)} AS f FROM panel", "fb": "SELECT *, CASE WHEN count(f) OVER (ORDER BY d) >= 30 THEN quantile_cont(f, 0.8) OVER (ORDER BY d ROWS UNBOUNDED PRECEDING) END AS q FROM fa", "fp": "SELECT *, coalesce(lag(CASE WHEN coalesce(f > q + 1e-12, false) THEN -1.0 ELSE 1.0 END) OVER (ORDER BY d), 1.0)::DOUBLE AS pos FROM fb"}
+_FUND = {
+    "fa": f"SELECT * FROM (SELECT *, round({_roll('sum', 'rate', 7)}, 9) AS f FROM panel) WHERE f IS NOT NULL",
+    "fb": "SELECT *, quantile_cont(f, 0.8) OVER (ORDER BY d ROWS UNBOUNDED PRECEDING) AS q FROM fa",
+    "fp": "SELECT *, coalesce(lag(CASE WHEN f > q THEN -1.0 ELSE 1.0 END) OVER (ORDER BY d), 1.0)::DOUBLE AS pos FROM fb",
+}
 
 
-@query(sql(_NET.format(" - pos * rate", " - rate", "fp"), *_V, **_P, **_FUND).replace("f > q + 1e-12", "f > q"))
+@query(sql(_NET.format(" - pos * rate", " - rate", "fp"), *_V, **_P, **_FUND))
 def funding_modes(spark, sf):
     return _net(strategy.funding_rule(daily(spark, sf), "rate", 7, 0.8), "rate")
 
@@ -155,7 +161,9 @@ def multisignal_score(spark, sf):
     return _net(strategy.score_rule(held, [F.col("fg") > 75, F.col("rate") > 0, F.col("falling")], 2))
 
 
-@query(sql(_NET.format("", "", "vp"), *_V, **_P, va="SELECT *, coalesce(fg > quantile_cont(fg, 0.6) OVER (ORDER BY d ROWS UNBOUNDED PRECEDING) AND fg > lag(fg) OVER (ORDER BY d), false) AS o FROM panel", vp='SELECT *, CASE WHEN coalesce(lag(o, 2) OVER (ORDER BY d), false) THEN 1.0 ELSE 0.0 END::DOUBLE AS pos FROM va'))
+@query(sql(_NET.format("", "", "vp"), *_V, **_P,
+  vq="SELECT *, CASE WHEN count(fg) OVER w >= 30 THEN quantile_cont(fg, 0.6) OVER w END AS q, lag(fg, 2) OVER (ORDER BY d) AS was FROM panel WINDOW w AS (ORDER BY d ROWS UNBOUNDED PRECEDING)",
+  vp="SELECT *, CASE WHEN coalesce(lag(coalesce(fg > q AND fg > was, false), 2) OVER (ORDER BY d), false) THEN 1.0 ELSE 0.0 END::DOUBLE AS pos FROM vq"))
 def dvol_variants(spark, sf):
     return _net(strategy.filter_rule(daily(spark, sf), "fg", 0.6, True))
 
@@ -165,12 +173,18 @@ def fear_greed_contrarian(spark, sf):
     return _net(daily(spark, sf).withColumn("pos", strategy.contrarian(F.col("fg"))))
 
 
-_CAP = {"qs": "SELECT quantile_cont(abs(slope), 0.25) AS a, quantile_cont(abs(slope), 0.5) AS b, quantile_cont(abs(slope), 0.75) AS c FROM panel", "lp": "SELECT panel.*, greatest(-cap, least(cap, -sign(slope) * (0.5 + 0.5 * ((a <= abs(slope))::INT + (b <= abs(slope))::INT + (c <= abs(slope))::INT)))) AS pos FROM panel, qs, (VALUES (1.0::DOUBLE)) k(cap)"}
+_CAP = {
+    "qs": "SELECT quantile_cont(abs(slope), 0.25) AS a, quantile_cont(abs(slope), 0.5) AS b, quantile_cont(abs(slope), 0.75) AS c FROM panel",
+    "lv": "SELECT panel.*, CASE WHEN slope > 0 THEN -1 ELSE 1 END * (0.5 + 0.5 * ((a <= abs(slope))::INT + (b <= abs(slope))::INT + (c <= abs(slope))::INT)) AS lev, CASE WHEN fg < 25 THEN 0.5 WHEN fg < 50 THEN 1.0 ELSE 2.0 END::DOUBLE AS cap FROM panel, qs",
+    "lp": "SELECT *, greatest(-cap, least(cap, lev)) AS pos FROM lv",
+}
 
 
 @query(sql("SELECT d, round(pos, 6) AS lev, round(pos * ret - abs(pos - coalesce(lag(pos) OVER (ORDER BY d), 0)) * 0.0004 - pos * rate, 8) AS strat FROM lp", *_V, **_P, **_CAP))
 def slope_regime_cap(spark, sf):
-    held = strategy.quantile_leverage(daily(spark, sf), "slope").withColumn("pos", scalars.clamp(F.col("lev"), -1.0, 1.0))
+    """The cap is 2 in a normal, 1 in an alert and 0.5 in a fearful regime, which sentiment stands for."""
+    cap = F.when(F.col("fg") < 25, 0.5).when(F.col("fg") < 50, 1.0).otherwise(2.0)
+    held = strategy.quantile_leverage(daily(spark, sf), "slope").withColumn("pos", F.greatest(-cap, F.least(cap, F.col("lev"))))
     return strategy.net_returns(held, "pos", "ret", "d", 0.0004, "rate", True).select("d", r6("pos", "lev"), r6("strat", None, 8))
 
 
@@ -209,8 +223,8 @@ def leverage_ladder_backtest(spark, sf):
 
 
 _EXIT = """SELECT day, round(arg_max(cum, i), 6) AS final, round(CASE WHEN max(cum) >= 2.0 THEN 2.0 ELSE arg_max(cum, i) END, 6) AS take_profit,
-  round(coalesce(arg_min(cum, i) FILTER (WHERE peak > 1.0 AND cum < peak - 1.0), arg_max(cum, i)), 6) AS trailing_ret, round(CASE WHEN min(cum) <= -0.5 THEN -0.5 ELSE arg_max(cum, i) END, 6) AS stop_loss,
-  round(coalesce(arg_min(CASE WHEN peak > 1.0 AND cum < peak - 1.0 THEN cum ELSE -0.5 END, i) FILTER (WHERE (peak > 1.0 AND cum < peak - 1.0) OR cum <= -0.5), arg_max(cum, i)), 6) AS both_ret,
+  round(coalesce(arg_min(cum, i) FILTER (WHERE peak > 1.0 AND cum < peak - 1.0), arg_max(cum, i)), 6) AS trailing_ret, round(coalesce(arg_min(cum, i) FILTER (WHERE cum < -0.5), arg_max(cum, i)), 6) AS stop_loss,
+  round(coalesce(arg_min(cum, i) FILTER (WHERE (peak > 1.0 AND cum < peak - 1.0) OR cum < -0.5), arg_max(cum, i)), 6) AS both_ret,
   round(max(cum), 6) AS max_excursion, arg_max(i, (cum, -i)) AS max_row FROM ip GROUP BY day"""
 
 
@@ -238,22 +252,62 @@ def ts_sl_combo(spark, sf):
     return _stops(spark, sf).select("day", r6("both", "both_ret"))
 
 
-@query(sql("SELECT day, round(coalesce(least(3.0, greatest(0.5, 10.0 / nullif(lag(sd) OVER (ORDER BY day), 0))), 1.0), 6) AS lev_prev, round(coalesce(least(3.0, greatest(0.5, 10.0 / nullif(CASE WHEN count(sd) OVER w = 5 THEN avg(sd) OVER w END, 0))), 1.0), 6) AS lev_mean FROM (SELECT day, stddev_samp(ret) AS sd FROM ib GROUP BY day) WINDOW w AS (ORDER BY day ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)", "b15", **_I))
+@query(sql("""SELECT day, round(CASE WHEN prev > 0 THEN least(3.0, greatest(0.5, target / prev)) ELSE 2.0 END, 6) AS lev_prev, round(CASE WHEN mean > 0 THEN least(3.0, greatest(0.5, target / mean)) ELSE 2.0 END, 6) AS lev_mean
+  FROM (SELECT day, lag(sd) OVER (ORDER BY day) AS prev, CASE WHEN count(sd) OVER w = 5 THEN avg(sd) OVER w END AS mean FROM sds WINDOW w AS (ORDER BY day ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)), (SELECT 2 * median(sd) AS target FROM sds)""",
+  "b15", **_I, sds="SELECT day, stddev_samp(ret) AS sd FROM ib GROUP BY day"))
 def vol_target_sizing(spark, sf):
     w = frames.over("day")
     held = intraday(spark, sf).groupBy("day").agg(F.stddev_samp("ret").alias("sd"))
-    held = held.withColumn("prev", F.lag("sd").over(w)).withColumn("mean", frames.prior(F.avg, F.col("sd"), 5, w, 5))
-    one = strategy.vol_target(held, F.col("prev"), 10.0).withColumnRenamed("lev", "lev_prev")
-    return strategy.vol_target(one, F.col("mean"), 10.0).select("day", r6("lev_prev"), r6("lev", "lev_mean"))
+    goal = held.agg((2 * F.percentile("sd", F.lit(0.5))).alias("goal"))
+    held = held.withColumn("prev", F.lag("sd").over(w)).withColumn("mean", frames.prior(F.avg, F.col("sd"), 5, w, 5)).crossJoin(F.broadcast(goal))
+    one = strategy.vol_target(held, F.col("prev"), F.col("goal")).withColumnRenamed("lev", "lev_prev")
+    return strategy.vol_target(one, F.col("mean"), F.col("goal")).select("day", r6("lev_prev"), r6("lev", "lev_mean"))
 
 
 _FOLD = "WITH RECURSIVE "
 
 
-@query(sql("SELECT day, i, pos FROM walk", "b15", **{k: _I[k] for k in ("ib",)}, walk="SELECT day, i, CASE WHEN trade_imbalance > 0.6 THEN 4 ELSE 0 END AS n, CASE WHEN trade_imbalance > 0.6 THEN 0 ELSE 1 END AS pos FROM ib WHERE i = 1 UNION ALL SELECT ib.day, ib.i, CASE WHEN walk.n > 0 THEN walk.n - 1 WHEN trade_imbalance > 0.6 THEN 4 ELSE 0 END, CASE WHEN walk.n > 0 OR trade_imbalance > 0.6 THEN 0 ELSE 1 END FROM walk JOIN ib ON ib.day = walk.day AND ib.i = walk.i + 1").replace("WITH ", _FOLD, 1))
+_OUT = "trade_imbalance > 0.6"
+_HOLD = f"""SELECT day, i, CASE WHEN {_OUT} THEN i END AS since, ({_OUT})::INT AS trades FROM ib WHERE i = 1
+  UNION ALL SELECT day, i, CASE WHEN was IS NULL AND flag THEN i WHEN was IS NOT NULL AND NOT flag AND i - was >= 5 THEN NULL ELSE was END,
+    trades + ((was IS NULL AND flag) OR (was IS NOT NULL AND NOT flag AND i - was >= 5))::INT FROM (SELECT ib.day, ib.i, {_OUT} AS flag, since AS was, trades FROM walk JOIN ib ON ib.day = walk.day AND ib.i = walk.i + 1)"""
+
+
+@query(sql("SELECT day, i, (since IS NULL)::INT AS pos FROM walk", "b15", ib=_I["ib"], walk=_HOLD).replace("WITH ", _FOLD, 1))
 def min_hold_positions(spark, sf):
     held = intraday(spark, sf).withColumn("flag", F.col("trade_imbalance") > 0.6)
-    return strategy.min_hold(held, "flag", 5)
+    return strategy.min_hold(held, "flag", 5).select("day", "i", "pos")
+
+
+def flagged(spark, sf):
+    """intraday with the day's direction and the anomaly signal of its rows joined on; rows without one are not flagged."""
+    held = intraday(spark, sf)
+    signals = held.filter("trade_imbalance > 0.2").select("ts", F.col("trade_imbalance").alias("score"), (F.col("trade_imbalance") > 0.6).alias("is_anomaly"))
+    named = features.with_signals(held, signals, {"score": 0.0, "is_anomaly": False})
+    first = held.filter("i = 1").select("day", F.when(F.col("trade_imbalance") > 0, 1).otherwise(-1).alias("dir"))
+    return named.join(first, "day")
+
+
+_SIGNALS = {
+    "sg": "SELECT ts, trade_imbalance AS score, trade_imbalance > 0.6 AS is_anomaly FROM ib WHERE trade_imbalance > 0.2",
+    "sj": "SELECT ib.*, coalesce(sg.score, 0.0) AS score, coalesce(sg.is_anomaly, false) AS is_anomaly, CASE WHEN f.trade_imbalance > 0 THEN 1 ELSE -1 END AS dir FROM ib LEFT JOIN sg ON sg.ts = ib.ts JOIN ib f ON f.day = ib.day AND f.i = 1",
+}
+
+
+@query(sql("SELECT day, i, score, is_anomaly FROM sj", "b15", ib=_I["ib"], **_SIGNALS))
+def signals_on_bars(spark, sf):
+    return flagged(spark, sf).select("day", "i", "score", "is_anomaly")
+
+
+@query(sql("""SELECT mode, day, n, n_trades, round(gross, 6) AS gross, round(gross - n_trades * 0.001, 6) AS net FROM (
+  SELECT k.mode, day, count(*) AS n, CASE WHEN mode = 'baseline' THEN 2 WHEN mode = 'filter' THEN 2 * max(entered) WHEN mode = 'sizing' THEN 2 + count(*) FILTER (WHERE abs(dir * size - was) > 0.1) ELSE 2 + max(trades) END::BIGINT AS n_trades,
+    sum(dir * ret * CASE mode WHEN 'baseline' THEN 1.0 WHEN 'exit' THEN pos WHEN 'leverage' THEN CASE WHEN pos = 0 THEN 0.5 ELSE 1.0 END WHEN 'filter' THEN entered ELSE size END::DOUBLE) AS gross
+  FROM sw, (VALUES ('baseline'), ('exit'), ('leverage'), ('filter'), ('sizing')) k(mode) GROUP BY 1, 2)""", "b15", ib=_I["ib"], walk=_HOLD, **_SIGNALS,
+  sw="SELECT sj.*, (since IS NULL)::INT AS pos, trades, max((NOT is_anomaly)::INT) OVER w AS entered, greatest(0, least(1, 1 - score)) AS size, lag(dir * greatest(0, least(1, 1 - score))) OVER w AS was FROM sj JOIN walk USING (day, i) WINDOW w AS (PARTITION BY day ORDER BY i)").replace("WITH ", _FOLD, 1))
+def anomaly_backtest(spark, sf):
+    """Five ways to hold a day's direction around anomalies, with costs by trade."""
+    made = strategy.anomaly_rules(flagged(spark, sf), "is_anomaly", "score", 5)
+    return made.select("mode", "day", "n", "n_trades", r6("gross"), r6(F.col("gross") - F.col("n_trades") * 0.001, "net"))
 
 
 @query()
@@ -262,10 +316,39 @@ def breakout_trades(spark, sf):
     return strategy.breakout(held, 0.5, 4, 8)
 
 
-@query(sql("SELECT day, i, round(coalesce(least(3.0, greatest(0.5, 1e4 / nullif(CASE WHEN count(ret) OVER w >= 5 THEN stddev_pop(ret) OVER w * 1e4 END, 0))), 1.0), 6) AS lev FROM ib WINDOW w AS (PARTITION BY day ORDER BY i ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)", "b15", **{k: _I[k] for k in ("ib",)}))
+@query()
+def breakout_days(spark, sf):
+    """The day's base position and its breakout trades: base, extra, n_trades."""
+    held = flagged(spark, sf).withColumn("flag", F.col("trade_imbalance") > 0.5)
+    base = held.groupBy("day").agg((F.sum(F.col("dir") * F.col("ret")) * 2.0 - 0.004).alias("base"))
+    extra = strategy.breakout(held, 0.5, 4, 8).groupBy("day").agg(F.sum("pnl").alias("extra"), F.count(F.lit(1)).alias("n_trades"))
+    return base.join(extra, "day", "left").select("day", r6("base"), r6(F.coalesce("extra", F.lit(0.0)), "extra"), F.coalesce("n_trades", F.lit(0)).alias("n_trades"))
+
+
+_VT = {
+    "iw": "SELECT *, count(*) OVER w AS k, stddev_pop(ret) OVER w * 1e4 AS sd, coalesce(avg(is_anomaly::INT) OVER w, is_anomaly::INT) AS rate FROM sj WINDOW w AS (PARTITION BY day ORDER BY i ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)",
+    "il": "SELECT day, i, CASE WHEN vol > 0 THEN least(3.0, greatest(0.5, 1e4 / vol * 2.0)) ELSE 2.0 END AS lev FROM (SELECT day, i, CASE WHEN k >= 5 THEN sd ELSE 1e4 END * (1 + 0.35 * rate) AS vol FROM iw)",
+}
+
+
+def _levered(spark, sf):
+    """Leverage of each row: base 2, target 10,000 basis points, from the deviation and the anomaly rate of the 20 rows before."""
+    w = frames.over("i", ["day"]).rowsBetween(-20, -1)
+    held = flagged(spark, sf)
+    sd = F.when(F.count(F.lit(1)).over(w) >= 5, F.stddev_pop("ret").over(w) * 1e4).otherwise(F.lit(1e4))
+    own = F.col("is_anomaly").cast("int")
+    return strategy.vol_target(held, sd * (1 + 0.35 * F.coalesce(F.avg(own).over(w), own)), 1e4, base=2.0)
+
+
+@query(sql("SELECT day, i, round(lev, 5) AS lev FROM il", "b15", ib=_I["ib"], **_SIGNALS, **_VT))
 def intraday_vol_target(spark, sf):
-    vol = frames.prior(F.stddev_pop, F.col("ret"), 20, frames.over("i", ["day"]), 5) * 1e4
-    return strategy.vol_target(intraday(spark, sf), vol, 1e4).select("day", "i", r6("lev"))
+    return _levered(spark, sf).select("day", "i", r6("lev", None, 5))
+
+
+@query(sql("SELECT day, max(n) AS changes FROM walk GROUP BY day", "b15", ib=_I["ib"], **_SIGNALS, **_VT, lk="SELECT day, row_number() OVER (PARTITION BY day ORDER BY i) AS k, round(lev, 5) AS l FROM il WHERE (i - 1) % 30 = 0",
+  walk="SELECT day, k, CASE WHEN abs(l - 2.0) > 0.3 THEN l ELSE 2.0 END AS held, (abs(l - 2.0) > 0.3)::INT AS n FROM lk WHERE k = 1 UNION ALL SELECT lk.day, lk.k, CASE WHEN abs(l - held) > 0.3 THEN l ELSE held END, n + (abs(l - held) > 0.3)::INT FROM walk JOIN lk ON lk.day = walk.day AND lk.k = walk.k + 1").replace("WITH ", _FOLD, 1))
+def relever_counts(spark, sf):
+    return strategy.relevered(_levered(spark, sf).withColumn("lev", F.round("lev", 5)), "lev", 2.0)
 
 
 @query(sql("SELECT day, i, round(p, 6) AS pos FROM walk", "b15", **{k: _I[k] for k in ("ib",)}, walk="SELECT day, i, greatest(-0.5, least(0.5, 2 * trade_imbalance)) AS p FROM ib WHERE i = 1 UNION ALL SELECT ib.day, ib.i, walk.p + greatest(-0.5, least(0.5, 2 * trade_imbalance - walk.p)) FROM walk JOIN ib ON ib.day = walk.day AND ib.i = walk.i + 1").replace("WITH ", _FOLD, 1))
@@ -313,20 +396,28 @@ def _paths(spark, sf):
     held = strategy.regime_positions(series, "d", levels, ["lengths"])
     number = F.create_map(*[F.lit(x) for k, (s, lo, q) in enumerate(GRID) for x in (f"{s}_{lo}_{q}", k)])
     named = held.withColumn("param", number[F.concat_ws("_", "lengths", F.col("q").cast("string"))])
-    return strategy.net_returns(named, "pos", "ret", "d", part=["param"]).select("param", "d", "strat", "hold")
+    return strategy.net_returns(named, "pos", "ret", "d", part=["param"]).select("param", "d", "pos", "strat", "hold")
 
 
 _WF = {f"{n}{k}": t.replace("FROM ra", f"FROM ra{k}").replace("FROM rb", f"FROM rb{k}") for k, (s, lo, q) in enumerate(GRID) for n, t in _regime(s, lo, q).items()}
-_WF["paths"] = " UNION ALL ".join(f"SELECT {k} AS param, d, pos * ret - coalesce(abs(pos - lag(pos) OVER (ORDER BY d)), 0) * 0.0004 AS strat, ret AS hold FROM rp{k}" for k in range(len(GRID)))
+_WF["paths"] = " UNION ALL ".join(f"SELECT {k} AS param, d, pos, pos * ret - coalesce(abs(pos - lag(pos) OVER (ORDER BY d)), 0) * 0.0004 AS strat, ret AS hold FROM rp{k}" for k in range(len(GRID)))
 _WF["rounds"] = "SELECT r::INT AS round, DATE '1997-01-01' + (r * 180)::INT AS test_from, DATE '1997-01-01' + (r * 180 + 180)::INT AS test_to FROM (SELECT unnest(range(0, 6)) AS r)"
-_WF["scores"] = "SELECT round, param, round(avg(strat) / stddev_samp(strat) * sqrt(365), 9) AS score FROM paths JOIN rounds ON d < test_from GROUP BY 1, 2"
+_WF["scores"] = "SELECT round, param, round(avg(strat) / stddev_samp(strat) * sqrt(365), 9) AS score FROM paths JOIN rounds ON d < test_from GROUP BY 1, 2 HAVING count(*) >= 60"
 _WF["best"] = "SELECT round, param, score FROM (SELECT *, row_number() OVER (PARTITION BY round ORDER BY score DESC, param) AS k FROM scores) WHERE k = 1"
 
 
 @query(sql("SELECT b.round, b.param, round(b.score, 6) AS score, count(*) AS n_test, round(sum(strat), 6) AS total, round(sum(hold), 6) AS hold FROM best b JOIN rounds r ON r.round = b.round JOIN paths p ON p.param = b.param AND d >= test_from AND d < test_to GROUP BY 1, 2, 3", *_V, **_P, **_WF))
 def walk_forward_rv(spark, sf):
     windows = walkforward.rounds(spark, "1997-01-01", 180, 180, 6)
-    chosen = walkforward.select(_paths(spark, sf), windows)
+    chosen = walkforward.select(_paths(spark, sf), windows, least=60)
+    return chosen.select("round", "param", r6("score"), "n_test", r6("total"), r6("hold"))
+
+
+@query(sql("SELECT b.round, b.param, round(b.score, 6) AS score, count(*) AS n_test, round(sum(strat), 6) AS total, round(sum(hold), 6) AS hold FROM best b JOIN rounds r ON r.round = b.round JOIN paths p ON p.param = b.param AND d >= test_from AND d < test_to GROUP BY 1, 2, 3", *_V, **_P, **_WF | {"scores": "SELECT round, param, round(avg(strat - hold) / stddev_pop(strat - hold) * sqrt(365), 9) AS score FROM paths JOIN rounds ON d < test_from GROUP BY 1, 2 HAVING count(*) >= 60 AND avg((pos < 0)::INT) >= 0.05"}))
+def walk_forward_ratio(spark, sf):
+    """Chosen by information ratio, among parameters that are short on at least a twentieth of the training days."""
+    windows = walkforward.rounds(spark, "1997-01-01", 180, 180, 6)
+    chosen = walkforward.select(_paths(spark, sf), windows, relative=True, least=60, short=0.05)
     return chosen.select("round", "param", r6("score"), "n_test", r6("total"), r6("hold"))
 
 

@@ -79,18 +79,45 @@ def anomaly_episodes(spark, sf):
     return features.episodes(held, "flag", "ts", ["day"]).select("day", "start", "rows")
 
 
-@query(sql("SELECT day, ts, " + ", ".join(f"round(close / lag(close, {k}) OVER w - 1, 6) + 0.0 AS ret_{k}" for k in (1, 2, 5, 10)) + ", hour(ts)::INT * 60 + minute(ts)::INT - 570 AS from_open, (lead(close, 15) OVER w > close)::INT AS label FROM k WINDOW w AS (PARTITION BY day ORDER BY ts) QUALIFY label IS NOT NULL", "b15", k=_D))
+def signals(spark, sf):
+    """(ts, anomaly_score, is_anomaly): the size of the trade imbalance stands for a model's score."""
+    return views.bars(spark, sf, 15).select("ts", F.abs("trade_imbalance").alias("anomaly_score"), (F.abs("trade_imbalance") > 0.3).alias("is_anomaly"))
+
+
+def direction_rows(spark, sf):
+    return features.direction_features(asof.carried(day_bars(spark, sf), views.aux(spark, sf), "aux_close", F.to_date("ts")), signals(spark, sf))
+
+
+_SHOWN = ("anomaly_score", "ret_1", "ret_5", "ret_15", "vol_15", "momentum_15", "aux_ret", "aux_vol20")
+
+
+@query(sql("SELECT day, ts, " + ", ".join(f"round(coalesce({c}, 0), 5) + 0.0 AS {c}" for c in _SHOWN) + ", hour(ts)::INT * 60 + minute(ts)::INT - 570 AS from_open, (later / close - 1 > 0)::INT AS label FROM g2 WHERE abs(trade_imbalance) > 0.3 AND later IS NOT NULL",
+  "b15", "aux", c=_F["c"],
+  g1="SELECT *, abs(trade_imbalance) AS anomaly_score, " + ", ".join(f"close / lag(close, {k}) OVER o - 1 AS ret_{k}" for k in (1, 5, 15)) + ", coalesce(aux_close / lag(aux_close) OVER o - 1, 0) AS aux_ret, lead(close, 15) OVER o AS later FROM c WINDOW o AS (ORDER BY ts)",
+  g2="SELECT *, CASE WHEN count(ret_1) OVER r = 15 THEN stddev_samp(ret_1) OVER r END AS vol_15, CASE WHEN count(ret_1) OVER r = 15 THEN avg(ret_1) OVER r END AS momentum_15, stddev_samp(aux_ret) OVER a AS aux_vol20 FROM g1 WINDOW r AS (ORDER BY ts ROWS 14 PRECEDING), a AS (PARTITION BY day ORDER BY ts ROWS 19 PRECEDING)"))
 def direction_features(spark, sf):
-    made = features.direction_features(day_bars(spark, sf))
-    return made.select("day", "ts", *[r6(f"ret_{k}") for k in (1, 2, 5, 10)], "from_open", "label")
+    return direction_rows(spark, sf).select("day", "ts", *[F.round(c, 5).alias(c) for c in _SHOWN], "from_open", "label")
+
+
+def direction_model(spark, sf, trees=20):
+    """The model of the first four fifths of the anomalous rows in time, and all rows with is_train."""
+    rows = features.chronological_split(direction_rows(spark, sf), "ts")
+    model, _ = models.boosted_trees(rows.filter("is_train"), list(features.DIRECTION), "label", trees=trees)
+    return model, rows
 
 
 @query()
 def direction_gbt(spark, sf):
-    rows = features.direction_features(day_bars(spark, sf)).na.drop()
-    columns = ["ret_1", "ret_2", "ret_5", "ret_10", "vol_15", "from_open"]
-    model, held = models.boosted_trees(rows, columns, "label", trees=10)
-    return models.confidence(model.transform(held), "label").select("level", "n", r6("accuracy"))
+    """Accuracy by confidence on the rows that the model was not trained on."""
+    model, rows = direction_model(spark, sf)
+    return models.confidence(models.predicted(model, rows.filter("NOT is_train"), list(features.DIRECTION)), "label").select("level", "n", r6("accuracy"))
+
+
+@query()
+def direction_signals(spark, sf):
+    """All signals, with the direction that the model predicts on anomalous rows: nothing on the others."""
+    model, rows = direction_model(spark, sf)
+    return models.write_back(signals(spark, sf), models.predicted(model, rows, list(features.DIRECTION)), "ts").select("ts", "anomaly_score", "is_anomaly", r6("direction_prob"), "predicted_direction", r6("direction_confidence"))
 
 
 @query()

@@ -128,10 +128,12 @@ def exact_minute_lookup(spark, sf):
     return asof.exact(views.probes(spark, sf), views.bars(spark, sf), "close", [0, 1, 5, 15, 60]).select("ts", "minutes", "close")
 
 
-@query(sql("SELECT p.ts, CASE WHEN b.ts <= p.ts + INTERVAL 5 MINUTE THEN b.close_5 END AS price, CASE WHEN b.ts <= p.ts + INTERVAL 5 MINUTE THEN b.close_30 END AS price_30 FROM probes p ASOF LEFT JOIN lb b ON p.ts <= b.ts", "b1", "probes", lb="SELECT ts, lead(close, 5) OVER w AS close_5, lead(close, 30) OVER w AS close_30 FROM b1 WINDOW w AS (PARTITION BY ts::DATE ORDER BY ts)"))
+@query(sql("SELECT p.ts, round(CASE WHEN b.ts <= p.ts + INTERVAL 5 MINUTE THEN b.ret_5 END, 6) AS ret_5, round(CASE WHEN b.ts <= p.ts + INTERVAL 5 MINUTE THEN b.ret_30 END, 6) AS ret_30 FROM probes p ASOF LEFT JOIN lb b ON p.ts <= b.ts",
+  "b1", "probes", lb="SELECT ts, lead(close, 5) OVER w / close - 1 AS ret_5, lead(close, 30) OVER w / close - 1 AS ret_30 FROM b1 WINDOW w AS (ORDER BY ts)"))
 def asof_then_positional(spark, sf):
-    ahead = asof.positional(views.bars(spark, sf).withColumn("day", F.to_date("ts")), "close", [5, 30], ["day"]).withColumn("both", F.struct("close_5", "close_30"))
-    return asof.asof(views.probes(spark, sf), ahead, "both", "forward").select("ts", F.col("price.close_5").alias("price"), F.col("price.close_30").alias("price_30"))
+    """The change over the next 5 and 30 rows, of this day or later ones, from the first row within 5 minutes."""
+    ahead = asof.positional(views.bars(spark, sf).withColumn("day", F.to_date("ts")), "close", [5, 30], "day").withColumn("both", F.struct("close_5", "close_30"))
+    return asof.asof(views.probes(spark, sf), ahead, "both", "forward").select("ts", r6(F.col("price.close_5"), "ret_5"), r6(F.col("price.close_30"), "ret_30"))
 
 
 @query(sql("SELECT ts, close, coalesce(last_value(aux_close IGNORE NULLS) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING), first_value(aux_close IGNORE NULLS) OVER (PARTITION BY ts::DATE ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS aux_close FROM b1 LEFT JOIN aux USING (ts)", "b1", "aux"))

@@ -134,7 +134,7 @@ def permutation_sharpe(spark, sf):
     held = held.withColumn("cost", F.abs(F.col("pos") - F.coalesce(F.lag("pos").over(w), F.lit(0.0))) * 0.0004)
     net = F.col("pos") * F.col("r") - F.col("cost")
     observed = held.agg(F.avg(net) / F.stddev_pop(net) * 365**0.5).first()[0] or 0.0
-    return resample.permutation_p(resample.replicate(held, ["pos", "r", "cost"], "d", 1000, resample.permuted_sharpe), observed)
+    return resample.permutation_p(resample.replicate(held, ["pos", "r", "cost"], "d", 1000, resample.permuted_sharpe), observed, False)
 
 
 @query()
