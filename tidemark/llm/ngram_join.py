@@ -412,11 +412,11 @@ def _able(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.select("a", "b", "sa", "sb", "ka", "kb").mapInArrow(_near, "a long, b long")
 
 
-def _regroup(rows: DataFrame, parts: int, open_first: bool = False) -> DataFrame:
+def _regroup(rows: DataFrame, parts: tuple[int, ...] = (), open_first: bool = False) -> DataFrame:
     """Rows dealt by key (hot ones and documents by node), in order, to their pairs and large groups."""
     by = F.when(F.col("hot") | F.col("key").isNull(), F.xxhash64("key", "x", "y")).otherwise(F.col("key"))
     order = ["key", "y"] if open_first else ["key"]
-    return rows.repartition(parts, by).sortWithinPartitions(*order).mapInArrow(_groups(open_first), _GROUP_SQL)
+    return rows.repartition(*parts, by).sortWithinPartitions(*order).mapInArrow(_groups(open_first), _GROUP_SQL)
 
 
 def _ring(lies: DataFrame) -> DataFrame:
@@ -435,7 +435,7 @@ def _ring(lies: DataFrame) -> DataFrame:
     return two.select("a", "b")
 
 
-def _round(large: DataFrame, texts: DataFrame, parts: int, hot: np.ndarray) -> tuple[DataFrame, DataFrame]:
+def _round(large: DataFrame, texts: DataFrame, hot: np.ndarray) -> tuple[DataFrame, DataFrame]:
     """Large groups (up, key, no) -> how their members lie to leader and centre, and the groups that they join by next."""
     degree = large.groupBy("up", "no").agg(F.count(F.lit(1)).alias("degree"))
     ranked = _with(large, degree, {"up": "up", "no": "no"})
@@ -444,7 +444,7 @@ def _round(large: DataFrame, texts: DataFrame, parts: int, hot: np.ndarray) -> t
     members = stage(members, "join-members")
     order = W.partitionBy("up").orderBy(F.xxhash64("up", "no"), "no")
     some = members.withColumn("k", F.row_number().over(order)).filter((F.col("k") <= SAMPLE) | (F.col("no") == F.col("first"))).select("up", "no", "first")
-    some = _with(some, texts, {"no": "no"}).repartition(parts, "up").sortWithinPartitions("up", "no")
+    some = _with(some, texts, {"no": "no"}).repartition("up").sortWithinPartitions("up", "no")
     centres = stage(some.select("up", "no", "first", "text").mapInArrow(_centres, _CENTRE_SQL), "join-centres")
     both = _with(_with(members, texts, {"no": "no"}), centres, {"up": "up"}).filter("no <> leader")
     lies = stage(both.select("up", "no", "leader", "text", "led", "centre").mapInArrow(_lies(hot), _LIE_SQL), "join-lies")
@@ -452,7 +452,7 @@ def _round(large: DataFrame, texts: DataFrame, parts: int, hot: np.ndarray) -> t
         "key", F.col("no").alias("x"), F.col("linked").cast("long").alias("y"), F.col("up").alias("z"), F.lit(False).alias("hot"),
         *(F.lit(None).cast(t).alias(c) for c, t in (("id", "long"), ("size", "long"), ("sketch", "binary"))),
     )
-    return lies.filter("key IS NULL"), stage(_regroup(rows, parts, True), "join-split")
+    return lies.filter("key IS NULL"), stage(_regroup(rows, open_first=True), "join-split")
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -469,7 +469,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # at most HOT_MOST keys; they order work and decide nothing
     hot = np.sort(np.array([r.key for r in often.orderBy(F.desc("n"), "key").limit(HOT_MOST).select("key").collect()], np.int64).view(_U))
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    grouped = stage(_regroup(work.mapInArrow(_rows_of(hot), _ROW_SQL), parts), "join-groups")
+    grouped = stage(_regroup(work.mapInArrow(_rows_of(hot), _ROW_SQL), (parts,)), "join-groups")
     release(spark)
     sets = grouped.filter("size IS NOT NULL").select("id", "x", "y", F.col("size").alias("n"))
     named = grouped.filter("size IS NULL").select(F.explode(F.array(F.struct("x", "y"), F.struct(F.col("bx").alias("x"), F.col("by").alias("y")))).alias("at")).select("at.*").filter("x IS NOT NULL").distinct()
@@ -494,7 +494,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     links, more = [], [near]
     while not large.isEmpty():
-        lies, split = _round(large, texts, parts, hot)
+        lies, split = _round(large, texts, hot)
         links.append(lies.filter("linked").select(F.col("leader").alias("a"), F.col("no").alias("b")))
         more.append(split.filter("bx IS NOT NULL").select(F.col("x").alias("a"), F.col("bx").alias("b")))
         more.append(_ring(lies))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, jpeg, langid, mixing, ngram_join, packing, pii, quality, suffixes, token_store
-from .common import shared_folder, stage
+from .common import drop_at_exit, shared_folder, stage
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
@@ -116,6 +116,7 @@ def tokenizer_path() -> str:
 
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/op5-store-{uuid.uuid4().hex}"
+    drop_at_exit(spark, path)
     token_store.write(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, tokenizer_path())
     return token_store.read(spark, path).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("tokens").alias("ids_crc32"))
 
@@ -142,7 +143,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.ledger(docs)
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        (~quality.passes("base")).alias("base_failed"), quality.passes("v1").alias("kept"), "n_lines", "failed_bits",
+        (~quality.passes("base")).alias("base_failed"), quality.passes("v2").alias("kept"), "n_lines", "failed_bits",
     )
 
 
@@ -168,12 +169,27 @@ WITH w AS (
 ), g AS (
   SELECT doc_id, n_words, word_chars, n_symbols, n_lines - n_once AS n_dup_lines, n_repeat_words, n_lines,
     (n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (10 * n_symbols > n_words)::BIGINT
-    + 8 * (n_lines - n_once > 2 AND 100 * (n_lines - n_once) > 30 * n_lines)::BIGINT + 16 * (word_chars < 2 * n_words)::BIGINT + 32 * (word_chars > 20 * n_words)::BIGINT AS failed_bits
+    + 8 * (100 * (n_lines - n_once) > 30 * n_lines)::BIGINT + 16 * (word_chars < 2 * n_words)::BIGINT + 32 * (word_chars > 20 * n_words)::BIGINT
+    + 64 * (n_lines - n_once > 2 AND 100 * (n_lines - n_once) > 30 * n_lines)::BIGINT AS failed_bits
   FROM f
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits & 3 <> 0 AS base_failed, failed_bits = 0 AS kept, n_lines, failed_bits FROM g
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits & 3 <> 0 AS base_failed, failed_bits & 119 = 0 AS kept, n_lines, failed_bits FROM g
 """
 
+
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the current policy rejects, and what it alone rejects, over all documents."""
+    judged = quality.ledger(_table(spark, sf_dir, "documents").select("text")).select("failed_bits")
+    return quality.ablation(judged, "v2").select("rule", "n_failed", "n_failed_alone", "n_documents", "n_kept")
+
+
+ABLATION_SQL = f"""
+WITH b AS (SELECT failed_bits & 119 AS bits FROM ({OP9_SQL})
+), r AS (SELECT * FROM (VALUES ('few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('short_words', 16), ('long_words', 32), ('many_repeated_lines', 64)) r(rule, bit))
+SELECT rule, count(*) FILTER (WHERE bits & bit <> 0) AS n_failed, count(*) FILTER (WHERE bits = bit) AS n_failed_alone, count(*) AS n_documents, count(*) FILTER (WHERE bits = 0) AS n_kept FROM b, r GROUP BY 1
+"""
+
+
 def op10_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     back = jpeg.load(jpeg.store(docs).drop("text"), tensors=False)
@@ -193,7 +209,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_packing": op7_packing,
     "op8_language": op8_language,
     "op9_quality_rules": op9_quality_rules,
+    "quality_ablation": quality_ablation,
     "op10_progressive_jpeg": op10_progressive_jpeg,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op2_mix_sources": OP2_SQL, "op9_quality_rules": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op2_mix_sources": OP2_SQL, "op9_quality_rules": OP9_SQL, "quality_ablation": ABLATION_SQL}

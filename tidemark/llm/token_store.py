@@ -1,13 +1,14 @@
 """A store of token ids: each document compressed on its own under one shared zstandard dictionary.
 
-A store is a folder with two Parquet tables. `dictionary` has one row: the dictionary's bytes and their SHA-256.
+A store is a folder with three Parquet tables. `format` says how wide ids are and whether there is a dictionary (a sample
+that is too small gives none). `dictionary` has one row: the dictionary's bytes and their SHA-256.
 `shards` has a row for each run of documents in ascending id order: bucket and seq (the shard's place), the
 dictionary's hash, base (ids before the shard within its bucket), and, for each document, its id, its number of
 token ids and its offset into payload, the concatenated frames. A short document is read by one slice of payload.
 Token ids are serialized as little-endian unsigned 16- or 32-bit integers, whichever the largest id needs.
 
-Buckets are ranges of ids between quantiles (at most MOST_BUCKETS, a bounded table), so documents are dealt out
-evenly whatever the ids are; a shard closes at SHARD_BYTES of payload, so no row grows with the input.
+Buckets are ranges of ids between quantiles (at most MOST_BUCKETS, a bounded table); rows with one id, or without one,
+share a bucket, as their place is one after another; a shard closes at SHARD_BYTES of payload, so no row grows with the input.
 
 Defined cases: a null text is empty (it still has its end id); null ids come first; rows with the same id are ordered
 by their token ids; an empty table gives an empty store; other columns are not read.
@@ -37,7 +38,7 @@ SHARD_BYTES = 8_000_000
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> bytes:
-    """From a bounded sample; empty if there is too little to learn from."""
+    """From a bounded sample; empty if zstandard refuses it as too small, which the store's `format` table then says."""
     few = hashed_sample(docs.select(id_col, text_col), SAMPLE).select(F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, 20_000).alias("t"))
     encode = encoder(tokenizer).one
     arrays = [_narrow(np.frombuffer(encode(t), "<u4"), True) for t in sorted(r.t for r in few.collect())]
@@ -120,7 +121,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
     dealt = frames.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket").sortWithinPartitions("bucket", F.col("id").asc_nulls_first(), "frame")
     schema = "bucket int, seq int, dictionary_sha256 string, base long, ids array<long>, n_tokens array<long>, offsets array<long>, payload binary"
     dealt.mapInArrow(_shards(digest), schema).write.option("compression", "none").parquet(f"{path}/shards")
-    spark.createDataFrame([(short, end_id)], "short boolean, end_id int").coalesce(1).write.parquet(f"{path}/format")
+    spark.createDataFrame([(short, end_id, bool(dictionary))], "short boolean, end_id int, has_dictionary boolean").coalesce(1).write.parquet(f"{path}/format")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
