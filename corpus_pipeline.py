@@ -15,7 +15,7 @@ from tidemark.llm.common import stage
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the current policy."""
-    return quality.ledger(docs).filter(quality.passes("v1")).select(*docs.columns)
+    return quality.ledger(docs).filter(quality.passes("v2")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

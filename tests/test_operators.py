@@ -111,13 +111,110 @@ def test_stops(spark):
     df = spark.createDataFrame([(d, i, r) for d, rs in days.items() for i, r in enumerate(rs)], "day int, i int, ret double")
     got = {r.day: r for r in strategy.stops(df, 2.0, 1.0, 0.5).collect()}
     assert got[1].trailing == pytest.approx(0.4) and got[2].trailing == pytest.approx(1.3)
-    assert got[2].stop_loss == -0.5 and got[3].take_profit == 2.0 and got[4].both == pytest.approx(0.1)
+    assert got[2].stop_loss == pytest.approx(-0.7) and got[3].take_profit == 2.0 and got[4].both == pytest.approx(0.1)
+    # the path's own value beyond the stop, and not at it: -0.5 stays, -1.2 leaves
+    df = spark.createDataFrame([(1, 0, -0.5), (1, 1, -0.7), (1, 2, 3.0), (2, 0, -0.5), (2, 1, 0.75)], "day int, i int, ret double")
+    got = {r.day: r for r in strategy.stops(df, 9.0, 1.0, 0.5).collect()}
+    assert got[1].stop_loss == got[1].both == pytest.approx(-1.2) and got[2].stop_loss == pytest.approx(0.25)
 
 
-def test_min_hold(spark):
-    flags = [0, 1, 0, 0, 0, 0, 0, 1, 1]
+@pytest.mark.parametrize("flags,want", [([0, 1, 0, 0, 0, 0, 0, 1, 1], [1, 0, 0, 0, 0, 0, 1, 0, 0]), ([1, 1, 1, 1, 1, 1, 0, 0, 1, 0], [0, 0, 0, 0, 0, 0, 1, 1, 0, 0])])
+def test_min_hold(spark, flags, want):
     df = spark.createDataFrame([(1, i, bool(f)) for i, f in enumerate(flags)], "day int, i int, flag boolean")
-    assert values(strategy.min_hold(df, "flag", 5), "pos", "i") == [1, 0, 0, 0, 0, 0, 1, 0, 0]
+    assert values(strategy.min_hold(df, "flag", 5), "pos", "i") == want
+
+
+def test_anomaly_rules_by_hand(spark):
+    rows = [(1, 0, 0.1, -1, True, 0.5), (1, 1, 0.2, -1, False, 0.0), (1, 2, 0.3, -1, False, 0.95), (1, 3, 0.4, -1, True, 2.0)]
+    got = {r["mode"]: (r.n_trades, round(r.gross, 9)) for r in strategy.anomaly_rules(spark.createDataFrame(rows, "day int, i int, ret double, dir int, flag boolean, norm double"), "flag", "norm", 2).collect()}
+    # exit: out at row 0, back at row 2, out at row 3; sizing: 0.5, 1, 0.05, 0 moves by more than a tenth twice
+    assert got == {"baseline": (2, -1.0), "exit": (5, -0.3), "leverage": (5, -0.65), "filter": (2, -0.9), "sizing": (4, -0.265)}
+
+
+def test_regime_starts_with_the_first_ratio(spark):
+    rows = [(d, float(x), float(r)) for d, (x, r) in enumerate(zip([1.0, 1, 1, 4, 1, 1, 9, 1], [1, -1, 1, -1, -1, -1, -1, -1]))]
+    df = spark.createDataFrame(rows, "d int, rv double, ret double")
+    held = {r.d: r.pos for r in strategy.rv_regime(df, "rv", 1, 3, 0.5).collect()}
+    # ratios 1, 2, 0.5, 0.5, 2.45, 0.27 of days 2 to 7; above the median of those before on days 3 and 6
+    assert held == {2: 0.0, 3: 1.0, 4: -1.0, 5: 1.0, 6: 1.0, 7: -1.0}
+    both = {r.d: r.pos for r in strategy.rv_regime(df, "rv", 1, 3, 0.5, confirm=strategy.falling("ret", 4), first=1.0).collect()}
+    assert both == {2: 1.0, 3: 1.0, 4: 1.0, 5: 1.0, 6: 1.0, 7: -1.0}  # the four returns to day 3 sum to 0
+
+
+def test_filter_rule_needs_thirty_values_and_two_rows(spark):
+    df = spark.createDataFrame([(d, float(x)) for d, x in enumerate([*range(30), 50, 40, 45, 60])], "d int, x double")
+    held = {r.d: r.pos for r in strategy.filter_rule(df, "x", 0.6, True).collect()}
+    # day 29 has the 30th value; day 31 is above day 29's 29, day 32 is below day 30's 50
+    assert {d for d, p in held.items() if p} == {31, 32, 33}
+
+
+def test_leverage_at_zero_is_long(spark):
+    df = spark.createDataFrame([(0.0,), (1.0,), (-2.0,), (3.0,)], "x double")
+    assert {r.x: r.lev for r in strategy.quantile_leverage(df, "x").collect()} == {0.0: 0.5, 1.0: -1.0, -2.0: 1.5, 3.0: -2.0}
+
+
+def test_vol_target_without_forecast(spark):
+    df = spark.createDataFrame([(None,), (0.0,), (1.0,), (100.0,), (5.0,)], "v double")
+    assert [r.lev for r in strategy.vol_target(df, F.col("v"), 10.0).collect()] == [2.0, 2.0, 3.0, 0.5, 2.0]
+
+
+def test_relevered_counts_changes(spark):
+    df = spark.createDataFrame([(1, i, x) for i, x in ((1, 2.2), (2, 9.0), (31, 2.5), (61, 2.7), (91, 1.0))], "day int, i int, lev double")
+    assert [r.changes for r in strategy.relevered(df, "lev", 2.0).collect()] == [2]
+
+
+def test_permutation_sides(spark):
+    reps = spark.createDataFrame([(x,) for x in (-3.0, 0.0, 1.0, 2.0)], "value double")
+    assert [resample.permutation_p(reps, 1.0, two).first().beyond for two in (True, False)] == [3, 2]
+
+
+def test_blocks_reach_across_days(spark):
+    n = 57
+    df = spark.createDataFrame([(i, i // 5, float(i * i % 13)) for i in range(n)], "ts int, day int, x double").repartition(5)
+    w = frames.W.partitionBy("block").orderBy("n")
+    held = frames.blocks(df, "ts", "day", 3, 2, 8).withColumn("sum", F.sum("x").over(w.rowsBetween(-3, 2))).filter("own")
+    x = [i * i % 13 for i in range(n)]
+    assert values(held, "sum", "ts") == [sum(x[max(0, i - 3) : i + 3]) for i in range(n)] and values(held, "n", "ts") == list(range(n))
+
+
+def test_positional_counts_rows_across_days(spark):
+    b = spark.createDataFrame([(at(days=k // 2, minutes=k), dt.date(2024, 1, 2) + dt.timedelta(k // 2), 100.0 + k) for k in range(5)], "ts timestamp_ntz, day date, close double")
+    assert values(asof.positional(b, "close", [3], "day"), "close_3", "ts") == [pytest.approx(103 / 100 - 1), pytest.approx(104 / 101 - 1), None, None, None]
+
+
+def test_walk_forward_needs_days_and_shorts(spark):
+    rows = [(p, dt.date(2024, 1, 1) + dt.timedelta(i), -1.0 if p and i == 2 else 1.0, 0.01 * (i % 3) + 0.001 * (2 - p), 0.0) for p in (0, 1) for i in range(15)]
+    paths = spark.createDataFrame(rows, "param int, d date, pos double, strat double, hold double")
+    windows = walkforward.rounds(spark, "2024-01-11", 5, 5, 1)
+    assert [r.param for r in walkforward.select(paths, windows, least=10, short=0.05).collect()] == [1]
+    assert walkforward.select(paths, windows, least=11).count() == 0
+
+
+def test_turning_point(spark):
+    rows = [(1, m, x) for m, x in enumerate([0.0, -1.0, 0.0, -1.0, -2.0, -3.0, -2.0, -4.0])] + [(-1, m, float(m)) for m in range(6)]
+    assert {r.side: r.turn for r in events.turning_point(spark.createDataFrame(rows, "side int, minute int, mean double")).collect()} == {1: 5, -1: None}
+
+
+def test_longest_runs_and_means(spark):
+    df = spark.createDataFrame([(1, d, float(x)) for d, x in enumerate([1, 2, -1, 0, -3, 4])], "g int, d int, x double")
+    r = frames.longest_runs(df, "x", "d", ["g"]).first()
+    assert (r.wins, r.losses) == (2, 3)
+    m = bars.mean_by(spark.createDataFrame([(1, 2.0, 3.0), (1, 4.0, 9.0)], "d int, Open_Interest double, other double"), "d", ["openinterest"])
+    assert m.columns == ["d", "Open_Interest"] and m.first()[1] == 3.0
+
+
+def test_signals_default_where_missing(spark):
+    b = spark.createDataFrame([(1,), (2,)], "ts int")
+    s = spark.createDataFrame([(2, 0.7, True)], "ts int, score double, is_anomaly boolean")
+    assert sorted(tuple(r) for r in features.with_signals(b, s, {"score": 0.0, "is_anomaly": False}).collect()) == [(1, 0.0, False), (2, 0.7, True)]
+
+
+def test_compound_metrics_by_hand(spark):
+    df = spark.createDataFrame([(1, 0, 0.1), (1, 1, -0.05), (1, 2, 0.02)], "g int, d int, r double")
+    m = strategy.compound_metrics(df, ["g"], "r", "d", 3).first()
+    total = 1.1 * 0.95 * 1.02 - 1
+    assert m.total == pytest.approx(total) and m.annual == pytest.approx(total) and m.max_drawdown == pytest.approx(-0.05) and m.calmar == pytest.approx(total / 0.05)
+    assert m.pl_ratio == pytest.approx(0.06 / 0.05) and m.sortino == pytest.approx(total / (0.05 / math.sqrt(3) * math.sqrt(3)))
 
 
 def test_smooth_moves_by_steps(spark):
@@ -133,9 +230,11 @@ def test_slippage_beyond_depth(spark):
 
 
 def test_breakout_skips_to_after_exit(spark):
-    close = [100, 101, 103, 104, 104, 104, 90]
-    df = spark.createDataFrame([(dt.date(2024, 1, 2), i, float(c), i in (0, 1, 2)) for i, c in enumerate(close)], "day date, i int, close double, flag boolean")
-    assert [(r.entry, r.exit, r.side) for r in strategy.breakout(df, 0.02, 3, 2).collect()] == [(2, 4, 1)]
+    close = [100, 101, 102, 104, 104, 104, 90]
+    rows = [(dt.date(2024, 1, 2), i, float(c), 0.0 if i == 0 else c / close[i - 1] - 1, i in (0, 1, 2)) for i, c in enumerate(close)]
+    df = spark.createDataFrame(rows, "day date, i int, close double, ret double, flag boolean")
+    (r,) = strategy.breakout(df, 0.02, 3, 2, 2.0, 0.002).collect()  # 102 is at the trigger; returns from its own row on count
+    assert (r.entry, r.exit, r.side) == (2, 4, 1) and r.pnl == pytest.approx(2 * (102 / 101 - 1 + 104 / 102 - 1) - 0.004)
 
 
 def test_golden_p_values(spark):

@@ -67,6 +67,12 @@ def test_json_arrays(spark):
     assert (r.ts, r.high) == (dt.datetime(2024, 1, 1), 2.0)
 
 
+def test_csv_sink(spark, tmp_path):
+    readers.write_csv(spark.createDataFrame([(1, [1, 2], None)], "a int, b array<int>, c string"), str(tmp_path / "csv"))
+    r = spark.read.option("header", True).csv(str(tmp_path / "csv")).first()
+    assert (r.a, r.b, r.c) == ("1", "[1,2]", None)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     t = dt.datetime(2024, 1, 1)
     rows = [(i, t + dt.timedelta(seconds=25 * i), i % 3, "view", float(i % 5 + 1), "{}") for i in range(60)]
@@ -75,6 +81,8 @@ def test_stream_equals_batch(spark, tmp_path):
     src = str(tmp_path / "in" / "*")
     q = stream_bars.write_bars(stream_bars.bars(stream_bars.tick_stream(spark, src), 1, "0 seconds"), str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination(120)
+    seen = stream_bars.progress(q)
+    assert sum(p["rows"] for p in seen) == 60 and all(p["late"] == 0 for p in seen)
     got = {r.ts: (r.open, r.close, r.trade_count) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     df = spark.createDataFrame(rows, stream_bars.TICKS)
     want = df.groupBy(F.date_trunc("minute", F.col("ts").cast("timestamp")).alias("ts")).agg(F.min_by("value", "ts").alias("o"), F.max_by("value", "ts").alias("c"), F.count(F.lit(1)).alias("n"))

@@ -62,7 +62,7 @@ def test_every_bar_with_a_signal_is_an_event(spark, tmp_path):
 
 @pytest.mark.parametrize("name", STUDIES)
 def test_whole_study_equals_sql(spark, name):
-    equals_sql(spark, "/root/testdata/sf0.001", f"{name}_all")
+    equals_sql(spark, "/root/testdata/sf0.001", name)
 
 
 def test_every_tick_is_walked_through_the_book_of_its_ts(spark, tmp_path):
@@ -80,9 +80,8 @@ def test_every_tick_is_walked_through_the_book_of_its_ts(spark, tmp_path):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=2e-6) for k in want)
 
 
-@pytest.mark.parametrize("name", ["lob_slippage", "lob_slippage_all"])
-def test_slippage_equals_sql(spark, name):
-    equals_sql(spark, "/root/testdata/sf0.001", name)
+def test_slippage_equals_sql(spark):
+    equals_sql(spark, "/root/testdata/sf0.001", "lob_slippage")
 
 
 @pytest.mark.parametrize("name", ["imbalance_modes", "funding_momentum", "fixed_funding_variants"])

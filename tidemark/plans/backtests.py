@@ -362,24 +362,22 @@ def dead_zone_hold(spark, sf):
     return strategy.hold_last(views.fund(spark, sf), "rate", 0.002, "d").select("d", "pos")
 
 
-def _walked(spark, sf, which):
-    """key, filled, vwap: each tick that `which` names is an order, walked through the book of its own ts."""
+def _walked(spark, sf):
+    """key, filled, vwap: each tick is an order, walked through the book of its own ts."""
     t = views.ticks(spark, sf)
-    orders = t.filter(which).select(F.col("id").alias("key"), "ts", (3 * F.col("qty")).cast("double").alias("qty"))
+    orders = t.select(F.col("id").alias("key"), "ts", (3 * F.col("qty")).cast("double").alias("qty"))
     book = t.select("ts", F.col("price").alias("mid"), "id", F.explode(F.sequence(F.lit(1), F.lit(10))).alias("level"))
     book = book.select("ts", "level", "mid", (F.col("mid") * (1 + 0.001 * F.col("level"))).alias("price"), (1 + (F.col("id") + F.col("level")) % 5).cast("double").alias("size"))
     return strategy.slippage(orders, book).select("key", r6("filled"), r6("vwap"))
 
 
-@query(sql("""SELECT key, round(sum(take), 6) AS filled, round(sum(take * price) / nullif(sum(take), 0), 6) AS vwap FROM (SELECT o.key, price, greatest(0, least(size, qty - coalesce(sum(size) OVER (PARTITION BY o.key ORDER BY level ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS take
-  FROM (SELECT id AS key, ts, 3 * qty::DOUBLE AS qty FROM ticks WHERE id % 50 = 0) o JOIN (SELECT ts, k.level, price * (1 + 0.001 * k.level) AS price, (1 + (id + k.level) % 5)::DOUBLE AS size FROM ticks, (SELECT unnest(range(1, 11)) AS level) k) b ON o.ts = b.ts) GROUP BY key""", "ticks"))
+@query(sql("""SELECT key, round(sum(take), 6) AS filled, round(sum(take * price) / nullif(sum(take), 0), 6) AS vwap FROM (SELECT o.key, price, greatest(0, least(size, qty - coalesce(sum(size) OVER (PARTITION BY o.key ORDER BY level, price, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS take
+  FROM (SELECT id AS key, ts, 3 * qty::DOUBLE AS qty FROM ticks) o JOIN (SELECT ts, k.level, price * (1 + 0.001 * k.level) AS price, (1 + (id + k.level) % 5)::DOUBLE AS size FROM ticks, (SELECT unnest(range(1, 11)) AS level) k) b ON o.ts = b.ts) GROUP BY key""", "ticks"))
 def lob_slippage(spark, sf):
-    return _walked(spark, sf, "id % 50 = 0")
+    return _walked(spark, sf)
 
 
-@query(ORACLE_SQL["lob_slippage"].replace(" WHERE id % 50 = 0", "").replace("PARTITION BY o.key ORDER BY level ROWS", "PARTITION BY o.key ORDER BY level, price, size ROWS"))
-def lob_slippage_all(spark, sf):
-    return _walked(spark, sf, "true")
+QUERIES["lob_slippage_all"], ORACLE_SQL["lob_slippage_all"] = QUERIES["lob_slippage"], ORACLE_SQL["lob_slippage"]  # its name before
 
 
 # ---- walk-forward

@@ -14,28 +14,28 @@ QUERIES, ORACLE_SQL, query = registry()
 HORIZONS = [0, 1, 5, 15, 30, 60, 120]
 _EV = "SELECT ts::DATE AS key, ts, round(close / lag(close, 4) OVER w - 1, 9) AS signal, row_number() OVER w AS n FROM b15 WINDOW w AS (PARTITION BY ts::DATE ORDER BY ts)"
 _GRID = {
-    "ev": f"SELECT key || '-' || n AS key, ts, signal FROM ({_EV}) WHERE n % 8 = 0",
+    "ev": f"SELECT key || '-' || n AS key, ts, signal FROM ({_EV}) WHERE signal IS NOT NULL",
     "looks": "SELECT key, signal, m.minute, ts + to_minutes(m.minute) AS ts FROM ev CROSS JOIN (VALUES (-1), " + ", ".join(f"({h})" for h in HORIZONS) + ") m(minute)",
     "found": "SELECT l.key, l.signal, l.minute, CASE WHEN b.ts <= l.ts + INTERVAL 5 MINUTE THEN b.close END AS price FROM looks l ASOF LEFT JOIN b1 b ON l.ts <= b.ts",
     "grid": "SELECT f.key, f.signal, f.minute, f.price / p.price - 1 AS ret FROM found f JOIN found p ON f.key = p.key AND p.minute = -1 WHERE f.minute <> -1",
 }
 
 
-def day_events(spark, sf, every=8):
-    """(key, ts, signal): 15-minute bars of a day with the return over the four bars before; each that has one if every is 1."""
+def day_events(spark, sf):
+    """(key, ts, signal): each 15-minute bar of a day that has a return over the four bars before."""
     w = frames.over("ts", ["day"])
     held = views.bars(spark, sf, 15).withColumn("day", F.to_date("ts"))
-    held = held.withColumn("signal", F.round(frames.change(F.col("close"), 4, w), 9)).withColumn("n", F.row_number().over(w)).filter("signal IS NOT NULL" if every == 1 else f"n % {every} = 0")
+    held = held.withColumn("signal", F.round(frames.change(F.col("close"), 4, w), 9)).withColumn("n", F.row_number().over(w)).filter("signal IS NOT NULL")
     return held.select(F.concat_ws("-", F.col("day").cast("string"), F.col("n").cast("string")).alias("key"), "ts", "signal")
 
 
-def grid(spark, sf, every=8):
-    return events.response_grid(day_events(spark, sf, every), views.bars(spark, sf), HORIZONS)
+def grid(spark, sf):
+    return events.response_grid(day_events(spark, sf), views.bars(spark, sf), HORIZONS)
 
 
 @query(sql("SELECT key, minute, round(ret, 6) AS ret FROM grid", "b1", "b15", **_GRID))
-def response_grid(spark, sf, every=8):
-    return grid(spark, sf, every).select("key", "minute", r6("ret"))
+def response_grid(spark, sf):
+    return grid(spark, sf).select("key", "minute", r6("ret"))
 
 
 _BOTH = "signal IS NOT NULL AND ret IS NOT NULL"
@@ -44,23 +44,23 @@ _METRICS = f"""SELECT minute, count(*) FILTER (WHERE {_BOTH}) AS n, CASE WHEN co
 
 
 @query(sql(f"SELECT minute, n, round(r, 6) AS r, round(hit_pct, 6) AS hit_pct FROM ({_METRICS})", "b1", "b15", **_GRID))
-def response_grid_metrics(spark, sf, every=8):
-    return events.grid_metrics(grid(spark, sf, every), ["minute"]).select("minute", "n", r6("r"), r6("hit_pct"))
+def response_grid_metrics(spark, sf):
+    return events.grid_metrics(grid(spark, sf), ["minute"]).select("minute", "n", r6("r"), r6("hit_pct"))
 
 
 @query(sql("SELECT minute, count(*) AS n, round(100.0 * avg((g > 0)::INT), 6) AS hit_pct, round(sum(g), 6) AS gross, round(sum(g - 0.0004), 6) AS net, round(100.0 * avg((g > 0.0004)::INT), 6) AS win_pct FROM (SELECT minute, sign(signal) * ret AS g FROM grid WHERE ret IS NOT NULL AND signal <> 0) GROUP BY 1", "b1", "b15", **_GRID))
-def horizon_table(spark, sf, every=8):
-    return events.horizon_table(grid(spark, sf, every)).select("minute", "n", r6("hit_pct"), r6("gross"), r6("net"), r6("win_pct"))
+def horizon_table(spark, sf):
+    return events.horizon_table(grid(spark, sf)).select("minute", "n", r6("hit_pct"), r6("gross"), r6("net"), r6("win_pct"))
 
 
 @query(sql("SELECT side, minute, count(ret) AS n, round(avg(ret), 6) AS mean, round(stddev_samp(ret) / sqrt(count(ret)), 6) AS se FROM grid JOIN sides USING (key) GROUP BY 1, 2", "b1", "b15", **_GRID, sides="SELECT key, CASE WHEN signal > m + s THEN 1 ELSE -1 END AS side FROM (SELECT DISTINCT key, signal FROM grid), (SELECT avg(signal) AS m, stddev_samp(signal) AS s FROM (SELECT DISTINCT key, signal FROM grid)) WHERE signal > m + s OR signal < m - s"))
-def sigma_event_paths(spark, sf, every=8):
-    return events.event_paths(grid(spark, sf, every), 1.0).select("side", "minute", "n", r6("mean"), r6("se"))
+def sigma_event_paths(spark, sf):
+    return events.event_paths(grid(spark, sf), 1.0).select("side", "minute", "n", r6("mean"), r6("se"))
 
 
 @query(sql(f"SELECT arg_max(minute, (round(abs(r), 9), -minute)) AS peak_minute, min(minute) FILTER (WHERE abs(r) > 0.05) AS first_minute, max(minute) FILTER (WHERE abs(r) > 0.05) AS last_minute, count(*) FILTER (WHERE abs(r) > 0.05) AS n_strong, round(avg(hit_pct), 6) AS mean_hit FROM ({_METRICS})", "b1", "b15", **_GRID))
-def curve_summary(spark, sf, every=8):
-    return events.curve_summary(events.grid_metrics(grid(spark, sf, every), ["minute"]), 0.05).select("peak_minute", "first_minute", "last_minute", "n_strong", r6("mean_hit"))
+def curve_summary(spark, sf):
+    return events.curve_summary(events.grid_metrics(grid(spark, sf), ["minute"]), 0.05).select("peak_minute", "first_minute", "last_minute", "n_strong", r6("mean_hit"))
 
 
 @query(sql("""SELECT user_id, ts FROM walk WHERE kept""", e="SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events").replace("WITH e AS", "WITH RECURSIVE e AS").replace("\nSELECT user_id, ts FROM walk", """, walk AS (
@@ -81,23 +81,12 @@ def during_after_split(spark, sf):
 @query(sql("""SELECT k.sigma, minute, count(*) AS trades, round(sum(sign(signal) * ret - 0.0004), 6) AS total, round(avg(sign(signal) * ret - 0.0004), 6) AS avg, round(100.0 * avg((sign(signal) * ret - 0.0004 > 0)::INT), 6) AS win_pct,
   round(sum(CASE WHEN sign(signal) * ret - 0.0004 > 0 THEN sign(signal) * ret - 0.0004 END) / -sum(CASE WHEN sign(signal) * ret - 0.0004 < 0 THEN sign(signal) * ret - 0.0004 END), 6) AS profit_factor
   FROM grid, (VALUES (0.5::DOUBLE), (1.0::DOUBLE), (2.0::DOUBLE)) k(sigma), (SELECT stddev_samp(signal) AS s FROM grid) WHERE abs(signal) > k.sigma * s AND ret IS NOT NULL GROUP BY 1, 2""", "b1", "b15", **_GRID))
-def sigma_threshold_grid(spark, sf, every=8):
-    return events.threshold_grid(grid(spark, sf, every), [0.5, 1.0, 2.0]).select("sigma", "minute", "trades", r6("total"), r6("avg"), r6("win_pct"), r6("profit_factor"))
-
-
-def _whole(name):
-    """name_all: the study over every 15-minute bar that has a signal; the filter is all that differs, in the query as in its SQL."""
-    plan = QUERIES[name]
-
-    def run(spark, sf):
-        return plan(spark, sf, 1)
-
-    run.__name__ = f"{name}_all"
-    query(ORACLE_SQL[name].replace("n % 8 = 0", "signal IS NOT NULL"))(run)
+def sigma_threshold_grid(spark, sf):
+    return events.threshold_grid(grid(spark, sf), [0.5, 1.0, 2.0]).select("sigma", "minute", "trades", r6("total"), r6("avg"), r6("win_pct"), r6("profit_factor"))
 
 
 for _name in ("response_grid", "response_grid_metrics", "horizon_table", "sigma_event_paths", "curve_summary", "sigma_threshold_grid"):
-    _whole(_name)
+    QUERIES[f"{_name}_all"], ORACLE_SQL[f"{_name}_all"] = QUERIES[_name], ORACLE_SQL[_name]  # the names that the whole studies had before
 
 
 _NEXT = {"x": "SELECT sig.d, slope - lag(slope) OVER (ORDER BY sig.d) AS change FROM sig", "p": "SELECT d, lead(close) OVER (ORDER BY d) / close - 1 AS nxt, close / lag(close) OVER (ORDER BY d) - 1 AS same FROM px", "j": "SELECT x.d, change, nxt, same, x.d < DATE '1999-01-01' AS train FROM x JOIN p ON x.d = p.d"}

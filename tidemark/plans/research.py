@@ -12,7 +12,7 @@ from ..operators import asof, bars, events, features, frames, resample, stats, s
 from ..sources import views
 from ..sources.views import with_views as sql
 from . import backtests
-from .eventstudies import signal_and_returns
+from .eventstudies import day_events, signal_and_returns
 from .registry import r6, registry
 
 QUERIES, ORACLE_SQL, query = registry()
@@ -216,9 +216,7 @@ _TURN = {
 @query(sql("SELECT side, min(m) FILTER (WHERE k - 1 >= 3 AND CASE WHEN side > 0 THEN s > was ELSE s < was END) AS turn FROM (SELECT *, lag(s) OVER (PARTITION BY side ORDER BY minute) AS was FROM steps) GROUP BY 1", "b1", "b15", **_TURN))
 def path_turns(spark, sf):
     """Where the mean path after events beyond one sigma turns."""
-    from .eventstudies import day_events
-
-    grid = events.response_grid(day_events(spark, sf, 1), views.bars(spark, sf), _STEPS)
+    grid = events.response_grid(day_events(spark, sf), views.bars(spark, sf), _STEPS)
     paths = events.event_paths(grid, 1.0).select("side", "minute", F.round("mean", 9).alias("mean"))
     return events.turning_point(paths)
 

@@ -117,3 +117,9 @@ def json_arrays(df: DataFrame, column: str, fields: list[str]) -> DataFrame:
 def summary_json(df: DataFrame) -> DataFrame:
     """One JSON document a row, for a text sink."""
     return df.select(F.to_json(F.struct(*df.columns)).alias("value"))
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """Flat rows as CSV with a header; nested columns are written as JSON."""
+    plain = [F.to_json(f.name).alias(f.name) if f.dataType.typeName() in ("array", "map", "struct") else F.col(f"`{f.name}`") for f in df.schema]
+    df.select(*plain).write.option("header", True).csv(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -49,3 +50,10 @@ def thin(events: DataFrame, key: str, gap_s: float) -> DataFrame:
 
     kind = events.schema[key].dataType.simpleString()
     return events.select(key, "ts").groupBy(key).applyInPandasWithState(step, f"{key} {kind}, ts timestamp", "last double", "append", GroupStateTimeout.NoTimeout)
+
+
+def progress(query) -> list[dict]:
+    """What a stream has done, batch by batch: batch, rows, rows a second, rows dropped as late."""
+    made = [p if isinstance(p, dict) else json.loads(p.json) for p in query.recentProgress]
+    late = lambda p: sum(s.get("numRowsDroppedByWatermark", 0) for s in p.get("stateOperators", []))
+    return [{"batch": p["batchId"], "rows": p["numInputRows"], "rows_per_second": p.get("processedRowsPerSecond"), "late": late(p)} for p in made]
