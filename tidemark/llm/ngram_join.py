@@ -7,7 +7,7 @@ parts in one global order, the first d + 1 hold one that both sets have (pigeonh
 of these parts, in bands of sizes (a factor of 2, about as many parts as the band's least size). A set with no more than d
 non-empty parts joins with all of them, and again in a sketch of 16 times the places; in the smallest sketch in which one
 of two sets has more than d parts, the argument holds for both. Parts that a sample of documents shares often come last in
-the order, and go straight to the large groups below; this changes cost, never results.
+the order, and the most frequent go straight to the large groups below; this changes cost, never results.
 
 Documents with equal sets are one node (a 128-bit hash of the set), so copies are never paired. Groups of up to SMALL nodes
 under one part name the pairs that sizes allow. A large group (the groups that share their commonest node are one) gets a centre F, the
@@ -46,7 +46,8 @@ N = 5
 SMALL = 48  # groups up to this size name the pairs whose sizes allow a link: at most (SMALL - 1) / 2 a member
 OPEN = 16  # so do groups within a group with up to this many members that are not linked with its leader: at most OPEN a member
 SAMPLE = 32  # members of a large group from which its centre is made
-HOT_RATE, HOT_TIMES, HOT_MOST = 16, 3, 200_000
+HOT_RATE, HOT_TIMES, HOT_MOST = 16, 2, 200_000  # a part is hot if a sample of one text in 16 has it twice,
+HOT_DIRECT = 8  # and its rows are not even brought together if the sample has it this often
 _U = np.uint64
 
 
@@ -111,14 +112,13 @@ def _sketches(s: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
                 break
 
 
-def join_keys(s: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The parts by which a set joins, and which of them are hot (a sorted list)."""
-    found = [(s[:0], np.zeros(0, bool))]
+def join_keys(s: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """The parts by which a set joins; those in hot (sorted) come last in the order."""
+    found = [s[:0]]
     for parts, need in _sketches(s):
         late = _among(parts, hot)
-        order = np.concatenate([np.flatnonzero(~late), np.flatnonzero(late)])[:need]
-        found.append((parts[order], late[order]))
-    return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+        found.append(np.concatenate([parts[~late], parts[late]])[:need])
+    return np.concatenate(found)
 
 
 def _among(values: np.ndarray, listed: np.ndarray) -> np.ndarray:
@@ -157,7 +157,7 @@ def _batch(schema: pa.Schema, rows: int, /, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type) for f in schema], schema=schema)
 
 
-def _rows_of(hot: np.ndarray):
+def _rows_of(hot: np.ndarray, direct: np.ndarray):
     """(id, text) -> a row (key, node, hot) for each part that a set joins by, once a task for equal sets, and for each
     document a row (node, id, size, sketch), told apart by its size; only a set's first row in a task has the sketch.
     A node is the pair (x, y).
@@ -173,10 +173,9 @@ def _rows_of(hot: np.ndarray):
                 if len(s) and node not in seen:
                     seen.add(node)
                     own = sketch(s)
-                    found = join_keys(s, hot)
-                    keys.append(found[0])
-                    late.append(found[1])
-                    nodes.append((*node, len(s), len(found[0])))
+                    keys.append(join_keys(s, hot))
+                    late.append(_among(keys[-1], direct))
+                    nodes.append((*node, len(s), len(keys[-1])))
                 docs.append((*node, i, len(s), own))
                 if len(keys) >= 500:
                     yield _key_rows(keys, late, nodes)
@@ -467,9 +466,10 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     often = some.mapInArrow(_all_parts, "key long, x long").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"))
     often = often.filter((F.col("n") >= HOT_TIMES) & (F.col("x0") < F.col("x1")))
     # at most HOT_MOST keys; they order work and decide nothing
-    hot = np.sort(np.array([r.key for r in often.orderBy(F.desc("n"), "key").limit(HOT_MOST).select("key").collect()], np.int64).view(_U))
+    listed = sorted((r.key, r.n) for r in often.orderBy(F.desc("n"), "key").limit(HOT_MOST).select("key", "n").collect())
+    hot, direct = (np.sort(np.array([k for k, n in listed if n >= least], np.int64).view(_U)) for least in (HOT_TIMES, HOT_DIRECT))
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    grouped = stage(_regroup(work.mapInArrow(_rows_of(hot), _ROW_SQL), (parts,)), "join-groups")
+    grouped = stage(_regroup(work.mapInArrow(_rows_of(hot, direct), _ROW_SQL), (parts,)), "join-groups")
     release(spark)
     sets = grouped.filter("size IS NOT NULL").select("id", "x", "y", F.col("size").alias("n"))
     named = grouped.filter("size IS NULL").select(F.explode(F.array(F.struct("x", "y"), F.struct(F.col("bx").alias("x"), F.col("by").alias("y")))).alias("at")).select("at.*").filter("x IS NOT NULL").distinct()
