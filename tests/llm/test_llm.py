@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -258,11 +259,11 @@ def test_packing_places_every_id_once(spark):
         want[repr(i), len(ids)].append(ids.tolist())
     assert whole.keys() == want.keys()
     for key, parts in whole.items():
-        many = len(want[key])  # repeated rows give equal pieces
-        parts.sort()
-        once = parts[::many]
-        assert all(x == once[k // many] for k, x in enumerate(parts)) and all(x == want[key][0] for x in want[key])
-        assert [a for a, _ in once] == [0, *np.cumsum([len(x) for _, x in once])[:-1]] and sum((x for _, x in once), []) == want[key][0]
+        ids, times = want[key][0], np.zeros(key[1], int)  # repeated rows cover each place as often
+        for start, own in parts:
+            assert own == ids[start : start + len(own)]
+            times[start : start + len(own)] += 1
+        assert (times == len(want[key])).all() and all(x == ids for x in want[key])
     seqs = defaultdict(list)
     for r in got:
         assert len(r.tokens) == 4 * r.length
@@ -339,15 +340,17 @@ HARMLESS = ["ddd-dd", "dd.dd.dd", "dddd.dd.dd", "dd:dd:dd.ddd", "d/d/dddd", "dd,
 
 
 def test_added_spans_in_layouts_held_out():
-    tagger = pii.fit(*pii.training_windows(sample_texts()[:100]))
+    """Trained as in production on documents of one half of a table, judged on values written into those of the other."""
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist()]
+    tagger = pii.fit(*pii.training_windows(sorted(t for t in texts[::2] if pii._TRIGGER.search(t))))
     rng = np.random.default_rng(9)
     hit = missed = wrong = 0
-    for k in range(400):
+    for k, text in enumerate(texts[1:600:2]):
         kind = ("phone", "card", None)[k % 3]
         layouts = HELD_OUT.get(kind, HARMLESS)
         value = pii.filled(layouts[int(rng.integers(len(layouts)))], rng)
-        words = prose(900 + k, 40).split(" ")
-        at = int(rng.integers(1, 39))
+        words = text[:2000].split(" ")
+        at = int(rng.integers(1, max(2, len(words))))
         text, start = " ".join([*words[:at], value, *words[at:]]), len(" ".join(words[:at])) + 1
         ((base, every),) = pii.find(tagger, [text])
         want = {(start, pii.KINDS.index(kind), start + len(value))} if kind else set()
@@ -355,6 +358,7 @@ def test_added_spans_in_layouts_held_out():
             continue  # the base rules have it, or a part of it
         added = set(every) - set(base)
         hit, missed, wrong = hit + len(want & added), missed + len(want - added), wrong + len(added - want)
+    print(hit, missed, wrong)
     assert hit > 60 and hit / (hit + missed) >= 0.9 and hit / (hit + wrong) >= 0.9
 
 
