@@ -128,11 +128,11 @@ def composite_objective(spark, sf):
 @query(sql("""SELECT name, n, round(total, 6) AS total, round(pow(1 + total, 252.0 / n) - 1, 6) AS annual, round(vol, 6) AS vol, round((pow(1 + total, 252.0 / n) - 1) / vol, 6) AS sharpe, round((pow(1 + total, 252.0 / n) - 1) / down, 6) AS sortino, round(mdd, 6) AS max_drawdown,
   round((pow(1 + total, 252.0 / n) - 1) / abs(mdd), 6) AS calmar, round(up / -dn, 6) AS pl_ratio, round(mean * 252, 6) AS simple FROM (SELECT name, count(*) AS n, exp(sum(ln(1 + r))) - 1 AS total, stddev_samp(r) * sqrt(252) AS vol, sqrt(avg(least(r, 0) ** 2)) * sqrt(252) AS down,
     min(path / peak - 1) AS mdd, avg(r) FILTER (WHERE r > 0) AS up, avg(r) FILTER (WHERE r < 0) AS dn, avg(r) AS mean FROM (SELECT *, max(path) OVER (PARTITION BY name ORDER BY d) AS peak FROM (SELECT *, exp(sum(ln(1 + r)) OVER (PARTITION BY name ORDER BY d)) AS path FROM two)) GROUP BY 1)""",
-  *_V, **_P, **backtests._regime(3, 20, 0.8), net=backtests._NET.format("", "", "rp"), two="SELECT 'regime' AS name, d, strat * 0.1 AS r FROM net UNION ALL SELECT 'hold', d, hold * 0.1 FROM net"))
+  *_V, **_P, **backtests._regime(3, 20, 0.8), net=backtests._NET.format("", "", "rp"), two="SELECT 'regime' AS name, d, strat * 0.001 AS r FROM net UNION ALL SELECT 'hold', d, hold * 0.001 FROM net"))
 def annual_metrics(spark, sf):
-    """Compound metrics of a tenth of the capital in the regime strategy, and in holding."""
+    """Compound metrics of a thousandth of the capital in the regime strategy, and in holding."""
     net = backtests._net(strategy.rv_regime(backtests.daily(spark, sf), "rv", 3, 20, 0.8))
-    held = net.select("d", (F.col("strat") * 0.1).alias("regime"), (F.col("hold") * 0.1).alias("hold")).unpivot(["d"], ["regime", "hold"], "name", "r")
+    held = net.select("d", (F.col("strat") * 0.001).alias("regime"), (F.col("hold") * 0.001).alias("hold")).unpivot(["d"], ["regime", "hold"], "name", "r")
     return strategy.compound_metrics(held, ["name"], "r", "d", 252).select("name", "n", *[r6(c) for c in ("total", "annual", "vol", "sharpe", "sortino", "max_drawdown", "calmar", "pl_ratio", "simple")])
 
 
@@ -177,10 +177,10 @@ def hourly_changes(spark, sf):
     return bars.consecutive(held, 3600, 10, 16).select("ts", r6("change"), r6("ret"))
 
 
-@query("SELECT l_shipdate::DATE AS d, round(avg(l_quantity), 6) AS l_quantity, round(avg(l_extendedprice), 4) AS l_extendedprice FROM lineitem GROUP BY 1")
+@query("SELECT l_shipdate::DATE AS d, round(avg(l_quantity), 6) AS l_quantity, round(round(avg(l_extendedprice), 6), 2) AS l_extendedprice FROM lineitem GROUP BY 1")
 def means_by_date(spark, sf):
     held = views.table(spark, sf, "lineitem").withColumn("d", F.col("l_shipdate").cast("date"))
-    return bars.mean_by(held, "d", ["quantity", "extendedprice"]).select("d", r6("l_quantity"), r6("l_extendedprice", None, 4))
+    return bars.mean_by(held, "d", ["quantity", "extendedprice"]).select("d", r6("l_quantity"), F.round(F.round("l_extendedprice", 6), 2).alias("l_extendedprice"))
 
 
 _OVER = [60, 240, 480, 900]
