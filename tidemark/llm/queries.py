@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jpeg, langid, mixing, ngram_join, packing, pii, quality, suffixes, token_store
+from . import chat, contamination, jpeg, langid, mixing, ngram_join, packing, pii, quality, repair, runs, suffixes, token_store
 from .common import drop_at_exit, shared_folder, stage
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -199,6 +199,141 @@ def op10_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = stage(repair.ordered(repair.damage(turns)), "op11-rows")
+    audits = stage(repair.audit(rows), "op11-audits")
+    digests = repair.repaired(rows, audits, digest=True)
+    every, none = turns.select("conv_id").distinct(), F.lit(0).cast("long")
+    joined = every.join(audits.hint("merge"), F.col("conv_id").eqNullSafe(audits["conv"]), "left").drop("conv")
+    joined = joined.join(digests.hint("merge"), F.col("conv_id").eqNullSafe(digests["conv"]), "left")
+    counts = [F.coalesce(c, none).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return joined.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+#: crc32 by its polynomial: a table of bytes, then a fold over the bytes of an ASCII string s
+_CRC = """
+tab AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)
+"""
+
+
+def _crc_sql(s: str) -> str:
+    """crc32 of an ASCII string; the table's list must be in scope as t."""
+    codes = f"list_transform(string_split({s}, ''), lambda ch: ascii(ch)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295)"
+
+
+OP11_SQL = rf"""
+WITH RECURSIVE {_CRC}, n AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_crc_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS code
+  FROM conversations, tab
+), d AS (
+  SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+    CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(range(CASE code WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) FROM n)
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(role || chr(10) || text)) AS k,
+    rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body
+  FROM d
+), f AS (
+  SELECT conv_id, k, turn, role, text, left(role, 1) AS initial,
+    CASE WHEN body = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM o
+), steps(initial, i, j, cost, letter) AS (
+  VALUES ('s', 0, 1, 0, 'K'), ('u', 0, 2, 0, 'K'), ('u', 1, 2, 0, 'K'), ('u', 3, 2, 0, 'K'), ('a', 2, 3, 0, 'K'),
+    (NULL, 0, 2, 3, 'R'), (NULL, 1, 2, 3, 'R'), (NULL, 3, 2, 3, 'R'), (NULL, 2, 3, 3, 'R'),
+    (NULL, 0, 0, 4, 'D'), (NULL, 1, 1, 4, 'D'), (NULL, 2, 2, 4, 'D'), (NULL, 3, 3, 4, 'D')
+), ins(i, j, cost, audit) AS (
+  VALUES (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''), (0, 2, 3, 'I'), (1, 2, 3, 'I'), (3, 2, 3, 'I'), (2, 3, 3, 'I'), (0, 3, 6, 'II'), (1, 3, 6, 'II')
+), dp AS (
+  SELECT conv_id, 0::BIGINT AS k, j, {{'cost': cost, 'audit': audit}} AS best FROM (SELECT DISTINCT conv_id FROM f), ins WHERE i = 0
+  UNION ALL
+  SELECT dp.conv_id, f.k, ins.j, min({{'cost': dp.best.cost + s.cost + ins.cost + CASE WHEN fault = 'truncated' AND letter <> 'D' THEN 3 ELSE 0 END, 'audit': dp.best.audit || letter || ins.audit}})
+  FROM dp JOIN f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.k = dp.k + 1
+    JOIN steps s ON s.i = dp.j AND (s.initial IS NULL OR s.initial = f.initial) AND (letter = 'D' OR fault NOT IN ('blank', 'duplicate')) JOIN ins ON ins.i = s.j
+  GROUP BY dp.conv_id, f.k, ins.j
+), per AS (
+  SELECT conv_id, max(k) AS last, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+    count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM (SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY k) || initial AS pair FROM f) GROUP BY conv_id
+), won AS (
+  SELECT per.*, b.best.cost AS cost, b.best.audit AS audit
+  FROM per JOIN (SELECT conv_id, k, min(best) AS best FROM dp WHERE j IN (0, 3) GROUP BY conv_id, k) b ON b.conv_id IS NOT DISTINCT FROM per.conv_id AND b.k = per.last
+), e AS (
+  SELECT conv_id, pos, letter, count(*) FILTER (WHERE letter <> 'I') OVER w AS k, count(*) FILTER (WHERE letter <> 'D') OVER w AS nth, odd
+  FROM (SELECT conv_id, unnest(string_split(audit, '')) AS letter, generate_subscripts(string_split(audit, ''), 1) AS pos, length(replace(audit, 'D', '')) % 2 AS odd FROM won WHERE audit <> '')
+  WINDOW w AS (PARTITION BY conv_id ORDER BY pos)
+), out AS (
+  SELECT e.conv_id, string_agg(CASE WHEN letter = 'K' THEN f.role WHEN (nth + odd) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE f.text END, chr(10) ORDER BY pos) AS body
+  FROM e LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM e.conv_id AND f.k = e.k AND letter <> 'I' WHERE letter <> 'D' GROUP BY e.conv_id
+)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN won ON won.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN out ON out.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark").select("item_id", "text")
+    found = contamination.find_items(docs, items)
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+OP12_SQL = r"""
+WITH w AS (
+  SELECT item_id, regexp_extract_all(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00]', ' ', 'g'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+), v AS (
+  SELECT DISTINCT item_id, array_to_string(ws[i + 1 : i + 10], ' ') AS win, least(len(ws), 10) AS n FROM (SELECT *, unnest(range(greatest(1, len(ws) - 9))) AS i FROM w WHERE len(ws) > 0)
+), d AS (
+  SELECT row_number() OVER () AS uid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), p AS (
+  SELECT uid, n, i, array_to_string(ws[i + 1 : i + n], ' ') AS win FROM (SELECT uid, ws, n, unnest(range(len(ws) - n + 1)) AS i FROM d, (SELECT DISTINCT n FROM v) WHERE len(ws) >= n)
+), h AS (SELECT uid, p.n, i, item_id FROM p JOIN v ON p.n = v.n AND p.win = v.win
+), c AS (SELECT uid, count(*) AS n_hit FROM (SELECT DISTINCT uid, unnest(range(i, i + n)) AS at FROM h) GROUP BY uid
+), t AS (SELECT uid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT uid, item_id::VARCHAR AS item FROM h) GROUP BY uid
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c ON c.uid = d.uid LEFT JOIN t ON t.uid = d.uid
+"""
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", runs.plant(F.col("doc_id"), F.col("text")).alias("text"))
+    found = runs.find_runs(docs).withColumn("best", runs.strongest(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+OP13_SQL = rf"""
+WITH {_CRC}, d AS (
+  SELECT row_number() OVER () AS uid, doc_id, {_crc_sql("doc_id::VARCHAR")} AS h, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents, tab
+), g AS (
+  SELECT uid, doc_id, len(ws) AS n, CASE WHEN h % 10 = 0 AND len(ws) > 0 THEN list_transform(range(len(ws)), lambda i: ws[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (len(ws) - a) // (3 + h // 10 % 8)) END + 1]) ELSE ws END AS ws
+  FROM (SELECT *, CASE WHEN len(ws) > 0 THEN h // 10 % len(ws) END AS a FROM d)
+), u AS (SELECT uid, n, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS i FROM g
+), e AS (
+  SELECT x.uid, x.i, y.i - x.i AS q FROM u x JOIN u y ON x.uid = y.uid AND x.word = y.word AND y.i > x.i AND 3 * (y.i - x.i) <= x.n
+), s AS (
+  SELECT uid, q, min(i) AS start, max(i) + 1 + q AS stop FROM (SELECT *, i - row_number() OVER (PARTITION BY uid, q ORDER BY i) AS island FROM e) GROUP BY uid, q, island
+  HAVING max(i) + 1 + q - min(i) >= greatest(24, 3 * q)
+), r AS (SELECT uid, start, stop - start AS length, min(q) AS period FROM s GROUP BY uid, start, stop
+), b AS (SELECT uid, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM r GROUP BY uid
+), top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY length::DOUBLE / period DESC, start, period) AS k FROM r) WHERE k = 1
+), gone AS (SELECT DISTINCT uid, unnest(range(start + period, start + length)) AS i FROM r
+), kept AS (SELECT u.uid, string_agg(word, ' ' ORDER BY u.i) AS body FROM u ANTI JOIN gone ON gone.uid = u.uid AND gone.i = u.i GROUP BY u.uid
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(body, '')) AS collapsed_sha256
+FROM g LEFT JOIN b ON b.uid = g.uid LEFT JOIN top ON top.uid = g.uid LEFT JOIN kept ON kept.uid = g.uid
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_mix_sources": op2_mix_sources,
@@ -211,6 +346,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "quality_ablation": quality_ablation,
     "op10_progressive_jpeg": op10_progressive_jpeg,
+    "op11_structure_repair": op11_structure_repair,
+    "op12_decontamination": op12_decontamination,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op2_mix_sources": OP2_SQL, "op9_quality_rules": OP9_SQL, "quality_ablation": ABLATION_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op2_mix_sources": OP2_SQL, "op9_quality_rules": OP9_SQL, "quality_ablation": ABLATION_SQL, "op11_structure_repair": OP11_SQL, "op12_decontamination": OP12_SQL, "op13_periodic_runs": OP13_SQL}
