@@ -57,7 +57,7 @@ def test_every_bar_with_a_signal_is_an_event(spark, tmp_path):
                 ret = None if price is None or base is None else round(price / base - 1, 6)
                 want.add((f"{(T0 + dt.timedelta(seconds=b)).date()}-{n + 1}", m, ret))
     assert len({k for k, *_ in want}) == 20 - 4 + 6 - 4
-    assert {(r["key"], r["minute"], r["ret"]) for r in entry.queries()["response_grid_all"](spark, sf).collect()} == want
+    assert {(r["key"], r["minute"], r["ret"]) for r in entry.queries()["response_grid"](spark, sf).collect()} == want
 
 
 @pytest.mark.parametrize("name", STUDIES)
@@ -76,7 +76,7 @@ def test_every_tick_is_walked_through_the_book_of_its_ts(spark, tmp_path):
             take = min(left, size)
             left, paid = left - take, paid + take * price
         want[key] = (qty - left, paid / (qty - left))
-    got = {r["key"]: (r["filled"], r["vwap"]) for r in entry.queries()["lob_slippage_all"](spark, sf).collect()}
+    got = {r["key"]: (r["filled"], r["vwap"]) for r in entry.queries()["lob_slippage"](spark, sf).collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=2e-6) for k in want)
 
 

@@ -6,15 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .frames import blocks, change, over, rolling, rolling_corr
+from .frames import blocks, change, over, returns, rolling, rolling_corr
 
 FEATURES = ("ret", "trade_imbalance", "trade_count", "avg_trade_size", "aux_ret", "vol20", "corr20")
 
 
-def minute_features(bars: DataFrame) -> DataFrame:
-    """(day, ts, close, aux_close, ...) bars -> the seven features; frames stay within a day and nulls become 0."""
+def minute_features(bars: DataFrame, partition_by_day: bool = False) -> DataFrame:
+    """(day, ts, close, aux_close, ...) bars -> the seven features; nulls become 0. Returns run on over the nights, unless
+    partition_by_day; deviation and correlation stay within a day.
+    """
     w = over("ts", ["day"])
-    held = bars.withColumn("ret", F.coalesce(change(F.col("close"), 1, w), F.lit(0.0))).withColumn("aux_ret", F.coalesce(change(F.col("aux_close"), 1, w), F.lit(0.0)))
+    held = returns(bars, {"ret": "close", "aux_ret": "aux_close"}, "ts", "day", partition_by_day)
     held = held.withColumn("vol20", F.coalesce(rolling(F.stddev_samp, F.col("ret"), 20, w, 2), F.lit(0.0)))
     return held.withColumn("corr20", F.coalesce(rolling_corr(F.col("ret"), F.col("aux_ret"), 20, w, 5), F.lit(0.0))).select("day", "ts", *FEATURES)
 

@@ -36,6 +36,25 @@ def change(x: Column, n: int, w) -> Column:
     return F.try_divide(x, F.lag(x, n).over(w)) - 1
 
 
+def returns(df: DataFrame, values: dict[str, str], order: str, day: str, partition_by_day: bool = False) -> DataFrame:
+    """df with, for each (out, price column), the change from the row before: that of the day before for a day's first row, so
+    a night's jump counts. The very first row, and any change from or to nothing, is 0. With partition_by_day each day's
+    first row is 0.
+
+    Rows are ordered within their day; across days only each day's last row is carried, by a window over days.
+    """
+    w = over(order, [day])
+    prices = list(dict.fromkeys(values.values()))
+    held, before = df, {c: F.lag(c).over(w) for c in prices}
+    if not partition_by_day:
+        last = df.groupBy(F.col(day).alias("__day")).agg(F.max_by(F.struct(*prices), F.col(order)).alias("__last"))
+        held = df.join(last.select("__day", F.lag("__last").over(W.orderBy("__day")).alias("__from")), F.col(day).eqNullSafe(F.col("__day")))
+        first = F.row_number().over(w) == 1
+        before = {c: F.when(first, F.col(f"__from.{c}")).otherwise(F.lag(c).over(w)) for c in prices}
+    held = held.withColumns({out: F.coalesce(F.try_divide(c, before[c]) - 1, F.lit(0.0)) for out, c in values.items()})
+    return held if partition_by_day else held.drop("__day", "__from")
+
+
 def forward_sum(x: Column, h: int, w) -> Column:
     """Sum of the next h values; null where fewer follow."""
     frame = w.rowsBetween(1, h)

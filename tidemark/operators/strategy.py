@@ -357,19 +357,46 @@ def breakout(bars: DataFrame, trigger: float, look: int, hold: int, lev: float =
     return bars.select("day", "i", "close", "ret", "flag").groupBy("day").applyInPandas(one, "day date, entry int, exit int, side int, pnl double")
 
 
-def vol_target(df: DataFrame, vol: Column, target: Column | float, most: float = 3.0, base: float = 1.0, without: float = 2.0) -> DataFrame:
+def vol_target(df: DataFrame, vol: Column, target: Column | float, most: Column | float = 3.0, base: Column | float = 1.0, without: Column | float = 2.0) -> DataFrame:
     """lev: base times target over forecast volatility, within [0.5, most]; `without` where there is no forecast above 0."""
-    goal = target if isinstance(target, Column) else F.lit(target)
-    lev = F.least(F.greatest(goal / vol * base, F.lit(0.5)), F.lit(most))
-    return df.withColumn("lev", F.when(vol > 0, lev).otherwise(F.lit(without)))
+    goal, top, none = (x if isinstance(x, Column) else F.lit(x) for x in (target, most, without))
+    lev = F.least(F.greatest(goal / vol * base, F.lit(0.5)), top)
+    return df.withColumn("lev", F.when(vol > 0, lev).otherwise(none))
 
 
-def relevered(df: DataFrame, lev: str, base: float, every: int = 30, least: float = 0.3) -> DataFrame:
+def base_leverage(strength: Column, strong: float = 1.2) -> Column:
+    """3 on days whose signal is at least `strong`, else 2."""
+    return F.when(F.abs(strength) >= strong, 3.0).otherwise(2.0)
+
+
+def vol_sizing(days: DataFrame, most: list[float], trip: float = 0.002, signed_twice: bool = True) -> DataFrame:
+    """(day, dir, strength, ret, sd) of each day traded -> rule, most, day, lev, pnl: leverage by the deviation of the day before
+    (prev), by the mean of the five before (mean), and by that mean and the strength of the day's signal within [0.8, 1.5]
+    (boost), with costs for a round trip by leverage; rule fixed, at most 2.0, is twofold leverage.
+
+    The goal is twice the median deviation of the days that have both forecasts, which are the days traded. The published
+    rule takes the day's direction twice, so a short day earns as a long one; signed_twice=False takes it once.
+    """
+    w = W.orderBy("day")
+    held = days.withColumn("prev", F.lag("sd").over(w)).withColumn("mean", full(F.avg("sd").over(w.rowsBetween(-5, -1)), F.col("sd"), w.rowsBetween(-5, -1), 5))
+    held = held.filter("prev IS NOT NULL AND mean IS NOT NULL AND sd IS NOT NULL")
+    held = held.crossJoin(F.broadcast(held.agg((2 * F.percentile("sd", F.lit(0.5))).alias("goal"))))
+    boost = F.least(F.greatest(F.abs("strength"), F.lit(0.8)), F.lit(1.5))
+    rules = [F.struct(F.lit(r).alias("rule"), F.lit(float(m)).alias("most"), v.alias("vol"), b.alias("base")) for r, v, b in (("prev", F.col("prev"), F.lit(1.0)), ("mean", F.col("mean"), F.lit(1.0)), ("boost", F.col("mean"), boost)) for m in most]
+    held = vol_target(held.withColumn("x", F.explode(F.array(*rules))).select("*", "x.*"), F.col("vol"), F.col("goal"), F.col("most"), F.col("base"), 2.0 * F.col("base"))
+    fixed = held.filter((F.col("rule") == "prev") & (F.col("most") == most[0])).withColumns({"rule": F.lit("fixed"), "most": F.lit(2.0), "lev": F.lit(2.0)})
+    signed = F.col("ret") if signed_twice else F.col("dir") * F.col("ret")
+    signed = F.when(F.col("rule") == "fixed", F.col("dir") * F.col("ret")).otherwise(signed)
+    return held.union(fixed.select(held.columns)).select("rule", "most", "day", "lev", (signed * F.col("lev") - trip * F.col("lev")).alias("pnl"))
+
+
+def relevered(df: DataFrame, lev: str, base: Column | float, every: int = 30, least: float = 0.3) -> DataFrame:
     """(day, i from 1) -> day, changes: how often, looking every so many rows, leverage is further than `least` from what it was
-    at the last change (base at first): a fold over a day's few looks.
+    at the last change (base, one for a day, at first): a fold over a day's few looks.
     """
-    looks = df.filter((F.col("i") - 1) % every == 0).groupBy("day").agg(F.sort_array(F.collect_list(F.struct("i", F.col(lev).alias("l")))).alias("all"))
-    start = F.struct(F.lit(base).alias("at"), F.lit(0).alias("n"))
+    first = F.any_value(base if isinstance(base, Column) else F.lit(base)).alias("first")
+    looks = df.filter((F.col("i") - 1) % every == 0).groupBy("day").agg(F.sort_array(F.collect_list(F.struct("i", F.col(lev).alias("l")))).alias("all"), first)
+    start = F.struct(F.col("first").alias("at"), F.lit(0).alias("n"))
     moved = lambda s, x: F.abs(x["l"] - s["at"]) > least
     fold = F.aggregate("all", start, lambda s, x: F.struct(F.when(moved(s, x), x["l"]).otherwise(s["at"]).alias("at"), (s["n"] + moved(s, x).cast("int")).alias("n")), lambda s: s["n"])
     return looks.select("day", fold.alias("changes"))

@@ -204,13 +204,13 @@ def exposure_stats(spark, sf):
 
 
 def intraday(spark, sf):
-    """(day, i, close, ret): 15-minute bars numbered within their day."""
+    """(day, i, close, ret): 15-minute bars numbered within their day; a day's first return holds the night's jump."""
     w = frames.over("ts", ["day"])
-    held = views.bars(spark, sf, 15).withColumn("day", F.to_date("ts"))
-    return held.select("day", "ts", F.row_number().over(w).alias("i"), "close", "trade_imbalance", F.coalesce(frames.change(F.col("close"), 1, w), F.lit(0.0)).alias("ret"))
+    held = frames.returns(views.bars(spark, sf, 15).withColumn("day", F.to_date("ts")), {"ret": "close"}, "ts", "day")
+    return held.select("day", "ts", F.row_number().over(w).alias("i"), "close", "trade_imbalance", "ret")
 
 
-_I = {"ib": "SELECT ts::DATE AS day, ts, row_number() OVER w AS i, close, trade_imbalance, coalesce(close / lag(close) OVER w - 1, 0) AS ret FROM b15 WINDOW w AS (PARTITION BY ts::DATE ORDER BY ts)", "ic": "SELECT *, sum(ret) OVER (PARTITION BY day ORDER BY i) AS cum FROM ib", "ip": "SELECT *, max(cum) OVER (PARTITION BY day ORDER BY i) AS peak FROM ic"}
+_I = {"ib": "SELECT ts::DATE AS day, ts, row_number() OVER w AS i, close, trade_imbalance, coalesce(close / lag(close) OVER (ORDER BY ts) - 1, 0) AS ret FROM b15 WINDOW w AS (PARTITION BY ts::DATE ORDER BY ts)", "ic": "SELECT *, sum(ret) OVER (PARTITION BY day ORDER BY i) AS cum FROM ib", "ip": "SELECT *, max(cum) OVER (PARTITION BY day ORDER BY i) AS peak FROM ic"}
 
 
 @query(sql("SELECT k.name AS strategy, day, round(dir * s * lev - 0.002 * lev, 6) AS pnl FROM (SELECT day, count(*) AS n, sum(ret) AS s, CASE WHEN arg_min(trade_imbalance, i) > 0 THEN 1 ELSE -1 END AS dir, abs(arg_min(trade_imbalance, i)) AS x FROM ib GROUP BY 1 HAVING count(*) >= 10), (VALUES ('flat'), ('steps')) k(name), LATERAL (SELECT CASE WHEN k.name = 'flat' THEN 1.0 WHEN x >= 0.5 THEN 3.0 WHEN x >= 0.2 THEN 2.0 ELSE 1.0 END::DOUBLE AS lev)", "b15", **_I))
@@ -280,17 +280,19 @@ def min_hold_positions(spark, sf):
 
 
 def flagged(spark, sf):
-    """intraday with the day's direction and the anomaly signal of its rows joined on; rows without one are not flagged."""
+    """intraday with the day's direction, strength and base leverage (from its first bar's imbalance, four times which stands for
+    the signal) and the anomaly signal of its rows joined on; rows without one are not flagged.
+    """
     held = intraday(spark, sf)
     signals = held.filter("trade_imbalance > 0.2").select("ts", F.col("trade_imbalance").alias("score"), (F.col("trade_imbalance") > 0.6).alias("is_anomaly"))
     named = features.with_signals(held, signals, {"score": 0.0, "is_anomaly": False})
-    first = held.filter("i = 1").select("day", F.when(F.col("trade_imbalance") > 0, 1).otherwise(-1).alias("dir"))
-    return named.join(first, "day")
+    first = held.filter("i = 1").select("day", F.when(F.col("trade_imbalance") > 0, 1).otherwise(-1).alias("dir"), (4 * F.abs("trade_imbalance")).alias("strength"))
+    return named.join(first, "day").withColumn("base", strategy.base_leverage(F.col("strength")))
 
 
 _SIGNALS = {
     "sg": "SELECT ts, trade_imbalance AS score, trade_imbalance > 0.6 AS is_anomaly FROM ib WHERE trade_imbalance > 0.2",
-    "sj": "SELECT ib.*, coalesce(sg.score, 0.0) AS score, coalesce(sg.is_anomaly, false) AS is_anomaly, CASE WHEN f.trade_imbalance > 0 THEN 1 ELSE -1 END AS dir FROM ib LEFT JOIN sg ON sg.ts = ib.ts JOIN ib f ON f.day = ib.day AND f.i = 1",
+    "sj": "SELECT ib.*, coalesce(sg.score, 0.0) AS score, coalesce(sg.is_anomaly, false) AS is_anomaly, CASE WHEN f.trade_imbalance > 0 THEN 1 ELSE -1 END AS dir, CASE WHEN 4 * abs(f.trade_imbalance) >= 1.2 THEN 3.0 ELSE 2.0 END::DOUBLE AS base FROM ib LEFT JOIN sg ON sg.ts = ib.ts JOIN ib f ON f.day = ib.day AND f.i = 1",
 }
 
 
@@ -310,34 +312,45 @@ def anomaly_backtest(spark, sf):
     return made.select("mode", "day", "n", "n_trades", r6("gross"), r6(F.col("gross") - F.col("n_trades") * 0.001, "net"))
 
 
-@query()
+#: From each flagged row, the first trigger among the next four; a walk from row to row that skips to after each exit.
+_BREAK = {
+    "nx": "SELECT a.day, a.i, a.close, min(b.i) AS entry FROM ib a JOIN ib b ON b.day = a.day AND b.i BETWEEN a.i + 1 AND a.i + 4 AND (b.close >= a.close * 1.5 OR b.close <= a.close * 0.5) WHERE a.trade_imbalance > 0.5 GROUP BY 1, 2, 3",
+    "sz": "SELECT day, count(*) AS n FROM ib GROUP BY 1",
+    "walk": "SELECT day, 1::BIGINT AS at FROM sz UNION ALL SELECT walk.day, CASE WHEN nx.entry IS NULL THEN walk.at ELSE least(nx.entry + 8, n) END + 1 FROM walk JOIN sz ON sz.day = walk.day LEFT JOIN nx ON nx.day = walk.day AND nx.i = walk.at WHERE walk.at < n",
+    "bt": """SELECT nx.day, entry, least(entry + 8, n) AS exit, CASE WHEN e.close >= nx.close * 1.5 THEN 1 ELSE -1 END AS side
+      FROM walk JOIN nx ON nx.day = walk.day AND nx.i = walk.at JOIN sz ON sz.day = nx.day JOIN ib e ON e.day = nx.day AND e.i = entry""",
+    "bp": "SELECT bt.day, entry, exit, side, side * sum(ret) - 0.002 AS pnl FROM bt JOIN ib ON ib.day = bt.day AND ib.i BETWEEN entry AND exit GROUP BY 1, 2, 3, 4",
+}
+
+
+@query(sql("SELECT day, entry::INT AS entry, exit::INT AS exit, side, round(pnl, 6) + 0.0 AS pnl FROM bp", "b15", ib=_I["ib"], **_BREAK).replace("WITH ", _FOLD, 1))
 def breakout_trades(spark, sf):
     held = intraday(spark, sf).withColumn("flag", F.col("trade_imbalance") > 0.5)
-    return strategy.breakout(held, 0.5, 4, 8)
+    return strategy.breakout(held, 0.5, 4, 8).select("day", "entry", "exit", "side", r6("pnl"))
 
 
-@query()
+@query(sql("SELECT day, round(base, 6) AS base, round(coalesce(extra, 0), 6) + 0.0 AS extra, coalesce(n_trades, 0) AS n_trades FROM (SELECT day, sum(dir * ret * base) - 0.002 * max(base) AS base FROM sj GROUP BY 1) LEFT JOIN (SELECT day, sum(pnl) AS extra, count(*) AS n_trades FROM bp GROUP BY 1) USING (day)", "b15", ib=_I["ib"], **_SIGNALS, **_BREAK).replace("WITH ", _FOLD, 1))
 def breakout_days(spark, sf):
-    """The day's base position and its breakout trades: base, extra, n_trades."""
+    """The day's base position, at the leverage of its signal, and its breakout trades: base, extra, n_trades."""
     held = flagged(spark, sf).withColumn("flag", F.col("trade_imbalance") > 0.5)
-    base = held.groupBy("day").agg((F.sum(F.col("dir") * F.col("ret")) * 2.0 - 0.004).alias("base"))
+    base = held.groupBy("day").agg((F.sum(F.col("dir") * F.col("ret") * F.col("base")) - 0.002 * F.max("base")).alias("base"))
     extra = strategy.breakout(held, 0.5, 4, 8).groupBy("day").agg(F.sum("pnl").alias("extra"), F.count(F.lit(1)).alias("n_trades"))
     return base.join(extra, "day", "left").select("day", r6("base"), r6(F.coalesce("extra", F.lit(0.0)), "extra"), F.coalesce("n_trades", F.lit(0)).alias("n_trades"))
 
 
 _VT = {
     "iw": "SELECT *, count(*) OVER w AS k, stddev_pop(ret) OVER w * 1e4 AS sd, coalesce(avg(is_anomaly::INT) OVER w, is_anomaly::INT) AS rate FROM sj WINDOW w AS (PARTITION BY day ORDER BY i ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)",
-    "il": "SELECT day, i, CASE WHEN vol > 0 THEN least(3.0, greatest(0.5, 1e4 / vol * 2.0)) ELSE 2.0 END AS lev FROM (SELECT day, i, CASE WHEN k >= 5 THEN sd ELSE 1e4 END * (1 + 0.35 * rate) AS vol FROM iw)",
+    "il": "SELECT day, i, dir, ret, base, CASE WHEN vol > 0 THEN least(3.0, greatest(0.5, 1e4 / vol * base)) ELSE base END AS lev FROM (SELECT *, CASE WHEN k >= 5 THEN sd ELSE 1e4 END * (1 + 0.35 * rate) AS vol FROM iw)",
 }
 
 
 def _levered(spark, sf):
-    """Leverage of each row: base 2, target 10,000 basis points, from the deviation and the anomaly rate of the 20 rows before."""
+    """Leverage of each row: target 10,000 basis points, from the deviation and the anomaly rate of the 20 rows before."""
     w = frames.over("i", ["day"]).rowsBetween(-20, -1)
     held = flagged(spark, sf)
     sd = F.when(F.count(F.lit(1)).over(w) >= 5, F.stddev_pop("ret").over(w) * 1e4).otherwise(F.lit(1e4))
     own = F.col("is_anomaly").cast("int")
-    return strategy.vol_target(held, sd * (1 + 0.35 * F.coalesce(F.avg(own).over(w), own)), 1e4, base=2.0)
+    return strategy.vol_target(held, sd * (1 + 0.35 * F.coalesce(F.avg(own).over(w), own)), 1e4, base=F.col("base"), without=F.col("base"))
 
 
 @query(sql("SELECT day, i, round(lev, 5) AS lev FROM il", "b15", ib=_I["ib"], **_SIGNALS, **_VT))
@@ -345,10 +358,49 @@ def intraday_vol_target(spark, sf):
     return _levered(spark, sf).select("day", "i", r6("lev", None, 5))
 
 
-@query(sql("SELECT day, max(n) AS changes FROM walk GROUP BY day", "b15", ib=_I["ib"], **_SIGNALS, **_VT, lk="SELECT day, row_number() OVER (PARTITION BY day ORDER BY i) AS k, round(lev, 5) AS l FROM il WHERE (i - 1) % 30 = 0",
-  walk="SELECT day, k, CASE WHEN abs(l - 2.0) > 0.3 THEN l ELSE 2.0 END AS held, (abs(l - 2.0) > 0.3)::INT AS n FROM lk WHERE k = 1 UNION ALL SELECT lk.day, lk.k, CASE WHEN abs(l - held) > 0.3 THEN l ELSE held END, n + (abs(l - held) > 0.3)::INT FROM walk JOIN lk ON lk.day = walk.day AND lk.k = walk.k + 1").replace("WITH ", _FOLD, 1))
+_LOOKS = {
+    "lk": "SELECT day, base, row_number() OVER (PARTITION BY day ORDER BY i) AS k, round(lev, 5) AS l FROM il WHERE (i - 1) % 30 = 0",
+    "walk": """SELECT day, k, CASE WHEN abs(l - base) > 0.3 THEN l ELSE base END AS held, (abs(l - base) > 0.3)::INT AS n FROM lk WHERE k = 1
+      UNION ALL SELECT lk.day, lk.k, CASE WHEN abs(l - held) > 0.3 THEN l ELSE held END, n + (abs(l - held) > 0.3)::INT FROM walk JOIN lk ON lk.day = walk.day AND lk.k = walk.k + 1""",
+}
+
+
+@query(sql("SELECT day, max(n) AS changes FROM walk GROUP BY day", "b15", ib=_I["ib"], **_SIGNALS, **_VT, **_LOOKS).replace("WITH ", _FOLD, 1))
 def relever_counts(spark, sf):
-    return strategy.relevered(_levered(spark, sf).withColumn("lev", F.round("lev", 5)), "lev", 2.0)
+    return strategy.relevered(_levered(spark, sf).withColumn("lev", F.round("lev", 5)), "lev", F.col("base"))
+
+
+@query(sql("""SELECT day, round(sum(dir * ret * base) - 0.002 * max(base), 6) AS fixed, round(sum(dir * ret * lev) - 0.002 * max(base) - 0.002 * max(changes), 6) AS pnl, max(changes) AS changes
+  FROM il JOIN (SELECT day, max(n) AS changes FROM walk GROUP BY day) USING (day) GROUP BY day HAVING count(*) >= 30""", "b15", ib=_I["ib"], **_SIGNALS, **_VT, **_LOOKS).replace("WITH ", _FOLD, 1))
+def vol_target_pnl(spark, sf):
+    """Each day of 30 rows or more under intraday volatility targets: resized on every row, charged for its entry, its exit and
+    the changes that relever_counts counts; fixed is the same day at its base leverage.
+    """
+    held = _levered(spark, sf)
+    changes = strategy.relevered(held.withColumn("lev", F.round("lev", 5)), "lev", F.col("base"))
+    signed = F.col("dir") * F.col("ret")
+    days = held.groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.max("base").alias("base"), F.sum(signed * F.col("base")).alias("fixed"), F.sum(signed * F.col("lev")).alias("gross"))
+    days = days.filter("n >= 30").join(changes, "day")
+    cost = 0.002 * F.col("base")
+    return days.select("day", r6(F.col("fixed") - cost, "fixed"), r6(F.col("gross") - cost - 0.002 * F.col("changes"), "pnl"), "changes")
+
+
+@query(sql("""SELECT rule, most, count(*) AS n, round(sum(pnl), 6) AS total, round(sum(pnl) - max(fixed), 6) AS alpha, round(avg(pnl) / stddev_pop(pnl) * sqrt(252), 6) AS sharpe, round(avg(lev), 6) AS avg_lev, round(min(path - peak), 6) AS max_drawdown
+  FROM (SELECT *, max(path) OVER (PARTITION BY rule, most ORDER BY day) AS peak FROM (SELECT *, sum(pnl) OVER (PARTITION BY rule, most ORDER BY day) AS path FROM vp)), (SELECT sum(pnl) AS fixed FROM vp WHERE rule = 'fixed') GROUP BY 1, 2""", "b15", ib=_I["ib"], **_SIGNALS,
+  dd="SELECT day, max(dir) AS dir, max(4 * x) AS strength, sum(ret) AS ret, stddev_samp(ret) AS sd FROM (SELECT *, abs(first_value(trade_imbalance) OVER (PARTITION BY day ORDER BY i)) AS x FROM sj) GROUP BY day",
+  df="SELECT * FROM (SELECT *, lag(sd) OVER (ORDER BY day) AS prev, CASE WHEN count(sd) OVER w = 5 THEN avg(sd) OVER w END AS mean FROM dd WINDOW w AS (ORDER BY day ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)) WHERE prev IS NOT NULL AND mean IS NOT NULL AND sd IS NOT NULL",
+  dl="""SELECT df.*, r.rule, m.most, CASE WHEN r.rule = 'boost' THEN least(1.5, greatest(0.8, strength)) ELSE 1.0 END::DOUBLE AS b, CASE WHEN r.rule = 'prev' THEN prev ELSE mean END AS vol
+    FROM df, (VALUES ('prev'), ('mean'), ('boost')) r(rule), (VALUES (2.5::DOUBLE), (3.0::DOUBLE), (4.0::DOUBLE)) m(most)""",
+  vp="""SELECT rule, most, day, lev, ret * lev - 0.002 * lev AS pnl FROM (SELECT *, CASE WHEN vol > 0 THEN least(most, greatest(0.5, goal / vol * b)) ELSE 2.0 * b END AS lev FROM dl, (SELECT 2 * median(sd) AS goal FROM df))
+    UNION ALL SELECT 'fixed', 2.0, day, 2.0, dir * ret * 2.0 - 0.004 FROM df"""))
+def vol_sizing_pnl(spark, sf):
+    """Three ways to size days by their forecast volatility, at three limits of leverage, against a fixed leverage of two."""
+    held = flagged(spark, sf)
+    days = held.groupBy("day").agg(F.max("dir").alias("dir"), F.max("strength").alias("strength"), F.sum("ret").alias("ret"), F.stddev_samp("ret").alias("sd"))
+    made = frames.drawdown(strategy.vol_sizing(days, [2.5, 3.0, 4.0]), "pnl", "day", False, ["rule", "most"])
+    out = made.groupBy("rule", "most").agg(F.count(F.lit(1)).alias("n"), F.sum("pnl").alias("total"), strategy.sharpe(F.col("pnl"), 252, 0).alias("sharpe"), F.avg("lev").alias("avg_lev"), F.min("drawdown").alias("max_drawdown"))
+    out = out.crossJoin(F.broadcast(out.filter("rule = 'fixed'").select(F.col("total").alias("fixed"))))  # one row
+    return out.select("rule", "most", "n", r6("total"), r6(F.col("total") - F.col("fixed"), "alpha"), r6("sharpe"), r6("avg_lev"), r6("max_drawdown"))
 
 
 @query(sql("SELECT day, i, round(p, 6) AS pos FROM walk", "b15", **{k: _I[k] for k in ("ib",)}, walk="SELECT day, i, greatest(-0.5, least(0.5, 2 * trade_imbalance)) AS p FROM ib WHERE i = 1 UNION ALL SELECT ib.day, ib.i, walk.p + greatest(-0.5, least(0.5, 2 * trade_imbalance - walk.p)) FROM walk JOIN ib ON ib.day = walk.day AND ib.i = walk.i + 1").replace("WITH ", _FOLD, 1))
@@ -377,9 +429,6 @@ def lob_slippage(spark, sf):
     return _walked(spark, sf)
 
 
-QUERIES["lob_slippage_all"], ORACLE_SQL["lob_slippage_all"] = QUERIES["lob_slippage"], ORACLE_SQL["lob_slippage"]  # its name before
-
-
 # ---- walk-forward
 
 GRID = [(s, lo, q) for s in (3, 5) for lo in (14, 30) for q in (0.7, 0.8)]

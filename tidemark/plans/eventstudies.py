@@ -85,10 +85,6 @@ def sigma_threshold_grid(spark, sf):
     return events.threshold_grid(grid(spark, sf), [0.5, 1.0, 2.0]).select("sigma", "minute", "trades", r6("total"), r6("avg"), r6("win_pct"), r6("profit_factor"))
 
 
-for _name in ("response_grid", "response_grid_metrics", "horizon_table", "sigma_event_paths", "curve_summary", "sigma_threshold_grid"):
-    QUERIES[f"{_name}_all"], ORACLE_SQL[f"{_name}_all"] = QUERIES[_name], ORACLE_SQL[_name]  # the names that the whole studies had before
-
-
 _NEXT = {"x": "SELECT sig.d, slope - lag(slope) OVER (ORDER BY sig.d) AS change FROM sig", "p": "SELECT d, lead(close) OVER (ORDER BY d) / close - 1 AS nxt, close / lag(close) OVER (ORDER BY d) - 1 AS same FROM px", "j": "SELECT x.d, change, nxt, same, x.d < DATE '1999-01-01' AS train FROM x JOIN p ON x.d = p.d"}
 
 
@@ -121,10 +117,9 @@ def lag_sensitivity(spark, sf):
     return stats.pearson(held, ["lag"], "x", "same").select("lag", "n", r6("r"))
 
 
-@query(sql("SELECT day, ts, round(f, 6) AS fwd_8 FROM (SELECT ts::DATE AS day, ts, CASE WHEN count(*) OVER w = 8 THEN sum(r) OVER w END AS f FROM (SELECT ts, coalesce(close / lag(close) OVER (PARTITION BY ts::DATE ORDER BY ts) - 1, 0) AS r FROM b15) WINDOW w AS (PARTITION BY ts::DATE ORDER BY ts ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING))", "b15"))
+@query(sql("SELECT day, ts, round(f, 6) AS fwd_8 FROM (SELECT ts::DATE AS day, ts, CASE WHEN count(*) OVER w = 8 THEN sum(r) OVER w END AS f FROM (SELECT ts, coalesce(close / lag(close) OVER (ORDER BY ts) - 1, 0) AS r FROM b15) WINDOW w AS (PARTITION BY ts::DATE ORDER BY ts ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING))", "b15"))
 def residual_forward_study(spark, sf):
-    w = frames.over("ts", ["day"])
-    held = views.bars(spark, sf, 15).withColumn("day", F.to_date("ts")).withColumn("r", F.coalesce(frames.change(F.col("close"), 1, w), F.lit(0.0)))
+    held = frames.returns(views.bars(spark, sf, 15).withColumn("day", F.to_date("ts")), {"r": "close"}, "ts", "day")
     return features.forward_window_sum(held, "r", 8, "ts", "day").select("day", "ts", r6("fwd_8"))
 
 

@@ -38,7 +38,7 @@ def feature_rows(spark, sf):
 
 _F = {
     "c": "SELECT b15.ts, b15.ts::DATE AS day, close, trade_imbalance, trade_count, avg_trade_size, coalesce(last_value(aux_close IGNORE NULLS) OVER (ORDER BY b15.ts ROWS UNBOUNDED PRECEDING), first_value(aux_close IGNORE NULLS) OVER (PARTITION BY b15.ts::DATE ORDER BY b15.ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS aux_close FROM b15 LEFT JOIN aux ON aux.ts = b15.ts",
-    "e": "SELECT *, coalesce(close / lag(close) OVER w - 1, 0) AS ret, coalesce(aux_close / lag(aux_close) OVER w - 1, 0) AS aux_ret FROM c WINDOW w AS (PARTITION BY day ORDER BY ts)",
+    "e": "SELECT *, coalesce(close / lag(close) OVER w - 1, 0) AS ret, coalesce(aux_close / lag(aux_close) OVER w - 1, 0) AS aux_ret FROM c WINDOW w AS (ORDER BY ts)",
     "f": "SELECT day, ts, ret, trade_imbalance, trade_count, avg_trade_size, aux_ret, coalesce(stddev_samp(ret) OVER w, 0) AS vol20, coalesce(CASE WHEN count(*) OVER w >= 5 AND stddev_pop(ret) OVER w > 1e-12 AND stddev_pop(aux_ret) OVER w > 1e-12 THEN corr(ret, aux_ret) OVER w END, 0) AS corr20 FROM e WINDOW w AS (PARTITION BY day ORDER BY ts ROWS 19 PRECEDING)",
 }
 

@@ -245,7 +245,7 @@ def threshold_grid_merged(spark, sf):
 
 _FEATURES = ("ret", "trade_imbalance", "avg_trade_size")
 _RES = {
-    "ra": "SELECT ts::DATE AS day, ts, coalesce(close / lag(close) OVER w - 1, 0) AS ret, trade_imbalance, avg_trade_size, row_number() OVER w AS i FROM b15 WINDOW w AS (PARTITION BY ts::DATE ORDER BY ts)",
+    "ra": "SELECT ts::DATE AS day, ts, coalesce(close / lag(close) OVER (ORDER BY ts) - 1, 0) AS ret, trade_imbalance, avg_trade_size, row_number() OVER w AS i FROM b15 WINDOW w AS (PARTITION BY ts::DATE ORDER BY ts)",
     "rb": "SELECT *, " + ", ".join(f"round({c} - CASE WHEN count({c}) OVER w >= 5 THEN avg({c}) OVER w END, 9) AS res_{c}" for c in _FEATURES) + ", " + ", ".join(f"CASE WHEN count(*) OVER (PARTITION BY day ORDER BY ts ROWS BETWEEN CURRENT ROW AND {h - 1} FOLLOWING) = {h} THEN sum(ret) OVER (PARTITION BY day ORDER BY ts ROWS BETWEEN CURRENT ROW AND {h - 1} FOLLOWING) END AS fwd_{h}" for h in (1, 2, 4)) + " FROM ra WINDOW w AS (PARTITION BY day ORDER BY ts ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)",
     "rc": " UNION ALL ".join(f"SELECT day, ts, '{c}' AS feature, {h} AS fwd, res_{c} AS res, round(fwd_{h}, 9) AS r FROM rb WHERE abs(trade_imbalance) > 0.3" for c in _FEATURES for h in (1, 2, 4)),
     "rd": "SELECT * FROM rc WHERE res IS NOT NULL AND r IS NOT NULL",
@@ -255,7 +255,7 @@ _RES = {
 def residuals(spark, sf):
     """(day, ts, feature, fwd, res, r): each flagged row's residual by feature, with the sum of the coming returns by horizon."""
     w = frames.over("ts", ["day"])
-    held = views.bars(spark, sf, 15).withColumn("day", F.to_date("ts")).withColumn("ret", F.coalesce(frames.change(F.col("close"), 1, w), F.lit(0.0)))
+    held = frames.returns(views.bars(spark, sf, 15).withColumn("day", F.to_date("ts")), {"ret": "close"}, "ts", "day")
     for h in (1, 2, 4):
         held = features.forward_window_sum(held, "ret", h, "ts", "day")
     held = held.withColumns({f"res_{c}": F.round(F.col(c) - frames.prior(F.avg, F.col(c), 20, w, 5), 9) for c in _FEATURES}).filter(F.abs("trade_imbalance") > 0.3)
