@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .bars import epoch_micros
 from .frames import blocks
+from .scans import last_known, span_of
 
 
 def asof(events: DataFrame, bars: DataFrame, value: str, direction: str, tolerance_s: int = 300, out: str = "price") -> DataFrame:
@@ -59,7 +60,7 @@ def carried(bars: DataFrame, other: DataFrame, value: str, day) -> DataFrame:
 
 
 def daily_asof(base: DataFrame, other: DataFrame, value: str, out: str) -> DataFrame:
-    """base (with d) plus the last known value of other at or before d, without a limit: union and one ordered pass."""
-    both = base.select("d", F.lit(1).alias("__base"), F.lit(None).cast("double").alias("__v")).union(other.select("d", F.lit(0), F.col(value).cast("double")))
-    filled = both.withColumn("__v", F.last("__v", ignorenulls=True).over(W.orderBy("d", "__base").rowsBetween(W.unboundedPreceding, 0)))
-    return base.join(filled.filter("__base = 1").select("d", F.col("__v").alias(out)).distinct(), "d", "left")
+    """base (with d) plus the last known value of other at or before d, without a limit: both by day, scanned by spans of days."""
+    days = base.select("d", F.lit(None).cast("double").alias("v")).union(other.select("d", F.col(value).cast("double")))
+    filled = last_known(days.groupBy("d").agg(F.max("v").alias("v")), F.col("v"), "d", span_of(base, "d"), "__v")
+    return base.join(filled.select("d", F.col("__v").alias(out)), "d", "left")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .scans import reach
+
 from ..functions.scalars import safe_ratio
 
 
@@ -98,6 +100,6 @@ def mean_by(df: DataFrame, key: str, names: list[str]) -> DataFrame:
 
 def consecutive(df: DataFrame, gap_s: int, first_hour: int, last_hour: int, part: list[str] | None = None) -> DataFrame:
     """Rows that come exactly gap_s after the row before, at hours between first_hour and last_hour."""
-    w = W.partitionBy(*(part or [])).orderBy("ts")
-    held = df.withColumn("__g", epoch_micros(F.col("ts")) - F.lag(epoch_micros(F.col("ts"))).over(w))
+    gap = lambda w: {"__g": epoch_micros(F.col("ts")) - F.lag(epoch_micros(F.col("ts"))).over(w)}
+    held = df.withColumns(gap(W.partitionBy(*part).orderBy("ts"))) if part else reach(df, "ts", F.to_date("ts"), 1, 0, gap)
     return held.filter((F.col("__g") == gap_s * 1_000_000) & F.hour("ts").between(first_hour, last_hour)).drop("__g")

@@ -14,6 +14,7 @@ from ..functions.special import binomial_p
 from .asof import asof
 from .bars import epoch_micros
 from .frames import corr, over
+from .scans import numbered, span_of
 from .stats import pairs
 
 
@@ -150,4 +151,4 @@ def without_calendar(df: DataFrame, calendar: DataFrame, days: int = 1) -> DataF
 
 def every_kth(df: DataFrame, k: int, order: str) -> DataFrame:
     """Every k-th row, from the first."""
-    return df.withColumn("__n", F.row_number().over(W.orderBy(order))).filter((F.col("__n") - 1) % k == 0).drop("__n")
+    return numbered(df, order, span_of(df, order), "__n").filter(F.col("__n") % k == 0).drop("__n")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .frames import blocks, change, over, returns, rolling, rolling_corr
+from .scans import numbered, span_of
 
 FEATURES = ("ret", "trade_imbalance", "trade_count", "avg_trade_size", "aux_ret", "vol20", "corr20")
 
@@ -62,10 +63,10 @@ def scale(df: DataFrame, columns: list[str], scaler: DataFrame) -> DataFrame:
 
 
 def chronological_split(df: DataFrame, order: str, share: float = 0.8) -> DataFrame:
-    """df with is_train for the first share of rows in time order; the count is one broadcast row."""
+    """df with is_train for the first share of rows in time order, numbered by spans of it; the count is one broadcast row."""
     n = df.agg(F.count(F.lit(1)).alias("__n"))
-    held = df.withColumn("__k", F.row_number().over(W.orderBy(order))).crossJoin(F.broadcast(n))
-    return held.withColumn("is_train", F.col("__k") <= F.floor(F.col("__n") * share)).drop("__k", "__n")
+    held = numbered(df, order, span_of(df, order), "__k").crossJoin(F.broadcast(n))
+    return held.withColumn("is_train", F.col("__k") < F.floor(F.col("__n") * share)).drop("__k", "__n")
 
 
 def flag_above(df: DataFrame, score: str, q: float, by: list[str], multiplier: float = 1.0) -> DataFrame:

@@ -1,7 +1,7 @@
 """Ordered frames: rolling, expanding, filling, runs, drawdowns.
 
-`order` names the ordering columns and `part` the partition. Without a partition a series is ordered in one task, which
-suits daily series; minute series pass a day or an instrument as part.
+`order` names the ordering columns and `part` the partition. Without a partition a window orders its series in one task, which
+suits daily series; `scans` and `orderstats` have the forms for series of any length.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import scans
+
 
 def over(order: str | list[str] = "d", part: list[str] | None = None):
     return W.partitionBy(*(part or [])).orderBy(*([order] if isinstance(order, str) else order))
@@ -74,34 +76,6 @@ def corr(x: Column, y: Column, at=lambda c: c) -> Column:
     return F.try_divide(at(F.covar_pop(x, y)), F.when(spread > 1e-300, spread))
 
 
-def expanding_quantile(x: Column, p: float | list[float], w, prior_only: bool = False, least: int = 1) -> Column:
-    """Exact quantile with linear interpolation of all rows so far, with or without this one.
-
-    The aggregate is evaluated again for each row, so this is for series of days (thousands of rows).
-    """
-    frame = w.rowsBetween(W.unboundedPreceding, -1 if prior_only else 0)
-    return full(F.percentile(x, F.array(*map(F.lit, p)) if isinstance(p, list) else F.lit(p)).over(frame), x, frame, least)
-
-
-def expanding_z(x: Column, w) -> Column:
-    frame = w.rowsBetween(W.unboundedPreceding, 0)
-    return F.try_divide(x - F.avg(x).over(frame), F.stddev_samp(x).over(frame))
-
-
-def expanding_rank(df: DataFrame, x: str, order: str, out: str = "rank_pct") -> DataFrame:
-    """Percentile rank of each value among those so far, ties averaged.
-
-    Values so far are counted against a sorted array that a fold keeps for the series: n log n comparisons in all would
-    need state, so each row scans its own prefix inside the JVM; a daily series has thousands of rows.
-    """
-    w = W.orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    seen = df.withColumn("__seen", F.collect_list(x).over(w))
-    n = F.size("__seen")
-    below = F.size(F.filter("__seen", lambda v: v < F.col(x)))
-    ties = F.size(F.filter("__seen", lambda v: v == F.col(x)))
-    return seen.withColumn(out, F.when(F.col(x).isNotNull(), (below + (ties + 1) / 2.0) / n)).drop("__seen")
-
-
 def forward_fill(x: Column, w) -> Column:
     return F.last(x, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
 
@@ -111,7 +85,11 @@ def back_fill(x: Column, w) -> Column:
 
 
 def drawdown(df: DataFrame, ret: str, order: str, compound: bool, part: list[str] | None = None, out: str = "drawdown") -> DataFrame:
-    """Distance from the running peak: of the running sum, or relative to the running product of 1 + ret."""
+    """Distance from the running peak: of the running sum, or relative to the running product of 1 + ret. Without a partition the
+    series is scanned by spans of its order.
+    """
+    if not part:
+        return scans.drawdowns(df, F.col(ret), order, scans.span_of(df, order), compound, out)
     w = over(order, part).rowsBetween(W.unboundedPreceding, 0)
     path = F.exp(F.sum(F.log1p(ret)).over(w)) if compound else F.sum(ret).over(w)
     held = df.withColumn("__path", path).withColumn("__peak", F.max("__path").over(w))
@@ -120,7 +98,9 @@ def drawdown(df: DataFrame, ret: str, order: str, compound: bool, part: list[str
 
 
 def runs(df: DataFrame, flag: str, order: str, part: list[str] | None = None, out: str = "streak") -> DataFrame:
-    """How many rows in a row the flag has held, 0 where it does not."""
+    """How many rows in a row the flag has held, 0 where it does not. Without a partition the series is scanned by spans."""
+    if not part:
+        return scans.streaks(df, F.col(flag), order, scans.span_of(df, order), out)
     held = df.withColumn("__f", F.coalesce(F.col(flag), F.lit(False)).cast("int"))
     held = held.withColumn("__g", F.sum(1 - F.col("__f")).over(over(order, part).rowsBetween(W.unboundedPreceding, 0)))
     inside = over(order, [*(part or []), "__g"]).rowsBetween(W.unboundedPreceding, 0)

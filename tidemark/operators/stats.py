@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.special import binomial_p, p_of_f, p_of_r, p_of_t
 from .frames import corr
+from .scans import reach, span_of
 
 
 def pairs(x: Column, y: Column) -> Column:
@@ -89,7 +89,8 @@ def quantile_bins(df: DataFrame, x: str, n: int, out: str = "bin") -> DataFrame:
 
 def cross_lag(df: DataFrame, x: str, y: str, order: str, lags: range) -> DataFrame:
     """lag, n, r, p of x now against y some rows later (earlier for negative lags): one pass, all lags side by side."""
-    w = W.orderBy(order)
-    wide = df.select(F.col(x).alias("x"), *[(F.lead(y, k) if k >= 0 else F.lag(y, -k)).over(w).alias(f"y{j}") for j, k in enumerate(lags)])
+    held = df.select(F.col(order).alias("o"), F.col(x).alias("x"), F.col(y).alias("y"))
+    moved = lambda w: {f"y{j}": (F.lead("y", k) if k >= 0 else F.lag("y", -k)).over(w) for j, k in enumerate(lags)}
+    wide = reach(held, "o", span_of(held, "o"), max(0, -min(lags)), max(0, max(lags)), moved)
     long = wide.select("x", F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"y{j}").alias("y")) for j, k in enumerate(lags)])).alias("c")).select("x", "c.*")
     return pearson(long, ["lag"], "x", "y")

@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .frames import drawdown, expanding_quantile, full, over, rolling
+from . import scans
+from .frames import drawdown, full, over, rolling
+from .orderstats import expanding_quantiles, quantile_columns
 
 # ---- metrics
 
@@ -88,7 +90,7 @@ def rv_regime(df: DataFrame, rv: str, short: int, long: int, q: float, order: st
     w = over(order)
     held = df.withColumn("ratio", F.try_divide(rolling(F.avg, F.col(rv), short, w), rolling(F.avg, F.col(rv), long, w)))
     held = held.withColumn("__ok", F.coalesce(F.lit(True) if confirm is None else confirm, F.lit(False))).filter("ratio IS NOT NULL")
-    held = held.withColumn("limit", F.coalesce(expanding_quantile(F.col("ratio"), q, w, True), F.lit(float("inf"))))
+    held = quantile_columns(held, {"limit": ("ratio", q, True, 1)}, order).withColumn("limit", F.coalesce("limit", F.lit(float("inf"))))
     held = held.withColumn("__raw", F.when((F.col("ratio") > F.col("limit")) & F.col("__ok"), -1.0).otherwise(1.0))
     return held.withColumn("pos", F.coalesce(F.lag("__raw").over(w), F.lit(first))).drop("__raw", "__ok")
 
@@ -96,7 +98,7 @@ def rv_regime(df: DataFrame, rv: str, short: int, long: int, q: float, order: st
 def regime_positions(df: DataFrame, order: str, levels: list[float], part: list[str]) -> DataFrame:
     """df (ratio) -> a row for each level q, with pos as in rv_regime: one pass finds all quantiles of a partition's series."""
     w, names = over(order, part), F.array(*map(F.lit, levels))
-    held = df.filter("ratio IS NOT NULL").withColumn("__l", expanding_quantile(F.col("ratio"), levels, w, True))
+    held = expanding_quantiles(df.filter("ratio IS NOT NULL"), "ratio", levels, order, part, prior_only=True, out="__l")
     limit = lambda k: F.coalesce(F.get("__l", F.lit(k)), F.lit(float("inf")))
     held = held.withColumn("__r", F.array(*[F.when(F.col("ratio") > limit(k), -1.0).otherwise(1.0) for k in range(len(levels))]))
     held = held.withColumn("__p", F.lag("__r").over(w)).drop("__l", "__r")
@@ -120,9 +122,10 @@ def rv_and_funding(df: DataFrame, rv: str, short: int, long: int, q: float, rate
     """
     w = over(order)
     held = rv_regime(df.withColumn("__f", F.round(rolling(F.avg, F.col(rate), n, w), 12)), rv, short, long, q, order).filter("__f IS NOT NULL")
-    high = F.col("__f") > F.coalesce(expanding_quantile(F.col("__f"), rate_q, w, True), F.lit(float("inf")))
+    held = quantile_columns(held, {"__l": ("__f", rate_q, True, 1)}, order)
+    high = F.col("__f") > F.coalesce("__l", F.lit(float("inf")))
     held = held.withColumn("__raw", F.when((F.col("ratio") > F.col("limit")) & high, -1.0).otherwise(1.0))
-    return held.withColumn("pos", F.coalesce(F.lag("__raw").over(w), F.lit(0.0))).drop("__f", "__raw")
+    return held.withColumn("pos", F.coalesce(F.lag("__raw").over(w), F.lit(0.0))).drop("__f", "__l", "__raw")
 
 
 def funding_rule(df: DataFrame, rate: str, n: int, q: float, order: str = "d") -> DataFrame:
@@ -131,8 +134,9 @@ def funding_rule(df: DataFrame, rate: str, n: int, q: float, order: str = "d") -
     """
     w = over(order)
     held = df.withColumn("__f", F.round(rolling(F.sum, F.col(rate), n, w), 9)).filter("__f IS NOT NULL")
-    raw = F.when(F.col("__f") > expanding_quantile(F.col("__f"), q, w), -1.0).otherwise(1.0)
-    return held.withColumn("__r", raw).withColumn("pos", F.coalesce(F.lag("__r").over(w), F.lit(1.0))).drop("__f", "__r")
+    held = quantile_columns(held, {"__q": ("__f", q, False, 1)}, order)
+    held = held.withColumn("__r", F.when(F.col("__f") > F.col("__q"), -1.0).otherwise(1.0))
+    return held.withColumn("pos", F.coalesce(F.lag("__r").over(w), F.lit(1.0))).drop("__f", "__q", "__r")
 
 
 def funding_modes(df: DataFrame, rate: str, interest: str, taker: str, n: int, high: float, low: float, order: str = "d") -> DataFrame:
@@ -142,13 +146,12 @@ def funding_modes(df: DataFrame, rate: str, interest: str, taker: str, n: int, h
     """
     w = over(order)
     held = df.withColumn("__f", F.round(rolling(F.sum, F.col(rate), n, w), 9)).filter("__f IS NOT NULL")
-    held = held.withColumn("__q", expanding_quantile(F.col("__f"), [high, low], w)).withColumn("__i", F.coalesce(interest, F.lit(0.0)))
-    held = held.withColumn("__qi", expanding_quantile(F.col("__i"), 0.8, w)).withColumn("__qt", expanding_quantile(F.col(taker), [0.85, 0.15], w))
-    many = F.col("__i") > F.col("__qi")
-    score = F.when(F.col("__f") > F.get("__q", F.lit(0)), -1.0).when(F.col("__f") < F.get("__q", F.lit(1)), 1.0).otherwise(0.0)
+    limits = {"__hi": ("__f", high), "__lo": ("__f", low), "__qi": ("__i", 0.8), "__th": (taker, 0.85), "__tl": (taker, 0.15)}
+    held = quantile_columns(held.withColumn("__i", F.coalesce(interest, F.lit(0.0))), {k: (x, p, False, 1) for k, (x, p) in limits.items()}, order)
+    many, over_top = F.col("__i") > F.col("__qi"), F.col("__f") > F.col("__hi")
+    score = F.when(over_top, -1.0).when(F.col("__f") < F.col("__lo"), 1.0).otherwise(0.0)
     score += F.when(many & (F.col("__f") > 0), -0.5).when(many & (F.col("__f") < 0), 0.5).otherwise(0.0)
-    score += F.when(F.col(taker) > F.get("__qt", F.lit(0)), -0.5).when(F.col(taker) < F.get("__qt", F.lit(1)), 0.5).otherwise(0.0)
-    over_top = F.col("__f") > F.get("__q", F.lit(0))
+    score += F.when(F.col(taker) > F.col("__th"), -0.5).when(F.col(taker) < F.col("__tl"), 0.5).otherwise(0.0)
     rules = {"funding_only": over_top, "funding_oi": over_top & F.coalesce(F.col(interest) > 0, F.lit(False)), "composite": score <= -1.0}
     held = held.select(*df.columns, *[F.when(c, -1.0).otherwise(1.0).alias(mode) for mode, c in rules.items()])
     held = held.select(*df.columns, *[F.coalesce(F.lag(mode).over(w), F.lit(1.0)).alias(mode) for mode in rules])
@@ -161,8 +164,8 @@ def imbalance_rules(df: DataFrame, x: str, n: int, high: float, low: float, orde
     """
     w = over(order)
     held = df.withColumn("__s", F.round(rolling(F.avg, F.col(x), n, w), 12)).filter("__s is not null")
-    held = held.withColumn("__q", expanding_quantile(F.col("__s"), [high, low], w))
-    short = (("mean_reversion", F.col("__s") > F.get("__q", F.lit(0))), ("momentum", F.col("__s") < F.get("__q", F.lit(1))))
+    held = quantile_columns(held, {"__hi": ("__s", high, False, 1), "__lo": ("__s", low, False, 1)}, order)
+    short = (("mean_reversion", F.col("__s") > F.col("__hi")), ("momentum", F.col("__s") < F.col("__lo")))
     held = held.select(*df.columns, *[F.coalesce(F.lag(F.when(c, -1.0).otherwise(1.0)).over(w), F.lit(0.0)).alias(mode) for mode, c in short])
     return held.unpivot(df.columns, [mode for mode, _ in short], "mode", "pos")
 
@@ -192,11 +195,11 @@ def filter_rule(df: DataFrame, x: str, q: float, rising: bool, lag: int = 2, lea
     before), else flat.
     """
     w = over(order)
-    on = F.col(x) > expanding_quantile(F.col(x), q, w, least=least)
+    held, on = quantile_columns(df, {"__q": (x, q, False, least)}, order), F.col(x) > F.col("__q")
     if rising:
         on = on & (F.col(x) > F.lag(x, 2).over(w))
-    held = df.withColumn("__on", F.coalesce(on, F.lit(False)))
-    return held.withColumn("pos", F.when(F.coalesce(F.lag("__on", lag).over(w), F.lit(False)), 1.0).otherwise(0.0)).drop("__on")
+    held = held.withColumn("__on", F.coalesce(on, F.lit(False)))
+    return held.withColumn("pos", F.when(F.coalesce(F.lag("__on", lag).over(w), F.lit(False)), 1.0).otherwise(0.0)).drop("__on", "__q")
 
 
 def volatility_filters(df: DataFrame, vol: str, search: str, mood: str, order: str = "d", least: int = 30) -> DataFrame:
@@ -204,17 +207,18 @@ def volatility_filters(df: DataFrame, vol: str, search: str, mood: str, order: s
     0-100 sentiment said; the first day is long. Quantiles take at least `least` values so far; what is unknown does not hold.
     """
     w = over(order)
-    q = lambda c, p: expanding_quantile(F.col(c), p, w, least=least)
+    limits = {"__v4": (vol, 0.4), "__v5": (vol, 0.5), "__v6": (vol, 0.6), "__s8": (search, 0.8)}
+    known = quantile_columns(df, {k: (x, p, False, least) for k, (x, p) in limits.items()}, order)
     v, holds = F.col(vol), lambda c: F.coalesce(c, F.lit(False))
-    high, move = holds(v > q(vol, 0.5)), F.try_divide(v, F.lag(v, 2).over(w)) - 1
-    up, down, crowd = holds(move > 0), holds(move < 0), holds(F.col(search) > q(search, 0.8))
+    high, move = holds(v > F.col("__v5")), F.try_divide(v, F.lag(v, 2).over(w)) - 1
+    up, down, crowd = holds(move > 0), holds(move < 0), holds(F.col(search) > F.col("__s8"))
     m = F.col(mood)
-    bad = holds(v < q(vol, 0.5)).cast("int") + down.cast("int") + holds(m < 45).cast("int")
+    bad = holds(v < F.col("__v5")).cast("int") + down.cast("int") + holds(m < 45).cast("int")
     rules = {
-        "A": high, "B": up, "C": high | up, "D": high & up, "E": holds(v > q(vol, 0.6)), "F": high & ~crowd, "G": (high | up) & ~crowd, "H": high & holds(m > 50),
-        "I": high | holds(m > 60), "J": ~(holds(v < q(vol, 0.4)) & down & holds(m < 40)), "K": bad < 2, "L": high & holds(F.col(search) <= q(search, 0.8)) & holds(m > 40),
+        "A": high, "B": up, "C": high | up, "D": high & up, "E": holds(v > F.col("__v6")), "F": high & ~crowd, "G": (high | up) & ~crowd, "H": high & holds(m > 50),
+        "I": high | holds(m > 60), "J": ~(holds(v < F.col("__v4")) & down & holds(m < 40)), "K": bad < 2, "L": high & holds(F.col(search) <= F.col("__s8")) & holds(m > 40),
     }
-    held = df.withColumns({f"rule_{k}": F.when(c, 1.0).otherwise(0.0) for k, c in rules.items()})
+    held = known.withColumns({f"rule_{k}": F.when(c, 1.0).otherwise(0.0) for k, c in rules.items()})
     held = held.select(*df.columns, *[F.coalesce(F.lag(f"rule_{k}").over(w), F.lit(1.0)).alias(f"rule_{k}") for k in rules])
     return held.unpivot(df.columns, [f"rule_{k}" for k in rules], "variant", "pos").withColumn("variant", F.substring("variant", 6, 1))
 
@@ -264,6 +268,9 @@ def smooth(df: DataFrame, target: str, step: float, order: str, part: list[str],
 def hold_last(df: DataFrame, x: str, threshold: float, order: str, part: list[str] | None = None) -> DataFrame:
     """Inside the dead zone the last direction outside it stays: a carried value, no state needed."""
     sign = F.when(F.abs(x) >= threshold, F.signum(x))
+    if not part:
+        held = scans.last_known(df, sign, order, scans.span_of(df, order), "pos")
+        return held.withColumn("pos", F.coalesce("pos", F.lit(0.0)))
     return df.withColumn("pos", F.coalesce(F.last(sign, ignorenulls=True).over(over(order, part).rowsBetween(W.unboundedPreceding, 0)), F.lit(0.0)))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import features, frames, strategy, walkforward
+from ..operators import features, frames, orderstats, strategy, walkforward
 from ..sources import views
 from ..sources.views import with_views as sql
 from .registry import r6, registry
@@ -121,9 +121,8 @@ def funding_and_interest(spark, sf):
   gq="SELECT *, quantile_cont(f, 0.25) OVER (ORDER BY d ROWS UNBOUNDED PRECEDING) AS q FROM gf WHERE fw = 7", gp="SELECT mode, d, ret, coalesce(lag(CASE WHEN f < q AND (mode = 'fr_only' OR falling_7) THEN -1.0 ELSE 1.0 END) OVER (PARTITION BY mode ORDER BY d), 1.0)::DOUBLE AS pos FROM gq, (VALUES ('fr_only'), ('fr_oi')) m(mode)"))
 def funding_momentum(spark, sf):
     w = frames.over("d")
-    held = funding_and_interest(spark, sf).filter("fw = 7")
-    weak = F.col("f") < frames.expanding_quantile(F.col("f"), 0.25, w)
-    held = held.withColumn("weak", weak).select("d", "ret", *[F.coalesce(F.lag(F.when(c, -1.0).otherwise(1.0)).over(w), F.lit(1.0)).alias(m) for m, c in (("fr_only", F.col("weak")), ("fr_oi", F.col("weak") & F.col("falling_7")))])
+    held = orderstats.quantile_columns(funding_and_interest(spark, sf).filter("fw = 7"), {"low": ("f", 0.25, False, 1)}, "d")
+    held = held.withColumn("weak", F.col("f") < F.col("low")).select("d", "ret", *[F.coalesce(F.lag(F.when(c, -1.0).otherwise(1.0)).over(w), F.lit(1.0)).alias(m) for m, c in (("fr_only", F.col("weak")), ("fr_oi", F.col("weak") & F.col("falling_7")))])
     held = strategy.net_returns(held.unpivot(["d", "ret"], ["fr_only", "fr_oi"], "mode", "pos"), "pos", "ret", "d", part=["mode"])
     return held.select("mode", "d", "pos", r6("strat", None, 8), r6("hold", None, 8))
 

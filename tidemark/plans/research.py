@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import asof, bars, events, features, frames, resample, stats, strategy
+from ..operators import asof, bars, events, features, frames, resample, scans, stats, strategy
 from ..sources import views
 from ..sources.views import with_views as sql
 from . import backtests
@@ -172,8 +172,8 @@ def band_correlations(spark, sf):
 @query(sql("SELECT ts, round(x - lag_x, 6) AS change, round(close / lag_close - 1, 6) AS ret FROM (SELECT ts, trade_imbalance AS x, lag(trade_imbalance) OVER w AS lag_x, close, lag(close) OVER w AS lag_close, lag(ts) OVER w AS was FROM bh WINDOW w AS (ORDER BY ts)) WHERE ts = was + INTERVAL 1 HOUR AND hour(ts) BETWEEN 10 AND 16", "ticks", bh=views.bars_sql(60)))
 def hourly_changes(spark, sf):
     """Changes over exactly an hour, at hours from 10 to 16."""
-    w = frames.over("ts")
-    held = views.bars(spark, sf, 60).withColumn("change", F.col("trade_imbalance") - F.lag("trade_imbalance").over(w)).withColumn("ret", frames.change(F.col("close"), 1, w))
+    b = views.bars(spark, sf, 60)
+    held = scans.reach(b, "ts", F.to_date("ts"), 1, 0, lambda w: {"change": F.col("trade_imbalance") - F.lag("trade_imbalance").over(w), "ret": frames.change(F.col("close"), 1, w)})
     return bars.consecutive(held, 3600, 10, 16).select("ts", r6("change"), r6("ret"))
 
 

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import asof, bars, events, frames
+from ..operators import asof, bars, events, frames, orderstats, scans
 from ..operators.strategy import contrarian
 from ..sources import views
 from ..sources.views import with_views as sql
@@ -17,63 +16,72 @@ _W = "OVER (ORDER BY d ROWS BETWEEN {} PRECEDING AND CURRENT ROW)"
 
 def ret(spark, sf):
     """(d, close, ret): daily price with its return."""
-    return views.px(spark, sf).withColumn("ret", frames.change(F.col("close"), 1, frames.over("d")))
+    return near(views.px(spark, sf), 1, 0, lambda w: {"ret": frames.change(F.col("close"), 1, w)})
+
+
+def near(df, before, after, columns):
+    """Columns over the daily series whose frames reach some rows back and ahead, without one ordered task."""
+    return scans.reach(df, "d", F.year("d"), before, after, columns)
 
 
 @query(sql("SELECT d, " + ", ".join(f"round(close / lag(close, {k}) OVER (ORDER BY d) - 1, 6) AS ret_{k}" for k in (1, 2, 5, 10, 15)) + " FROM px", "px"))
 def pct_change_multi(spark, sf):
-    w = frames.over("d")
-    return views.px(spark, sf).select("d", *[r6(frames.change(F.col("close"), k, w), f"ret_{k}") for k in (1, 2, 5, 10, 15)])
+    made = near(views.px(spark, sf), 15, 0, lambda w: {f"ret_{k}": frames.change(F.col("close"), k, w) for k in (1, 2, 5, 10, 15)})
+    return made.select("d", *[r6(f"ret_{k}") for k in (1, 2, 5, 10, 15)])
 
 
 @query(sql("SELECT d, round(slope - lag(slope) OVER (ORDER BY d), 4) AS slope_change, round(slope - lag(slope, 5) OVER (ORDER BY d), 4) AS change_5, lead(slope) OVER (ORDER BY d) AS next_slope FROM sig", "sig"))
 def diff_lag_lead(spark, sf):
-    w = frames.over("d")
-    return views.sig(spark, sf).select("d", r6(F.col("slope") - F.lag("slope").over(w), "slope_change", 4), r6(F.col("slope") - F.lag("slope", 5).over(w), "change_5", 4), F.lead("slope").over(w).alias("next_slope"))
+    made = near(views.sig(spark, sf), 5, 1, lambda w: {"one": F.col("slope") - F.lag("slope").over(w), "five": F.col("slope") - F.lag("slope", 5).over(w), "next_slope": F.lead("slope").over(w)})
+    return made.select("d", r6("one", "slope_change", 4), r6("five", "change_5", 4), "next_slope")
 
 
 @query(sql("SELECT d, " + ", ".join(f"CASE WHEN count(close) {_W.format(n - 1)} = {n} THEN round(avg(close) {_W.format(n - 1)}, 6) END AS ma_{n}, CASE WHEN count(close) {_W.format(n - 1)} = {n} THEN round(sum(close) {_W.format(n - 1)}, 4) END AS sum_{n}" for n in (5, 20)) + " FROM px", "px"))
 def rolling_mean_full(spark, sf):
-    w = frames.over("d")
-    return views.px(spark, sf).select("d", *[c for n in (5, 20) for c in (r6(frames.rolling(F.avg, F.col("close"), n, w), f"ma_{n}"), r6(frames.rolling(F.sum, F.col("close"), n, w), f"sum_{n}", 4))])
+    x = F.col("close")
+    made = near(views.px(spark, sf), 19, 0, lambda w: {f"{k}_{n}": frames.rolling(f, x, n, w) for n in (5, 20) for k, f in (("ma", F.avg), ("sum", F.sum))})
+    return made.select("d", *[c for n in (5, 20) for c in (r6(f"ma_{n}"), r6(f"sum_{n}", None, 4))])
 
 
 @query(sql(f"SELECT d, round(coalesce(stddev_samp(ret) {_W.format(19)}, 0), 8) AS sd_20, CASE WHEN count(ret) {_W.format(14)} = 15 THEN round(stddev_samp(ret) {_W.format(14)}, 8) END AS sd_15 FROM ret", "ret"))
 def rolling_std_min1(spark, sf):
-    w = frames.over("d")
-    return ret(spark, sf).select("d", r6(F.coalesce(frames.rolling(F.stddev_samp, F.col("ret"), 20, w, 2), F.lit(0.0)), "sd_20", 8), r6(frames.rolling(F.stddev_samp, F.col("ret"), 15, w), "sd_15", 8))
+    x = F.col("ret")
+    made = near(ret(spark, sf), 19, 0, lambda w: {"sd_20": F.coalesce(frames.rolling(F.stddev_samp, x, 20, w, 2), F.lit(0.0)), "sd_15": frames.rolling(F.stddev_samp, x, 15, w)})
+    return made.select("d", r6("sd_20", None, 8), r6("sd_15", None, 8))
 
 
 @query(sql("SELECT d, CASE WHEN count(CASE WHEN s IS NOT NULL THEN ret END) OVER w >= 5 THEN nullif(round(corr(ret, s) OVER w, 6), 'nan'::DOUBLE) END AS corr_20 FROM (SELECT ret.d, ret, slope - lag(slope) OVER (ORDER BY ret.d) AS s FROM ret JOIN sig ON ret.d = sig.d) WINDOW w AS (ORDER BY d ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)", "ret", "sig"))
 def rolling_corr_min5(spark, sf):
-    w = frames.over("d")
-    both = ret(spark, sf).join(views.sig(spark, sf), "d").withColumn("s", F.col("slope") - F.lag("slope").over(w))
-    return both.select("d", r6(frames.rolling_corr(F.col("ret"), F.col("s"), 20, w, 5), "corr_20"))
+    both = near(ret(spark, sf).join(views.sig(spark, sf), "d"), 1, 0, lambda w: {"s": F.col("slope") - F.lag("slope").over(w)})
+    return near(both, 19, 0, lambda w: {"r": frames.rolling_corr(F.col("ret"), F.col("s"), 20, w, 5)}).select("d", r6("r", "corr_20"))
 
 
 @query(sql("SELECT d, CASE WHEN count(ret) OVER w >= 5 THEN round(stddev_pop(ret) OVER w * 1e4, 4) END AS vol_bp FROM ret WINDOW w AS (ORDER BY d ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)", "ret"))
 def prior_vol_bp(spark, sf):
-    return ret(spark, sf).select("d", r6(frames.prior(F.stddev_pop, F.col("ret"), 30, frames.over("d"), 5) * 1e4, "vol_bp", 4))
+    made = near(ret(spark, sf), 30, 0, lambda w: {"vol": frames.prior(F.stddev_pop, F.col("ret"), 30, w, 5) * 1e4})
+    return made.select("d", r6("vol", "vol_bp", 4))
 
 
 @query(sql("SELECT d, CASE WHEN count(rate) OVER w >= 30 THEN round(quantile_cont(rate, 0.8) OVER w, 8) END AS q80 FROM fund WINDOW w AS (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", "fund"))
 def expanding_quantile_incl(spark, sf):
-    return views.fund(spark, sf).select("d", r6(frames.expanding_quantile(F.col("rate"), 0.8, frames.over("d"), False, 30), "q80", 8))
+    made = orderstats.expanding_quantiles(views.fund(spark, sf), "rate", [0.8], "d", span=F.year("d"), least=30)
+    return made.select("d", r6(F.get("quantiles", F.lit(0)), "q80", 8))
 
 
 @query(sql("SELECT d, coalesce(round(quantile_cont(rate, 0.6) OVER w, 8), 'inf'::DOUBLE) AS q60 FROM fund WINDOW w AS (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)", "fund"))
 def expanding_quantile_prior(spark, sf):
-    return views.fund(spark, sf).select("d", F.coalesce(F.round(frames.expanding_quantile(F.col("rate"), 0.6, frames.over("d"), True), 8), F.lit(float("inf"))).alias("q60"))
+    made = orderstats.expanding_quantiles(views.fund(spark, sf), "rate", [0.6], "d", span=F.year("d"), prior_only=True)
+    return made.select("d", F.coalesce(F.round(F.get("quantiles", F.lit(0)), 8), F.lit(float("inf"))).alias("q60"))
 
 
 @query(sql("SELECT d, round((close - avg(close) OVER w) / nullif(stddev_samp(close) OVER w, 0), 6) AS z FROM px WINDOW w AS (ORDER BY d ROWS UNBOUNDED PRECEDING)", "px"))
 def expanding_zscore(spark, sf):
-    return views.px(spark, sf).select("d", r6(frames.expanding_z(F.col("close"), frames.over("d")), "z"))
+    return scans.zscores(views.px(spark, sf), "close", "d", F.year("d")).select("d", r6("z"))
 
 
 @query(sql("SELECT a.d, round((count(*) FILTER (WHERE b.close < a.close) + (count(*) FILTER (WHERE b.close = a.close) + 1) / 2.0) / count(*), 6) AS rank_pct FROM px a JOIN px b ON b.d <= a.d GROUP BY a.d", "px"))
 def expanding_rank_pct(spark, sf):
-    return frames.expanding_rank(views.px(spark, sf), "close", "d").select("d", r6("rank_pct"))
+    return orderstats.expanding_ranks(views.px(spark, sf), "close", "d", F.year("d")).select("d", r6("rank_pct"))
 
 
 @query(sql("SELECT d, round(p - max(p) OVER (ORDER BY d), 6) AS drawdown FROM (SELECT d, sum(ret) OVER (ORDER BY d) AS p FROM ret WHERE ret IS NOT NULL)", "ret"))
@@ -88,8 +96,8 @@ def drawdown_rel(spark, sf):
 
 @query(sql("SELECT d, " + ", ".join(f"CASE WHEN count(ret) OVER (ORDER BY d ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING) = {h} THEN round(sum(ret) OVER (ORDER BY d ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING), 6) END AS fwd_{h}" for h in (1, 5, 20)) + " FROM ret", "ret"))
 def forward_return_h(spark, sf):
-    w = frames.over("d")
-    return ret(spark, sf).select("d", *[r6(frames.forward_sum(F.col("ret"), h, w), f"fwd_{h}") for h in (1, 5, 20)])
+    made = near(ret(spark, sf), 0, 20, lambda w: {f"fwd_{h}": frames.forward_sum(F.col("ret"), h, w) for h in (1, 5, 20)})
+    return made.select("d", *[r6(f"fwd_{h}") for h in (1, 5, 20)])
 
 
 @query(sql("SELECT d, sum(f) OVER (PARTITION BY g ORDER BY d)::BIGINT AS streak FROM (SELECT d, f, sum(1 - f) OVER (ORDER BY d) AS g FROM (SELECT d, coalesce(ret > 0, false)::INT AS f FROM ret))", "ret"))
@@ -99,7 +107,7 @@ def streaks(spark, sf):
 
 @query(sql("SELECT d FROM (SELECT d, coalesce(fg < 25, false) AS x, coalesce(lag(fg < 25) OVER (ORDER BY d), false) AS b FROM fund) WHERE x AND NOT b", "fund"))
 def edge_entries(spark, sf):
-    held = views.fund(spark, sf).withColumn("on", frames.edge(F.col("fg") < 25, frames.over("d")))
+    held = near(views.fund(spark, sf), 1, 0, lambda w: {"on": frames.edge(F.col("fg") < 25, w)})
     return held.filter("on").select("d")
 
 
@@ -108,8 +116,7 @@ _MA = ", ".join(f"CASE WHEN count(*) {_W.format(n - 1)} = {n} THEN avg(close) {_
 
 @query(sql(f"SELECT d, coalesce(m5 > m10 AND m10 > m20 AND m20 > m40 AND m40 > m60, false) AS aligned FROM (SELECT d, {_MA} FROM px)", "px"))
 def ma_alignment(spark, sf):
-    w = frames.over("d")
-    held = views.px(spark, sf).withColumns({f"m{n}": frames.rolling(F.avg, F.col("close"), n, w) for n in (5, 10, 20, 40, 60)})
+    held = near(views.px(spark, sf), 59, 0, lambda w: {f"m{n}": frames.rolling(F.avg, F.col("close"), n, w) for n in (5, 10, 20, 40, 60)})
     return held.select("d", F.coalesce(F.expr("m5 > m10 AND m10 > m20 AND m20 > m40 AND m40 > m60"), F.lit(False)).alias("aligned"))
 
 
@@ -165,14 +172,16 @@ def calendar_anti_join(spark, sf):
 @query(sql("SELECT d, pos, abs(pos - coalesce(lag(pos) OVER (ORDER BY d), 0)) AS turnover FROM (SELECT d, CASE WHEN fg < 25 THEN 1.0 WHEN fg > 75 THEN -1.0 ELSE 0.0 END::DOUBLE AS pos FROM fund)", "fund"))
 def position_turnover(spark, sf):
     held = views.fund(spark, sf).withColumn("pos", contrarian(F.col("fg")))
-    return held.select("d", "pos", F.abs(F.col("pos") - F.coalesce(F.lag("pos").over(frames.over("d")), F.lit(0.0))).alias("turnover"))
+    made = near(held, 1, 0, lambda w: {"turnover": F.abs(F.col("pos") - F.coalesce(F.lag("pos").over(w), F.lit(0.0)))})
+    return made.select("d", "pos", "turnover")
 
 
 @query(sql("SELECT d, close, round(exp(sum(ln(1 + coalesce(ret, 0))) OVER (ORDER BY d)), 6) AS wealth, round(sum(coalesce(ret, 0)) OVER (ORDER BY d), 6) AS running FROM ret", "ret"))
 def cumulative_paths(spark, sf):
-    w = frames.over("d").rowsBetween(Window.unboundedPreceding, 0)
     r = F.coalesce("ret", F.lit(0.0))
-    return ret(spark, sf).select("d", "close", r6(F.exp(F.sum(F.log1p(r)).over(w)), "wealth"), r6(F.sum(r).over(w), "running"))
+    held = scans.running_sum(ret(spark, sf), r, "d", F.year("d"), "running")
+    held = scans.running_sum(held, F.log1p(r), "d", F.year("d"), "logs")
+    return held.select("d", "close", r6(F.exp("logs"), "wealth"), r6("running"))
 
 
 @query(sql("SELECT d, ret, row_number() OVER (ORDER BY round(ret, 9) DESC, d) AS rank FROM ret WHERE ret IS NOT NULL ORDER BY rank LIMIT 10", "ret").replace("SELECT d, ret, row", "SELECT d, round(ret, 6) AS ret, row"))
