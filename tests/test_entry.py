@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: A few of each module; all queries are compared by the driver.
-NAMES = ["slope_change_bins", "ohlcv_15m_filled", "rolling_corr_min5", "expanding_quantile_prior", "asof_forward_5m", "ffill_left_join", "response_grid_metrics", "greedy_thinning", "anova_quintile", "rv_regime", "ts_sl_combo", "min_hold_positions", "feature_builder", "direction_features", "anomaly_backtest", "volatility_filter_variants", "annual_metrics", "overnight_grid", "residual_correlations", "walk_forward_ratio"]
+NAMES = ["slope_change_bins", "ohlcv_15m_filled", "rolling_corr_min5", "expanding_quantile_prior", "asof_forward_5m", "ffill_left_join", "response_grid_metrics", "greedy_thinning", "anova_quintile", "rv_regime", "ts_sl_combo", "min_hold_positions", "feature_builder", "direction_features", "anomaly_backtest", "volatility_filter_variants", "annual_metrics", "overnight_grid", "residual_correlations", "walk_forward_ratio", "regime_and_funding_grid", "walk_forward_signals", "expanding_rank_pct", "breakout_days", "vol_sizing_pnl"]
 
 
 def norm(v):

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import features, frames, orderstats, strategy, walkforward
+from ..operators import features, frames, orderstats, strategy
 from ..sources import views
 from ..sources.views import with_views as sql
 from .registry import r6, registry
@@ -428,51 +428,6 @@ def lob_slippage(spark, sf):
     return _walked(spark, sf)
 
 
-# ---- walk-forward
-
-GRID = [(s, lo, q) for s in (3, 5) for lo in (14, 30) for q in (0.7, 0.8)]
-
-
-def _paths(spark, sf):
-    """param, d, strat, hold of each parameter: a series for each pair of lengths, all quantiles of one in one pass."""
-    w, lengths, levels = frames.over("d"), list(dict.fromkeys((s, lo) for s, lo, _ in GRID)), sorted({q for *_, q in GRID})
-    mean = lambda n: frames.rolling(F.avg, F.col("rv"), n, w)
-    wide = daily(spark, sf).select("d", "ret", *[F.try_divide(mean(s), mean(lo)).alias(f"{s}_{lo}") for s, lo in lengths])
-    series = wide.unpivot(["d", "ret"], [f"`{s}_{lo}`" for s, lo in lengths], "lengths", "ratio").repartition(2 * len(lengths), "lengths")
-    held = strategy.regime_positions(series, "d", levels, ["lengths"])
-    number = F.create_map(*[F.lit(x) for k, (s, lo, q) in enumerate(GRID) for x in (f"{s}_{lo}_{q}", k)])
-    named = held.withColumn("param", number[F.concat_ws("_", "lengths", F.col("q").cast("string"))])
-    return strategy.net_returns(named, "pos", "ret", "d", part=["param"]).select("param", "d", "pos", "strat", "hold")
-
-
-_WF = {f"{n}{k}": t.replace("FROM ra", f"FROM ra{k}").replace("FROM rb", f"FROM rb{k}") for k, (s, lo, q) in enumerate(GRID) for n, t in _regime(s, lo, q).items()}
-_WF["paths"] = " UNION ALL ".join(f"SELECT {k} AS param, d, pos, pos * ret - coalesce(abs(pos - lag(pos) OVER (ORDER BY d)), 0) * 0.0004 AS strat, ret AS hold FROM rp{k}" for k in range(len(GRID)))
-_WF["rounds"] = "SELECT r::INT AS round, DATE '1997-01-01' + (r * 180)::INT AS test_from, DATE '1997-01-01' + (r * 180 + 180)::INT AS test_to FROM (SELECT unnest(range(0, 6)) AS r)"
-_WF["scores"] = "SELECT round, param, round(avg(strat) / stddev_samp(strat) * sqrt(365), 9) AS score FROM paths JOIN rounds ON d < test_from GROUP BY 1, 2 HAVING count(*) >= 60"
-_WF["best"] = "SELECT round, param, score FROM (SELECT *, row_number() OVER (PARTITION BY round ORDER BY score DESC, param) AS k FROM scores) WHERE k = 1"
-
-
-@query(sql("SELECT b.round, b.param, round(b.score, 6) AS score, count(*) AS n_test, round(sum(strat), 6) AS total, round(sum(hold), 6) AS hold FROM best b JOIN rounds r ON r.round = b.round JOIN paths p ON p.param = b.param AND d >= test_from AND d < test_to GROUP BY 1, 2, 3", *_V, **_P, **_WF))
-def walk_forward_rv(spark, sf):
-    windows = walkforward.rounds(spark, "1997-01-01", 180, 180, 6)
-    chosen = walkforward.select(_paths(spark, sf), windows, least=60)
-    return chosen.select("round", "param", r6("score"), "n_test", r6("total"), r6("hold"))
-
-
-@query(sql("SELECT b.round, b.param, round(b.score, 6) AS score, count(*) AS n_test, round(sum(strat), 6) AS total, round(sum(hold), 6) AS hold FROM best b JOIN rounds r ON r.round = b.round JOIN paths p ON p.param = b.param AND d >= test_from AND d < test_to GROUP BY 1, 2, 3", *_V, **_P, **_WF | {"scores": "SELECT round, param, round(avg(strat - hold) / stddev_pop(strat - hold) * sqrt(365), 9) AS score FROM paths JOIN rounds ON d < test_from GROUP BY 1, 2 HAVING count(*) >= 60 AND avg((pos < 0)::INT) >= 0.05"}))
-def walk_forward_ratio(spark, sf):
-    """Chosen by information ratio, among parameters that are short on at least a twentieth of the training days."""
-    windows = walkforward.rounds(spark, "1997-01-01", 180, 180, 6)
-    chosen = walkforward.select(_paths(spark, sf), windows, relative=True, least=60, short=0.05)
-    return chosen.select("round", "param", r6("score"), "n_test", r6("total"), r6("hold"))
-
-
-@query(sql("SELECT param, count(*) FILTER (WHERE d < DATE '1999-01-01') AS n_train, round(avg(strat) FILTER (WHERE d < DATE '1999-01-01') / stddev_samp(strat) FILTER (WHERE d < DATE '1999-01-01') * sqrt(365), 6) AS train, round(avg(strat) FILTER (WHERE d >= DATE '1999-01-01') / stddev_samp(strat) FILTER (WHERE d >= DATE '1999-01-01') * sqrt(365), 6) AS test FROM paths GROUP BY 1", *_V, **_P, **{k: v for k, v in _WF.items() if k not in ("rounds", "scores", "best")}))
-def fixed_oos_grid(spark, sf):
-    early, late = (F.when(c, F.col("strat")) for c in (F.col("d") < "1999-01-01", F.col("d") >= "1999-01-01"))
-    return _paths(spark, sf).groupBy("param").agg(F.count(early).alias("n_train"), r6(strategy.sharpe(early, 365), "train"), r6(strategy.sharpe(late, 365), "test"))
-
-
 @query(sql("SELECT multiplier, count(*) AS n, count(*) FILTER (WHERE s > t * multiplier) AS flagged, round(avg(least(1, greatest(0, s / q))), 6) AS mean_norm FROM (SELECT abs(trade_imbalance) AS s FROM b15), (SELECT quantile_cont(abs(trade_imbalance), 0.925) AS t, quantile_cont(abs(trade_imbalance), 0.99) AS q FROM b15), (VALUES (0.5::DOUBLE), (0.8::DOUBLE), (1.0::DOUBLE)) k(multiplier) GROUP BY 1", "b15"))
 def score_multiplier_rethreshold(spark, sf):
     held = views.bars(spark, sf, 15).select(F.abs("trade_imbalance").alias("score"))

@@ -78,29 +78,6 @@ def volatility_filter_variants(spark, sf):
     return _netted(strategy.volatility_filters(held, "vix", "rate", "fg").select("d", "ret", "variant", "pos"), "variant")
 
 
-AND_GRID = [(s, lo, q, n, fq) for s in (3, 5) for lo in (14, 30) for q, n, fq in ((0.6, 3, 0.6), (0.8, 7, 0.8))]
-
-
-def _and(k: int, s: int, lo: int, q: float, n: int, fq: float) -> dict[str, str]:
-    return {
-        f"ra{k}": f"SELECT * FROM (SELECT d, ret, round({backtests._roll('avg', 'rate', n)}, 12) AS f, {backtests._roll('avg', 'rv', s)} / nullif({backtests._roll('avg', 'rv', lo)}, 0) AS ratio FROM panel) WHERE ratio IS NOT NULL",
-        f"rb{k}": f"SELECT *, coalesce(quantile_cont(ratio, {q}) OVER (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'inf'::DOUBLE) AS lim FROM ra{k}",
-        f"rc{k}": f"SELECT *, coalesce(quantile_cont(f, {fq}) OVER (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'inf'::DOUBLE) AS fl FROM rb{k} WHERE f IS NOT NULL",
-        f"rp{k}": f"SELECT {k} AS param, d, ret, coalesce(lag(CASE WHEN ratio > lim AND f > fl THEN -1.0 ELSE 1.0 END) OVER (ORDER BY d), 0)::DOUBLE AS pos FROM rc{k}",
-    }
-
-
-@query(sql("SELECT param, count(*) AS n, round(sum(strat), 6) AS total, round(avg(strat) / stddev_samp(strat) * sqrt(365), 6) AS sharpe, round(100.0 * avg((pos < 0)::INT), 6) AS short_pct FROM nets GROUP BY 1", *_V, **_P,
-  **{name: text for k, x in enumerate(AND_GRID) for name, text in _and(k, *x).items()}, rows=" UNION ALL ".join(f"SELECT * FROM rp{k}" for k in range(len(AND_GRID))), nets=_by("param", "rows").replace(", 8) + 0.0", ", 12)")))
-def regime_and_funding_grid(spark, sf):
-    """Short only where the volatility ratio and the funding mean are both high; a part of the full grid, by a row for each."""
-    panel = backtests.daily(spark, sf).select("d", "ret", "rv", "rate")
-    made = [strategy.rv_and_funding(panel, "rv", s, lo, q, "rate", n, fq).select(F.lit(k).alias("param"), "d", "ret", "pos") for k, (s, lo, q, n, fq) in enumerate(AND_GRID)]
-    held = strategy.net_returns(reduce(DataFrame.unionByName, made), "pos", "ret", "d", part=["param"])
-    short = 100.0 * F.avg(F.when(F.col("pos") < 0, 1.0).otherwise(0.0))
-    return held.groupBy("param").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("strat"), "total"), r6(strategy.sharpe(F.col("strat"), 365), "sharpe"), r6(short, "short_pct"))
-
-
 @query(sql("SELECT d, round(greatest(-1.5, least(1.5, (1 - a - f) * 2.0 + a * 0.0 + f * -1.0)), 6) + 0.0 AS soft, CASE WHEN f > 0.55 THEN -1.0 WHEN a > 0.5 THEN 0.5 ELSE 2.0 END::DOUBLE AS hard FROM (SELECT d, (1 - abs(fg - 50) / 50) * 0.7 AS a, (1 - fg / 100) * 0.3 + CASE WHEN fg < 25 THEN 0.4 ELSE 0 END AS f FROM fund)", "fund"))
 def soft_hard_leverage(spark, sf):
     """Leverage from the probabilities of three states, which sentiment stands for."""
@@ -110,18 +87,6 @@ def soft_hard_leverage(spark, sf):
     return held.select("d", r6(strategy.soft_leverage([1 - alert - fear, alert, fear], [2.0, 0.0, -1.0], 1.5), "soft"), strategy.hard_leverage(alert, fear, 0.5, 0.55, [2.0, 0.5, -1.0]).alias("hard"))
 
 
-@query(sql("""SELECT param, round(avg(strat) / stddev_samp(strat) * sqrt(252) - 0.5 * abs(min(path - peak)) - 0.3 * 0.0004 * sum(moved) - 0.4 * sum(pos * rate) - 2.0 * avg((abs(pos) > 1)::INT), 6) AS objective
-  FROM (SELECT *, max(path) OVER (PARTITION BY param ORDER BY d) AS peak FROM (SELECT *, sum(strat) OVER (PARTITION BY param ORDER BY d) AS path, coalesce((pos <> lag(pos) OVER (PARTITION BY param ORDER BY d))::INT, 0) AS moved FROM paths JOIN (SELECT d, rate FROM fund) USING (d))) GROUP BY 1""",
-  *_V, **_P, **{k: v for k, v in backtests._WF.items() if k not in ("rounds", "scores", "best")}))
-def composite_objective(spark, sf):
-    w = frames.over("d", ["param"])
-    held = backtests._paths(spark, sf).join(views.fund(spark, sf).select("d", "rate"), "d")
-    held = frames.drawdown(held, "strat", "d", False, ["param"]).withColumn("moved", F.coalesce((F.col("pos") != F.lag("pos").over(w)).cast("int"), F.lit(0)))
-    over = F.avg(F.when(F.abs("pos") > 1, 1.0).otherwise(0.0))
-    made = strategy.objective(strategy.sharpe(F.col("strat"), 252), F.min("drawdown"), F.sum("moved"), F.sum(F.col("pos") * F.col("rate")), over)
-    return held.groupBy("param").agg(r6(made, "objective"))
-
-
 # ---- metrics
 
 
