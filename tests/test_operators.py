@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars, special
-from tidemark.operators import asof, bars, events, features, frames, models, orderstats, resample, stats, strategy, walkforward
+from tidemark.operators import asof, bars, events, features, frames, hmm, lagged, models, orderstats, resample, stats, strategy, walkforward
 
 T0 = dt.datetime(2024, 1, 2, 10)
 
@@ -285,7 +285,7 @@ def test_lstm_layer_by_hand():
 def test_hmm_likelihood_rises():
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(m, 1, 100) for m in (-4, 0, 4, -4)])[:, None]
-    post, mean, seen = models.fit_hmm(x, 3, 20)
+    post, mean, seen = hmm.fit(x, 3, 20)
     assert all(b >= a - 1e-6 for a, b in zip(seen, seen[1:])) and (np.diff(mean[:, 0]) > 0).all()
     assert (post[10:90].argmax(1) == 0).mean() > 0.95
 
@@ -295,18 +295,18 @@ def test_granger_finds_the_cause(spark):
     x = rng.normal(size=300)
     y = np.concatenate([[0], 0.8 * x[:-1]]) + 0.3 * rng.normal(size=300)
     df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], "d int, x double, y double")
-    assert models.granger(df, "x", "y", "d", 2).filter("lag = 1").first().p_f < 1e-10
+    assert lagged.granger(df, "x", "y", "d", 2).filter("lag = 1").first().p_f < 1e-10
     # x is independent of y's past, but one sample may look otherwise (this one has p = 0.0009): hold the statistic against plain least squares
     own = np.column_stack([np.ones(299), x[:-1]])
     left = [float(((x[1:] - m @ np.linalg.lstsq(m, x[1:], rcond=None)[0]) ** 2).sum()) for m in (own, np.column_stack([own, y[:-1]]))]
-    assert models.granger(df, "y", "x", "d", 1).first().f == pytest.approx((left[0] - left[1]) / (left[1] / 296))
+    assert lagged.granger(df, "y", "x", "d", 1).first().f == pytest.approx((left[0] - left[1]) / (left[1] / 296))
 
 
 def test_adf_tells_walks_from_noise(spark):
     rng = np.random.default_rng(2)
     e = rng.normal(size=400)
     df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(e, np.cumsum(e)))], "d int, noise double, walk double")
-    assert models.adf(df, "noise", "d").first().below_1 and not models.adf(df, "walk", "d").first().below_5
+    assert lagged.adf(df, "noise", "d").first().below_1 and not lagged.adf(df, "walk", "d").first().below_5
 
 
 def test_scaler_uses_population_deviation(spark):

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .frames import blocks, change, over, returns, rolling, rolling_corr
+from .quantiles import exact_quantiles
 from .scans import numbered, span_of
 
 FEATURES = ("ret", "trade_imbalance", "trade_count", "avg_trade_size", "aux_ret", "vol20", "corr20")
@@ -70,9 +71,18 @@ def chronological_split(df: DataFrame, order: str, share: float = 0.8) -> DataFr
 
 
 def flag_above(df: DataFrame, score: str, q: float, by: list[str], multiplier: float = 1.0) -> DataFrame:
-    """df with threshold (an exact quantile of the group's scores times a multiplier), is_anomaly and norm = score / q99 in [0, 1]."""
-    one = df.groupBy(*by).agg((F.percentile(score, F.lit(q)) * multiplier).alias("threshold"), F.percentile(score, F.lit(0.99)).alias("__q99"))
-    named = one.select(*[F.col(c).alias(f"__{c}") for c in by], "threshold", "__q99")
+    """df with threshold (an exact quantile of the group's scores times a multiplier), is_anomaly and norm = score / q99 in [0, 1].
+    A group may be of any size.
+    """
+    return flag_all(df, score, q, by, [multiplier]).drop("multiplier")
+
+
+def flag_all(df: DataFrame, score: str, q: float, by: list[str], multipliers: list[float]) -> DataFrame:
+    """flag_above for several multipliers: a row for each, quantiles and rows read once."""
+    one = exact_quantiles(df, score, [q, 0.99], by)
+    each = F.explode(F.array(*map(F.lit, multipliers))).alias("multiplier")
+    named = one.select(*[F.col(c).alias(f"__{c}") for c in by], F.get("quantiles", F.lit(0)).alias("__q"), F.get("quantiles", F.lit(1)).alias("__q99"), each)
+    named = named.withColumn("threshold", F.col("__q") * F.col("multiplier")).drop("__q")
     same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
     held = df.join(named, same) if by else df.crossJoin(F.broadcast(named))
     norm = F.least(F.greatest(F.try_divide(score, "__q99"), F.lit(0.0)), F.lit(1.0))

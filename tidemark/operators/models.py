@@ -1,7 +1,7 @@
-"""Models: LSTM autoencoder scoring, principal components, a Gaussian hidden Markov model, boosted trees, regressions.
+"""Models: LSTM autoencoder scoring, principal components, boosted trees, inflation of variance. Hidden Markov models are in `hmm`,
+regressions on lagged values in `lagged`.
 
-Scoring runs distributed over Arrow batches with broadcast weights; fits that are sequential by nature (Baum-Welch, unit
-root and causality regressions) run in one pandas group of a daily series. Training of the autoencoder needs a deep
+Scoring runs distributed over Arrow batches with broadcast weights. Training of the autoencoder needs a deep
 learning library and is not part of this library; `substitute_scores` is a stand-in and named so.
 """
 
@@ -17,8 +17,6 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.special import p_of_chi2, p_of_f
-
 # ---- LSTM autoencoder
 
 
@@ -127,136 +125,9 @@ def confidence(predicted: DataFrame, label: str, levels: tuple[float, ...] = (0.
     return spread.filter("c >= level").groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.avg("ok").alias("accuracy"))
 
 
-# ---- hidden Markov model
-
-
-def fit_hmm(x: np.ndarray, states: int = 3, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, list[float]]:
-    """Diagonal Gaussian HMM by Baum-Welch from quantile starts -> posteriors, means, log likelihoods; states by first mean."""
-    n, k = x.shape
-    order = np.argsort(x[:, 0], kind="stable")
-    parts = np.array_split(order, states)
-    mean, var = np.stack([x[p].mean(0) for p in parts]), np.stack([x.var(0) + 1e-6] * states)
-    move, start, seen = np.full((states, states), 0.1 / max(states - 1, 1)), np.full(states, 1 / states), []
-    np.fill_diagonal(move, 0.9)
-    for _ in range(rounds):
-        logs = -0.5 * (((x[:, None] - mean) ** 2 / var) + np.log(2 * np.pi * var)).sum(2)
-        top = logs.max(1, keepdims=True)
-        like = np.exp(logs - top)
-        ahead, scale = np.empty((n, states)), np.empty(n)
-        for t in range(n):
-            ahead[t] = (start if t == 0 else ahead[t - 1] @ move) * like[t]
-            scale[t] = ahead[t].sum()
-            ahead[t] /= scale[t]
-        behind = np.ones((n, states))
-        for t in range(n - 2, -1, -1):
-            behind[t] = move @ (like[t + 1] * behind[t + 1]) / scale[t + 1]
-        post = ahead * behind
-        seen.append(float((np.log(scale) + top[:, 0]).sum()))
-        pair = move * np.einsum("ti,tj->ij", ahead[:-1], like[1:] * behind[1:] / scale[1:, None])
-        move, start = pair / pair.sum(1, keepdims=True), post[0]
-        total = post.sum(0)[:, None]
-        mean = post.T @ x / total
-        var = np.stack([(post[:, s, None] * (x - mean[s]) ** 2).sum(0) / total[s] for s in range(states)]) + 1e-6
-    rank = np.argsort(mean[:, 0], kind="stable")
-    return post[:, rank], mean[rank], seen
-
-
-def hmm_states(df: DataFrame, columns: list[str], order: str, states: int = 3) -> DataFrame:
-    """order, state (0: lowest mean of the first column), posterior of a daily series, fitted in one group."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        x = pdf[columns].to_numpy(float)
-        post, _, _ = fit_hmm((x - x.mean(0)) / np.where(x.std(0) > 0, x.std(0), 1), states)
-        return pd.DataFrame({order: pdf[order], "state": post.argmax(1).astype("int32"), "posterior": list(post)})
-
-    kind = df.schema[order].dataType.simpleString()
-    return df.na.drop(subset=columns).select(order, *columns).groupBy(F.lit("all")).applyInPandas(one, f"{order} {kind}, state int, posterior array<double>")
-
-
 # ---- regressions
 
 
-def _ols(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
-    b, *_ = np.linalg.lstsq(x, y, rcond=None)
-    gap = y - x @ b
-    rss = float(gap @ gap)
-    cov = np.linalg.pinv(x.T @ x) * rss / max(len(y) - x.shape[1], 1)
-    return b, rss, np.sqrt(np.maximum(np.diag(cov), 0))
-
-
-def granger(df: DataFrame, cause: str, effect: str, order: str, most: int = 10) -> DataFrame:
-    """lag, n, f, p_f, chi2, p_chi2, lr, p_lr, gain in R squared: does the past of cause help to explain effect."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        x, y, rows = pdf[cause].to_numpy(float), pdf[effect].to_numpy(float), []
-        for k in range(1, most + 1):
-            n = len(y) - k
-            if n <= 2 * k + 1:
-                break
-            own = np.column_stack([np.ones(n), *[y[k - j : len(y) - j] for j in range(1, k + 1)]])
-            both = np.column_stack([own, *[x[k - j : len(x) - j] for j in range(1, k + 1)]])
-            target = y[k:]
-            small, large = _ols(own, target)[1], _ols(both, target)[1]
-            total = float(((target - target.mean()) ** 2).sum())
-            rows.append((k, n, (small - large) / k / (large / (n - 2 * k - 1)), n * (small - large) / large, n * np.log(small / large), (small - large) / total))
-        return pd.DataFrame(rows, columns=["lag", "n", "f", "chi2", "lr", "gain"])
-
-    rows = df.na.drop(subset=[cause, effect]).select(order, cause, effect).groupBy(F.lit("all")).applyInPandas(one, "lag int, n int, f double, chi2 double, lr double, gain double")
-    return rows.withColumn("p_f", p_of_f(F.col("f"), F.col("lag"), F.col("n") - 2 * F.col("lag") - 1)).withColumn("p_chi2", p_of_chi2(F.col("chi2"), F.col("lag"))).withColumn("p_lr", p_of_chi2(F.col("lr"), F.col("lag")))
-
-
-def adf(df: DataFrame, x: str, order: str, most: int = 12) -> DataFrame:
-    """stat, lags, n, below_1, below_5, below_10: unit root test with a constant, lags by AIC over a common sample.
-
-    Critical values follow MacKinnon's (2010) response surface for one variable with a constant.
-    """
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf.sort_values(order)[x].to_numpy(float)
-        d = np.diff(v)
-
-        def fit(lags: int, skip: int):
-            n = len(d) - skip
-            cols = [v[skip:-1], np.ones(n), *[d[skip - j : len(d) - j] for j in range(1, lags + 1)]]
-            return np.column_stack(cols), d[skip:]
-
-        top = min(most, max(0, len(d) // 3 - 2))
-        scores = []
-        for k in range(top + 1):
-            a, y = fit(k, top)
-            rss = _ols(a, y)[1]
-            scores.append(len(y) * np.log(rss / len(y)) + 2 * a.shape[1])
-        k = int(np.argmin(scores))
-        a, y = fit(k, k)
-        b, _, se = _ols(a, y)
-        n, stat = len(y), float(b[0] / se[0])
-        # fixed values: asymptote and terms in 1/n, 1/n^2, 1/n^3 for 1, 5 and 10 per cent
-        surface = ((-3.43035, -6.5393, -16.786, -79.433), (-2.86154, -2.8903, -4.234, -40.04), (-2.56677, -1.5384, -2.809, 0.0))
-        limits = [sum(c / n**j for j, c in enumerate(row)) for row in surface]
-        return pd.DataFrame([(stat, k, n, *[stat < c for c in limits])], columns=["stat", "lags", "n", "below_1", "below_5", "below_10"])
-
-    return df.na.drop(subset=[x]).select(order, x).groupBy(F.lit("all")).applyInPandas(one, "stat double, lags int, n int, below_1 boolean, below_5 boolean, below_10 boolean")
-
-
-def var_order(df: DataFrame, columns: list[str], order: str, most: int = 10) -> DataFrame:
-    """lag, aic, bic of vector autoregressions over a common sample."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        v, rows = pdf.sort_values(order)[columns].to_numpy(float), []
-        for k in range(1, most + 1):
-            n = len(v) - most
-            x = np.column_stack([np.ones(n), *[v[most - j : len(v) - j] for j in range(1, k + 1)]])
-            b, *_ = np.linalg.lstsq(x, v[most:], rcond=None)
-            gap = v[most:] - x @ b
-            size, free = np.linalg.slogdet(gap.T @ gap / n)[1], k * v.shape[1] ** 2 + v.shape[1]
-            rows.append((k, size + 2 * free / n, size + np.log(n) * free / n))
-        return pd.DataFrame(rows, columns=["lag", "aic", "bic"])
-
-    return df.na.drop(subset=columns).select(order, *columns).groupBy(F.lit("all")).applyInPandas(one, "lag int, aic double, bic double")
-
-
 def vif(df: DataFrame, columns: list[str]) -> DataFrame:
     """name, vif: diagonal of the inverse correlation matrix, from one row of moments."""
     rows = df.na.drop(subset=columns)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.special import binomial_p, p_of_f, p_of_r, p_of_t
 from .frames import corr
+from .quantiles import exact_quantiles
 from .scans import reach, span_of
 
 
@@ -81,7 +82,7 @@ def hit_rate(df: DataFrame, by: list[str], predicted: Column, actual: Column) ->
 def quantile_bins(df: DataFrame, x: str, n: int, out: str = "bin") -> DataFrame:
     """Right-closed bins between quantiles, the lowest edge included; null stays null. The edges are one broadcast row."""
     inner = [k / n for k in range(1, n)]
-    edges = df.agg(F.percentile(x, F.array(*map(F.lit, inner))).alias("__edges"))
+    edges = exact_quantiles(df, x, inner).select(F.col("quantiles").alias("__edges"))
     # one row of n - 1 numbers
     placed = df.crossJoin(F.broadcast(edges)).withColumn(out, F.when(F.col(x).isNotNull(), F.size(F.filter("__edges", lambda e: e < F.col(x)))))
     return placed.drop("__edges")

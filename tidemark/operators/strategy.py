@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from . import scans
 from .frames import drawdown, full, over, rolling
 from .orderstats import expanding_quantiles, quantile_columns
+from .quantiles import exact_quantiles
 
 # ---- metrics
 
@@ -230,7 +231,7 @@ def contrarian(x: Column, low: float = 25, high: float = 75) -> Column:
 
 def quantile_leverage(df: DataFrame, x: str) -> DataFrame:
     """lev: 0.5, 1, 1.5 or 2 by the quartile of x's size, negative where x is positive."""
-    one = df.agg(F.percentile(F.abs(x), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("__q"))
+    one = exact_quantiles(df, F.abs(x), [0.25, 0.5, 0.75]).select(F.col("quantiles").alias("__q"))
     size = F.lit(0.5) + 0.5 * F.size(F.filter("__q", lambda e: e <= F.abs(x)))
     return df.crossJoin(F.broadcast(one)).withColumn("lev", F.when(F.col(x) > 0, -size).otherwise(size)).drop("__q")
 

@@ -431,5 +431,4 @@ def lob_slippage(spark, sf):
 @query(sql("SELECT multiplier, count(*) AS n, count(*) FILTER (WHERE s > t * multiplier) AS flagged, round(avg(least(1, greatest(0, s / q))), 6) AS mean_norm FROM (SELECT abs(trade_imbalance) AS s FROM b15), (SELECT quantile_cont(abs(trade_imbalance), 0.925) AS t, quantile_cont(abs(trade_imbalance), 0.99) AS q FROM b15), (VALUES (0.5::DOUBLE), (0.8::DOUBLE), (1.0::DOUBLE)) k(multiplier) GROUP BY 1", "b15"))
 def score_multiplier_rethreshold(spark, sf):
     held = views.bars(spark, sf, 15).select(F.abs("trade_imbalance").alias("score"))
-    made = [features.flag_above(held, "score", 0.925, [], m).withColumn("multiplier", F.lit(m)) for m in (0.5, 0.8, 1.0)]
-    return reduce(DataFrame.unionByName, made).groupBy("multiplier").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_anomaly").alias("flagged"), r6(F.avg("norm"), "mean_norm"))
+    return features.flag_all(held, "score", 0.925, [], [0.5, 0.8, 1.0]).groupBy("multiplier").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_anomaly").alias("flagged"), r6(F.avg("norm"), "mean_norm"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import asof, features, frames, models
+from ..operators import asof, features, frames, hmm, models
 from ..sources import views
 from ..sources.views import with_views as sql
 from .registry import r6, registry
@@ -140,6 +140,16 @@ def pca_2(spark, sf):
 
 @query()
 def hmm_3state(spark, sf):
+    """Three states of the daily return: state, its posterior, and the likelihood of the whole series."""
     w = frames.over("d")
     held = views.px(spark, sf).withColumn("ret", frames.change(F.col("close"), 1, w))
-    return models.hmm_states(held, ["ret"], "d").select("d", "state")
+    made = hmm.states(held, ["ret"], "d")
+    return made.select("d", "state", *[r6(F.get("posterior", F.lit(k)), f"posterior_{k}") for k in range(3)], r6("log_likelihood", None, 4))
+
+
+@query()
+def hmm_keyed(spark, sf):
+    """Two states of the daily mean price of each kind of part, by its brand, all series at once."""
+    sold = views.table(spark, sf, "lineitem").join(views.table(spark, sf, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    series = sold.groupBy("p_brand", F.col("l_shipdate").cast("date").alias("d")).agg(F.avg("l_extendedprice").alias("price"))
+    return hmm.states(series, ["price"], "d", ["p_brand"], 2, 20).select("p_brand", "d", "state", r6(F.array_max("posterior"), "posterior"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import bars, frames, stats
+from ..operators import bars, frames, quantiles, stats
 from ..operators.strategy import sharpe
 from ..sources import views
 from ..sources.views import with_views as sql
@@ -104,10 +104,18 @@ def side_notional(spark, sf):
 
 @query(sql("SELECT round(x, 6) AS value, k AS level FROM (SELECT quantile_cont(close, 0.25) AS a, quantile_cont(close, 0.5) AS b, quantile_cont(close, 0.925) AS c FROM px) UNPIVOT (x FOR k IN (a, b, c))", "px"))
 def exact_quantiles(spark, sf):
-    one = views.px(spark, sf).agg(F.percentile("close", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.925))).alias("q"))
+    one = quantiles.exact_quantiles(views.px(spark, sf), "close", [0.25, 0.5, 0.925]).withColumnRenamed("quantiles", "q")
     return one.select(F.get("q", 0).alias("a"), F.get("q", 1).alias("b"), F.get("q", 2).alias("c")).unpivot([], ["a", "b", "c"], "level", "value").select("level", r6("value"))
 
 
+@query("""SELECT l_returnflag, l_linestatus, count(*) AS n, round(quantile_cont(l_extendedprice, 0.05), 4) AS low, round(quantile_cont(l_extendedprice, 0.5), 4) AS mid, round(quantile_cont(l_extendedprice, 0.99), 4) AS high
+  FROM lineitem GROUP BY 1, 2""")
+def quantiles_by_group(spark, sf):
+    """Exact quantiles of prices, in groups that grow with the table."""
+    one = quantiles.exact_quantiles(views.table(spark, sf, "lineitem"), "l_extendedprice", [0.05, 0.5, 0.99], ["l_returnflag", "l_linestatus"])
+    return one.select("l_returnflag", "l_linestatus", "n", *[r6(F.get("quantiles", F.lit(k)), name, 4) for k, name in enumerate(("low", "mid", "high"))])
+
+
 @query(sql("SELECT CASE WHEN fg > -1 AND fg <= 25 THEN 'fear' WHEN fg <= 50 THEN 'low' WHEN fg <= 75 THEN 'high' WHEN fg <= 100 THEN 'greed' END AS bin, count(*) AS n, round(avg(rate), 8) AS rate FROM fund GROUP BY 1", "fund"))
 def cut_bins(spark, sf):
     held = views.fund(spark, sf).withColumn("bin", scalars.cut(F.col("fg"), [-1.0, 25.0, 50.0, 75.0, 100.0], ["fear", "low", "high", "greed"]))

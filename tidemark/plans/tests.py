@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import stars
 from ..functions.special import binomial_p
-from ..operators import frames, models, resample, stats
+from ..operators import frames, lagged, models, resample, stats
 from ..sources import views
 from ..sources.views import with_views as sql
 from .eventstudies import signal_and_returns
@@ -97,22 +97,22 @@ def asymmetry(spark, sf):
   regr_syy(y, a) * (1 - (corr(y, a) ** 2 + corr(y, b) ** 2 - 2 * corr(y, a) * corr(y, b) * corr(a, b)) / (1 - corr(a, b) ** 2)) AS s1
   FROM (SELECT same AS y, lag(same) OVER w AS a, lag(change) OVER w AS b FROM j WHERE same IS NOT NULL AND change IS NOT NULL WINDOW w AS (ORDER BY d)) WHERE a IS NOT NULL)""", "sig", "px", **_J))
 def granger_lag1(spark, sf):
-    return models.granger(joined(spark, sf), "change", "same", "d", 1).select("lag", F.col("n").cast("long").alias("n"), r6("f", None, 5))
+    return lagged.granger(joined(spark, sf), "change", "same", "d", 1).select("lag", F.col("n").cast("long").alias("n"), r6("f", None, 5))
 
 
 @query()
 def granger_all_lags(spark, sf):
-    return models.granger(joined(spark, sf), "change", "same", "d", 6)
+    return lagged.granger(joined(spark, sf), "change", "same", "d", 6)
 
 
 @query()
 def adf_unit_root(spark, sf):
-    return models.adf(views.px(spark, sf), "close", "d")
+    return lagged.adf(views.px(spark, sf), "close", "d")
 
 
 @query()
 def var_order(spark, sf):
-    return models.var_order(joined(spark, sf), ["change", "same"], "d", 6)
+    return lagged.var_order(joined(spark, sf), ["change", "same"], "d", 6)
 
 
 @query(sql("SELECT 'change' AS name, round(1 / (1 - corr(change, same) ** 2), 6) AS vif FROM j WHERE change IS NOT NULL AND same IS NOT NULL UNION ALL SELECT 'same', round(1 / (1 - corr(change, same) ** 2), 6) FROM j WHERE change IS NOT NULL AND same IS NOT NULL", "sig", "px", **_J))
