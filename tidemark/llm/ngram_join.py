@@ -10,14 +10,13 @@ of two sets has more than d parts, the argument holds for both. Parts that a sam
 the order, and the most frequent go straight to the large groups below; this changes cost, never results.
 
 Documents with equal sets are one node (a 128-bit hash of the set), so copies are never paired. Groups of up to SMALL nodes
-under one part name the pairs that sizes allow. A large group (the groups that share their commonest node are one) gets a centre F, the
-shingles of that node and those in more than half of a sample of its members, and a leader, the member of the sample nearest to F. Every member
-meets the leader on the whole texts; two members linked with it need no comparison. For other members A and B let
-p = |A - F|, q = |F - A|, and p', q' for B. If A - F and B - F have nothing in common, the symmetric difference of A and B
-is at least p + p' + |q - q'|. So a linked pair either has p + p' + |q - q'| <= d, and such pairs are found through the
-table of (group, p, q), or it shares a shingle outside F. Of A's shingles at most a fourth is missing from B, so the first
-a / 4 + 1 shingles of A - F, in one order again, hold a shared one: members join by these, in groups that are again small
-or large. A group within a group lacks the leader and the commonest node, so this ends.
+under one part name the pairs that sizes allow. Large groups that share their commonest node are one group. It gets a leader,
+the member of a sample nearest to the shingles that most of the sample have, and every member that sizes and sketches allow meets
+the leader on the whole texts. Members linked with the leader are closed: among themselves they need no comparison, as only
+connectivity counts. Open members are held against all members of the group by their bit sketches, in cells of two blocks of
+about BLOCK members each, which are spread over tasks; only pairs within the Hamming bound leave a cell. A group of near copies has
+few open members and costs about its size; a group whose members share a part and little else costs a sketch distance for each
+pair of which one is open.
 
 Pairs are filtered by size and by the Hamming distance of bit sketches, then verified on the whole texts.
 
@@ -44,8 +43,8 @@ from .components import components
 
 N = 5
 SMALL = 48  # groups up to this size name the pairs whose sizes allow a link: at most (SMALL - 1) / 2 a member
-OPEN = 16  # so do groups within a group with up to this many members that are not linked with its leader: at most OPEN a member
-SAMPLE = 32  # members of a large group from which its centre is made
+SAMPLE = 32  # members of a large group, about, from which its leader is taken
+BLOCK, BLOCK_BYTES = 1024, 16 << 20  # members, and bytes of sketches, of a block of a large group
 HOT_RATE, HOT_TIMES, HOT_MOST = 16, 2, 200_000  # a part is hot if a sample of one text in 16 has it twice,
 HOT_DIRECT = 8  # and its rows are not even brought together if the sample has it this often
 _U = np.uint64
@@ -148,8 +147,8 @@ def sketch_distance(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-_ROW = pa.schema([("key", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("z", pa.int64()), ("hot", pa.bool_()), ("id", pa.int64()), ("size", pa.int64()), ("sketch", pa.binary())])
-_ROW_SQL = "key long, x long, y long, z long, hot boolean, id long, size long, sketch binary"
+_ROW = pa.schema([("key", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("z", pa.int64()), ("id", pa.int64()), ("sketch", pa.binary())])
+_ROW_SQL = "key long, x long, y long, z long, id long, sketch binary"
 
 
 def _batch(schema: pa.Schema, rows: int, /, **columns) -> pa.RecordBatch:
@@ -158,9 +157,9 @@ def _batch(schema: pa.Schema, rows: int, /, **columns) -> pa.RecordBatch:
 
 
 def _rows_of(hot: np.ndarray, direct: np.ndarray):
-    """(id, text) -> a row (key, node, hot) for each part that a set joins by, once a task for equal sets, and for each
-    document a row (node, id, size, sketch), told apart by its size; only a set's first row in a task has the sketch.
-    A node is the pair (x, y).
+    """(id, text) -> a row (key, node, z) for each part that a set joins by, once a task for equal sets, with z twice the set's
+    size, and one more for a direct part; and for each document a row (node, z, id, sketch) without a key, with z its size; only
+    a set's first row in a task has the sketch. A node is the pair (x, y).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,14 +182,14 @@ def _rows_of(hot: np.ndarray, direct: np.ndarray):
             if keys:
                 yield _key_rows(keys, late, nodes)
             if docs:
-                yield _batch(_ROW, len(docs), **dict(zip(("x", "y", "id", "size", "sketch"), zip(*docs, strict=True), strict=True)))
+                yield _batch(_ROW, len(docs), **dict(zip(("x", "y", "id", "z", "sketch"), zip(*docs, strict=True), strict=True)))
 
     return run
 
 
 def _key_rows(keys: list, late: list, nodes: list) -> pa.RecordBatch:
     x, y, z, n = (np.array(c, np.int64) for c in zip(*nodes, strict=True))
-    return _batch(_ROW, int(n.sum()), key=np.concatenate(keys).view(np.int64), x=np.repeat(x, n), y=np.repeat(y, n), z=np.repeat(z, n), hot=np.concatenate(late))
+    return _batch(_ROW, int(n.sum()), key=np.concatenate(keys).view(np.int64), x=np.repeat(x, n), y=np.repeat(y, n), z=2 * np.repeat(z, n) + np.concatenate(late))
 
 
 def _all_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,81 +208,61 @@ _GROUP = pa.schema([("key", pa.int64()), *((c, pa.int64()) for c in ("x", "y", "
 _GROUP_SQL = "key long, x long, y long, z long, bx long, by long, id long, size long, sketch binary"
 
 
-def _groups(open_first: bool):
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in the order of their keys -> pairs (x, y), (bx, by) of small groups; members (key, x, y, z) of large ones.
 
-    No group is held: once it is large, its members pass as they come. Hot rows pass at once, documents (with a size) too.
-    At first a node is (x, y) and z its size. With open_first, x is a node and y whether it is linked with the leader; rows
-    come with y = 0 first, and pairs with y = 1 on both sides are left out. A group with up to OPEN rows of y = 0 is small.
+    No group is held: once it is large, its members pass as they come. Direct rows pass at once, documents (without a key) too.
     """
-    most = OPEN if open_first else SMALL
+    held = np.zeros((4, 0), np.int64)
+    running = None  # the key of the large group that may go on
 
     def large(rows: np.ndarray) -> pa.RecordBatch:
         return _batch(_GROUP, rows.shape[1], key=rows[0], x=rows[1], y=rows[2], z=rows[3])
 
-    def pairs(rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        if not open_first:  # z is the size
-            fit = 4 * np.minimum(rows[3, a], rows[3, b]) >= 3 * np.maximum(rows[3, a], rows[3, b])
-            a, b = a[fit], b[fit]
-        return _batch(_GROUP, len(a), x=rows[1, a], y=rows[2, a], z=rows[3, a], bx=rows[1, b], by=rows[2, b])
-
     def closed(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         _, sizes = _runs(rows[0])
         rows = _distinct(rows[:, np.repeat(sizes > 1, sizes)])
         if not rows.shape[1]:
             return
         starts, sizes = _runs(rows[0])
-        lead = np.add.reduceat((rows[2] == 0).astype(np.int64), starts) if open_first else sizes  # the rows that all others meet
-        first, within = np.repeat(starts, sizes), np.repeat(np.where(lead <= most, lead, 0), sizes)
+        first, within = np.repeat(starts, sizes), np.repeat(np.where(sizes <= SMALL, sizes, 0), sizes)
         place = np.arange(len(first)) - first
-        b = [np.flatnonzero((place > k) & (within > k)) for k in range(within.max())]
-        if b:
-            a = np.concatenate([first[x] + k for k, x in enumerate(b)])
-            yield pairs(rows, a, np.concatenate(b))
-        rest = rows[:, np.repeat(lead > most, sizes)]
+        pairs = [np.flatnonzero((place > k) & (within > k)) for k in range(within.max())]
+        if pairs:
+            a, b = np.concatenate([first[x] + k for k, x in enumerate(pairs)]), np.concatenate(pairs)
+            fit = 4 * np.minimum(rows[3, a], rows[3, b]) >= 3 * np.maximum(rows[3, a], rows[3, b])
+            a, b = a[fit], b[fit]
+            yield _batch(_GROUP, len(a), x=rows[1, a], y=rows[2, a], z=rows[3, a], bx=rows[1, b], by=rows[2, b])
+        rest = rows[:, np.repeat(sizes > SMALL, sizes)]
         if rest.shape[1]:
             yield large(rest)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((4, 0), np.int64)
-        running = known = None  # the key of the group that may go on: a large one, or one whose open rows are all known
-        few = held
-
-        for b in batches:
-            is_doc = b.column(6).is_valid()
-            if pc.any(is_doc).as_py():
-                docs = b.filter(is_doc)
-                yield _batch(_GROUP, docs.num_rows, **{c: docs.column(c) for c in ("x", "y", "id", "size", "sketch")})
-                b = b.filter(pc.invert(is_doc))
-            rows, hot = np.stack([b.column(k).to_numpy() for k in range(4)]), b.column(4).to_numpy(zero_copy_only=False).astype(bool)
-            if hot.any():
-                yield large(rows[:, hot])
-                rows = rows[:, ~hot]
-            if running is not None and (going := rows[0] == running).any():
-                yield large(rows[:, going])
-                rows = rows[:, ~going]
-            if known is not None and (going := rows[0] == known).any():
-                n, more = few.shape[1], np.concatenate([few, rows[:, going]], 1)
-                at = np.arange(n, more.shape[1])
-                yield pairs(more, np.tile(np.arange(n), len(at)), np.repeat(at, n))
-                rows = rows[:, ~going]
-            rows = np.concatenate([held, rows], 1)
-            if not rows.shape[1]:
-                continue
-            last = rows[0] == rows[0, -1]
-            yield from closed(rows[:, ~last])
-            held = _distinct(rows[:, last])
-            n = int((held[2] == 0).sum()) if open_first else held.shape[1]
-            if n > most:
-                running = int(held[0, 0])
-                yield large(held)
-                held = held[:, :0]
-            elif n < held.shape[1]:  # rows of y = 1 have come, so all of y = 0 are here
-                yield from closed(held)
-                known, few, held = int(held[0, 0]), held[:, :n], held[:, :0]
-        yield from closed(held)
-
-    return run
+    for b in batches:
+        is_doc = b.column(0).is_null()
+        if pc.any(is_doc).as_py():
+            docs = b.filter(is_doc)
+            yield _batch(_GROUP, docs.num_rows, **{c: docs.column(c) for c in ("x", "y", "id", "sketch")}, size=docs.column("z"))
+            b = b.filter(pc.invert(is_doc))
+        rows = np.stack([b.column(k).to_numpy() for k in range(4)])
+        direct = (rows[3] & 1).astype(bool)
+        rows[3] >>= 1
+        if direct.any():
+            yield large(rows[:, direct])
+            rows = rows[:, ~direct]
+        if running is not None and (going := rows[0] == running).any():
+            yield large(rows[:, going])
+            rows = rows[:, ~going]
+        rows = np.concatenate([held, rows], 1)
+        if not rows.shape[1]:
+            continue
+        last = rows[0] == rows[0, -1]
+        yield from closed(rows[:, ~last])
+        held = _distinct(rows[:, last])
+        if held.shape[1] > SMALL:
+            running = int(held[0, 0])
+            yield large(held)
+            held = held[:, :0]
+    yield from closed(held)
 
 
 def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -328,63 +307,83 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.take(pa.array(keep, pa.int64())).select(["a", "b"])
 
 
-_CENTRE = pa.schema([("up", pa.int64()), ("leader", pa.int64()), ("led", pa.binary()), ("centre", pa.binary())])
-_CENTRE_SQL = "up long, leader long, led binary, centre binary"
+_LED = pa.schema([("up", pa.int64()), ("leader", pa.int64())])
 
 
-def _centres(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(up, no, first, text) of a few members of each group, in the order of up -> the group's leader, its set, and the centre."""
-    now, held, common = None, [], np.zeros(0, _U)
+def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(up, no, text) of a few members of each group, in the order of up -> the group's leader: the member nearest to the shingles
+    that more than half of them have, of equal ones the first.
+    """
+    now, held = None, []
 
     def made() -> pa.RecordBatch:
         values, times = np.unique(np.concatenate([s for _, s in held]), return_counts=True)
-        centre = np.union1d(values[2 * times > len(held)], common)
-        near = [(-len(np.intersect1d(s, centre, assume_unique=True)) / max(1, len(np.union1d(s, centre))), no, s) for no, s in held]
-        _, no, s = min(near, key=lambda x: x[:2])
-        return _batch(_CENTRE, 1, up=[now], leader=[no], led=[s.tobytes()], centre=[centre.tobytes()])
+        centre = values[2 * times > len(held)]
+        _, no = min((-len(np.intersect1d(s, centre, assume_unique=True)) / max(1, len(np.union1d(s, centre))), no) for no, s in held)
+        return _batch(_LED, 1, up=[now], leader=[no])
 
     for batch in batches:
-        for up, no, first, t in zip(*(batch.column(k).to_pylist() for k in range(3)), _texts(batch, 3), strict=True):
+        for up, no, t in zip(*(batch.column(k).to_pylist() for k in range(2)), _texts(batch, 2), strict=True):
             if up != now:
                 if held:
                     yield made()
                 now, held = up, []
             held.append((no, shingles(t)))
-            if no == first:
-                common = held[-1][1]
     if held:
         yield made()
 
 
-_LIE = pa.schema([("up", pa.int64()), ("leader", pa.int64()), ("no", pa.int64()), ("linked", pa.bool_()), ("n", pa.int64()), ("p", pa.int64()), ("q", pa.int64()), ("key", pa.int64())])
-_LIE_SQL = "up long, leader long, no long, linked boolean, n long, p long, q long, key long"
-
+def _folded(sketches: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Length in 64-bit words -> places, and the sketches of that length as rows."""
+    lengths = np.array([len(x) >> 3 for x in sketches], np.int64)
+    return {int(n): (at := np.flatnonzero(lengths == n), np.frombuffer(b"".join([sketches[i] for i in at]), _U).reshape(-1, n)) for n in np.unique(lengths)}
 
-def _lies(hot: np.ndarray):
-    """(up, no, leader, text, leader's set, centre) -> how the member lies to the leader and the centre (key null), and a row
-    for each shingle outside the centre by which it joins again (key: that shingle within this group), hot ones last.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            up, no, leader = (batch.column(k).to_numpy() for k in range(3))
-            lies, keys = [], []
-            for k, t in enumerate(_texts(batch, 3)):
-                one = shingles(t)
-                led, centre = (np.frombuffer(batch.column(c)[k].as_py(), _U) for c in (4, 5))
-                own = np.setdiff1d(one, centre, assume_unique=True)
-                linked = _linked(len(np.intersect1d(one, led, assume_unique=True)), len(one), len(led))
-                lies.append((linked, len(one), len(own), len(centre) - len(one) + len(own)))
-                late = _among(own, hot)
-                first = np.concatenate([own[~late], own[late]])[: len(one) // 4 + 1]
-                keys.append(_mix(first ^ _mix(up[k : k + 1].view(_U))).view(np.int64))
-            if lies:
-                linked, n, p, q = (np.array(x) for x in zip(*lies, strict=True))
-                yield _batch(_LIE, len(lies), up=up, leader=leader, no=no, linked=linked, n=n, p=p, q=q)
-                counts = [len(x) for x in keys]
-                yield _batch(_LIE, sum(counts), up=np.repeat(up, counts), no=np.repeat(no, counts), linked=np.repeat(linked, counts), key=np.concatenate(keys))
+def _close(left: tuple, right: tuple | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places of two blocks (numbers, sizes, sketches), or within one, whose sizes and sketches allow the similarity."""
+    n, m = left[1], (right or left)[1]
+    for words, (at, rows) in _folded(left[2]).items():
+        for other, (to, cols) in _folded((right or left)[2]).items():
+            short, x, y = min(words, other), rows, cols
+            if max(words, other) > 2 * short:  # a set of more than twice the size
+                continue
+            if words > short:
+                x = x[:, :short] ^ x[:, short:]
+            if other > short:
+                y = y[:, :short] ^ y[:, short:]
+            step = max(1, (1 << 21) // max(1, short * len(y)))
+            for lo in range(0, len(x), step):
+                a, part = at[lo : lo + step], x[lo : lo + step]
+                most = (n[a][:, None] + m[to][None, :]) // 7
+                able = 4 * np.minimum(n[a][:, None], m[to][None, :]) >= 3 * np.maximum(n[a][:, None], m[to][None, :])
+                if right is None:
+                    able &= a[:, None] < to[None, :]
+                able &= np.bitwise_count(part[:, None] ^ y[None]).sum(2, dtype=np.int64) <= most
+                i, j = np.nonzero(able)
+                yield a[i], to[j]
+
+
+def _celled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (cell, second, no, size, sketch) in the order of cell and second -> pairs (a, b) of a cell's two blocks, or of its one."""
+    now, held = None, ([], [])
+
+    def made() -> Iterator[pa.RecordBatch]:
+        if not held[0]:
+            return
+        blocks = [(np.array([r[0] for r in h], np.int64), np.array([r[1] for r in h], np.int64), [r[2] for r in h]) for h in held if h]
+        one, two = blocks[0], blocks[1] if held[1] else None
+        for i, j in _close(one, two):
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(one[0][i]), pa.array((two or one)[0][j])], ["a", "b"])
 
-    return run
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 1000):
+            for cell, second, *row in zip(*(c.to_pylist() for c in batch.slice(lo, 1000).columns), strict=True):
+                if cell != now:
+                    yield from made()
+                    now, held = cell, ([], [])
+                held[second].append(row)
+    yield from made()
 
 
 def _with(rows: DataFrame, table: DataFrame, on: dict[str, str], how: str = "inner") -> DataFrame:
@@ -411,47 +410,47 @@ def _able(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.select("a", "b", "sa", "sb", "ka", "kb").mapInArrow(_near, "a long, b long")
 
 
-def _regroup(rows: DataFrame, parts: tuple[int, ...] = (), open_first: bool = False) -> DataFrame:
-    """Rows dealt by key (hot ones and documents by node), in order, to their pairs and large groups."""
-    by = F.when(F.col("hot") | F.col("key").isNull(), F.xxhash64("key", "x", "y")).otherwise(F.col("key"))
-    order = ["key", "y"] if open_first else ["key"]
-    return rows.repartition(*parts, by).sortWithinPartitions(*order).mapInArrow(_groups(open_first), _GROUP_SQL)
-
+def _regroup(rows: DataFrame, parts: int) -> DataFrame:
+    """Rows dealt by key (direct ones and documents by node), in order, to their pairs and large groups."""
+    by = F.when(F.col("key").isNull() | (F.col("z") % 2 == 1), F.xxhash64("key", "x", "y")).otherwise(F.col("key"))
+    return rows.repartition(parts, by).sortWithinPartitions("key").mapInArrow(_groups, _GROUP_SQL)
 
-def _ring(lies: DataFrame) -> DataFrame:
-    """Pairs of one group that may be linked without a common shingle outside the centre: p + p' + |q - q'| <= d.
 
-    Places (p, q) are compared, not members: a group has no more of them than its centre's size allows.
+def _of_large(large: DataFrame, nodes: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Large groups (key, no) -> the links of their members with a leader, and the pairs that sizes and sketches allow of which
+    one is open.
     """
-    inner = lies.filter(3 * F.col("p") <= F.col("n"))  # p <= d for the largest partner
-    cells = inner.select("up", "p", "q", "n", "linked").distinct()
-    other = cells.select(F.col("up").alias("u2"), *(F.col(c).alias(f"{c}2") for c in ("p", "q", "n", "linked")))
-    able = (F.col("p") + F.col("p2") + F.abs(F.col("q") - F.col("q2")) <= F.floor((F.col("n") + F.col("n2")) / 7)) & ~(F.col("linked") & F.col("linked2"))
-    first = (F.col("p") < F.col("p2")) | ((F.col("p") == F.col("p2")) & (F.col("q") <= F.col("q2")))
-    pairs = cells.join(other.hint("merge"), (F.col("up") == F.col("u2")) & first & able).select("up", "p", "q", "linked", "p2", "q2", "linked2")
-    one = _with(pairs, inner.select("up", "p", "q", "linked", F.col("no").alias("a")), {c: c for c in ("up", "p", "q", "linked")})
-    two = _with(one.select("up", "a", "p2", "q2", "linked2"), inner.select("up", "p", "q", "linked", F.col("no").alias("b")), {"up": "up", "p2": "p", "q2": "q", "linked2": "linked"})
-    return two.select("a", "b")
-
-
-def _round(large: DataFrame, texts: DataFrame, hot: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """Large groups (up, key, no) -> how their members lie to leader and centre, and the groups that they join by next."""
-    degree = large.groupBy("up", "no").agg(F.count(F.lit(1)).alias("degree"))
-    ranked = _with(large, degree, {"up": "up", "no": "no"})
-    common = ranked.groupBy("up", "key").agg(F.max(F.struct("degree", "no")).alias("first")).select("up", "key", F.col("first.no").alias("first"))
-    members = _with(large.select("up", "key", "no"), common, {"up": "up", "key": "key"}).select(F.xxhash64("up", "first").alias("up"), "no", "first").distinct()
-    members = stage(members, "join-members")
-    order = W.partitionBy("up").orderBy(F.xxhash64("up", "no"), "no")
-    some = members.withColumn("k", F.row_number().over(order)).filter((F.col("k") <= SAMPLE) | (F.col("no") == F.col("first"))).select("up", "no", "first")
-    some = _with(some, texts, {"no": "no"}).repartition("up").sortWithinPartitions("up", "no")
-    centres = stage(some.select("up", "no", "first", "text").mapInArrow(_centres, _CENTRE_SQL), "join-centres")
-    both = _with(_with(members, texts, {"no": "no"}), centres, {"up": "up"}).filter("no <> leader")
-    lies = stage(both.select("up", "no", "leader", "text", "led", "centre").mapInArrow(_lies(hot), _LIE_SQL), "join-lies")
-    rows = lies.filter("key IS NOT NULL").select(
-        "key", F.col("no").alias("x"), F.col("linked").cast("long").alias("y"), F.col("up").alias("z"), F.lit(False).alias("hot"),
-        *(F.lit(None).cast(t).alias(c) for c, t in (("id", "long"), ("size", "long"), ("sketch", "binary"))),
+    degree = large.groupBy("no").agg(F.count(F.lit(1)).alias("degree"))
+    common = _with(large, degree, {"no": "no"}).groupBy("key").agg(F.max(F.struct("degree", "no"))["no"].alias("up"))
+    members = stage(_with(large, common, {"key": "key"}).select("up", "no").distinct(), "join-members")
+    sizes = members.groupBy("up").agg(F.count(F.lit(1)).alias("n"))
+    some = _with(members, sizes, {"up": "up"}).filter((F.pmod(F.xxhash64("up", "no"), F.greatest(F.lit(1), F.floor(F.col("n") / SAMPLE))) == 0) | (F.col("no") == F.col("up")))
+    some = _with(some.select("up", "no"), texts, {"no": "no"}).repartition("up").sortWithinPartitions("up", "no")
+    led = stage(some.select("up", "no", "text").mapInArrow(_leaders, "up long, leader long"), "join-leaders")
+    known = _with(members, led, {"up": "up"})
+    met = known.select(F.col("leader").alias("a"), F.col("no").alias("b"))
+    links = stage(_verify(_able(_once(met), nodes), texts), "join-led")
+
+    both = links.select(F.col("a").alias("l"), F.col("b").alias("m")).union(links.select(F.col("b").alias("l"), F.col("a").alias("m")))
+    told = _with(known, both.withColumn("closed", F.lit(True)), {"leader": "l", "no": "m"}, "left")
+    told = told.withColumn("closed", F.coalesce("closed", F.lit(False)) | (F.col("no") == F.col("leader")))
+    told = stage(_with(told, nodes.select("no", "size", "sketch"), {"no": "no"}).select("up", "no", "closed", "size", "sketch"), "join-told")
+    amount = lambda c: F.greatest(F.ceil(F.count(F.when(c, 1)) / BLOCK), F.ceil(F.coalesce(F.sum(F.when(c, F.octet_length("sketch"))), F.lit(0)) / BLOCK_BYTES))
+    blocks = told.groupBy("up").agg(amount(~F.col("closed")).alias("n_open"), amount(F.col("closed")).alias("n_closed")).filter("n_open > 0")
+    rows = _with(told, blocks, {"up": "up"}).withColumn("own", F.pmod(F.xxhash64("no", "up"), F.when(F.col("closed"), F.col("n_closed")).otherwise(F.col("n_open"))))
+    # cells (i, j): two blocks of open members, i <= j; cells (i, n_open + j): one of open and one of closed ones
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>"))
+    cell = lambda i, j, second: F.struct(i.alias("i"), j.alias("j"), second.alias("second"))
+    own, n_open = F.col("own"), F.col("n_open")
+    of_open = F.concat(
+        F.transform(upto(n_open), lambda j: cell(F.least(own, j), F.greatest(own, j), (own > j).cast("int"))),
+        F.transform(upto(F.col("n_closed")), lambda j: cell(own, n_open + j, F.lit(0))),
     )
-    return lies.filter("key IS NULL"), stage(_regroup(rows, open_first=True), "join-split")
+    of_closed = F.transform(upto(n_open), lambda i: cell(i, n_open + own, F.lit(1)))
+    spread = rows.withColumn("c", F.explode(F.when(F.col("closed"), of_closed).otherwise(of_open)))
+    spread = spread.select(F.struct("up", "c.i", "c.j").alias("cell"), "c.second", "no", "size", "sketch").withColumn("cell", F.concat_ws(":", "cell.up", "cell.i", "cell.j"))
+    pairs = spread.repartition("cell").sortWithinPartitions("cell", "second").mapInArrow(_celled, "a long, b long")
+    return links, pairs
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -469,7 +468,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     listed = sorted((r.key, r.n) for r in often.orderBy(F.desc("n"), "key").limit(HOT_MOST).select("key", "n").collect())
     hot, direct = (np.sort(np.array([k for k, n in listed if n >= least], np.int64).view(_U)) for least in (HOT_TIMES, HOT_DIRECT))
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    grouped = stage(_regroup(work.mapInArrow(_rows_of(hot, direct), _ROW_SQL), (parts,)), "join-groups")
+    grouped = stage(_regroup(work.mapInArrow(_rows_of(hot, direct), _ROW_SQL), parts), "join-groups")
     release(spark)
     sets = grouped.filter("size IS NOT NULL").select("id", "x", "y", F.col("size").alias("n"))
     named = grouped.filter("size IS NULL").select(F.explode(F.array(F.struct("x", "y"), F.struct(F.col("bx").alias("x"), F.col("by").alias("y")))).alias("at")).select("at.*").filter("x IS NOT NULL").distinct()
@@ -483,7 +482,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     pairs = _with(_with(pairs, number.withColumnRenamed("no", "a"), {"x": "x", "y": "y"}), number.withColumnRenamed("no", "b"), {"bx": "x", "by": "y"}).select("a", "b")
     near = stage(_able(_once(pairs), nodes), "join-near")
     large = _with(grouped.filter("key IS NOT NULL").select("key", "x", "y"), number, {"x": "x", "y": "y"})
-    large = stage(large.select(F.lit(0).cast("long").alias("up"), "key", "no"), "join-large")
+    large = stage(large.select("key", "no").distinct(), "join-large")
 
     # the texts of nodes in pairs that are left and of those in large groups, which may yet add pairs
     wanted = near.select(F.explode(F.array("a", "b")).alias("no")).union(large.select("no")).distinct()
@@ -492,23 +491,11 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     texts = stage((_right_text(holders).dropDuplicates(["no"]) if _repeated(sets) else holders).select("no", "text"), "join-texts")
     release(spark)
 
-    links, more = [], [near]
-    while not large.isEmpty():
-        lies, split = _round(large, texts, hot)
-        links.append(lies.filter("linked").select(F.col("leader").alias("a"), F.col("no").alias("b")))
-        more.append(split.filter("bx IS NOT NULL").select(F.col("x").alias("a"), F.col("bx").alias("b")))
-        more.append(_ring(lies))
-        large = split.filter("key IS NOT NULL").select(F.col("z").alias("up"), "key", F.col("x").alias("no"))
-        release(spark)
-    found = near
-    if len(more) > 1:
-        fresh = more[1]
-        for x in more[2:]:
-            fresh = fresh.union(x)
-        found = _once(near.union(stage(_able(_once(fresh), nodes), "join-near")))
-    linked = stage(_verify(found, texts), "join-verified")
-    for x in links:
-        linked = linked.union(x)
+    if large.isEmpty():
+        return _with(sets, number, {"x": "x", "y": "y"}, "left"), stage(_verify(near, texts), "join-verified")
+    links, pairs = _of_large(large, nodes, texts)
+    near = _once(near.union(stage(_once(pairs), "join-cells")))
+    linked = stage(_verify(near, texts), "join-verified").union(links)
     return _with(sets, number, {"x": "x", "y": "y"}, "left"), linked
 
 
