@@ -24,13 +24,21 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.union(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
 
+def _done(links: DataFrame) -> bool:
+    """Whether every node points at one other, and that one at none: what a step would leave as it is."""
+    ends = links.select(F.col("a").alias("n"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(links.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("n").agg(F.sum("out").alias("out"), F.sum("into").alias("into")).filter("out > 1 OR (out > 0 AND into > 0)").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
-    """links (a, b) of long ids -> (node, component): each linked node with the least id it reaches."""
-    now, before = stage(links.select("a", "b").filter("a <> b"), "links"), None
+    """links (a, b) of long ids -> (node, component): each linked node with the least id it reaches.
+
+    links is read once. Defined cases: repeated links and links of a node with itself change nothing; an empty table gives an
+    empty result; ids are not null.
+    """
+    now = stage(links.select("a", "b").filter("a <> b"), "links")
     while True:
         now = stage(_small_star(_large_star(now)), "stars")
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if seen == before:
+        if _done(now):
             break
-        before = seen
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

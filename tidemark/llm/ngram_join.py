@@ -492,10 +492,9 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     release(spark)
 
     if large.isEmpty():
-        return _with(sets, number, {"x": "x", "y": "y"}, "left"), stage(_verify(near, texts), "join-verified")
+        return _with(sets, number, {"x": "x", "y": "y"}, "left"), _verify(near, texts)
     links, pairs = _of_large(large, nodes, texts)
-    near = _once(near.union(stage(_once(pairs), "join-cells")))
-    linked = stage(_verify(near, texts), "join-verified").union(links)
+    linked = _verify(_once(near.union(pairs)), texts).union(links)
     return _with(sets, number, {"x": "x", "y": "y"}, "left"), linked
 
 
