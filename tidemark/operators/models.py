@@ -1,5 +1,5 @@
-"""Models: LSTM autoencoder scoring, principal components, boosted trees, inflation of variance. Hidden Markov models are in `hmm`,
-regressions on lagged values in `lagged`.
+"""Models: LSTM autoencoder scoring, principal components, predictions written back, inflation of variance. Boosted
+trees are in `boosting`, hidden Markov models in `hmm`, regressions on lagged values in `lagged`.
 
 Scoring runs distributed over Arrow batches with broadcast weights. Training of the autoencoder needs a deep
 learning library and is not part of this library; `substitute_scores` is a stand-in and named so.
@@ -11,9 +11,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,26 +100,16 @@ def pca(df: DataFrame, vector: str, k: int, keys: list[str]) -> DataFrame:
     return df.select(*keys, *[(dot(j) - shift[j]).alias(f"component_{j + 1}") for j in range(k)])
 
 
-def boosted_trees(df: DataFrame, columns: list[str], label: str, trees: int = 300, depth: int = 4, rate: float = 0.05, seed: int = 42):
-    """Gradient-boosted trees with row and column subsampling; no L1 or L2 penalty exists here."""
-    held = VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="skip").transform(df)
-    return GBTClassifier(labelCol=label, maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed).fit(held), held
-
-
-def predicted(model, df: DataFrame, columns: list[str]) -> DataFrame:
-    return model.transform(VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="skip").transform(df))
-
-
 def write_back(signals: DataFrame, made: DataFrame, key: str) -> DataFrame:
     """signals with direction_prob, predicted_direction and direction_confidence where there is a prediction."""
-    up = F.get(vector_to_array("probability"), F.lit(1))
+    up = F.col("probability")
     own = made.select(F.col(key).alias("__k"), up.alias("direction_prob"), F.when(F.col("prediction") == 1, "Up").otherwise("Down").alias("predicted_direction"), F.greatest(up, 1 - up).alias("direction_confidence"))
     return signals.join(own, F.col(key) == F.col("__k"), "left").drop("__k")
 
 
 def confidence(predicted: DataFrame, label: str, levels: tuple[float, ...] = (0.5, 0.55, 0.6, 0.65, 0.7)) -> DataFrame:
     """level, n, accuracy of predictions at least that confident."""
-    top = F.array_max(vector_to_array("probability"))
+    top = F.greatest("probability", 1 - F.col("probability"))
     spread = predicted.select(top.alias("c"), (F.col("prediction") == F.col(label)).cast("double").alias("ok")).withColumn("level", F.explode(F.array(*map(F.lit, levels))))
     return spread.filter("c >= level").groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.avg("ok").alias("accuracy"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import asof, features, frames, hmm, models
+from ..operators import asof, boosting, features, frames, hmm, models
 from ..sources import views
 from ..sources.views import with_views as sql
 from .registry import r6, registry
@@ -99,25 +99,31 @@ def direction_features(spark, sf):
     return direction_rows(spark, sf).select("day", "ts", *[F.round(c, 5).alias(c) for c in _SHOWN], "from_open", "label")
 
 
-def direction_model(spark, sf, trees=20):
+def direction_model(spark, sf, trees):
     """The model of the first four fifths of the anomalous rows in time, and all rows with is_train."""
-    rows = features.chronological_split(direction_rows(spark, sf), "ts")
-    model, _ = models.boosted_trees(rows.filter("is_train"), list(features.DIRECTION), "label", trees=trees)
-    return model, rows
+    rows = features.chronological_split(direction_rows(spark, sf), "ts").persist()
+    return boosting.fit(rows.filter("is_train"), list(features.DIRECTION), "label", trees), rows
 
 
 @query()
 def direction_gbt(spark, sf):
-    """Accuracy by confidence on the rows that the model was not trained on."""
-    model, rows = direction_model(spark, sf)
-    return models.confidence(models.predicted(model, rows.filter("NOT is_train"), list(features.DIRECTION)), "label").select("level", "n", r6("accuracy"))
+    """Accuracy by confidence on the rows that the model of 300 trees was not trained on."""
+    model, rows = direction_model(spark, sf, 300)
+    return models.confidence(boosting.predicted(model, rows.filter("NOT is_train")), "label").select("level", "n", r6("accuracy"))
+
+
+@query()
+def direction_importances(spark, sf):
+    """Mean gain of the splits on each feature, in the first 60 trees."""
+    model, rows = direction_model(spark, sf, 60)
+    return boosting.importances(rows, model).select("feature", r6("importance"))
 
 
 @query()
 def direction_signals(spark, sf):
-    """All signals, with the direction that the model predicts on anomalous rows: nothing on the others."""
-    model, rows = direction_model(spark, sf)
-    return models.write_back(signals(spark, sf), models.predicted(model, rows, list(features.DIRECTION)), "ts").select("ts", "anomaly_score", "is_anomaly", r6("direction_prob"), "predicted_direction", r6("direction_confidence"))
+    """All signals, with the direction that 60 trees predict on anomalous rows: nothing on the others."""
+    model, rows = direction_model(spark, sf, 60)
+    return models.write_back(signals(spark, sf), boosting.predicted(model, rows), "ts").select("ts", "anomaly_score", "is_anomaly", r6("direction_prob"), "predicted_direction", r6("direction_confidence"))
 
 
 @query()
