@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.special import binomial_p
 from .asof import asof
 from .bars import epoch_micros
-from .frames import corr, over
+from .frames import corr, drawdown, longest_runs, over
 from .scans import numbered, span_of
 from .stats import pairs
 
@@ -132,6 +132,23 @@ def threshold_grid(trades: DataFrame, sigmas: list[float], cost: float = 0.0004)
     )
 
 
+def threshold_report(trades: DataFrame, sigmas: list[float], cost: float = 0.0) -> DataFrame:
+    """(ts, key, signal, ret, regime) -> sigma, side (all, long, short), regime (its names, and all), trades, total, avg, win_pct, sd,
+    max_drawdown, wins, losses, hold: trading in the signal's direction beyond k sigma, in the order of ts and key; hold is what the
+    same trades make without a direction. Wins and losses are the longest runs.
+    """
+    one = trades.agg(F.stddev_samp("signal").alias("__s"))
+    spread = trades.filter("ret IS NOT NULL").crossJoin(F.broadcast(one)).withColumn("sigma", F.explode(F.array(*map(F.lit, sigmas)))).filter(F.abs("signal") > F.col("sigma") * F.col("__s"))
+    spread = spread.withColumn("side", F.explode(F.array(F.lit("all"), F.when(F.col("signal") > 0, "long").otherwise("short")))).withColumn("regime", F.explode(F.array(F.lit("all"), F.col("regime"))))
+    by = ["sigma", "side", "regime"]
+    held = spread.select(*by, F.struct("ts", "key").alias("at"), "ret", (F.signum("signal") * F.col("ret") - cost).alias("pnl"))
+    made = drawdown(held, "pnl", "at", False, by).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("trades"), F.sum("pnl").alias("total"), F.avg("pnl").alias("avg"), (100.0 * F.avg(F.when(F.col("pnl") > 0, 1.0).otherwise(0.0))).alias("win_pct"),
+        F.stddev_pop("pnl").alias("sd"), F.min("drawdown").alias("max_drawdown"), F.sum("ret").alias("hold"),
+    )
+    return made.join(longest_runs(held, "pnl", "at", by), by)
+
+
 def learned_sign(df: DataFrame, x: str, ret: str, train: str, thresholds: list[float], cost: float = 0.0004) -> DataFrame:
     """Beyond each threshold, trade the sign that did better on the training rows; thr, n, sign, hits, net, p on the rest."""
     spread = df.filter(F.col(ret).isNotNull() & F.col(x).isNotNull()).withColumn("thr", F.explode(F.array(*map(F.lit, thresholds)))).filter(F.abs(x) > F.col("thr"))

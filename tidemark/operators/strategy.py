@@ -224,6 +224,27 @@ def volatility_filters(df: DataFrame, vol: str, search: str, mood: str, order: s
     return held.unpivot(df.columns, [f"rule_{k}" for k in rules], "variant", "pos").withColumn("variant", F.substring("variant", 6, 1))
 
 
+def lagged_filters(df: DataFrame, vol: str, mood: str, order: str = "d", least: int = 30) -> DataFrame:
+    """df for each of seven rules (A to E, H, K), with pos: long or flat by an implied volatility of two days before and a sentiment
+    of the day before. Where a volatility signal is not known yet, A, B and E have no position, and in the others it does not hold.
+    """
+    w, held = over(order), quantile_columns(df, {"__v5": (vol, 0.5, False, least), "__v6": (vol, 0.6, False, least)}, order)
+    v, move = F.col(vol), F.try_divide(F.col(vol), F.lag(vol, 2).over(w)) - 1
+    said = {"__high": v > F.col("__v5"), "__top": v > F.col("__v6"), "__up": move > 0, "__down": move < 0}
+    held = held.withColumns({k: F.coalesce(c, F.lit(False)) for k, c in said.items()})
+    held = held.withColumns({k: F.lag(k, 2).over(w) for k in said} | {"__glad": F.lag(F.coalesce(F.col(mood) > 50, F.lit(False))).over(w), "__fear": F.lag(F.coalesce(F.col(mood) < 40, F.lit(False))).over(w)})
+    holds = lambda c: F.coalesce(F.col(c), F.lit(False))
+    number = lambda c: c.cast("int").cast("double")
+    bad = (~holds("__high")).cast("int") + holds("__down").cast("int") + holds("__fear").cast("int")
+    known = F.col("__high").isNotNull()  # an unknown left side makes C false, whatever the right one says
+    rules = {
+        "A": number(F.col("__high")), "B": number(F.col("__up")), "C": number(known & (holds("__high") | holds("__up"))), "D": number(holds("__high") & holds("__up")),
+        "E": number(F.col("__top")), "H": number(holds("__high") & holds("__glad")), "K": number(bad < 2),
+    }
+    held = held.select(*df.columns, *[c.alias(f"rule_{k}") for k, c in rules.items()])
+    return held.unpivot(df.columns, [f"rule_{k}" for k in rules], "variant", "pos").withColumn("variant", F.substring("variant", 6, 1))
+
+
 def contrarian(x: Column, low: float = 25, high: float = 75) -> Column:
     """Long in fear, short in greed, else flat."""
     return F.when(x < low, 1.0).when(x > high, -1.0).otherwise(0.0)

@@ -53,6 +53,45 @@ def horizon_table(spark, sf):
     return events.horizon_table(grid(spark, sf)).select("minute", "n", r6("hit_pct"), r6("gross"), r6("net"), r6("win_pct"))
 
 
+_MINUTES = _GRID | {"looks": "SELECT key, signal, m.minute, ts + to_minutes(m.minute) AS ts FROM ev CROSS JOIN (SELECT unnest(range(-1, 1035))::INT AS minute) m"}
+
+
+@query(sql(f"SELECT minute, n, round(r, 6) AS r, round(hit_pct, 6) AS hit_pct FROM ({_METRICS})", "b1", "b15", **_MINUTES))
+def response_minutes(spark, sf):
+    """The study at every minute from the event to 1,034 minutes after it."""
+    whole = events.response_grid(day_events(spark, sf), views.bars(spark, sf), list(range(1035)))
+    return events.grid_metrics(whole, ["minute"]).select("minute", "n", r6("r"), r6("hit_pct"))
+
+
+_LEG = _GRID | {
+    "looks": "SELECT key, signal, m.minute, ts + to_minutes(m.minute) AS ts FROM ev CROSS JOIN (VALUES (1034), (1423)) m(minute)",
+    "grid": "SELECT f.key, f.signal, 1423 AS minute, f.price / p.price - 1 AS ret FROM found f JOIN found p ON f.key = p.key AND p.minute = 1034 WHERE f.minute = 1423",
+}
+
+
+@query(sql(f"SELECT minute, n, round(r, 6) AS r, round(hit_pct, 6) AS hit_pct FROM ({_METRICS})", "b1", "b15", **_LEG))
+def next_session_leg(spark, sf):
+    """The return within the next session, from 1,034 to 1,423 minutes after the event."""
+    leg = events.response_grid(day_events(spark, sf), views.bars(spark, sf), [1423], base_offset=1034)
+    return events.grid_metrics(leg, ["minute"]).select("minute", "n", r6("r"), r6("hit_pct"))
+
+
+@query(sql("""SELECT sigma, side, regime, count(*) AS trades, round(sum(pnl), 6) AS total, round(avg(pnl), 6) AS avg, round(100.0 * avg((pnl > 0)::INT), 6) AS win_pct, round(stddev_pop(pnl), 6) AS sd, round(min(path - peak), 6) AS max_drawdown,
+  max(won)::BIGINT AS wins, max(lost)::BIGINT AS losses, round(sum(ret), 6) AS hold FROM (SELECT *, sum(f) OVER (PARTITION BY sigma, side, regime, g ORDER BY ts, key) AS won, sum(1 - f) OVER (PARTITION BY sigma, side, regime, h ORDER BY ts, key) AS lost,
+    max(path) OVER (PARTITION BY sigma, side, regime ORDER BY ts, key) AS peak FROM tw) GROUP BY 1, 2, 3""", "b1", "b15", **_GRID,
+  ta="SELECT g.key, ev.ts, g.signal, ret, CASE WHEN hour(ev.ts) < 12 THEN 'morning' ELSE 'afternoon' END AS regime FROM grid g JOIN ev USING (key) WHERE g.minute = 60 AND ret IS NOT NULL",
+  tb="SELECT t.*, k.sigma, sign(signal) * ret AS pnl FROM ta t, (VALUES (0.5::DOUBLE), (1.0::DOUBLE), (2.0::DOUBLE)) k(sigma), (SELECT stddev_samp(signal) AS s FROM grid WHERE minute = 60) WHERE abs(signal) > k.sigma * s",
+  tc="SELECT sigma, s.side, r.regime, key, ts, ret, pnl FROM tb, LATERAL (SELECT unnest(['all', CASE WHEN signal > 0 THEN 'long' ELSE 'short' END]) AS side) s, LATERAL (SELECT unnest(['all', tb.regime]) AS regime) r",
+  tw="SELECT *, (pnl > 0)::INT AS f, sum(pnl) OVER w AS path, sum(1 - (pnl > 0)::INT) OVER w AS g, sum((pnl > 0)::INT) OVER w AS h FROM tc WINDOW w AS (PARTITION BY sigma, side, regime ORDER BY ts, key)"))
+def sigma_threshold_splits(spark, sf):
+    """The threshold strategy an hour after the event, by side and by half of the day, with drawdowns, runs and holding."""
+    looked = day_events(spark, sf)
+    regime = F.when(F.hour("ts") < 12, "morning").otherwise("afternoon")
+    trades = events.response_grid(looked, views.bars(spark, sf), [60]).join(looked.select("key", "ts", regime.alias("regime")), "key")
+    made = events.threshold_report(trades, [0.5, 1.0, 2.0])
+    return made.select("sigma", "side", "regime", "trades", *[r6(c) for c in ("total", "avg", "win_pct", "sd", "max_drawdown")], "wins", "losses", r6("hold"))
+
+
 @query(sql("SELECT side, minute, count(ret) AS n, round(avg(ret), 6) AS mean, round(stddev_samp(ret) / sqrt(count(ret)), 6) AS se FROM grid JOIN sides USING (key) GROUP BY 1, 2", "b1", "b15", **_GRID, sides="SELECT key, CASE WHEN signal > m + s THEN 1 ELSE -1 END AS side FROM (SELECT DISTINCT key, signal FROM grid), (SELECT avg(signal) AS m, stddev_samp(signal) AS s FROM (SELECT DISTINCT key, signal FROM grid)) WHERE signal > m + s OR signal < m - s"))
 def sigma_event_paths(spark, sf):
     return events.event_paths(grid(spark, sf), 1.0).select("side", "minute", "n", r6("mean"), r6("se"))

@@ -78,6 +78,17 @@ def volatility_filter_variants(spark, sf):
     return _netted(strategy.volatility_filters(held, "vix", "rate", "fg").select("d", "ret", "variant", "pos"), "variant")
 
 
+@query(sql("SELECT variant, d, pos, round(pos * ret - coalesce(abs(pos - coalesce(lag(pos) OVER (PARTITION BY variant ORDER BY d), pos)), 0) * 0.0004, 8) + 0.0 AS strat FROM vp", *_V, **_P, **_PANEL,
+  va=f"SELECT *, coalesce(vix > {_q30('vix', 0.5)}, false) AS high, coalesce(vix > {_q30('vix', 0.6)}, false) AS top, coalesce(vix / lag(vix, 2) OVER (ORDER BY d) - 1 > 0, false) AS up, coalesce(vix / lag(vix, 2) OVER (ORDER BY d) - 1 < 0, false) AS down FROM wide",
+  vb="SELECT d, ret, lag(high, 2) OVER w AS high, lag(top, 2) OVER w AS top, lag(up, 2) OVER w AS up, lag(down, 2) OVER w AS down, lag(fg > 50) OVER w AS glad, lag(fg < 40) OVER w AS fear FROM va WINDOW w AS (ORDER BY d)",
+  vp=" UNION ALL ".join(f"SELECT '{k}' AS variant, d, ret, ({c})::INT::DOUBLE AS pos FROM vb" for k, c in {"A": "high", "B": "up", "C": "coalesce(high, false) OR (high IS NOT NULL AND coalesce(up, false))", "D": "coalesce(high, false) AND coalesce(up, false)", "E": "top",
+    "H": "coalesce(high, false) AND coalesce(glad, false)", "K": "(NOT coalesce(high, false))::INT + coalesce(down, false)::INT + coalesce(fear, false)::INT < 2"}.items())))
+def lagged_filter_variants(spark, sf):
+    """The second family of the rules, two days behind; vix stands for implied volatility."""
+    held = wide(spark, sf).select("d", "ret", "vix", "fg")
+    return _netted(strategy.lagged_filters(held, "vix", "fg").select("d", "ret", "variant", "pos"), "variant")
+
+
 @query(sql("SELECT d, round(greatest(-1.5, least(1.5, (1 - a - f) * 2.0 + a * 0.0 + f * -1.0)), 6) + 0.0 AS soft, CASE WHEN f > 0.55 THEN -1.0 WHEN a > 0.5 THEN 0.5 ELSE 2.0 END::DOUBLE AS hard FROM (SELECT d, (1 - abs(fg - 50) / 50) * 0.7 AS a, (1 - fg / 100) * 0.3 + CASE WHEN fg < 25 THEN 0.4 ELSE 0 END AS f FROM fund)", "fund"))
 def soft_hard_leverage(spark, sf):
     """Leverage from the probabilities of three states, which sentiment stands for."""
