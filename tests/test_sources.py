@@ -87,3 +87,55 @@ def test_stream_equals_batch(spark, tmp_path):
     df = spark.createDataFrame(rows, stream_bars.TICKS)
     want = df.groupBy(F.date_trunc("minute", F.col("ts").cast("timestamp")).alias("ts")).agg(F.min_by("value", "ts").alias("o"), F.max_by("value", "ts").alias("c"), F.count(F.lit(1)).alias("n"))
     assert {r.ts: (r.o, r.c, r.n) for r in want.collect() if r.ts in got} == got and len(got) >= 23
+
+
+def test_runs_at_once_leave_one_copy_of_a_partition(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "out")
+
+    def run(k):
+        rows = [(m, k) for m in ("202401", "202402", None) for _ in range(5)]
+        return readers.ingest(spark.createDataFrame(rows, "month string, run int"), path)
+
+    with ThreadPoolExecutor(4) as pool:
+        done = [name for names in pool.map(run, range(4)) for name in names]
+    assert sorted(done) == ["month=202401", "month=202402", "month=__HIVE_DEFAULT_PARTITION__"]
+    got = spark.read.parquet(path).groupBy("month").agg(F.count("*").alias("n"), F.count_distinct("run").alias("runs")).collect()
+    assert len(got) == 3 and all((r.n, r.runs) == (5, 1) for r in got)
+    assert readers.ingest(spark.createDataFrame([("202401", 9), ("202403", 9)], "month string, run int"), path) == ["month=202403"]
+    assert not [x for x in (tmp_path / "out").iterdir() if x.name.startswith("_staging")]
+
+
+def test_thinning_out_of_order_equals_the_batch(spark, tmp_path):
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    start = dt.datetime(2024, 1, 1)
+    events = sorted((start + dt.timedelta(seconds=int(s)), int(u)) for s, u in zip(rng.integers(0, 40_000, 300), rng.integers(0, 4, 300), strict=True))
+    # arrival up to 8 minutes out of order; files by arrival
+    arrival = sorted(events, key=lambda e: (e[0] + dt.timedelta(seconds=int(rng.integers(0, 480)))))
+    arrival.append((start + dt.timedelta(seconds=50_000), 9))  # moves the watermark on
+    source = tmp_path / "in"
+    source.mkdir()
+    for k in range(0, len(arrival), 43):
+        part = pd.DataFrame(arrival[k : k + 43], columns=["ts", "user_id"])
+        part["ts"] = part["ts"].astype("datetime64[us]")
+        part.to_parquet(source / f"{k:04d}.parquet")
+    import os
+    import time
+
+    for k, f in enumerate(sorted(source.iterdir())):
+        os.utime(f, (time.time() - 1000 + k, time.time() - 1000 + k))
+    raw = spark.readStream.schema("ts timestamp_ntz, user_id long").option("maxFilesPerTrigger", 1).parquet(str(source)).select(F.col("ts").cast("timestamp").alias("ts"), "user_id")
+    made = stream_bars.thin_late(raw, "user_id", 600)
+    query = made.writeStream.format("memory").queryName("thinned").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(300)
+    got = sorted((r.ts.replace(tzinfo=None), r.user_id) for r in spark.sql("SELECT user_id, ts FROM thinned").collect())
+    want, last = [], {}
+    for ts, u in events:
+        if u not in last or (ts - last[u]).total_seconds() > 600:
+            last[u] = ts
+            want.append((ts, u))
+    assert got == want and len(want) > 100

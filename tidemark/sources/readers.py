@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,15 +99,40 @@ def missing_days(wanted: DataFrame, have_months: DataFrame, have_days: DataFrame
     return days.filter(F.col("d") <= end).join(have_days, "d", "left_anti")
 
 
-def ingest(new: DataFrame, path: str, part: str = "month") -> None:
-    """Write only the partitions that are not there yet; running it again changes nothing."""
+def ingest(new: DataFrame, path: str, part: str = "month") -> list[str]:
+    """Add the partitions that are not there yet, each as a whole, and return their folders' names; running it again changes nothing.
+
+    Rows are written into a hidden folder beside the partitions, and each partition is committed by renaming its folder, which
+    fails where the partition exists. Of several runs at once the first to commit a partition wins it; a run that dies leaves
+    whole partitions and a hidden folder, which no reader sees.
+    """
     spark = new.sparkSession
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    fs_path = jvm.org.apache.hadoop.fs.Path
+    home = fs_path(path)
+    fs = home.getFileSystem(conf)
+    home = fs.makeQualified(home)
+    names = lambda at: [x.getPath().getName() for x in fs.listStatus(at) if x.isDirectory() and x.getPath().getName().startswith(f"{part}=")] if fs.exists(at) else []
+    if names(home):
         there = spark.read.parquet(path).select(part).distinct()
-        new = new.join(there, part, "left_anti")
-    new.write.mode("append").partitionBy(part).parquet(path)
+        new = new.join(there.select(F.col(part).cast(new.schema[part].dataType).alias("__there")), F.col(part).eqNullSafe(F.col("__there")), "left_anti")
+    fs.mkdirs(home)
+    staging = fs_path(home, f"_staging-{uuid.uuid4().hex}")
+    committed = []
+    try:
+        new.write.partitionBy(part).parquet(staging.toString())
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(home.toUri(), conf)
+        none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        for name in names(staging):
+            try:
+                context.rename(fs_path(staging, name), fs_path(home, name), none)
+                committed.append(name)
+            except Py4JJavaError as e:
+                if not fs.exists(fs_path(home, name)):
+                    raise e
+    finally:
+        fs.delete(staging, True)
+    return committed
 
 
 def json_arrays(df: DataFrame, column: str, fields: list[str]) -> DataFrame:

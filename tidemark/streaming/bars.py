@@ -52,6 +52,37 @@ def thin(events: DataFrame, key: str, gap_s: float) -> DataFrame:
     return events.select(key, "ts").groupBy(key).applyInPandasWithState(step, f"{key} {kind}, ts timestamp", "last double", "append", GroupStateTimeout.NoTimeout)
 
 
+def thin_late(events: DataFrame, key: str, gap_s: float, late: str = "10 minutes") -> DataFrame:
+    """thin in the order of event time, whatever the order of arrival: an event waits until the watermark, `late` behind the latest,
+    has passed it, and is then placed. What comes later than that is dropped. A key's state goes once no event to come can be
+    within gap_s of its last kept one. Times are whole milliseconds here; null times are left out.
+    """
+    gap = int(round(gap_s * 1000))
+
+    def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, waiting = state.get if state.exists else (None, [])
+        mark = state.getCurrentWatermarkMs()
+        waiting = sorted([*waiting, *(int(t) for b in batches for t in b["ms"] if t >= mark)] if not state.hasTimedOut else waiting)
+        kept = []
+        while waiting and waiting[0] < mark:
+            t = waiting.pop(0)
+            if last is None or t - last > gap:
+                last = t
+                kept.append(t)
+        if not waiting and (last is None or mark > last + gap):
+            if state.exists:
+                state.remove()
+        else:
+            state.update((last, waiting))
+            state.setTimeoutTimestamp(max(mark + 1, waiting[0] + 1 if waiting else last + gap + 1))
+        yield pd.DataFrame({key: pd.Series([name[0]] * len(kept), dtype=object if not kept else None), "ms": pd.Series(kept, dtype="int64")})
+
+    kind = events.schema[key].dataType.simpleString()
+    held = events.filter("ts IS NOT NULL").withWatermark("ts", late).select(key, "ts", F.unix_millis("ts").alias("ms"))
+    made = held.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, ms long", "last long, waiting array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    return made.select(key, F.timestamp_millis("ms").alias("ts"))
+
+
 def progress(query) -> list[dict]:
     """What a stream has done, batch by batch: batch, rows, rows a second, rows dropped as late."""
     made = [p if isinstance(p, dict) else json.loads(p.json) for p in query.recentProgress]
