@@ -221,6 +221,40 @@ def leverage_ladder_backtest(spark, sf):
     return reduce(DataFrame.unionByName, made)
 
 
+#: Fixed values, the published ladders: levels from the highest on, with the sizes of the signal at which each but the last begins.
+LADDERS = {
+    "3/2/1": ([3.0, 2.0, 1.0], [1.0, 0.3]), "4/2/1": ([4.0, 2.0, 1.0], [1.0, 0.3]), "4/3/1": ([4.0, 3.0, 1.0], [1.0, 0.3]), "4/3/2": ([4.0, 3.0, 2.0], [1.0, 0.3]), "4/2.5/1.5": ([4.0, 2.5, 1.5], [1.0, 0.3]),
+    "5/3/1": ([5.0, 3.0, 1.0], [1.0, 0.3]), "5/3/2": ([5.0, 3.0, 2.0], [1.0, 0.3]), "5/4/2": ([5.0, 4.0, 2.0], [1.0, 0.3]), "6/4/2": ([6.0, 4.0, 2.0], [1.0, 0.3]),
+    "8/4/2": ([8.0, 4.0, 2.0], [1.0, 0.3]), "8/5/2": ([8.0, 5.0, 2.0], [1.0, 0.3]), "10/5/2": ([10.0, 5.0, 2.0], [1.0, 0.3]),
+    "5/4/3/1": ([5.0, 4.0, 3.0, 1.0], [1.5, 1.0, 0.3]), "6/5/3/1": ([6.0, 5.0, 3.0, 1.0], [1.5, 1.0, 0.3]), "8/5/3/1": ([8.0, 5.0, 3.0, 1.0], [1.5, 1.0, 0.3]), "10/6/3/1": ([10.0, 6.0, 3.0, 1.0], [1.5, 1.0, 0.3]),
+    "2": ([2.0], []), "3/2 at 1.2": ([3.0, 2.0], [1.2]), "3/2 at 0.8": ([3.0, 2.0], [0.8]), "3/2/1 at 1.2 and 0.5": ([3.0, 2.0, 1.0], [1.2, 0.5]),
+}
+#: And the continuous ones: so many times the signal's size, within 1 and a limit.
+LINEAR = {"linear to 3": (2.0, 3.0), "linear to 5": (3.0, 5.0), "linear to 8": (4.0, 8.0), "linear to 10": (5.0, 10.0)}
+_STEPS = [f"({name!r}, CASE " + " ".join(f"WHEN x >= {t} THEN {v}" for v, t in zip(levels, starts, strict=False)) + f" ELSE {levels[-1]} END)" if starts else f"({name!r}, {levels[0]})" for name, (levels, starts) in LADDERS.items()]
+_STEPS += [f"({name!r}, least({top}, greatest(1.0, x * {k})))" for name, (k, top) in LINEAR.items()]
+
+
+@query(sql("""SELECT ladder, count(*) AS n, round(sum(pnl), 6) AS total, round(exp(sum(ln(1 + greatest(pnl / 1e6, -0.999999)))) - 1, 9) AS compounded, round(avg(pnl) / stddev_pop(pnl) * sqrt(252), 6) AS sharpe, round(min(path - peak), 6) AS max_drawdown, round(avg(lev), 6) AS exposure, round(sum(hold), 6) AS hold
+  FROM (SELECT *, max(path) OVER (PARTITION BY ladder ORDER BY day) AS peak FROM (SELECT *, sum(pnl) OVER (PARTITION BY ladder ORDER BY day) AS path FROM lp)) GROUP BY 1""", "b15", **_I,
+  lx="SELECT day, count(*) AS n, sum(ret) AS s, CASE WHEN arg_min(trade_imbalance, i) > 0 THEN 1 ELSE -1 END AS dir, 4 * abs(arg_min(trade_imbalance, i)) AS x FROM ib GROUP BY 1 HAVING count(*) >= 10",
+  lp="SELECT ladder, day, lev, dir * s * lev - 0.002 * lev AS pnl, s AS hold FROM (SELECT lx.*, k.ladder, k.lev::DOUBLE AS lev FROM lx, LATERAL (VALUES " + ", ".join(_STEPS) + ") k(ladder, lev))"))
+def leverage_ladders(spark, sf):
+    """All published ladders side by side, with their mean leverage, what holding makes, and a compound return on a million."""
+    held = intraday(spark, sf)
+    first = held.groupBy("day").agg(F.min_by("trade_imbalance", "i").alias("m")).select("day", (4 * F.abs("m")).alias("x"), F.when(F.col("m") > 0, 1).otherwise(-1).alias("dir"))
+    x = F.col("x")
+    levels = {name: scalars.ladder(x, starts[::-1], lev[::-1]) for name, (lev, starts) in LADDERS.items()} | {name: scalars.clamp(x * k, 1.0, top) for name, (k, top) in LINEAR.items()}
+    days = held.groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.sum("ret").alias("s")).filter("n >= 10").join(first, "day")
+    days = days.withColumn("k", F.explode(F.array(*[F.struct(F.lit(name).alias("ladder"), lev.alias("lev")) for name, lev in levels.items()]))).select("*", "k.*")
+    days = days.withColumn("pnl", F.col("dir") * F.col("s") * F.col("lev") - 0.002 * F.col("lev"))
+    made = frames.drawdown(days, "pnl", "day", False, ["ladder"])
+    grown = F.exp(F.sum(F.log1p(F.greatest(F.col("pnl") / 1e6, F.lit(-0.999999))))) - 1
+    return made.groupBy("ladder").agg(
+        F.count(F.lit(1)).alias("n"), r6(F.sum("pnl"), "total"), r6(grown, "compounded", 9), r6(strategy.sharpe(F.col("pnl"), 252, 0), "sharpe"), r6(F.min("drawdown"), "max_drawdown"), r6(F.avg("lev"), "exposure"), r6(F.sum("s"), "hold"),
+    )
+
+
 _EXIT = """SELECT day, round(arg_max(cum, i), 6) AS final, round(CASE WHEN max(cum) >= 2.0 THEN 2.0 ELSE arg_max(cum, i) END, 6) AS take_profit,
   round(coalesce(arg_min(cum, i) FILTER (WHERE peak > 1.0 AND cum < peak - 1.0), arg_max(cum, i)), 6) AS trailing_ret, round(coalesce(arg_min(cum, i) FILTER (WHERE cum < -0.5), arg_max(cum, i)), 6) AS stop_loss,
   round(coalesce(arg_min(cum, i) FILTER (WHERE (peak > 1.0 AND cum < peak - 1.0) OR cum < -0.5), arg_max(cum, i)), 6) AS both_ret,
@@ -322,6 +356,36 @@ _BREAK = {
 }
 
 
+MULTIPLIERS = [0.5, 0.8, 1.0]
+
+
+@query(sql("""SELECT multiplier, mode, count(*) AS n, sum(n_trades)::BIGINT AS n_trades, round(sum(net), 6) AS net, round(sum(net) - max(base), 6) AS alpha, round(avg(net) / stddev_samp(net) * sqrt(252), 6) AS sharpe, round(100.0 * avg((net > 0)::INT), 6) AS hit_pct, round(min(path - peak), 6) AS max_drawdown
+  FROM (SELECT *, max(path) OVER (PARTITION BY multiplier, mode ORDER BY day) AS peak FROM (SELECT *, sum(net) OVER (PARTITION BY multiplier, mode ORDER BY day) AS path, sum(CASE WHEN mode = 'baseline' AND multiplier = 1.0 THEN net END) OVER () AS base FROM hn)) GROUP BY 1, 2""", "b15", ib=_I["ib"],
+  th="SELECT quantile_cont(score, 0.925) AS t, quantile_cont(score, 0.99) AS top FROM (SELECT abs(trade_imbalance) AS score FROM ib)",
+  hs="SELECT m.multiplier, ib.*, abs(ib.trade_imbalance) > t * m.multiplier AS flag, least(1.0, greatest(0.0, abs(ib.trade_imbalance) / top)) AS norm, CASE WHEN f.trade_imbalance > 0 THEN 1 ELSE -1 END AS dir FROM ib JOIN ib f ON f.day = ib.day AND f.i = 1, th, (VALUES "
+  + ", ".join(f"({m}::DOUBLE)" for m in MULTIPLIERS) + ") m(multiplier)",
+  walk="""SELECT multiplier, day, i, CASE WHEN flag THEN i END AS since, flag::INT AS trades FROM hs WHERE i = 1
+    UNION ALL SELECT multiplier, day, i, CASE WHEN was IS NULL AND flag THEN i WHEN was IS NOT NULL AND NOT flag AND i - was >= 5 THEN NULL ELSE was END,
+    trades + ((was IS NULL AND flag) OR (was IS NOT NULL AND NOT flag AND i - was >= 5))::INT FROM (SELECT hs.multiplier, hs.day, hs.i, flag, since AS was, trades FROM walk JOIN hs ON hs.multiplier = walk.multiplier AND hs.day = walk.day AND hs.i = walk.i + 1)""",
+  hw="SELECT hs.*, (since IS NULL)::INT AS pos, trades, max((NOT flag)::INT) OVER w AS entered, 1 - norm AS size, lag(dir * (1 - norm)) OVER w AS was FROM hs JOIN walk USING (multiplier, day, i) WINDOW w AS (PARTITION BY multiplier, day ORDER BY i)",
+  hn="""SELECT multiplier, mode, day, n_trades, gross - n_trades * 0.001 AS net FROM (SELECT multiplier, k.mode, day, CASE WHEN mode = 'baseline' THEN 2 WHEN mode = 'filter' THEN 2 * max(entered) WHEN mode = 'sizing' THEN 2 + count(*) FILTER (WHERE abs(dir * size - was) > 0.1) ELSE 2 + max(trades) END::BIGINT AS n_trades,
+    sum(dir * ret * CASE mode WHEN 'baseline' THEN 1.0 WHEN 'exit' THEN pos WHEN 'leverage' THEN CASE WHEN pos = 0 THEN 0.5 ELSE 1.0 END WHEN 'filter' THEN entered ELSE size END::DOUBLE) AS gross
+    FROM hw, (VALUES ('baseline'), ('exit'), ('leverage'), ('filter'), ('sizing')) k(mode) GROUP BY 1, 2, 3)""").replace("WITH ", _FOLD, 1))
+def anomaly_harness(spark, sf):
+    """The five ways at three multiples of the scores' threshold (their 92.5 per cent quantile), each against the baseline."""
+    held = intraday(spark, sf).withColumn("score", F.abs("trade_imbalance"))
+    flagged_ = features.flag_all(held, "score", 0.925, [], MULTIPLIERS).withColumnRenamed("day", "date")
+    first = held.filter("i = 1").select(F.col("day").alias("first"), F.when(F.col("trade_imbalance") > 0, 1).otherwise(-1).alias("dir"))
+    rows = flagged_.join(first, F.col("date") == F.col("first")).withColumn("day", F.struct("multiplier", "date"))
+    made = strategy.anomaly_rules(rows.select("day", "i", "ret", "dir", "is_anomaly", "norm"), "is_anomaly", "norm", 5)
+    made = made.select("day.multiplier", "day.date", "mode", "n_trades", (F.col("gross") - F.col("n_trades") * 0.001).alias("net"))
+    out = frames.drawdown(made, "net", "date", False, ["multiplier", "mode"]).groupBy("multiplier", "mode").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("n_trades").alias("n_trades"), F.sum("net").alias("net"), strategy.sharpe(F.col("net"), 252).alias("sharpe"), (100.0 * F.avg(F.when(F.col("net") > 0, 1.0).otherwise(0.0))).alias("hit_pct"), F.min("drawdown").alias("max_drawdown"),
+    )
+    out = out.crossJoin(F.broadcast(out.filter("mode = 'baseline' AND multiplier = 1.0").select(F.col("net").alias("base"))))  # one row
+    return out.select("multiplier", "mode", "n", "n_trades", r6("net"), r6(F.col("net") - F.col("base"), "alpha"), r6("sharpe"), r6("hit_pct"), r6("max_drawdown"))
+
+
 @query(sql("SELECT day, entry::INT AS entry, exit::INT AS exit, side, round(pnl, 6) + 0.0 AS pnl FROM bp", "b15", ib=_I["ib"], **_BREAK).replace("WITH ", _FOLD, 1))
 def breakout_trades(spark, sf):
     held = intraday(spark, sf).withColumn("flag", F.col("trade_imbalance") > 0.5)

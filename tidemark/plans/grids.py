@@ -121,6 +121,15 @@ def walk_forward_rv(spark, sf):
     return _walked(regime_moments(spark, sf, RATIO, ROUNDS), least=30)
 
 
+@query(sql(f"SELECT count(*) AS rounds, median(s) AS short, median(l) AS long, round(median(q), 6) AS level FROM be JOIN {_params(RATIO)} p ON p.param = be.param", *_V, **_P, **_regime_sql(*RATIO), **_moments(_regime_rows(RATIO), ROUNDS, 0), **_walk(False, 30, 0)))
+def walk_forward_median(spark, sf):
+    """The median of each parameter that the 22 rounds chose."""
+    best = grids.walk_forward(regime_moments(spark, sf, RATIO, ROUNDS), least=30, rounds=len(ROUNDS) - 1)
+    named = spark.createDataFrame([(k, s, lo, q) for k, (s, lo, q) in enumerate(x for x in product(*RATIO) if x[0] < x[1])], "p int, s int, l int, q double")
+    middle = lambda c: F.percentile(c, F.lit(0.5))  # noqa: E731  22 rows
+    return best.join(named, F.col("param") == F.col("p")).agg(F.count(F.lit(1)).alias("rounds"), middle("s").alias("short"), middle("l").alias("long"), r6(middle("q"), "level"))
+
+
 @query(sql(_RESULT, *_V, **_P, **_regime_sql(*RATIO), **_moments(_regime_rows(RATIO), ROUNDS, 0), **_walk(True, 60, 0.05)))
 def walk_forward_ratio(spark, sf):
     """The same grid, chosen by information ratio among combinations short on at least a twentieth of the training days."""

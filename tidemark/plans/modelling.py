@@ -79,6 +79,14 @@ def anomaly_episodes(spark, sf):
     return features.episodes(held, "flag", "ts", ["day"]).select("day", "start", "rows")
 
 
+@query(sql("SELECT count(*) AS episodes, round(avg(rows), 6) AS mean_rows, max(rows) AS longest, round(100.0 * avg((rows <= 14)::INT), 6) AS short_pct FROM (SELECT count(*) AS rows FROM (SELECT *, sum(1 - f) OVER (PARTITION BY day ORDER BY ts) AS g FROM (SELECT ts::DATE AS day, ts, (trade_imbalance > 0.3)::INT AS f FROM b15)) WHERE f = 1 GROUP BY day, g)", "b15"))
+def episode_summary(spark, sf):
+    """How long episodes last, and the share of those of at most 14 rows."""
+    made = QUERIES["anomaly_episodes"](spark, sf)
+    short = 100.0 * F.avg(F.when(F.col("rows") <= 14, 1.0).otherwise(0.0))
+    return made.agg(F.count(F.lit(1)).alias("episodes"), r6(F.avg("rows"), "mean_rows"), F.max("rows").alias("longest"), r6(short, "short_pct"))
+
+
 def signals(spark, sf):
     """(ts, anomaly_score, is_anomaly): the size of the trade imbalance stands for a model's score."""
     return views.bars(spark, sf, 15).select("ts", F.abs("trade_imbalance").alias("anomaly_score"), (F.abs("trade_imbalance") > 0.3).alias("is_anomaly"))
