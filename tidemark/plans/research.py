@@ -280,7 +280,7 @@ def residual_t_tests(spark, sf):
 
 def _permuted(spark, sf, statistic, observed):
     held = backtests.daily(spark, sf).withColumn("pos", strategy.contrarian(F.col("fg"))).withColumn("cost", F.abs(F.col("pos") - F.coalesce(F.lag("pos").over(frames.over("d")), F.lit(0.0))) * 0.0004)
-    reps = resample.replicate(held, ["pos", "ret", "cost"], "d", 2000, statistic)
+    reps = resample.replicate(held, ["pos", "ret", "cost"], "d", 5_000, statistic)
     return resample.permutation_p(reps, held.agg(observed).first()[0], False)
 
 
@@ -292,4 +292,4 @@ def permutation_mean(spark, sf):
 @query()
 def permutation_signal(spark, sf):
     x = F.col("pos") * F.col("ret")
-    return _permuted(spark, sf, resample.permuted_signal, F.avg(x) / F.stddev_pop(x) * F.sqrt(F.lit(365.0)))
+    return _permuted(spark, sf, resample.permuted_signal, F.coalesce(F.try_divide(F.avg(x), F.stddev_pop(x)), F.lit(0.0)) * F.sqrt(F.lit(365.0)))

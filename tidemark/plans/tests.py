@@ -124,7 +124,7 @@ def vif(spark, sf):
 def permutation_corr(spark, sf):
     held = joined(spark, sf)
     observed = held.agg(frames.corr(F.col("change"), F.col("nxt"))).first()[0] or 0.0
-    return resample.permutation_p(resample.replicate(held, ["change", "nxt"], "d", 2000, resample.permuted_r), observed)
+    return resample.permutation_p(resample.replicate(held, ["change", "nxt"], "d", 10_000, resample.permuted_r), observed)
 
 
 @query()
@@ -134,14 +134,14 @@ def permutation_sharpe(spark, sf):
     held = held.withColumn("cost", F.abs(F.col("pos") - F.coalesce(F.lag("pos").over(w), F.lit(0.0))) * 0.0004)
     net = F.col("pos") * F.col("r") - F.col("cost")
     observed = held.agg(F.avg(net) / F.stddev_pop(net) * 365**0.5).first()[0] or 0.0
-    return resample.permutation_p(resample.replicate(held, ["pos", "r", "cost"], "d", 1000, resample.permuted_sharpe), observed, False)
+    return resample.permutation_p(resample.replicate(held, ["pos", "r", "cost"], "d", 5_000, resample.permuted_sharpe), observed, False)
 
 
 @query()
 def bootstrap_ci(spark, sf):
-    return resample.interval(resample.replicate(joined(spark, sf), ["change", "nxt"], "d", 2000, resample.paired_r))
+    return resample.interval(resample.replicate(joined(spark, sf), ["change", "nxt"], "d", 10_000, resample.paired_r))
 
 
 @query()
 def bootstrap_ci_independent(spark, sf):
-    return resample.interval(resample.replicate(joined(spark, sf), ["change", "nxt"], "d", 2000, resample.independent_r))
+    return resample.interval(resample.replicate(joined(spark, sf), ["change", "nxt"], "d", 10_000, resample.independent_r))
