@@ -64,14 +64,22 @@ def clamp(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 
 
-def cut(x: Column, edges: list[float], labels: list[str]) -> Column:
-    """Right-closed bins (edges[k], edges[k+1]]; null outside."""
+def cut(x: Column, edges: list[float], labels: list[str], right: bool = True, include_lowest: bool = False) -> Column:
+    """Bins (edges[k], edges[k+1]], the first one with its lower edge if include_lowest; with right=False [edges[k], edges[k+1]).
+    Null outside.
+    """
     out = F.lit(None).cast("string")
-    for a, b, label in reversed(list(zip(edges, edges[1:], labels, strict=False))):
-        out = F.when((x > a) & (x <= b), label).otherwise(out)
+    for k, (a, b, label) in reversed(list(enumerate(zip(edges, edges[1:], labels, strict=False)))):
+        above = x >= a if not right or (include_lowest and k == 0) else x > a
+        out = F.when(above & (x <= b if right else x < b), label).otherwise(out)
     return out
 
 
+def normalised(x: Column) -> Column:
+    """Text without surrounding space, in upper case."""
+    return F.upper(F.trim(x))
+
+
 def stars(p: Column, levels: tuple[float, ...] = (0.001, 0.01, 0.05)) -> Column:
     out = F.lit("")
     for k, level in enumerate(reversed(levels), 1):

@@ -150,3 +150,13 @@ def write_csv(df: DataFrame, path: str) -> None:
     """Flat rows as CSV with a header; nested columns are written as JSON."""
     plain = [F.to_json(f.name).alias(f.name) if f.dataType.typeName() in ("array", "map", "struct") else F.col(f"`{f.name}`") for f in df.schema]
     df.select(*plain).write.option("header", True).csv(path)
+
+
+def nested(parts: dict) -> Column:
+    """A struct of columns and further dicts: the shape of a nested document."""
+    return F.struct(*[(nested(c) if isinstance(c, dict) else c).alias(name) for name, c in parts.items()])
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """A JSON document a line, nested columns as they are; nulls are written, so that every document has every field."""
+    df.write.option("ignoreNullFields", False).json(path)
