@@ -1,16 +1,16 @@
 """Personal data: exact base rules, and a character-level bidirectional LSTM with CRF transitions that adds spans.
 
 The tagger is trained in numpy on windows of a bounded sample, labelled by the base rules and by spans written into them
-in further layouts. Texts are cut into overlapping windows on a fixed grid; each is decoded by Viterbi, and windows are
-reconciled over the whole text: every place takes the tag of the window whose middle is nearest, then runs of tags
-become spans, across windows too. A span must hold a digit or an "@", so a window without either is all "outside"; it
-is not computed. A span that begins or ends within a run of digits takes all of the run. Added spans must satisfy the
+in further layouts. Texts are cut into overlapping windows on a fixed grid, whose emissions are joined: a place takes the mean of
+the windows that hold it, weighted towards their middles. One Viterbi pass then decodes each whole run of overlapping windows, however
+long, so tags agree across windows. A span must hold a digit or an "@", so a window without either is all "outside"; it
+is not computed, and ends a run. A span that begins or ends within a run of digits takes all of the run. Added spans must satisfy the
 kind's own check (of a phone number, 9 to 15 digits; of a card, Luhn) and may not touch a base span.
 
 Base rules, leftmost and non-overlapping for each kind, on whole texts; offsets count code points, ends are exclusive.
 
 Defined cases: a null text is empty and has no spans; long texts cost time in proportion (no rule backtracks over its
-run, windows go in batches); rows are judged one by one; an empty sample gives the base rules alone.
+run; a run of windows holds 80 bytes a place); rows are judged one by one; an empty sample gives the base rules alone.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ SAMPLE_DOCS = 1500
 SAMPLE_WINDOWS = 3000
 WRITINGS = 4  # windows at each place, with other values written in
 WIDTH, STRIDE, UNITS = 64, 32, 16
+BATCH = 2048  # windows computed at a time
 N_TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -123,19 +124,23 @@ class Tagger:
         states = [_run_lstm(x if d == "f" else x[:, ::-1], w["x" + d], w["h" + d], w["b" + d])[0] for d in "fb"]
         return np.concatenate([states[0], states[1][:, ::-1]], 2) @ w["o"] + w["c"]
 
-    def decode(self, x: np.ndarray) -> np.ndarray:
-        """Windows of classes -> their best tags, by Viterbi."""
-        e, t = self.emissions(x), self.weights["t"]
-        n, width, _ = e.shape
-        score, back = e[:, 0].copy(), np.zeros((n, width, N_TAGS), np.int8)
+    def decode(self, emissions: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Emissions of runs, longest first, each up to its length -> their best tags, by Viterbi over the whole of each run."""
+        t = self.weights["t"]
+        n, width, _ = emissions.shape
+        score = emissions[:, 0].copy()
+        back = np.broadcast_to(np.arange(N_TAGS, dtype=np.int8), (n, width, N_TAGS)).copy()
+        alive = np.searchsorted(-lengths, -np.arange(width))  # runs longer than each place
         for k in range(1, width):
-            step = score[:, :, None] + t
-            back[:, k] = step.argmax(1)
-            score = step.max(1) + e[:, k]
+            m = alive[k]
+            step = score[:m, :, None] + t
+            back[:m, k] = step.argmax(1)
+            score[:m] = step.max(1) + emissions[:m, k]
         tags = np.zeros((n, width), np.int8)
         tags[:, -1] = score.argmax(1)
         for k in range(width - 1, 0, -1):
             tags[:, k - 1] = back[np.arange(n), k, tags[:, k]]
+        tags[np.arange(width)[None] >= lengths[:, None]] = 0
         return tags
 
 
@@ -304,45 +309,70 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Ta
     return fit(x, y) if len(x) >= 20 else None
 
 
+def _joint(tagger: Tagger, own: list[np.ndarray], runs: list[tuple[int, int, int]], places: int) -> np.ndarray:
+    """Emissions of runs (text, first start, windows) over all their places: the mean of the windows that hold a place, weighted by
+    how far inside the window it lies.
+    """
+    sums, weights = np.zeros((len(runs), places, N_TAGS), np.float32), np.zeros((len(runs), places, 1), np.float32)
+    inside = np.minimum(np.arange(1, WIDTH + 1), np.arange(WIDTH, 0, -1)).astype(np.float32)[:, None]
+    jobs = [(r, k) for r, (_, _, many) in enumerate(runs) for k in range(many)]
+    for lo in range(0, len(jobs), BATCH):
+        part = jobs[lo : lo + BATCH]
+        starts = [runs[r][1] + (k + 1) * STRIDE for r, k in part]  # texts have STRIDE places before them
+        found = tagger.emissions(np.array([own[runs[r][0]][s : s + WIDTH] for (r, _), s in zip(part, starts, strict=True)]))
+        for (r, k), e in zip(part, found, strict=True):
+            at = slice(k * STRIDE, k * STRIDE + WIDTH)
+            sums[r, at] += inside * e
+            weights[r, at] += inside
+    return sums / np.maximum(weights, 1)
+
+
+def _runs_of(text: str) -> list[tuple[int, int]]:
+    """(first start, windows) of the stretches of overlapping windows around the text's digits and at-signs."""
+    runs: list[tuple[int, int]] = []
+    last = None
+    for m in _TRIGGER.finditer(text):
+        s = m.start() // STRIDE * STRIDE
+        if s == last:
+            continue
+        last = s
+        if runs and s - STRIDE <= runs[-1][0] + runs[-1][1] * STRIDE:  # its windows join those before
+            runs[-1] = (runs[-1][0], (s - runs[-1][0]) // STRIDE + 1)
+        else:
+            runs.append((s - STRIDE, 2))
+    return runs
+
+
+def _spans(tags: np.ndarray, begin: int) -> Iterator[tuple[int, int, int]]:
+    """Stretches of one begin and its insides, or of insides alone, from place begin on."""
+    open_: tuple[int, int, int] | None = None
+    for k in np.flatnonzero(tags):
+        tag, at = int(tags[k]), begin + int(k)
+        kind = (tag - 1) // 2
+        if open_ and tag % 2 == 0 and kind == open_[1] and at == open_[2]:
+            open_ = (open_[0], kind, at + 1)
+            continue
+        if open_:
+            yield open_
+        open_ = (at, kind, at + 1)
+    if open_:
+        yield open_
+
+
 def tag_texts(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int, int]]]:
-    """Spans that the tagger sees in each text, with windows of all texts decoded together."""
-    jobs, windows, classes = [], [], []
-    for j, text in enumerate(texts):
-        places = sorted({s for m in _TRIGGER.finditer(text) for s in ((m.start() // STRIDE) * STRIDE - STRIDE, (m.start() // STRIDE) * STRIDE) if s >= -STRIDE})
-        own = np.concatenate([np.zeros(STRIDE, np.uint8), _encoded(text), np.zeros(WIDTH + STRIDE, np.uint8)]) if places else None
-        classes.append(own)
-        for s in places:
-            jobs.append((j, s))
-            windows.append(own[s + STRIDE : s + STRIDE + WIDTH])
+    """Spans that the tagger sees in each text. Runs of overlapping windows are decoded as one, those of all texts together."""
+    runs = [(j, s, many) for j, text in enumerate(texts) for s, many in _runs_of(text)]
+    own = {j: np.concatenate([np.zeros(STRIDE, np.uint8), _encoded(texts[j]), np.zeros(WIDTH + STRIDE, np.uint8)]) for j in {j for j, _, _ in runs}}
+    runs.sort(key=lambda r: -r[2])
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    if not jobs:
-        return out
-    tags = np.concatenate([tagger.decode(np.array(windows[k : k + 2048])) for k in range(0, len(windows), 2048)])
-    # reconcile: the middle half of each window holds, as windows start every half width
-    per_text: dict[int, list[tuple[int, np.ndarray]]] = {}
-    quarter = (WIDTH - STRIDE) // 2
-    for (j, s), t in zip(jobs, tags, strict=True):
-        per_text.setdefault(j, []).append((s + quarter, t[quarter : quarter + STRIDE]))
-    for j, parts in per_text.items():
-        open_: tuple[int, int, int] | None = None
-        for begin, t in parts:
-            if open_ and open_[2] != begin:
-                out[j].append(open_)
-                open_ = None
-            for k in np.flatnonzero(t) if open_ is None else range(len(t)):
-                tag, at = int(t[k]), begin + int(k)
-                kind = (tag - 1) // 2
-                if open_ and tag and tag % 2 == 0 and kind == open_[1] and at == open_[2]:
-                    open_ = (open_[0], kind, at + 1)
-                    continue
-                if open_:
-                    out[j].append(open_)
-                    open_ = None
-                if tag:
-                    open_ = (at, kind, at + 1)
-        if open_:
-            out[j].append(open_)
-    return out
+    lo = 0
+    while lo < len(runs):
+        some = runs[lo : lo + max(1, BATCH // runs[lo][2])]
+        lo += len(some)
+        lengths = np.array([(many - 1) * STRIDE + WIDTH for _, _, many in some])
+        for (j, s, _), tags in zip(some, tagger.decode(_joint(tagger, own, some, int(lengths[0])), lengths), strict=True):
+            out[j] += _spans(tags, s)
+    return [sorted(spans) for spans in out]
 
 
 def _whole_runs(text: str, a: int, b: int) -> tuple[int, int]:
