@@ -1,7 +1,7 @@
 """A store of token ids: each document compressed on its own under one shared zstandard dictionary.
 
-A store is a folder with three Parquet tables. `format` says how wide ids are and whether there is a dictionary (a sample
-that is too small gives none). `dictionary` has one row: the dictionary's bytes and their SHA-256.
+A store is a folder with three Parquet tables. `format` says how wide ids are, where the buckets' edges lie and whether there is a
+dictionary (a sample that is too small gives none). `dictionary` has one row: the dictionary's bytes and their SHA-256.
 `shards` has a row for each run of documents in ascending id order: bucket and seq (the shard's place), the
 dictionary's hash, base (ids before the shard within its bucket), and, for each document, its id, its number of
 token ids and its offset into payload, the concatenated frames. A short document is read by one slice of payload.
@@ -121,7 +121,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
     dealt = frames.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket").sortWithinPartitions("bucket", F.col("id").asc_nulls_first(), "frame")
     schema = "bucket int, seq int, dictionary_sha256 string, base long, ids array<long>, n_tokens array<long>, offsets array<long>, payload binary"
     dealt.mapInArrow(_shards(digest), schema).write.option("compression", "none").parquet(f"{path}/shards")
-    spark.createDataFrame([(short, end_id, bool(dictionary))], "short boolean, end_id int, has_dictionary boolean").coalesce(1).write.parquet(f"{path}/format")
+    spark.createDataFrame([(short, end_id, bool(dictionary), edges)], "short boolean, end_id int, has_dictionary boolean, edges array<long>").coalesce(1).write.parquet(f"{path}/format")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -153,5 +153,32 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return placed.mapInArrow(run, "id long, start long, n_tokens long, tokens binary")
 
 
+def lookup(spark: SparkSession, path: str, ids: list[int]) -> DataFrame:
+    """-> id, n_tokens, tokens of the stored documents that have one of the ids; a null among them asks for rows without an id.
+
+    The edges say which buckets can hold the ids; the filter on them goes to the Parquet scan, whose statistics leave out the payload
+    of other buckets. Of the shards that stay, only the slices of the wanted documents are decompressed.
+    """
+    form, (digest, dictionary) = spark.read.parquet(f"{path}/format").first(), spark.read.parquet(f"{path}/dictionary").first()
+    buckets = np.unique(np.searchsorted(np.array(form.edges, np.int64), [-(2**63) if i is None else i for i in ids], side="right")).tolist()
+    shards = spark.read.parquet(f"{path}/shards").filter(F.col("bucket").isin(buckets)).select("dictionary_sha256", "ids", "n_tokens", "offsets", "payload")
+    kind, wanted, dictionary = "<u2" if form.short else "<u4", set(ids), bytes(dictionary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["dictionary_sha256"] != digest:
+                    raise ValueError("a shard was written with another dictionary")
+                places = [k for k, i in enumerate(row["ids"]) if i in wanted]
+                offsets, payload = row["offsets"], memoryview(row["payload"])
+                for lo in range(0, len(places), 500):
+                    some = places[lo : lo + 500]
+                    tokens = [np.frombuffer(unpack.decompress(payload[offsets[k] : offsets[k + 1]]), kind).astype("<u4").tobytes() for k in some]
+                    yield pa.RecordBatch.from_arrays([pa.array([row["ids"][k] for k in some], pa.int64()), pa.array([row["n_tokens"][k] for k in some], pa.int64()), pa.array(tokens, pa.binary())], ["id", "n_tokens", "tokens"])
+
+    return shards.mapInArrow(run, "id long, n_tokens long, tokens binary")
+
+
 def checksum(tokens: bytes) -> int:
     return zlib.crc32(tokens)
