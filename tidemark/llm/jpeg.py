@@ -432,7 +432,8 @@ def load(media: DataFrame, media_col: str = "media", tensors: bool = True) -> Da
             return dict.fromkeys(("payload", "width", "height", "feature", "rgb"))
         image = decode_coefficients(data)
         rgb = decode_rgb(image)
-        return {"payload": decode_payload(image), "width": image.width, "height": image.height, "feature": features(rgb), "rgb": rgb.tobytes() if tensors else None}
+        payload = decode_payload(image) if image.comment.startswith(b"blocks=") else None  # files from elsewhere hold none
+        return {"payload": payload, "width": image.width, "height": image.height, "feature": features(rgb), "rgb": rgb.tobytes() if tensors else None}
 
     return _added(media, media_col, {"payload": "binary", "width": "int", "height": "int", "feature": "string"} | ({"rgb": "binary"} if tensors else {}), work)
 
