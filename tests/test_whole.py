@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tidemark.operators import events, strategy
@@ -124,3 +125,19 @@ def test_thinning_gathers_no_user_in_a_row(spark, gap):
 def test_thinning_keeps_events_without_a_time(spark):
     df = spark.createDataFrame([(1, None), (1, T0), (1, T0), (1, None)], "u int, ts timestamp_ntz")
     assert sorted(str(r.ts) for r in events.thin(df, 30, ["u"]).collect()) == [str(T0), "None", "None"]
+
+
+def test_ratios_without_deviation_equal_sql(spark, tmp_path):
+    # every trade is a buy: all bars are flagged at the lower thresholds, and each day nets the same
+    sf = events_table(tmp_path, [(86400 * d + 900 * k, 100 + (d * k) % 7) for d in range(4) for k in range(12)])
+    for t in ("orders", "lineitem"):
+        (tmp_path / f"{t}.parquet").symlink_to(f"/root/testdata/sf0.001/{t}.parquet")
+    equals_sql(spark, sf, "anomaly_harness")
+    found = {(r["multiplier"], r["mode"]): r["sharpe"] for r in entry.queries()["anomaly_harness"](spark, sf).collect()}
+    assert found[0.5, "exit"] == float("-inf") and np.isnan(found[0.5, "filter"]) and np.isfinite(found[1.0, "baseline"])
+
+
+def test_plain_ratio_of_one_or_equal_values(spark):
+    df = spark.createDataFrame([(1, 2.0), (2, 0.0), (2, 0.0), (3, -1.0), (3, -1.0), (4, 3.0), (4, 1.0)], "g int, r double")
+    got = {r.g: (r.a, r.b) for r in df.groupBy("g").agg(strategy.sharpe(F.col("r"), 1, plain=True).alias("a"), strategy.sharpe(F.col("r"), 1, 0, True).alias("b")).collect()}
+    assert got[1] == (None, float("inf")) and np.isnan(got[2]).all() and got[3] == (float("-inf"),) * 2 and got[4] == (pytest.approx(2 / 2**0.5), 2.0)

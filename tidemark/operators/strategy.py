@@ -19,10 +19,15 @@ from .quantiles import exact_quantiles
 # ---- metrics
 
 
-def sharpe(ret: Column, year: int = 252, ddof: int = 1) -> Column:
-    """Mean over deviation, annualised; 0 without deviation."""
-    sd = (F.stddev_samp if ddof else F.stddev_pop)(ret)
-    return F.when(sd > 0, F.avg(ret) / sd * F.sqrt(F.lit(float(year)))).otherwise(F.lit(0.0))
+def sharpe(ret: Column, year: int = 252, ddof: int = 1, plain: bool = False) -> Column:
+    """Mean over deviation, annualised; 0 without deviation. With plain, what the division gives then: infinite with the mean's
+    sign, NaN if that is 0 too; null for too few values.
+    """
+    sd, mean = (F.stddev_samp if ddof else F.stddev_pop)(ret), F.avg(ret)
+    ratio = F.when(sd > 0, mean / sd * F.sqrt(F.lit(float(year))))
+    if not plain:
+        return ratio.otherwise(F.lit(0.0))
+    return F.when(sd.isNotNull(), ratio.when(mean > 0, float("inf")).when(mean < 0, float("-inf")).otherwise(float("nan")))
 
 
 def profit_factor(pnl: Column) -> Column:
@@ -31,12 +36,12 @@ def profit_factor(pnl: Column) -> Column:
     return F.when(loss > 0, F.coalesce(gain, F.lit(0.0)) / loss).when(gain > 0, F.lit(float("inf")))
 
 
-def metrics(df: DataFrame, by: list[str], ret: str, order: str, year: int = 252, compound: bool = False, ddof: int = 1) -> DataFrame:
-    """by, n, total, mean, sharpe, max_drawdown, win_pct, profit_factor of return rows."""
+def metrics(df: DataFrame, by: list[str], ret: str, order: str, year: int = 252, compound: bool = False, ddof: int = 1, plain: bool = False) -> DataFrame:
+    """by, n, total, mean, sharpe (with plain as there), max_drawdown, win_pct, profit_factor of return rows."""
     held = drawdown(df, ret, order, compound, by)
     total = F.exp(F.sum(F.log1p(ret))) - 1 if compound else F.sum(ret)
     return held.groupBy(*by).agg(
-        F.count(ret).alias("n"), total.alias("total"), F.avg(ret).alias("mean"), sharpe(F.col(ret), year, ddof).alias("sharpe"), F.min("drawdown").alias("max_drawdown"),
+        F.count(ret).alias("n"), total.alias("total"), F.avg(ret).alias("mean"), sharpe(F.col(ret), year, ddof, plain).alias("sharpe"), F.min("drawdown").alias("max_drawdown"),
         (100.0 * F.avg(F.when(F.col(ret) > 0, 1.0).otherwise(0.0))).alias("win_pct"), profit_factor(F.col(ret)).alias("profit_factor"),
     )
 

@@ -146,7 +146,7 @@ def monthly_rollup(spark, sf):
 @query(sql("SELECT year(d)::INT AS year, count(*) AS n, round(sum(ret), 6) AS total, round(avg(ret) / stddev_samp(ret) * sqrt(365), 6) AS sharpe, round(100.0 * avg((ret > 0)::INT), 6) AS up_pct FROM ret WHERE ret IS NOT NULL GROUP BY 1", "ret"))
 def yearly_breakdown(spark, sf):
     held = views.px(spark, sf).withColumn("ret", frames.change(F.col("close"), 1, frames.over("d"))).filter("ret IS NOT NULL")
-    return held.groupBy(F.year("d").alias("year")).agg(F.count(F.lit(1)).alias("n"), r6(F.sum("ret"), "total"), r6(sharpe(F.col("ret"), 365), "sharpe"), r6(100.0 * F.avg((F.col("ret") > 0).cast("double")), "up_pct"))
+    return held.groupBy(F.year("d").alias("year")).agg(F.count(F.lit(1)).alias("n"), r6(F.sum("ret"), "total"), r6(sharpe(F.col("ret"), 365, plain=True), "sharpe"), r6(100.0 * F.avg((F.col("ret") > 0).cast("double")), "up_pct"))
 
 
 @query("SELECT event_type, CAST(props->>'k' AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1, 2")
