@@ -27,6 +27,38 @@ def test_exact_quantiles_whatever_the_sketch(spark, accuracy):
     assert [(r.n, r.quantiles) for r in empty.collect()] == [(0, None)] and quantiles.exact_quantiles(df.limit(0), "x", ps, ["g"]).count() == 0
 
 
+def shuffled_rows(df):
+    """Rows that the exchanges of the plan that ran wrote, at most by one of them."""
+
+    def walk(p):
+        kind = p.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(p.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(p.plan())
+        own = [p.metrics().apply("shuffleRecordsWritten").value()] if kind == "ShuffleExchangeExec" else []
+        return own + [n for k in range(p.children().size()) for n in walk(p.children().apply(k))]
+
+    df.collect()
+    return max(walk(df._jdf.queryExecution().executedPlan()))
+
+
+def test_rows_of_large_groups_are_not_shuffled_to_them(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(quantiles, "HOT", 400, raising=False)  # "hot", "tied" and "same" have more rows
+    rows, df = groups(spark, 20_000)
+    ps = [0.0, 0.5, 0.99]
+    df.write.parquet(f"{tmp_path}/t")
+    made = quantiles.exact_quantiles(spark.read.parquet(f"{tmp_path}/t"), "x", ps, ["g"], 200)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of a size that Spark does not broadcast
+    try:
+        assert shuffled_rows(made) < 3000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for r in made.collect():
+        xs = [x for k, x in rows if k == r.g and x is not None and x == x]
+        assert r.n == len(xs) and (r.quantiles == pytest.approx(list(np.quantile(xs, ps))) if xs else r.quantiles is None)
+
+
 def test_no_task_holds_a_group(spark):
     df = spark.range(400_000).select(F.lit("one").alias("g"), (F.pmod(F.hash("id"), F.lit(10**9)) / 3.0).alias("x"))
     plan = quantiles.exact_quantiles(df, "x", [0.9], ["g"])._jdf.queryExecution().optimizedPlan().toString()

@@ -2,7 +2,11 @@
 
 A mergeable sketch (bounded, partial before the shuffle) gives two values that enclose each wanted rank. Rows below the
 bracket are only counted; those inside it are counted by value, and a running count over these values finds the two order
-statistics. So of a group of n rows a task sorts about 6 n / ACCURACY distinct values, and the data is read twice.
+statistics. So of a group of n rows a task sorts about 6 n / ACCURACY distinct values.
+
+Rows meet the bracket of their group where they are read if the group has HOT rows or more: of such groups there is one at most
+for each HOT rows of the table, and those are broadcast. Rows of other groups are shuffled to theirs, so a group brings less than
+HOT rows to a task. The data is read three times with keys, twice without.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 ACCURACY = 10_000
+HOT = 1_000_000
 
 
 def exact_quantiles(df: DataFrame, x: str | Column, ps: list[float], by: list[str] | tuple[str, ...] = (), accuracy: int = ACCURACY) -> DataFrame:
@@ -26,12 +31,16 @@ def exact_quantiles(df: DataFrame, x: str | Column, ps: list[float], by: list[st
     sizes = held.groupBy(*keys).agg(F.count("__x").alias("n"), F.min("__x").alias("__a"), F.max("__x").alias("__z"), F.percentile_approx("__x", F.array(*map(F.lit, marks)), F.lit(accuracy)).alias("__m"))
     few = F.col("n") <= accuracy  # the margin is less than a rank then
     each = [F.struct(F.lit(j).alias("j"), (F.col("n") - 1).cast("double").alias("last"), F.lit(float(p)).alias("p"), F.when(few, F.col("__a")).otherwise(F.get("__m", F.lit(2 * j))).alias("low"), F.when(few, F.col("__z")).otherwise(F.get("__m", F.lit(2 * j + 1))).alias("high")) for j, p in enumerate(ps)]
-    brackets = sizes.filter("n > 0").select(*keys, F.array(*each).alias("__b"))
+    brackets = sizes.filter("n > 0").select(*keys, F.col("n").alias("__n"), F.array(*each).alias("__b"))
     names = {k: f"__k{i}" for i, k in enumerate(keys)}
     brackets = brackets.withColumnsRenamed(names)
     rows = held.filter("__x IS NOT NULL")
-    # a row a group: a hash join that Spark may broadcast if the groups are few, by its own limit
-    rows = rows.join(brackets, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]) if keys else rows.crossJoin(F.broadcast(brackets))
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
+    if keys:
+        hot, others = F.broadcast(brackets.filter(F.col("__n") >= HOT)), brackets.filter(F.col("__n") < HOT)
+        rows = rows.join(hot, same).union(rows.join(hot, same, "left_anti").join(others, same))
+    else:
+        rows = rows.crossJoin(F.broadcast(brackets))
     rows = rows.select(*keys, "__x", F.explode("__b").alias("b")).filter(F.col("__x") <= F.col("b.high"))
     inside = F.when(F.col("__x") >= F.col("b.low"), F.col("__x"))
     counted = rows.groupBy(*keys, F.col("b.j").alias("__j"), F.col("b.last").alias("__last"), F.col("b.p").alias("__p"), inside.alias("__v")).agg(F.count(F.lit(1)).alias("__w"))
