@@ -519,3 +519,14 @@ def test_pipeline_stages(spark):
                 total = sum(len(x) for x in (np.array([*Tokenizer.from_file(PATH).encode(r.text or "", add_special_tokens=False).ids, 0]) for r in before.collect()))
                 pieces = now.collect()
                 assert sum(r.length for r in pieces) == total and {r.doc_id for r in pieces} == set(ids)
+
+
+def test_words_with_other_marks_are_not_tokenized_again_when_the_memo_starts_anew(monkeypatch):
+    from tidemark.llm import queries, tokens
+
+    e, calls = tokens.Encoder(queries.tokenizer_path(), 3), []
+    part = e.part
+    monkeypatch.setattr(e, "part", lambda x: calls.append(x) or part(x))
+    for text in ("x alpha beta gamma delta", "x alpha, beta.", "été alpha,\nbeta  gamma É. "):
+        assert e.one(text) == e.whole(text)
+    assert calls.count(" alpha") == calls.count(" beta") == 1

@@ -21,6 +21,8 @@ from tokenizers import Tokenizer
 
 #: Pre-tokens that are the same whatever the version of Unicode: letters, marks, one line end before a non-space.
 _PARTS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[.,;:!?#$%&*|()\-]+|\n(?=\S)")
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+_SPACED = re.compile(" [A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 
 
 def _byte_letters() -> dict[int, str]:
@@ -33,7 +35,7 @@ def _byte_letters() -> dict[int, str]:
 class Encoder:
     """one(text) -> the ids of the text as little-endian unsigned 32-bit integers, one after another."""
 
-    def __init__(self, path: str, most: int = 300_000) -> None:
+    def __init__(self, path: str, most: int = 700_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
@@ -45,13 +47,14 @@ class Encoder:
         self.by_words = bool(cut_alike and about["model"]["type"] == "BPE" and not about.get("normalizer") and not about["model"].get("dropout"))
         self.model, self.most = self.tokenizer.model, most
         self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
-        self.memo, self.parts = _Memo(self), _Parts(self)
-        self.older: dict[str, bytes | None] = {}
+        self.memo: dict[str, bytes] = {}  # words, without the space before them, to their packed ids
+        self.older: dict[str, bytes] = {}
+        self.parts, self.one_id = _Parts(self), _Packed()
 
     def packed(self, piece: str) -> bytes:
         parts = _PARTS.findall(piece)
         if sum(map(len, parts)) == len(piece):
-            return b"".join([self.parts[x] for x in parts])
+            return b"".join([self.word(x[1:]) if _SPACED(x) else self.parts[x] for x in parts])
         return self.whole(piece)
 
     def whole(self, text: str) -> bytes:
@@ -59,50 +62,57 @@ class Encoder:
         return pack(f"<{len(ids)}I", *ids)
 
     def part(self, x: str) -> bytes:
-        ids = [t.id for t in self.model.tokenize(x.encode().decode("latin-1").translate(self.letters))]
-        return pack(f"<{len(ids)}I", *ids)
+        if not x.isascii():
+            x = x.encode().decode("latin-1")
+        one = self.one_id
+        return b"".join([one[t.id] for t in self.model.tokenize(x.translate(self.letters))])
+
+    def word(self, word: str) -> bytes | None:
+        """The ids of the word after a space; None for what is not a word."""
+        ids = self.memo.get(word)
+        if ids is None:
+            ids = self.older.get(word)
+            if ids is None:
+                if _LETTERS(word):
+                    ids = self.part(" " + word)
+                elif not word or word[0].isspace():
+                    return None
+                else:
+                    ids = self.packed(" " + word)
+            self.memo[word] = ids
+        return ids
 
     def one(self, text: str) -> bytes:
         if not text:
             return b""
         if not self.by_words or self.added and self.added.search(text):
             return self.whole(text)
-        memo = self.memo
-        if len(memo) > self.most:
-            self.older = dict(memo)  # words that come again move back from here
-            memo.clear()
+        if len(self.memo) > self.most:
+            self.older, self.memo = self.memo, {}  # words that come again move back from there
             self.parts.clear()
         first, *rest = text.split(" ")
-        found = [memo[w] for w in rest]
-        if None in found:  # runs of white space: pieces of several words
-            pieces = [first]
-            for word in rest:
-                if word and not word[0].isspace():
-                    pieces.append(" " + word)
-                else:
-                    pieces[-1] += " " + word
-            return b"".join(self.packed(p) for p in pieces if p)
+        found = list(map(self.memo.get, rest))
+        for k, ids in enumerate(found):
+            if ids is None:
+                found[k] = ids = self.word(rest[k])
+                if ids is None:  # runs of white space: pieces of several words
+                    return b"".join([self.packed(p) for p in _pieces(first, rest)])
         return (self.packed(first) if first else b"") + b"".join(found)
 
 
-class _Memo(dict):
-    """Words, without the space before them, to their packed ids; None for what is not a word."""
-
-    def __init__(self, encoder: Encoder) -> None:
-        self.encoder = encoder
-
-    def __missing__(self, word: str) -> bytes | None:
-        older = self.encoder.older
-        if word in older:
-            ids = older[word]
+def _pieces(first: str, rest: list[str]) -> list[str]:
+    """The text cut before each single space that a non-space follows."""
+    pieces = [first]
+    for word in rest:
+        if word and not word[0].isspace():
+            pieces.append(" " + word)
         else:
-            ids = None if not word or word[0].isspace() else self.encoder.packed(" " + word)
-        self[word] = ids
-        return ids
+            pieces[-1] += " " + word
+    return [p for p in pieces if p]
 
 
 class _Parts(dict):
-    """Pre-tokens to their packed ids: words that differ in the marks around them share these."""
+    """Pre-tokens other than a word after a space to their packed ids: words that differ in the marks around them share these."""
 
     def __init__(self, encoder: Encoder) -> None:
         self.encoder = encoder
@@ -112,6 +122,14 @@ class _Parts(dict):
         return ids
 
 
+class _Packed(dict):
+    """An id to its four bytes."""
+
+    def __missing__(self, i: int) -> bytes:
+        self[i] = four = pack("<I", i)
+        return four
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One for each Python worker; workers serve many tasks."""
