@@ -80,3 +80,23 @@ def test_large_groups_in_many_cells_equal_brute_force(spark, monkeypatch):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     assert got == {i: find(i) for i in range(len(rows))} and 10 < len(set(got.values())) < 250
+
+
+def _batch_of_texts(texts):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["id", "text"])
+
+
+def test_rows_of_parts_carry_half_a_name_and_pairs_leave_a_batch_once():
+    import numpy as np
+    import pyarrow as pa
+
+    from tidemark.llm import ngram_join
+
+    none, text = np.zeros(0, np.uint64), [f"w{k}" for k in range(400)]
+    rows = pa.Table.from_batches(ngram_join._rows_of(none, none)([_batch_of_texts([" ".join(text), " ".join([*text[:-1], "z"])])]))
+    parts = rows.filter(rows["key"].is_valid())
+    assert parts.num_rows > 100 and parts["y"].null_count == parts.num_rows
+    pairs = pa.Table.from_batches(ngram_join._groups(parts.sort_by("key").combine_chunks().to_batches()))
+    assert pairs.num_rows <= 2 and {pairs["x"][0].as_py(), pairs["bx"][0].as_py()} == set(parts["x"].to_pylist())

@@ -157,9 +157,10 @@ def _batch(schema: pa.Schema, rows: int, /, **columns) -> pa.RecordBatch:
 
 
 def _rows_of(hot: np.ndarray, direct: np.ndarray):
-    """(id, text) -> a row (key, node, z) for each part that a set joins by, once a task for equal sets, with z twice the set's
-    size, and one more for a direct part; and for each document a row (node, z, id, sketch) without a key, with z its size; only
-    a set's first row in a task has the sketch. A node is the pair (x, y).
+    """(id, text) -> a row (key, x, z) for each part that a set joins by, once a task for equal sets, with z twice the set's
+    size, and one more for a direct part; and for each document a row (x, y, z, id, sketch) without a key, with z its size; only
+    a set's first row in a task has the sketch. A node is the pair (x, y); x alone stands for it in groups, as these rows are
+    many, and what a group names by x is looked for in every node that has it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +175,7 @@ def _rows_of(hot: np.ndarray, direct: np.ndarray):
                     own = sketch(s)
                     keys.append(join_keys(s, hot))
                     late.append(_among(keys[-1], direct))
-                    nodes.append((*node, len(s), len(keys[-1])))
+                    nodes.append((node[0], len(s), len(keys[-1])))
                 docs.append((*node, i, len(s), own))
                 if len(keys) >= 500:
                     yield _key_rows(keys, late, nodes)
@@ -188,8 +189,8 @@ def _rows_of(hot: np.ndarray, direct: np.ndarray):
 
 
 def _key_rows(keys: list, late: list, nodes: list) -> pa.RecordBatch:
-    x, y, z, n = (np.array(c, np.int64) for c in zip(*nodes, strict=True))
-    return _batch(_ROW, int(n.sum()), key=np.concatenate(keys).view(np.int64), x=np.repeat(x, n), y=np.repeat(y, n), z=2 * np.repeat(z, n) + np.concatenate(late))
+    x, z, n = (np.array(c, np.int64) for c in zip(*nodes, strict=True))
+    return _batch(_ROW, int(n.sum()), key=np.concatenate(keys).view(np.int64), x=np.repeat(x, n), z=2 * np.repeat(z, n) + np.concatenate(late))
 
 
 def _all_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,20 +205,20 @@ def _all_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(parts.view(np.int64)), pa.array(np.full(len(parts), node[0], np.int64))], ["key", "x"])
 
 
-_GROUP = pa.schema([("key", pa.int64()), *((c, pa.int64()) for c in ("x", "y", "z", "bx", "by", "id", "size")), ("sketch", pa.binary())])
-_GROUP_SQL = "key long, x long, y long, z long, bx long, by long, id long, size long, sketch binary"
+_GROUP = pa.schema([*((c, pa.int64()) for c in ("key", "x", "y", "bx", "id", "size")), ("sketch", pa.binary())])
+_GROUP_SQL = "key long, x long, y long, bx long, id long, size long, sketch binary"
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in the order of their keys -> pairs (x, y), (bx, by) of small groups; members (key, x, y, z) of large ones.
+    """Rows in the order of their keys -> pairs (x, bx) of small groups, each once a batch; members (key, x) of large ones.
 
     No group is held: once it is large, its members pass as they come. Direct rows pass at once, documents (without a key) too.
     """
-    held = np.zeros((4, 0), np.int64)
+    held = np.zeros((3, 0), np.int64)
     running = None  # the key of the large group that may go on
 
     def large(rows: np.ndarray) -> pa.RecordBatch:
-        return _batch(_GROUP, rows.shape[1], key=rows[0], x=rows[1], y=rows[2], z=rows[3])
+        return _batch(_GROUP, rows.shape[1], key=rows[0], x=rows[1])
 
     def closed(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         _, sizes = _runs(rows[0])
@@ -230,9 +231,9 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = [np.flatnonzero((place > k) & (within > k)) for k in range(within.max())]
         if pairs:
             a, b = np.concatenate([first[x] + k for k, x in enumerate(pairs)]), np.concatenate(pairs)
-            fit = 4 * np.minimum(rows[3, a], rows[3, b]) >= 3 * np.maximum(rows[3, a], rows[3, b])
-            a, b = a[fit], b[fit]
-            yield _batch(_GROUP, len(a), x=rows[1, a], y=rows[2, a], z=rows[3, a], bx=rows[1, b], by=rows[2, b])
+            fit = 4 * np.minimum(rows[2, a], rows[2, b]) >= 3 * np.maximum(rows[2, a], rows[2, b])
+            two = _distinct(np.stack([rows[1, a[fit]], rows[1, b[fit]]]))
+            yield _batch(_GROUP, two.shape[1], x=two[0], bx=two[1])
         rest = rows[:, np.repeat(sizes > SMALL, sizes)]
         if rest.shape[1]:
             yield large(rest)
@@ -243,9 +244,9 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             docs = b.filter(is_doc)
             yield _batch(_GROUP, docs.num_rows, **{c: docs.column(c) for c in ("x", "y", "id", "sketch")}, size=docs.column("z"))
             b = b.filter(pc.invert(is_doc))
-        rows = np.stack([b.column(k).to_numpy() for k in range(4)])
-        direct = (rows[3] & 1).astype(bool)
-        rows[3] >>= 1
+        rows = np.stack([b.column(k).to_numpy() for k in (0, 1, 3)])
+        direct = (rows[2] & 1).astype(bool)
+        rows[2] >>= 1
         if direct.any():
             yield large(rows[:, direct])
             rows = rows[:, ~direct]
@@ -271,10 +272,10 @@ def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _distinct(rows: np.ndarray) -> np.ndarray:
-    """By key, y and x; of equal rows (key, x, y), one."""
-    rows = rows[:, np.lexsort((rows[1], rows[2], rows[0]))]
+    """By key and x; of rows with equal ones, one."""
+    rows = rows[:, np.lexsort((rows[1], rows[0]))]
     fresh = np.ones(rows.shape[1], bool)
-    fresh[1:] = (rows[:3, 1:] != rows[:3, :-1]).any(0)
+    fresh[1:] = (rows[:2, 1:] != rows[:2, :-1]).any(0)
     return rows[:, fresh]
 
 
@@ -412,7 +413,7 @@ def _able(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _regroup(rows: DataFrame, parts: int) -> DataFrame:
     """Rows dealt by key (direct ones and documents by node), in order, to their pairs and large groups."""
-    by = F.when(F.col("key").isNull() | (F.col("z") % 2 == 1), F.xxhash64("key", "x", "y")).otherwise(F.col("key"))
+    by = F.when(F.col("key").isNull() | (F.col("z") % 2 == 1), F.xxhash64("key", "x")).otherwise(F.col("key"))
     return rows.repartition(parts, by).sortWithinPartitions("key").mapInArrow(_groups, _GROUP_SQL)
 
 
@@ -467,21 +468,21 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # at most HOT_MOST keys; they order work and decide nothing
     listed = sorted((r.key, r.n) for r in often.orderBy(F.desc("n"), "key").limit(HOT_MOST).select("key", "n").collect())
     hot, direct = (np.sort(np.array([k for k, n in listed if n >= least], np.int64).view(_U)) for least in (HOT_TIMES, HOT_DIRECT))
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     grouped = stage(_regroup(work.mapInArrow(_rows_of(hot, direct), _ROW_SQL), parts), "join-groups")
     release(spark)
     sets = grouped.filter("size IS NOT NULL").select("id", "x", "y", F.col("size").alias("n"))
-    named = grouped.filter("size IS NULL").select(F.explode(F.array(F.struct("x", "y"), F.struct(F.col("bx").alias("x"), F.col("by").alias("y")))).alias("at")).select("at.*").filter("x IS NOT NULL").distinct()
+    named = grouped.filter("size IS NULL").select(F.explode(F.array("x", "bx")).alias("x")).filter("x IS NOT NULL").distinct()
 
     # a number, one document and one sketch for each node that any group names
-    found = _with(grouped.filter("size > 0").select("x", "y", "id", "size", "sketch"), named, {"x": "x", "y": "y"}, "left_semi")
+    found = _with(grouped.filter("size > 0").select("x", "y", "id", "size", "sketch"), named, {"x": "x"}, "left_semi")
     found = found.groupBy("x", "y").agg(F.min_by("id", F.struct(F.col("id").isNull(), F.col("id"))).alias("pid"), F.max("size").alias("size"), F.max("sketch").alias("sketch"))
     nodes = stage(found.withColumn("no", F.monotonically_increasing_id()), "join-nodes")
-    number = nodes.select("x", "y", "no")
-    pairs = grouped.filter("bx IS NOT NULL").select("x", "y", "bx", "by").distinct()
-    pairs = _with(_with(pairs, number.withColumnRenamed("no", "a"), {"x": "x", "y": "y"}), number.withColumnRenamed("no", "b"), {"bx": "x", "by": "y"}).select("a", "b")
+    number, half = nodes.select("x", "y", "no"), nodes.select("x", "no")
+    pairs = grouped.filter("bx IS NOT NULL").select("x", "bx").distinct()
+    pairs = _with(_with(pairs, half.withColumnRenamed("no", "a"), {"x": "x"}), half.withColumnRenamed("no", "b"), {"bx": "x"}).select("a", "b")
     near = stage(_able(_once(pairs), nodes), "join-near")
-    large = _with(grouped.filter("key IS NOT NULL").select("key", "x", "y"), number, {"x": "x", "y": "y"})
+    large = _with(grouped.filter("key IS NOT NULL").select("key", "x"), half, {"x": "x"})
     large = stage(large.select("key", "no").distinct(), "join-large")
 
     # the texts of nodes in pairs that are left and of those in large groups, which may yet add pairs
