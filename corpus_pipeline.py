@@ -36,8 +36,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token ids in windows."""
-    return packing.pack(docs, queries.tokenizer_path()).withColumnRenamed("id", "doc_id")
+    """Pieces of token ids in windows. The workers have served other stages before, so their memo is half the usual one."""
+    return packing.pack(docs, queries.tokenizer_path(), memo=350_000).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [

@@ -88,6 +88,21 @@ def _batch_of_texts(texts):
     return pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["id", "text"])
 
 
+def test_a_worker_keeps_the_memo_of_one_operator_alone():
+    import numpy as np
+
+    from tidemark.llm import ngram_join, queries, tokens
+
+    none = np.zeros(0, np.uint64)
+    e = tokens.encoder(queries.tokenizer_path())
+    e.one("x alpha, beta gamma.\ny")
+    assert e.memo and e.parts
+    list(ngram_join._rows_of(none, none)([_batch_of_texts(["a b c d e f"])]))
+    assert ngram_join._WORDS and not e.memo and not e.older and not e.parts
+    assert tokens.encoder(queries.tokenizer_path(), 5) is e and e.most == 5 and not ngram_join._WORDS
+    assert tokens.encoder(queries.tokenizer_path()).most == tokens.MOST
+
+
 def test_rows_of_parts_carry_half_a_name_and_pairs_leave_a_batch_once():
     import numpy as np
     import pyarrow as pa

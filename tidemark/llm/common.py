@@ -6,9 +6,11 @@ import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import cache
 from itertools import count
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +66,21 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+_at_work: list[tuple[str, Callable[[], None]]] = []
+
+
+def alone(owner: str, forget: Callable[[], None]) -> None:
+    """Called where an operator's task begins: a Python worker serves tasks of many operators, one after another, and only the memo
+    of the one at work stays. forget empties this one's memo when another's turn comes.
+    """
+    if _at_work and _at_work[0][0] == owner:
+        return
+    if _at_work:
+        _at_work.pop()[1]()
+        pa.default_memory_pool().release_unused()
+    _at_work.append((owner, forget))
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once: lambda variables are bound, attributes would be inlined."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -38,7 +38,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import release, spare, stage
+from .common import alone, release, spare, stage
 from .components import components
 
 N = 5
@@ -127,6 +127,7 @@ def _among(values: np.ndarray, listed: np.ndarray) -> np.ndarray:
 
 
 def _texts(batch: pa.RecordBatch, k: int) -> Iterator[str | None]:
+    alone("shingles", _WORDS.clear)
     for lo in range(0, batch.num_rows, 500):
         yield from batch.column(k)[lo : lo + 500].to_pylist()
 

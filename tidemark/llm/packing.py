@@ -25,17 +25,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import stage
-from .tokens import encoder
+from .tokens import MOST, encoder
 
 WINDOW = 1024
 _FULL = 1 << 40  # sequences of full windows: (task + 1) * _FULL + rank in the task; all others are below
 
 
-def _cut(tokenizer: str, window: int, end_id: int):
+def _cut(tokenizer: str, window: int, end_id: int, memo: int = MOST):
     """Batches of (id, text) -> (task, rank, id, doc_tokens, start, length, tokens), a row for each window or tail."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, last, task = encoder(tokenizer).one, np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
+        encode, last, task = encoder(tokenizer, memo).one, np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
         ranks = np.zeros(window + 1, np.int64)
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
@@ -166,10 +166,12 @@ def _cuts(at: int, size: int, total: int, window: int) -> list[tuple[int, int, i
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
-    """-> id, start, length, doc_tokens, sequence_id, offset, tokens (little-endian unsigned 32-bit ids of the piece)."""
+def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, memo: int = MOST) -> DataFrame:
+    """-> id, start, length, doc_tokens, sequence_id, offset, tokens (little-endian unsigned 32-bit ids of the piece). memo: words that
+    a worker remembers; it decides memory and time, never results.
+    """
     work = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    cut = stage(work.mapInArrow(_cut(tokenizer, window, end_id), "task int, rank long, id long, doc_tokens long, start long, length int, tokens binary"), "pack-pieces")
+    cut = stage(work.mapInArrow(_cut(tokenizer, window, end_id, memo), "task int, rank long, id long, doc_tokens long, start long, length int, tokens binary"), "pack-pieces")
     per_task = cut.filter(F.col("length") < window).groupBy("task", "length").agg(F.count(F.lit(1)).alias("n"))
     per_task = stage(per_task.withColumn("before", F.sum("n").over(W.partitionBy("length").orderBy("task")) - F.col("n")), "pack-counts")
     counts = np.zeros(window + 1, np.int64)

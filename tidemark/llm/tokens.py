@@ -19,6 +19,10 @@ from struct import pack
 
 from tokenizers import Tokenizer
 
+from .common import alone
+
+#: Words of the memo: more take memory, fewer time.
+MOST = 700_000
 #: Pre-tokens that are the same whatever the version of Unicode: letters, marks, one line end before a non-space.
 _PARTS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[.,;:!?#$%&*|()\-]+|\n(?=\S)")
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
@@ -35,7 +39,7 @@ def _byte_letters() -> dict[int, str]:
 class Encoder:
     """one(text) -> the ids of the text as little-endian unsigned 32-bit integers, one after another."""
 
-    def __init__(self, path: str, most: int = 700_000) -> None:
+    def __init__(self, path: str, most: int = MOST) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
@@ -49,7 +53,12 @@ class Encoder:
         self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
         self.memo: dict[str, bytes] = {}  # words, without the space before them, to their packed ids
         self.older: dict[str, bytes] = {}
-        self.parts, self.one_id = _Parts(self), _Packed()
+        self.parts = _Parts(self)
+        self.one_id = [pack("<I", i) for i in range(1 + max(self.tokenizer.get_vocab().values(), default=0))]  # at once, so that no id keeps a page of forgotten words
+
+    def forget(self) -> None:
+        self.memo, self.older = {}, {}
+        self.parts.clear()
 
     def packed(self, piece: str) -> bytes:
         parts = _PARTS.findall(piece)
@@ -122,15 +131,14 @@ class _Parts(dict):
         return ids
 
 
-class _Packed(dict):
-    """An id to its four bytes."""
-
-    def __missing__(self, i: int) -> bytes:
-        self[i] = four = pack("<I", i)
-        return four
-
-
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One for each Python worker; workers serve many tasks."""
+def _made(path: str) -> Encoder:
     return Encoder(path)
+
+
+def encoder(path: str, most: int = MOST) -> Encoder:
+    """One for each Python worker; workers serve many tasks. Its memo goes when another operator's task begins."""
+    found = _made(path)
+    found.most = most
+    alone(f"tokens {path}", found.forget)
+    return found
