@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -217,6 +218,75 @@ def test_suffix_array_orders_suffixes():
         assert [b[i : i + 200] for i in got] == [b[i : i + 200] for i in sorted(range(len(b)), key=lambda i: b[i : i + 200])]
 
 
+def surrounded(n, seed=11):
+    """Texts around three passages of 50, 150 and 199 bytes, each in surroundings of its own, some with a longer stretch of another text."""
+    rng = np.random.default_rng(seed)
+    noise = lambda m: bytes(rng.integers(97, 123, m).astype(np.uint8)).decode()
+    passages = [noise(50), noise(150), noise(199)]
+    rows = []
+    for k in range(n):
+        t = noise(int(rng.integers(0, 230))) + passages[k % 3] + noise(int(rng.integers(0, 230)))
+        if k % 7 == 6:
+            at = int(rng.integers(0, max(1, len(rows[-2][1]) - 230)))
+            t += rows[-2][1][at : at + 230]
+        rows.append((k, t + " The" * int(rng.integers(0, 90)) * (k % 5 == 0)))
+    return rows
+
+
+@pytest.mark.parametrize("many", [1, 20])
+def test_common_anchors_lose_no_repeat(spark, many):
+    rows = corpus() + [(100 + k, t) for k, t in surrounded(150)]
+    counted, lost = suffixes.remove_repeats(frame(spark, rows), many=many)
+    gone = {r.tid: (sum(s.end - s.first for s in r.spans), hashlib.sha256(r.kept).hexdigest()) for r in lost.collect()}
+    got = []
+    for r in counted.collect():
+        whole = r.copies > 1 and r.n_bytes >= 200
+        removed, sha = (r.n_bytes, hashlib.sha256(b"").hexdigest()) if whole else gone.get(r.tid, (0, r.text_sha256))
+        got.append((repr(r.id), r.n_bytes, removed, sha))
+    assert sorted(got) == brute_removed(rows)
+
+
+def test_common_anchors_are_spread(spark, monkeypatch):
+    """A passage in very many surroundings: no partition's anchor has more segments than a common one may have."""
+    sent = []
+    whole = suffixes.stage
+    monkeypatch.setattr(suffixes, "stage", lambda df, label: whole(df, label) if label != "suffix-shared" else sent.append(whole(df, label)) or sent[-1])
+    suffixes.remove_repeats(frame(spark, surrounded(1200)), many=50)
+    shared = sent[0].select(F.explode("found").alias("x")).select("x.anchor")
+    assert shared.groupBy("anchor").count().agg(F.max("count")).first()[0] > 300
+    segments = suffixes.dealt(sent[0], shared, 50).filter("bytes is not null").groupBy("anchor").count()
+    assert segments.agg(F.max("count")).first()[0] <= 50
+
+
+def test_a_partition_sorts_its_anchors_in_parts(monkeypatch):
+    """Segments of one partition, however many, never make one large suffix array."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for anchor in range(900):
+        core = bytes(rng.integers(97, 123, 210).astype(np.uint8))
+        for k in range(10):
+            edge = bytes([65 + k]) + bytes(rng.integers(97, 123, 59).astype(np.uint8))
+            piece = edge[::-1] + (core if k < 2 else core[:150]) + edge
+            rows.append((anchor, anchor * 10 + k, 0, len(piece) - 199, piece))
+    sizes, real = [], suffixes.suffix_array
+    monkeypatch.setattr(suffixes, "suffix_array", lambda text: sizes.append(len(text)) or real(text))
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["anchor", "tid", "first", "n", "bytes"])
+    got = sorted(x for b in suffixes._repeats(iter([batch])) for x in zip(*(c.to_pylist() for c in b.columns)))
+    assert [x for x in got if x[1:] != (60, 270)] == [] and len(got) == 1800
+    assert max(sizes) < 600_000 < sum(sizes)
+
+
+def test_hashes_of_any_length():
+    rng = np.random.default_rng(2)
+    raw = rng.integers(0, 255, 600).astype(np.uint8)
+    raw[300:520] = raw[20:240]
+    for gram in (1, 5, 32, 104, 168, 200):
+        h = suffixes._gram_hashes(raw, gram)
+        assert len(h) == 601 - gram
+        grams = [raw[k : k + gram].tobytes() for k in range(len(h))]
+        assert len(set(h.tolist())) == len(set(grams)) and h[300] == h[20]
+
+
 # ---- 5 and 7
 
 
